@@ -4,3 +4,4 @@ from . import q_scoring  # noqa: F401  (registration side effects)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
+from . import q_clean  # noqa: F401,E402

@@ -10,8 +10,11 @@ per-(partition, group) counts - at most partitions + groups rows - give each
 partition its offset.  This is ``zipWithIndex`` expressed on DataFrames: the
 rows stay in the JVM and never pass through one task or the driver.
 
-An explicit partition count makes the exchange ``REPARTITION_BY_NUM``, which
-AQE never coalesces, so the partition index is stable between the two uses.
+The range-partitioned rows are frozen with a reliable ``checkpoint()`` (in
+the session's shared checkpoint folder): the range partitioner samples its
+input, and two differently pruned uses of one DataFrame could otherwise be
+sampled from different layouts.  The checkpoint also makes the numbering
+survive executor loss.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import shuffle_partitions
+from .session import cut_lineage, shuffle_partitions
 
 
 def _names(cols: Sequence[str | Column]) -> list[str]:
@@ -48,7 +51,7 @@ def _ranged(df: DataFrame, order_by: Sequence[str | Column], partition_by: Seque
                 .sortWithinPartitions(*keys)
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .withColumn("_pid", F.shiftright("_mid", 33)))
-    return ranged
+    return cut_lineage(ranged)
 
 
 def with_index(df: DataFrame, order_by: Sequence[str | Column], partition_by: Sequence[str] = (),

@@ -22,6 +22,7 @@ _LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
     "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
