@@ -6,3 +6,4 @@ from .registry import ORACLE, QUERIES
 __all__ = ["QUERIES", "ORACLE"]
 from . import q_clean  # noqa: F401,E402
 from . import q_validate  # noqa: F401,E402
+from . import q_features  # noqa: F401,E402

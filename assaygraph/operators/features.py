@@ -62,7 +62,9 @@ def fit_minmax(df: DataFrame, cols: list[str]) -> tuple[dict, dict]:
 def minmax_expr(col: str | Column, lo, hi) -> Column:
     """(x - min) / (max - min); a constant column maps to 0 (unlike MLlib's 0.5)."""
     c = F.col(col) if isinstance(col, str) else col
-    if lo is None or hi is None or hi == lo:
+    if lo is None or hi is None:            # fitted on no rows
+        return F.lit(None).cast("double")
+    if hi == lo:
         return F.when(c.isNull(), F.lit(None).cast("double")).otherwise(F.lit(0.0))
     return (c.cast("double") - F.lit(float(lo))) / F.lit(float(hi) - float(lo))
 
@@ -124,3 +126,134 @@ def zero_variance(df: DataFrame, cols: list[str]) -> list[str]:
     """columns with at most one distinct non-null value (one pass)."""
     row = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
     return [c for i, c in enumerate(cols) if row[f"d{i}"] <= 1]
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Pairwise-complete Pearson r; NULL (not an ANSI divide error) when a
+    side is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
+def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+    """|Pearson r| for all pairs i < j in one aggregate (pairwise complete):
+    ``col_a, col_b, r``."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    row = df.agg(*[F.abs(pearson(F.col(f"`{a}`"), F.col(f"`{b}`"))).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    expr = ", ".join(f"'{a}', '{b}', `r{k}`" for k, (a, b) in enumerate(pairs))
+    return row.selectExpr(f"stack({len(pairs)}, {expr}) AS (col_a, col_b, r)")
+
+
+def _corr_lookup(df: DataFrame, cols: list[str]) -> dict[tuple[str, str], float | None]:
+    rows = correlation_matrix(df, cols).collect()   # p(p-1)/2 numbers
+    out = {}
+    for r in rows:
+        out[(r["col_a"], r["col_b"])] = out[(r["col_b"], r["col_a"])] = r["r"]
+    return out
+
+
+def high_correlation(df: DataFrame, cols: list[str], threshold: float = 0.9,
+                     protected_prefix: str = "Material type_") -> DataFrame:
+    """``column, dropped, step``.
+
+    Step 1 (unprotected columns in order): drop j when any earlier i has
+    |r| > threshold - also when i itself was dropped.  Step 2: drop a
+    survivor whose |r| with any protected column exceeds the threshold.
+    One aggregate computes the matrix; the rules run on the p x p numbers.
+    """
+    protected = [c for c in df.columns if c.startswith(protected_prefix)]
+    others = [c for c in cols if not c.startswith(protected_prefix)]
+    r = _corr_lookup(df, others + protected)
+
+    def big(a, b):
+        v = r.get((a, b))
+        return v is not None and v > threshold
+
+    step = {}
+    for j, c in enumerate(others):
+        if any(big(others[i], c) for i in range(j)):
+            step[c] = 1
+    for c in others:
+        if c not in step and any(big(c, p) for p in protected):
+            step[c] = 2
+    rows = [(c, c in step, step.get(c, 0)) for c in others]
+    return df.sparkSession.createDataFrame(rows, "column string, dropped boolean, step int")
+
+
+def gram_matrix(df: DataFrame, cols: list[str]):
+    """X^T X in one aggregate pass (p(p+1)/2 sums), returned as numpy."""
+    import numpy as np
+
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    row = df.agg(*[F.sum(F.col(f"`{cols[i]}`").cast("double") * F.col(f"`{cols[j]}`").cast("double")).alias(f"g{k}")
+                   for k, (i, j) in enumerate(pairs)]).first()
+    g = np.zeros((len(cols), len(cols)))
+    for k, (i, j) in enumerate(pairs):
+        g[i, j] = g[j, i] = row[f"g{k}"] or 0.0
+    return g
+
+
+def _vif_from_gram(g, idx: list[int]) -> list[float]:
+    """VIF_i = G_ii (G^-1)_ii on the sub-matrix (regression without intercept,
+    uncentred R^2); a singular matrix gives infinity."""
+    import numpy as np
+
+    sub = g[np.ix_(idx, idx)]
+    try:
+        if np.linalg.matrix_rank(sub) < len(idx):
+            raise np.linalg.LinAlgError
+        inv = np.linalg.inv(sub)
+        return [float(sub[k, k] * inv[k, k]) for k in range(len(idx))]
+    except np.linalg.LinAlgError:
+        out = []
+        for k in range(len(idx)):
+            rest = [m for m in range(len(idx)) if m != k]
+            a = sub[np.ix_(rest, rest)]
+            b = sub[rest, k]
+            coef = np.linalg.lstsq(a, b, rcond=None)[0]
+            ssr = sub[k, k] - b @ coef
+            out.append(float("inf") if ssr <= 1e-12 * max(sub[k, k], 1e-300) else float(sub[k, k] / ssr))
+        return out
+
+
+def vif(df: DataFrame, cols: list[str]) -> DataFrame:
+    """F8: ``column, vif`` from one Gram-matrix pass."""
+    g = gram_matrix(df, cols)
+    vals = _vif_from_gram(g, list(range(len(cols))))
+    return df.sparkSession.createDataFrame(list(zip(cols, vals)), "column string, vif double")
+
+
+def high_vif(df: DataFrame, cols: list[str], threshold: float = 10.0) -> DataFrame:
+    """F8 loop: drop the largest VIF while it exceeds ``threshold`` (stop at
+    fewer than 2 columns).  The Gram matrix is computed once; every round is
+    a sub-matrix inverse on the driver.  ``column, dropped, order, vif``."""
+    g = gram_matrix(df, cols)
+    keep = list(range(len(cols)))
+    dropped = []
+    while len(keep) >= 2:
+        vals = _vif_from_gram(g, keep)
+        k = max(range(len(keep)), key=lambda m: (vals[m], -m))
+        if vals[k] > threshold:
+            dropped.append((cols[keep[k]], vals[k]))
+            keep.pop(k)
+        else:
+            break
+    order = {c: i + 1 for i, (c, _) in enumerate(dropped)}
+    vifs = dict(dropped)
+    rows = [(c, c in order, order.get(c), vifs.get(c)) for c in cols]
+    return df.sparkSession.createDataFrame(rows, "column string, dropped boolean, order int, vif double")
+
+
+def multicollinearity(df: DataFrame, cols: list[str], corr_threshold: float = 0.9, vif_threshold: float = 10.0,
+                      protected_prefix: str = "Material type_") -> list[str]:
+    """F6 -> F7 -> F8; returns the surviving unprotected columns."""
+    hc = {r["column"] for r in high_correlation(df, cols, corr_threshold, protected_prefix)
+          .where("dropped").collect()}
+    left = [c for c in cols if c not in hc and not c.startswith(protected_prefix)]
+    zv = set(zero_variance(df, left)) if left else set()
+    left = [c for c in left if c not in zv]
+    if len(left) < 2:
+        return left
+    hv = {r["column"] for r in high_vif(df, left, vif_threshold).where("dropped").collect()}
+    return [c for c in left if c not in hv]
