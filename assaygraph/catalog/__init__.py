@@ -7,3 +7,4 @@ __all__ = ["QUERIES", "ORACLE"]
 from . import q_clean  # noqa: F401,E402
 from . import q_validate  # noqa: F401,E402
 from . import q_features  # noqa: F401,E402
+from . import q_eval  # noqa: F401,E402
