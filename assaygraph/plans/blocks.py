@@ -48,6 +48,9 @@ def cogroup_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     back, so a hot key simply gets more blocks.
     """
     kcol = key or "_k"
+    # fresh attribute ids per side: both sides are often the same DataFrame
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     if key is None:
         left = left.withColumn("_k", F.lit(0))
         right = right.withColumn("_k", F.lit(0))
