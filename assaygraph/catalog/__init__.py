@@ -9,3 +9,4 @@ from . import q_validate  # noqa: F401,E402
 from . import q_features  # noqa: F401,E402
 from . import q_eval  # noqa: F401,E402
 from . import q_graph  # noqa: F401,E402
+from . import q_scalar  # noqa: F401,E402
