@@ -117,6 +117,27 @@ def encode_exprs(params: EncoderParams) -> list[Column]:
     return exprs
 
 
+def encoder_sql(params: EncoderParams, names: list[str]) -> str:
+    """The fitted encoder as a SQL statement over ``__THIS__`` (literals only),
+    usable as an ``SQLTransformer`` stage and saved with a ``PipelineModel``."""
+    def q(c):
+        return "`" + c.replace("`", "``") + "`"
+
+    parts = []
+    for c in params.num_cols:
+        lo, hi = params.mins[c], params.maxs[c]
+        if lo is None or hi is None or hi == lo:
+            parts.append("0.0")
+        else:
+            parts.append(f"coalesce((CAST({q(c)} AS DOUBLE) - ({float(lo)!r})) / ({float(hi) - float(lo)!r}), 0.0)")
+    for c in params.cat_cols:
+        for v in params.categories[c]:
+            lit = v.replace("'", "\\'")
+            parts.append(f"CASE WHEN CAST({q(c)} AS STRING) = '{lit}' THEN 1.0 ELSE 0.0 END")
+    cols = ", ".join(f"{p} AS {q(n)}" for p, n in zip(parts, names))
+    return f"SELECT *, {cols} FROM __THIS__"
+
+
 def encode(df: DataFrame, params: EncoderParams, out: str = "x") -> DataFrame:
     """``out`` = array [scaled numerics..., one-hot...] in declared order."""
     return df.withColumn(out, F.array(*encode_exprs(params)))
