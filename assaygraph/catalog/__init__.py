@@ -11,3 +11,4 @@ from . import q_eval  # noqa: F401,E402
 from . import q_graph  # noqa: F401,E402
 from . import q_scalar  # noqa: F401,E402
 from . import q_models  # noqa: F401,E402
+from . import q_io  # noqa: F401,E402
