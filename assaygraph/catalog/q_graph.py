@@ -402,3 +402,44 @@ def cluster_quality(spark, sf_dir):
     v = vectors(spark, sf_dir).withColumnRenamed("label", "cluster")
     q = CL.cluster_quality(v, "id", "x", "cluster")
     return q.select(*[F.round(c, 6).alias(c) for c in ("silhouette", "davies_bouldin", "calinski_harabasz")])
+
+
+@register("mask_filter", sql=f"WITH RECURSIVE {dbscan_ctes(DBSCAN_Q)} SELECT id, cluster FROM db WHERE cluster <> -1")
+def mask_filter(spark, sf_dir):
+    """Keep the non-noise rows (boolean mask as a filter)."""
+    _, cl = _dbscan(spark, sf_dir)
+    return cl.where(F.col("cluster") != -1).select("id", "cluster")
+
+
+def _assay_encoded(spark, sf_dir):
+    from ..operators import features as FE
+    from ..sources.tables import assay_base
+
+    a = assay_base(spark, sf_dir)
+    params = FE.fit_encoder(a, ["dose", "hr"], ["material"])
+    return FE.encode(a, params).select(F.col("row_id").alias("id"), "x", F.col("toxic").alias("y"), "material")
+
+
+@register("dbscan_assay")
+def dbscan_assay(spark, sf_dir):
+    """G1 + G2 at the reference setting (cosine, min_samples 3, eps at the
+    0.98 k-distance quantile) on the whole encoded assay view: one row per
+    cluster with its size and dominant material (A3, A4)."""
+    enc = _assay_encoded(spark, sf_dir)
+    eps = CL.estimate_eps(enc, 3, 0.98)
+    cl = CL.dbscan(enc, eps, 3)
+    j = cl.join(enc.select("id", "material"), "id")
+    sizes = CL.cluster_counts(j)
+    dom = CL.dominant_category(j, "cluster", "material")
+    return (sizes.join(dom, "cluster", "left")
+                 .select("cluster", "size", "category", F.round("share", 6).alias("share"),
+                         F.lit(eps).alias("eps")))
+
+
+@register("build_graph")
+def build_graph(spark, sf_dir):
+    """Eps -> DBSCAN -> intra-cluster 5-NN graph -> dense node ids over the
+    whole assay view; reported as graph statistics (A7) plus eps."""
+    enc = _assay_encoded(spark, sf_dir)
+    nodes, edges, eps = GR.build_graph(enc, "id", "x", "y", quantile=0.98, k=5)
+    return GR.graph_stats(nodes, edges).withColumn("eps", F.lit(eps))

@@ -230,3 +230,15 @@ def processor_plus_model(spark, sf_dir):
     loaded = PipelineModel.load(path)
     scored = M.with_score(loaded.transform(tr.where(F.col("split") == "test")), "toxic")
     return scored.select("row_id", "pred", F.round("score", 6).alias("score"))
+
+
+@register("scaler_plus_model")
+def scaler_plus_model(spark, sf_dir):
+    """M7: scaler + classifier fitted inside every fold (no leakage across
+    folds); balanced accuracy per held-out fold."""
+    tr, _ = _train_test(spark, sf_dir)
+    oof = M.out_of_fold(tr, lambda: M.logistic(TEXT_FEATURES, "y"), "fold")
+    return (oof.groupBy("fold").agg(*[c.alias(n) for n, c in E._metric_cols(
+        F.count_if((F.col("y") == 1) & (F.col("pred") == 1)), F.count_if((F.col("y") == 0) & (F.col("pred") == 1)),
+        F.count_if((F.col("y") == 0) & (F.col("pred") == 0)), F.count_if((F.col("y") == 1) & (F.col("pred") == 0))
+    ).items()]))

@@ -226,3 +226,13 @@ def evaluate_groups(train: DataFrame, test: DataFrame, groups: dict[str, list[st
             rows.append(("+".join(combo), len(cols), float(r["f1_score"])))
     return train.sparkSession.createDataFrame(rows, "groups string, n_features int, f1_score double").orderBy(
         F.desc("f1_score"), "groups")
+
+
+def group_columns(columns: list[str], groups: dict[str, list[str]], chosen: list[str]) -> list[str]:
+    """Logical feature groups -> the physical columns present (one-hot
+    groups match by prefix, e.g. 'Material type_')."""
+    out = []
+    for g in chosen:
+        for spec in groups.get(g, []):
+            out += [c for c in columns if c == spec or (spec.endswith("_") and c.startswith(spec))]
+    return list(dict.fromkeys(out))
