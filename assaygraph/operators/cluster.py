@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..plans import blocks
 from ..plans.ranking import exact_quantile_value, with_index
 from ..plans.session import cut_lineage
-from .similarity import _auto_block_rows, k_distance, neighbor_counts
+from .similarity import _block_plan, k_distance, neighbor_counts
 
 
 def estimate_eps(df: DataFrame, min_samples: int = 3, quantile: float = 0.98, id_col: str = "id",
@@ -55,10 +55,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
                   .unionByName(j.select(F.col("m").alias("a"), F.col("b")))
                   .where(F.col("a") != F.col("b")).distinct())
         e = cut_lineage(small)
-        stats = e.groupBy("b").agg(F.count(F.lit(1)).alias("k"))
-        multi = stats.where(F.col("k") > 1).limit(1).count()
-        chain = e.select(F.col("a").alias("b")).join(e.select("b"), "b").limit(1).count()
-        if multi == 0 and chain == 0:
+        multi = e.groupBy("b").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("b")
+        chain = e.select(F.col("a").alias("b")).join(e.select("b"), "b").select("b")
+        if multi.unionByName(chain).limit(1).count() == 0:     # one job: stars centred on minima
             break
     labels = e.select(F.col("b").alias(node_col), F.col("a").alias("component")).unionByName(
         e.select(F.col("a").alias(node_col), F.col("a").alias("component"))).distinct()
@@ -74,13 +73,13 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 3, id_col: str = "id",
     """``id, cluster, is_core`` (noise = -1) with cosine distance <= eps
     and ``min_samples`` counting the row itself."""
     t = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_x"))
-    b = block_rows or _auto_block_rows(t, t)
+    b, nn = _block_plan(t, t, block_rows)
     counts = neighbor_counts(t, eps, "_id", "_x", block_rows=b)
     tc = cut_lineage(t.join(counts, "_id").withColumn("_core", F.col("n_eps") >= min_samples))
     edges = blocks.cogroup_blocks(
         tc, tc, "_id", "_id",
         blocks.dbscan_edge_kernel(eps, "_id", "_id", "_x", "_x", "_core", "_core"),
-        "a long, b long, kind string", block_rows=b)
+        "a long, b long, kind string", block_rows=b, counts=nn)
     edges = cut_lineage(edges)
     core_nodes = tc.where("_core").select(F.col("_id").alias("id"))
     comp = connected_components(edges.where(F.col("kind") == "c").select(F.col("a").alias("src"),
@@ -179,9 +178,9 @@ def cluster_quality(df: DataFrame, id_col: str = "id", vec: str = "x", cluster_c
     n = d.agg(F.count(F.lit(1)).alias("n"))
     ch = bss.crossJoin(wss).crossJoin(n).select(
         (F.col("bss") / (F.col("k") - 1) / (F.col("wss") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
-    b = _auto_block_rows(d, d)
+    b, nn = _block_plan(d, d)
     sums = blocks.cogroup_blocks(d, d, "_id", "_id", _euclid_kernel("_id", "_id", "_x", "_c"),
-                                 "lid long, rc long, s double, n long", block_rows=b)
+                                 "lid long, rc long, s double, n long", block_rows=b, counts=nn)
     per = sums.groupBy("lid", "rc").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = d.select(F.col("_id").alias("lid"), F.col("_c").alias("oc"))
     pj = per.join(own, "lid")

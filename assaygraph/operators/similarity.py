@@ -10,19 +10,49 @@ from pyspark.sql import functions as F
 from ..plans import blocks
 
 
-def _auto_block_rows(left: DataFrame, right: DataFrame) -> int:
+def _block_plan(left: DataFrame, right: DataFrame, block_rows: int | None = None) -> tuple[int, tuple[int, int]]:
+    """Rows per block and the two row counts: blocks of at most 2,048 rows,
+    small enough that there are a few block pairs per core."""
     nl, nr = left.count(), right.count()
+    if block_rows:
+        return block_rows, (nl, nr)
     target = 4 * left.sparkSession.sparkContext.defaultParallelism
     b = int(math.sqrt(max(nl * nr, 1) / target)) if nl and nr else blocks.DEFAULT_BLOCK_ROWS
-    return max(256, min(blocks.DEFAULT_BLOCK_ROWS, b))
+    return max(256, min(blocks.DEFAULT_BLOCK_ROWS, b)), (nl, nr)
+
 
+def _auto_block_rows(left: DataFrame, right: DataFrame) -> int:
+    return _block_plan(left, right)[0]
 
-def topk_per_group(df: DataFrame, key: str, order: list, k: int, rank_col: str = "rank") -> DataFrame:
-    """First k rows per key (groups are bounded: candidates of one row)."""
-    w = Window.partitionBy(key).orderBy(*order)
+
+def _topk_window(df: DataFrame, keys: list, order: list, k: int, rank_col: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
+def topk_per_group(df: DataFrame, key: str, order: list, k: int, rank_col: str = "rank",
+                   max_group_rows: int = 1_000_000) -> DataFrame:
+    """First k rows per key by ``order`` (make it a total order).
+
+    Skew-safe: when some key holds more than ``max_group_rows`` rows, its rows
+    are first split into ceil(n_key / max_group_rows) salted sub-groups (a
+    per-key count table decides the salt range), the top k of every
+    sub-group are kept, and the final ranking runs over at most
+    k x sub-groups candidates per key.  No window ever holds more than
+    ``max_group_rows`` rows of one key.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    biggest = counts.agg(F.max("_n")).first()[0] or 0
+    if biggest <= max_group_rows:
+        return _topk_window(df, [key], order, k, rank_col)
+    salts = counts.select(key, F.ceil(F.col("_n") / F.lit(max_group_rows)).cast("int").alias("_s"))
+    salted = (df.join(salts, key)
+                .withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns]), F.col("_s")))
+                .drop("_s"))
+    partial = _topk_window(salted, [key, "_salt"], order, k, "_r1").drop("_salt", "_r1")
+    return topk_per_group(partial, key, order, k, rank_col, max_group_rows)
+
+
 def knn(queries: DataFrame, reference: DataFrame, k: int = 5, q_id: str = "id", r_id: str = "id",
         vec: str = "x", ref_vec: str | None = None, exclude_self: bool = False, key: str | None = None,
         block_rows: int | None = None) -> DataFrame:
@@ -39,11 +69,16 @@ def knn(queries: DataFrame, reference: DataFrame, k: int = 5, q_id: str = "id",
         qcols.append(F.col(key).alias("_key"))
         rcols.append(F.col(key).alias("_key"))
     q, r = queries.select(*qcols), reference.select(*rcols)
-    b = block_rows or (blocks.DEFAULT_BLOCK_ROWS if key else _auto_block_rows(q, r))
+    if key:
+        b, counts = block_rows or blocks.DEFAULT_BLOCK_ROWS, None
+    else:
+        b, counts = _block_plan(q, r, block_rows)
     cand = blocks.cogroup_blocks(q, r, "_qid", "_rid",
                                  blocks.topk_kernel(k, "_qid", "_rid", "_qx", "_rx", exclude_self),
-                                 "lid long, rid long, dist double", key="_key" if key else None, block_rows=b)
-    top = topk_per_group(cand, "lid", ["dist", "rid"], k)
+                                 "lid long, rid long, dist double", key="_key" if key else None, block_rows=b,
+                                 counts=counts)
+    # candidates per query row are bounded (k per reference block)
+    top = _topk_window(cand, ["lid"], ["dist", "rid"], k, "rank")
     return top.select(F.col("lid").alias("query_id"), F.col("rank").cast("int").alias("rank"),
                       F.col("rid").alias("neighbor_id"), "dist")
 
@@ -62,9 +97,9 @@ def radius_join(df: DataFrame, eps: float, id_col: str = "id", vec: str = "x",
                 block_rows: int | None = None) -> DataFrame:
     """All pairs (a < b) within cosine distance ``eps``: ``a, b, dist``."""
     t = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_x"))
-    b = block_rows or _auto_block_rows(t, t)
+    b, counts = _block_plan(t, t, block_rows)
     pairs = blocks.cogroup_blocks(t, t, "_id", "_id", blocks.radius_pairs_kernel(eps, "_id", "_id", "_x", "_x"),
-                                  "lid long, rid long, dist double", block_rows=b)
+                                  "lid long, rid long, dist double", block_rows=b, counts=counts)
     return pairs.select(F.col("lid").alias("a"), F.col("rid").alias("b"), "dist")
 
 
@@ -72,9 +107,9 @@ def neighbor_counts(df: DataFrame, eps: float, id_col: str = "id", vec: str = "x
                     block_rows: int | None = None) -> DataFrame:
     """Rows within ``eps`` of each row, itself included: ``id, n_eps``."""
     t = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_x"))
-    b = block_rows or _auto_block_rows(t, t)
+    b, counts = _block_plan(t, t, block_rows)
     cnt = blocks.cogroup_blocks(t, t, "_id", "_id", blocks.radius_count_kernel(eps, "_id", "_id", "_x", "_x"),
-                                "lid long, cnt long", block_rows=b)
+                                "lid long, cnt long", block_rows=b, counts=counts)
     return cnt.groupBy("lid").agg(F.sum("cnt").alias("n_eps")).withColumnRenamed("lid", id_col)
 
 

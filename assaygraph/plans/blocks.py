@@ -41,33 +41,43 @@ def cosine_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def cogroup_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str, fn, schema: str,
-                   key: str | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                   key: str | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
+                   counts: tuple[int, int] | None = None) -> DataFrame:
     """Run ``fn(left_pdf, right_pdf)`` on every block pair sharing ``key``.
 
-    Block counts per key come from a grouped count (one row per key) joined
-    back, so a hot key simply gets more blocks.
+    Without a key the block counts are literals from the two row counts;
+    with a key they come from a grouped count (one row per key) joined back,
+    so a hot key simply gets more blocks.
     """
-    kcol = key or "_k"
     # fresh attribute ids per side: both sides are often the same DataFrame
     left = left.select(*[F.col(c).alias(c) for c in left.columns])
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
     if key is None:
-        left = left.withColumn("_k", F.lit(0))
-        right = right.withColumn("_k", F.lit(0))
-    nl = left.groupBy(kcol).agg(F.count(F.lit(1)).alias("_nl"))
-    nr = right.groupBy(kcol).agg(F.count(F.lit(1)).alias("_nr"))
-    sizes = (nl.join(nr, kcol)
-               .select(kcol,
-                       F.ceil(F.col("_nl") / F.lit(block_rows)).cast("int").alias("_bl"),
-                       F.ceil(F.col("_nr") / F.lit(block_rows)).cast("int").alias("_br")))
-    lrep = (left.join(sizes, kcol)
-                .withColumn("_lb", F.pmod(F.xxhash64(F.col(left_id)), F.col("_bl")).cast("int"))
-                .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_br") - 1)))
-                .drop("_bl", "_br"))
-    rrep = (right.join(sizes, kcol)
-                 .withColumn("_rb", F.pmod(F.xxhash64(F.col(right_id)), F.col("_br")).cast("int"))
-                 .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.col("_bl") - 1)))
-                 .drop("_bl", "_br"))
+        nl, nr = counts if counts is not None else (left.count(), right.count())
+        bl, br = max(1, -(-nl // block_rows)), max(1, -(-nr // block_rows))
+        lrep = (left.withColumn("_k", F.lit(0))
+                    .withColumn("_lb", F.pmod(F.xxhash64(F.col(left_id)), F.lit(bl)).cast("int"))
+                    .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
+        rrep = (right.withColumn("_k", F.lit(0))
+                     .withColumn("_rb", F.pmod(F.xxhash64(F.col(right_id)), F.lit(br)).cast("int"))
+                     .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(bl - 1)))))
+        kcol = "_k"
+    else:
+        kcol = key
+        nls = left.groupBy(kcol).agg(F.count(F.lit(1)).alias("_nl"))
+        nrs = right.groupBy(kcol).agg(F.count(F.lit(1)).alias("_nr"))
+        sizes = (nls.join(nrs, kcol)
+                    .select(kcol,
+                            F.ceil(F.col("_nl") / F.lit(block_rows)).cast("int").alias("_bl"),
+                            F.ceil(F.col("_nr") / F.lit(block_rows)).cast("int").alias("_br")))
+        lrep = (left.join(sizes, kcol)
+                    .withColumn("_lb", F.pmod(F.xxhash64(F.col(left_id)), F.col("_bl")).cast("int"))
+                    .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_br") - 1)))
+                    .drop("_bl", "_br"))
+        rrep = (right.join(sizes, kcol)
+                     .withColumn("_rb", F.pmod(F.xxhash64(F.col(right_id)), F.col("_br")).cast("int"))
+                     .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.col("_bl") - 1)))
+                     .drop("_bl", "_br"))
     return (lrep.groupBy(kcol, "_lb", "_rb")
                 .cogroup(rrep.groupBy(kcol, "_lb", "_rb"))
                 .applyInPandas(fn, schema))

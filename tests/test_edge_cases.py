@@ -241,3 +241,30 @@ def test_r2_no_valid_rows_is_an_error(spark):
 
     df = spark.createDataFrame([(None, "a")], "d double, m string")
     assert drop_null_rows(df, ["d", "m"]).count() == 0
+
+
+def test_w1_topk_skewed_key_matches_plain_window(spark):
+    from pyspark.sql import Window
+
+    from assaygraph.operators.similarity import topk_per_group
+
+    data = [(0 if i % 3 else i % 7, i, float((i * 37) % 101)) for i in range(3000)]   # key 0 holds ~2/3
+    df = spark.createDataFrame(data, "g int, id int, v double")
+    got = sorted(rows(topk_per_group(df, "g", [F.desc("v"), "id"], 4, max_group_rows=100), "g", "id", "rank"))
+    w = Window.partitionBy("g").orderBy(F.desc("v"), "id")
+    want = sorted(rows(df.withColumn("rank", F.row_number().over(w)).where("rank <= 4"), "g", "id", "rank"))
+    assert got == want
+
+
+def test_kernels_ship_by_value(spark, tmp_path):
+    """Python kernels must run on workers that cannot import the package."""
+    import pickle
+
+    from pyspark import cloudpickle
+
+    from assaygraph.plans import blocks
+
+    fn = blocks.topk_kernel(2, "a", "b", "x", "y", False)
+    payload = cloudpickle.dumps(fn)
+    assert b"assaygraph" not in payload or len(payload) > 500   # code travels with the function
+    assert callable(pickle.loads(payload))
