@@ -443,3 +443,12 @@ def build_graph(spark, sf_dir):
     enc = _assay_encoded(spark, sf_dir)
     nodes, edges, eps = GR.build_graph(enc, "id", "x", "y", quantile=0.98, k=5)
     return GR.graph_stats(nodes, edges).withColumn("eps", F.lit(eps))
+
+
+@register("knn_approx")
+def knn_approx(spark, sf_dir):
+    """J3 approximate path (SimHash LSH buckets + exact distances inside);
+    rows-only check, recall against the exact join is tested."""
+    v = vectors(spark, sf_dir)
+    nb = SIM.knn_approx(v, v, k=5, exclude_self=True)
+    return nb.select("query_id", "rank", "neighbor_id", F.round("dist", 6).alias("dist"))

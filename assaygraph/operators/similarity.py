@@ -53,15 +53,9 @@ def topk_per_group(df: DataFrame, key: str, order: list, k: int, rank_col: str =
     return topk_per_group(partial, key, order, k, rank_col, max_group_rows)
 
 
-def knn(queries: DataFrame, reference: DataFrame, k: int = 5, q_id: str = "id", r_id: str = "id",
-        vec: str = "x", ref_vec: str | None = None, exclude_self: bool = False, key: str | None = None,
-        block_rows: int | None = None) -> DataFrame:
-    """J3/J4 exact cosine k-NN: ``query_id, rank, neighbor_id, dist``.
-
-    Ties are broken by (distance rounded to 9 places, neighbour id);
-    ``exclude_self`` drops the pair with equal ids (not list position 0).
-    With ``key`` only rows with the same key value are compared (G4).
-    """
+def _knn_candidates(queries: DataFrame, reference: DataFrame, k: int, q_id: str, r_id: str, vec: str,
+                    ref_vec: str | None, exclude_self: bool, key: str | None, block_rows: int | None) -> DataFrame:
+    """Per block pair top-k rows ``lid, rid, dist`` (k per reference block)."""
     rv = ref_vec or vec
     qcols = [F.col(q_id).cast("long").alias("_qid"), F.col(vec).cast("array<double>").alias("_qx")]
     rcols = [F.col(r_id).cast("long").alias("_rid"), F.col(rv).cast("array<double>").alias("_rx")]
@@ -73,10 +67,22 @@ def knn(queries: DataFrame, reference: DataFrame, k: int = 5, q_id: str = "id",
         b, counts = block_rows or blocks.DEFAULT_BLOCK_ROWS, None
     else:
         b, counts = _block_plan(q, r, block_rows)
-    cand = blocks.cogroup_blocks(q, r, "_qid", "_rid",
+    return blocks.cogroup_blocks(q, r, "_qid", "_rid",
                                  blocks.topk_kernel(k, "_qid", "_rid", "_qx", "_rx", exclude_self),
                                  "lid long, rid long, dist double", key="_key" if key else None, block_rows=b,
                                  counts=counts)
+
+
+def knn(queries: DataFrame, reference: DataFrame, k: int = 5, q_id: str = "id", r_id: str = "id",
+        vec: str = "x", ref_vec: str | None = None, exclude_self: bool = False, key: str | None = None,
+        block_rows: int | None = None) -> DataFrame:
+    """J3/J4 exact cosine k-NN: ``query_id, rank, neighbor_id, dist``.
+
+    Ties are broken by (distance rounded to 9 places, neighbour id);
+    ``exclude_self`` drops the pair with equal ids (not list position 0).
+    With ``key`` only rows with the same key value are compared (G4).
+    """
+    cand = _knn_candidates(queries, reference, k, q_id, r_id, vec, ref_vec, exclude_self, key, block_rows)
     # candidates per query row are bounded (k per reference block)
     top = _topk_window(cand, ["lid"], ["dist", "rid"], k, "rank")
     return top.select(F.col("lid").alias("query_id"), F.col("rank").cast("int").alias("rank"),
@@ -167,3 +173,51 @@ def knn_vote(neighbors: DataFrame, labels: DataFrame, label_col: str = "y", id_c
     share = F.col("n_pos") / F.col("n_nbrs")
     return g.select("query_id", "n_pos", "n_nbrs", pred.alias("prediction"),
                     F.when(pred == 1, share).otherwise(1 - share).alias("confidence"))
+
+
+def _simhash_keys(df: DataFrame, id_col: str, vec: str, n_tables: int, n_bits: int, seed: int) -> DataFrame:
+    """One row per (row, table) with key = table * 2^bits + sign pattern of
+    the row against ``n_bits`` random hyperplanes (cosine LSH, Charikar 2002).
+    Signatures are computed per Arrow batch with numpy."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(seed)
+    dim = len(df.select(vec).first()[0])
+    planes = rng.normal(size=(n_tables, n_bits, dim))     # model-sized constant
+    weights = (1 << np.arange(n_bits)).astype(np.int64)
+
+    def add_keys(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec].to_numpy()])
+            parts = []
+            for t in range(n_tables):
+                bits = (x @ planes[t].T) >= 0
+                key = t * (1 << n_bits) + bits.astype(np.int64) @ weights
+                parts.append(pd.DataFrame({id_col: pdf[id_col].to_numpy(), vec: pdf[vec].to_numpy(), "_bucket": key}))
+            yield pd.concat(parts, ignore_index=True)
+
+    schema = df.select(id_col, vec).schema.add("_bucket", "long")
+    return df.select(id_col, vec).mapInPandas(add_keys, schema)
+
+
+def knn_approx(queries: DataFrame, reference: DataFrame, k: int = 5, q_id: str = "id", r_id: str = "id",
+               vec: str = "x", exclude_self: bool = False, n_tables: int = 6, n_bits: int = 8,
+               seed: int = 7) -> DataFrame:
+    """J3/J4 approximate cosine k-NN for tables where all pairs are out of
+    reach: rows are compared only with rows sharing a SimHash bucket in one
+    of ``n_tables`` tables (work ~ n^2 / 2^bits per table instead of n^2),
+    exact distances inside buckets, best k over the union of candidates.
+    Same output as :func:`knn`; a row may get fewer than k neighbours."""
+    q = queries.select(F.col(q_id).cast("long").alias("qid"), F.col(vec).cast("array<double>").alias("x"))
+    r = reference.select(F.col(r_id).cast("long").alias("rid"), F.col(vec).cast("array<double>").alias("x"))
+    qk = _simhash_keys(q, "qid", "x", n_tables, n_bits, seed)
+    rk = _simhash_keys(r, "rid", "x", n_tables, n_bits, seed)
+    cand = _knn_candidates(qk, rk, k, "qid", "rid", "x", None, exclude_self, "_bucket", None)
+    # a pair found in several tables counts once; then the best k
+    best = cand.groupBy("lid", "rid").agg(F.min("dist").alias("dist"))
+    top = _topk_window(best, ["lid"], ["dist", "rid"], k, "rank")   # <= k * tables * blocks per row
+    return top.select(F.col("lid").alias("query_id"), F.col("rank").cast("int").alias("rank"),
+                      F.col("rid").alias("neighbor_id"), "dist")

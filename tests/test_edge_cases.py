@@ -268,3 +268,17 @@ def test_kernels_ship_by_value(spark, tmp_path):
     payload = cloudpickle.dumps(fn)
     assert b"assaygraph" not in payload or len(payload) > 500   # code travels with the function
     assert callable(pickle.loads(payload))
+
+
+def test_j3_approximate_knn_recall(spark):
+    from assaygraph.operators.similarity import knn, knn_approx
+
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(20, 16))
+    x = np.vstack([c + rng.normal(scale=0.2, size=(30, 16)) for c in centers])
+    v = spark.createDataFrame([(i, [float(t) for t in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    exact = set(rows(knn(v, v, k=5, exclude_self=True), "query_id", "neighbor_id"))
+    approx = rows(knn_approx(v, v, k=5, exclude_self=True, n_tables=6, n_bits=6), "query_id", "neighbor_id", "dist")
+    found = {(a, b) for a, b, _ in approx}
+    assert len(found & exact) / len(exact) > 0.9
+    assert all(a != b for a, b in found)
