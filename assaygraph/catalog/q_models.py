@@ -18,7 +18,7 @@ from ..operators import training as TR
 from ..plans.session import scratch_path
 from ..sources import io as IO
 from ..sources.tables import DOSE, MATERIAL, TIME, assay_base, table
-from ..streaming.score_stream import score_batch_frame, score_stream
+from ..streaming.score_stream import require_valid_rows, score_batch_frame, score_stream
 from .registry import register
 
 SEED = 43
@@ -191,6 +191,7 @@ def score_batch(spark, sf_dir):
     confidence; failing rows are kept as 'Error' / 0.0."""
     path = _assay_rows_csv(spark, sf_dir, "batch-in")
     raw = IO.read_table(spark, path, as_string=True)
+    require_valid_rows(raw)
     ref, params = _reference(spark, sf_dir)
     out = score_batch_frame(raw, ref, params)
     dest = scratch_path(spark, f"prediction_{uuid.uuid4().hex}")

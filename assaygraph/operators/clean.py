@@ -115,6 +115,22 @@ def drop_null_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.na.drop(subset=cols)
 
 
+def drop_null_rows_observed(df: DataFrame, cols: list[str]):
+    """P11 with the reference's report: returns ``(kept, observation)``; after
+    the first action on ``kept`` (or on anything derived from it)
+    ``observation.get`` holds ``rows_in`` and ``rows_dropped``, counted in
+    the same pass (no extra job)."""
+    from pyspark.sql import Observation
+
+    obs = Observation("drop_null_rows")
+    bad = None
+    for c in cols:
+        cond = F.col(f"`{c}`").isNull()
+        bad = cond if bad is None else bad | cond
+    flagged = df.observe(obs, F.count(F.lit(1)).alias("rows_in"), F.count_if(bad).alias("rows_dropped"))
+    return flagged.where(~bad), obs
+
+
 def split_valid(df: DataFrame, bounds: dict[str, float]) -> tuple[DataFrame, DataFrame]:
     """Rows passing ``col > bound`` for all bounds, and the rejects with
     the first failing rule as ``reason``."""

@@ -20,6 +20,13 @@ INPUT_COLS = ["row_id", "Material type", "Exposure dose (ug/mL)", "Exposure time
 INPUT_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in INPUT_COLS])
 
 
+def require_valid_rows(batch: DataFrame) -> None:
+    """R2: a file without one valid row is an error (nothing is written)."""
+    b = C.select_required(C.decimal_comma(batch, ["Exposure dose (ug/mL)", "Exposure time"]), INPUT_COLS)
+    if C.drop_null_rows(b, INPUT_COLS[1:]).limit(1).count() == 0:
+        raise ValueError("The file has no valid rows to process.")
+
+
 def score_batch_frame(batch: DataFrame, reference: DataFrame, params: FE.EncoderParams, k: int = 5) -> DataFrame:
     """Clean one batch of all-string rows and vote with the k nearest
     reference rows (``reference``: id, x, y).  Rows that fail cleaning are
