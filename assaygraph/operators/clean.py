@@ -115,20 +115,18 @@ def drop_null_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.na.drop(subset=cols)
 
 
-def drop_null_rows_observed(df: DataFrame, cols: list[str]):
-    """P11 with the reference's report: returns ``(kept, observation)``; after
-    the first action on ``kept`` (or on anything derived from it)
-    ``observation.get`` holds ``rows_in`` and ``rows_dropped``, counted in
-    the same pass (no extra job)."""
-    from pyspark.sql import Observation
-
-    obs = Observation("drop_null_rows")
+def drop_null_rows_report(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
+    """P11 with the reference's report: the kept rows and ``{rows_in,
+    rows_dropped}`` from one aggregate over just the checked columns.
+    (``DataFrame.observe`` would avoid that pass, but a registered
+    Observation makes later reliable checkpoints in the session fail to
+    serialise on Spark 4.1, so it is not used.)"""
     bad = None
     for c in cols:
         cond = F.col(f"`{c}`").isNull()
         bad = cond if bad is None else bad | cond
-    flagged = df.observe(obs, F.count(F.lit(1)).alias("rows_in"), F.count_if(bad).alias("rows_dropped"))
-    return flagged.where(~bad), obs
+    r = df.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(bad).alias("rows_dropped")).first()
+    return df.where(~bad), {"rows_in": r["rows_in"], "rows_dropped": r["rows_dropped"]}
 
 
 def split_valid(df: DataFrame, bounds: dict[str, float]) -> tuple[DataFrame, DataFrame]:

@@ -31,13 +31,13 @@ def test_no_valid_rows_is_an_error(spark):
         require_valid_rows(bad)
 
 
-def test_dropped_rows_are_observed_in_the_same_pass(spark):
-    from assaygraph.operators.clean import drop_null_rows_observed
+def test_dropped_rows_are_reported(spark):
+    from assaygraph.operators.clean import drop_null_rows_report
 
     df = spark.createDataFrame([(1, None), (2, 1.0), (3, None)], "id int, v double")
-    kept, obs = drop_null_rows_observed(df, ["v"])
+    kept, rep = drop_null_rows_report(df, ["v"])
     assert kept.count() == 1
-    assert obs.get == {"rows_in": 3, "rows_dropped": 2}
+    assert rep == {"rows_in": 3, "rows_dropped": 2}
 
 
 def test_knn_is_partition_invariant(spark):
