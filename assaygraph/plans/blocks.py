@@ -84,7 +84,13 @@ def cogroup_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: st
 
 
 def topk_kernel(k: int, left_id: str, right_id: str, left_vec: str, right_vec: str, exclude_self: bool):
-    """Per left row, the k nearest right rows of the block by (dist, id)."""
+    """Per left row, the k nearest right rows of the block by (dist, id).
+
+    Selection runs on raw distances (one ``np.partition``); only the few
+    candidates within 2e-9 of each row's k-th distance are rounded to 9
+    places and ordered exactly by (rounded distance, id) - the same order
+    as rounding everything first, at a fraction of the cost.
+    """
 
     def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if len(lpdf) == 0 or len(rpdf) == 0:
@@ -92,19 +98,22 @@ def topk_kernel(k: int, left_id: str, right_id: str, left_vec: str, right_vec: s
                                  "dist": pd.Series([], dtype="float64")})
         lids = lpdf[left_id].to_numpy(dtype=np.int64)
         rids = rpdf[right_id].to_numpy(dtype=np.int64)
-        d = cosine_block(stack_vectors(lpdf[left_vec]), stack_vectors(rpdf[right_vec]))
+        d = unit_rows(stack_vectors(lpdf[left_vec])) @ unit_rows(stack_vectors(rpdf[right_vec])).T
+        np.subtract(1.0, d, out=d)
         if exclude_self:
-            d = np.where(lids[:, None] == rids[None, :], np.inf, d)
+            d[lids[:, None] == rids[None, :]] = np.inf
         kk = min(k, d.shape[1])
         kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        cand = (d <= kth[:, None]) & np.isfinite(d)
-        rows, cols = np.nonzero(cand)
-        order = np.lexsort((rids[cols], d[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
+        rows, cols = np.nonzero(d <= (kth + 2e-9)[:, None])
+        dist = d[rows, cols]
+        ok = np.isfinite(dist)
+        rows, cols, dist = rows[ok], cols[ok], np.round(dist[ok], 9)
+        dist = np.where(dist <= 0.0, 0.0, dist)
+        order = np.lexsort((rids[cols], dist, rows))
+        rows, cols, dist = rows[order], cols[order], dist[order]
         first = np.searchsorted(rows, rows, side="left")
         keep = (np.arange(len(rows)) - first) < kk
-        rows, cols = rows[keep], cols[keep]
-        return pd.DataFrame({"lid": lids[rows], "rid": rids[cols], "dist": d[rows, cols]})
+        return pd.DataFrame({"lid": lids[rows[keep]], "rid": rids[cols[keep]], "dist": dist[keep]})
 
     return fn
 
