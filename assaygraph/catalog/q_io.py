@@ -67,7 +67,16 @@ def save_load_transformer(spark, sf_dir):
     return back.to_frame(spark)
 
 
-@register("sink_features_graph")
+from .q_graph import D_ALL, G4_SQL  # noqa: E402
+from .sql_common import VEC_CTE  # noqa: E402
+
+
+@register("sink_features_graph", sql=f"""
+WITH {VEC_CTE.strip()}, {D_ALL}, {G4_SQL.strip()},
+sym AS (SELECT src AS n FROM g4 UNION ALL SELECT dst FROM g4),
+deg AS (SELECT v.id, count(s.n) AS d FROM vec v LEFT JOIN sym s ON v.id = s.n GROUP BY v.id)
+SELECT count(*) AS n_nodes, CAST(sum(d) / 2 AS BIGINT) AS n_edges, count(*) FILTER (WHERE d = 0) AS n_isolated,
+       CAST(max(d) AS BIGINT) AS max_degree, round(sum(d) / count(*), 6) AS mean_degree FROM deg""")
 def sink_features_graph(spark, sf_dir):
     """A k-NN graph written as nodes + edges tables and read back."""
     from ..operators import graph as GR
@@ -76,10 +85,18 @@ def sink_features_graph(spark, sf_dir):
     e = GR.intra_cluster_knn(v.withColumnRenamed("label", "cluster"), 5, "id", "x", "cluster")
     path = IO.write_graph(v.withColumnRenamed("id", "node_id"), e, _tmp(spark, "graph"))
     nodes, edges = IO.read_graph(spark, path)
-    return GR.graph_stats(nodes, edges)
-
-
-@register("sink_report")
+    g = GR.graph_stats(nodes, edges)
+    return g.select("n_nodes", "n_edges", "n_isolated", "max_degree", F.round("mean_degree", 6).alias("mean_degree"))
+
+
+@register("sink_report", sql="""
+WITH n AS (SELECT count(*) FILTER (WHERE event_type IS NULL) AS nt, count(*) FILTER (WHERE value IS NULL) AS nv FROM events)
+SELECT CAST(1 AS BIGINT) AS step, 'column_count' AS "check", false AS ok, 'expected 3 columns, found 6' AS detail,
+       true AS first_failure
+UNION ALL SELECT 2, 'columns_exist', true, 'all present', false
+UNION ALL SELECT 3, 'numeric_types', true, 'ok', false
+UNION ALL SELECT 4, 'critical_nulls', nt + nv = 0,
+  CASE WHEN nt + nv = 0 THEN 'ok' ELSE 'event_type has ' || nt || ' nulls; value has ' || nv || ' nulls' END, false FROM n""")
 def sink_report(spark, sf_dir):
     """Validation report written as JSON and read back."""
     ev = table(spark, sf_dir, "events")
@@ -106,13 +123,29 @@ def latest_valid_run(spark, sf_dir):
     return best.select("run_id", F.col("mtime").cast("string").alias("mtime"), "has_model")
 
 
-@register("log_run_metrics")
+@register("log_run_metrics", sql="""
+WITH sc AS (SELECT l.quality AS y,
+         round(1 - least(1.0, 10.0 * CASE WHEN length(d.text) = 0 THEN 0.0 ELSE
+           CAST(length(d.text) - length(regexp_replace(d.text, '[#*%0-9]', '', 'g')) AS DOUBLE) / length(d.text) END),
+           6) AS score
+       FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+sp AS (SELECT y, CAST(score >= 0.5 AS INTEGER) AS pred FROM sc),
+c AS (SELECT count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,
+             count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn FROM sp),
+m AS (SELECT round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1_score,
+             round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy,
+             round(((CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END)
+                    + (CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END))
+                   / ((CASE WHEN tp + fn > 0 THEN 1 ELSE 0 END) + (CASE WHEN tn + fp > 0 THEN 1 ELSE 0 END)), 6)
+               AS balanced_accuracy FROM c)
+SELECT r.run_id, '{"threshold": 0.5}' AS params, m.* FROM m, (VALUES ('r1'), ('r2')) r(run_id)""")
 def log_run_metrics(spark, sf_dir):
     """Append a metric record to a runs table and read the table."""
     from ..catalog.q_eval import scored
     from ..operators import evaluate as E
 
     rec = E.metrics(scored(spark, sf_dir))
+    rec = rec.select(*[F.round(c, 6).alias(c) for c in rec.columns])
     path = _tmp(spark, "runs")
     IO.append_run(rec, path, {"threshold": 0.5}, run_id="r1")
     IO.append_run(rec, path, {"threshold": 0.5}, run_id="r2")
