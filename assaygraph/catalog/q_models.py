@@ -207,7 +207,7 @@ def score_stream_query(spark, sf_dir):
     out, ck = scratch_path(spark, f"stream-out-{uuid.uuid4().hex}"), scratch_path(spark, f"stream-ck-{uuid.uuid4().hex}")
     q = score_stream(spark, path, out, ck, ref, params, available_now=True)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch_id")
 
 
 @register("processor_plus_model")

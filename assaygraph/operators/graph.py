@@ -128,6 +128,37 @@ def attention_layer(spark: SparkSession, nodes: DataFrame, edges: DataFrame, wei
     return out.select(F.col("dst").alias(id_col), "o", "value")
 
 
+def attention_forward(spark: SparkSession, nodes: DataFrame, edges: DataFrame,
+                      layers: list[list[tuple[list[list[float]], list[float], list[float]]]],
+                      activation: str = "relu", id_col: str = "node_id", vec: str = "x") -> DataFrame:
+    """G7 stack: each layer is a list of heads (W, a_src, a_dst); hidden layers
+    concatenate their heads and apply ``activation``, the last layer uses
+    its single head without activation.  Returns ``node_id, o, value`` of the
+    last layer.  Each layer is one round of joins + grouped softmax; the
+    state between layers is cut with a reliable checkpoint."""
+    from ..plans.session import cut_lineage
+
+    cur = nodes.select(F.col(id_col).alias("node_id"), F.col(vec).cast("array<double>").alias("x"))
+    out = None
+    for li, heads in enumerate(layers):
+        last = li == len(layers) - 1
+        parts = []
+        offset = 0
+        for w, a_s, a_d in heads:
+            h = attention_layer(spark, cur, edges, w, a_s, a_d, "node_id", "x",
+                                activation=None if last else activation)
+            parts.append(h.withColumn("o", F.col("o") + offset))
+            offset += len(w)
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        if not last:
+            cur = cut_lineage(out.groupBy("node_id").agg(
+                F.transform(F.sort_array(F.collect_list(F.struct("o", "value"))), lambda s: s["value"])
+                .alias("x")))      # one value per output unit: bounded by the layer width
+    return out
+
+
 def propagate(nodes: DataFrame, edges: DataFrame, hops: int = 1, beta: float = 1.0, id_col: str = "node_id",
               vec: str = "x") -> DataFrame:
     """Parameter-free attention propagation (softmax of beta * cosine over

@@ -282,3 +282,40 @@ def test_j3_approximate_knn_recall(spark):
     found = {(a, b) for a, b, _ in approx}
     assert len(found & exact) / len(exact) > 0.9
     assert all(a != b for a, b in found)
+
+
+def test_g7_attention_matches_numpy(spark):
+    from assaygraph.operators.graph import attention_forward, fixed_weights
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 4))
+    edges = [(0, 1), (1, 2), (2, 3), (4, 5), (5, 6), (0, 6), (7, 8), (9, 10)]
+    nodes = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node_id long, x array<double>")
+    e = spark.createDataFrame(edges, "src long, dst long")
+    h1 = [fixed_weights(4, 3, seed=1), fixed_weights(4, 3, seed=2)]          # two heads, concat -> 6
+    h2 = [fixed_weights(6, 2, seed=3)]
+    got = {(r["node_id"], r["o"]): r["value"] for r in attention_forward(spark, nodes, e, [h1, h2]).collect()}
+
+    nbr = {i: {i} for i in range(12)}
+    for a, b in edges:
+        nbr[a].add(b)
+        nbr[b].add(a)
+
+    def layer(xx, w, a_s, a_d):
+        h = xx @ np.array(w).T
+        ss, sd = h @ np.array(a_s), h @ np.array(a_d)
+        out = np.zeros_like(h)
+        for i in range(len(xx)):
+            js = sorted(nbr[i])
+            e_ = np.array([ss[j] + sd[i] for j in js])
+            e_ = np.where(e_ >= 0, e_, 0.2 * e_)
+            al = np.exp(e_ - e_.max())
+            al /= al.sum()
+            out[i] = (al[:, None] * h[js]).sum(0)
+        return out
+
+    hidden = np.maximum(np.hstack([layer(x, *h) for h in h1]), 0.0)
+    want = layer(hidden, *h2[0])
+    for i in range(12):
+        for o in range(2):
+            assert abs(got[(i, o)] - want[i, o]) < 1e-9
