@@ -220,7 +220,7 @@ def evaluate_groups(train: DataFrame, test: DataFrame, groups: dict[str, list[st
     rows = []
     for k in sizes:
         for combo in itertools.combinations(sorted(groups), k):
-            cols = [c for g in combo for c in groups[g]]
+            cols = group_columns(train.columns, groups, list(combo))
             m = make(cols).fit(train)
             r = E.metrics(with_score(m.transform(test), label)).first()
             rows.append(("+".join(combo), len(cols), float(r["f1_score"])))
