@@ -298,11 +298,9 @@ G7_D_OUT = 4
 
 
 def _g7_sql() -> str:
-    import math
     w, a_s, a_d = GR.fixed_weights(64, G7_D_OUT)
     wv = ", ".join(f"({k}, {o}, {w[o][k]!r})" for o in range(G7_D_OUT) for k in range(64))
     av = ", ".join(f"({o}, {a_s[o]!r}, {a_d[o]!r})" for o in range(G7_D_OUT))
-    del math
     return f"""
 WITH {VEC_CTE.strip()}, {D_ALL}, {G4_SQL.strip()},
 w(k, o, w) AS (VALUES {wv}),

@@ -214,6 +214,7 @@ def score_stream_query(spark, sf_dir):
 def processor_plus_model(spark, sf_dir):
     """Preprocessing and classifier saved and loaded as one PipelineModel."""
     from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import SQLTransformer
 
     a = assay_base(spark, sf_dir)
@@ -222,8 +223,7 @@ def processor_plus_model(spark, sf_dir):
     # the fitted encoder as a SQL stage (literals only), saved with the model
     stmt = FE.encoder_sql(params, names)
     pipe = Pipeline(stages=[SQLTransformer(statement=stmt), M.assembler(names),
-                            __import__("pyspark.ml.classification", fromlist=["LogisticRegression"])
-                            .LogisticRegression(featuresCol="features", labelCol="toxic")])
+                            LogisticRegression(featuresCol="features", labelCol="toxic")])
     tr = X.positional_split(a, "row_id", 0.8)
     model = pipe.fit(tr.where(F.col("split") == "train"))
     path = scratch_path(spark, f"model-{uuid.uuid4().hex}")

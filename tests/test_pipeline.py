@@ -52,12 +52,11 @@ def test_knn_is_partition_invariant(spark):
 
 
 def test_graph_classifier_beats_majority_on_planted_target(spark):
-    from assaygraph.operators.training import fit_graph_classifier
+    from assaygraph.operators.training import fit_graph_classifier, score_rows
     from assaygraph.sources.tables import assay_base
 
     gm, rec = fit_graph_classifier(assay_base(spark, SMALL), seed=43)
     r = rec.first()
     assert r["balanced_accuracy"] > 0.6           # planted target: dose above the material median
-    scored = __import__("assaygraph.operators.training", fromlist=["score_rows"]).score_rows(
-        gm, assay_base(spark, SMALL).where("row_id >= 950"))
+    scored = score_rows(gm, assay_base(spark, SMALL).where("row_id >= 950"))
     assert scored.count() == 50
