@@ -88,7 +88,7 @@ _q("fn_run_stamp_digits", "events",
 _q("fn_json", "events",
    [("event_id", "event_id"), ("k", "json_extract_string(props, '$.k')"),
     ("missing", "coalesce(json_extract_string(props, '$.absent'), 'none')"),
-    ("doc", "json_object('id', event_id, 'type', event_type)")],
+    ("doc", "CAST(json_object('id', event_id, 'type', event_type) AS VARCHAR)")],
    [("event_id", lambda d: F.col("event_id")), ("k", lambda d: S.json_get("props", "k")),
     ("missing", lambda d: S.json_get("props", "absent", "none")),
     ("doc", lambda d: F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))))])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import blocks
+from ..plans.session import parallelism
 
 
 def _block_plan(left: DataFrame, right: DataFrame, block_rows: int | None = None) -> tuple[int, tuple[int, int]]:
@@ -16,7 +17,7 @@ def _block_plan(left: DataFrame, right: DataFrame, block_rows: int | None = None
     nl, nr = left.count(), right.count()
     if block_rows:
         return block_rows, (nl, nr)
-    target = 4 * left.sparkSession.sparkContext.defaultParallelism
+    target = 4 * parallelism(left.sparkSession)
     b = int(math.sqrt(max(nl * nr, 1) / target)) if nl and nr else blocks.DEFAULT_BLOCK_ROWS
     return max(256, min(blocks.DEFAULT_BLOCK_ROWS, b)), (nl, nr)
 

@@ -44,7 +44,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is.  Only when neither the SparkContext nor the conf names one (local
     tests) a private folder below the system temp dir is created.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint dir
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
@@ -56,6 +59,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Task slots of the cluster (shuffle partitions under Spark Connect)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        return shuffle_partitions(spark)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss; never ``localCheckpoint``)."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -69,4 +80,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint dir for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder for intermediate tables")
     return os.path.join(base, "tables", name) if "://" not in base else f"{base.rstrip('/')}/tables/{name}"
