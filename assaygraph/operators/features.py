@@ -203,45 +203,57 @@ def high_correlation(df: DataFrame, cols: list[str], threshold: float = 0.9,
 
 
 def gram_matrix(df: DataFrame, cols: list[str]):
-    """X^T X in one aggregate pass (p(p+1)/2 sums), returned as numpy."""
+    """X^T X, the column sums and the row count in one aggregate pass
+    (p(p+1)/2 + p + 1 sums over rows complete in ``cols``), as numpy."""
     import numpy as np
 
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    complete = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in cols)) if cols else df
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.agg(*[F.sum(F.col(f"`{cols[i]}`").cast("double") * F.col(f"`{cols[j]}`").cast("double")).alias(f"g{k}")
-                   for k, (i, j) in enumerate(pairs)]).first()
+    row = complete.agg(*[F.sum(x[i] * x[j]).alias(f"g{k}") for k, (i, j) in enumerate(pairs)],
+                       *[F.sum(x[i]).alias(f"s{i}") for i in range(len(cols))],
+                       F.count(F.lit(1)).alias("n")).first()
     g = np.zeros((len(cols), len(cols)))
     for k, (i, j) in enumerate(pairs):
         g[i, j] = g[j, i] = row[f"g{k}"] or 0.0
-    return g
+    sums = np.array([row[f"s{i}"] or 0.0 for i in range(len(cols))])
+    return g, sums, int(row["n"])
 
 
-def _vif_from_gram(g, idx: list[int]) -> list[float]:
-    """VIF_i = G_ii (G^-1)_ii on the sub-matrix (regression without intercept,
-    uncentred R^2); a singular matrix gives infinity."""
+def _vif_from_gram(g, idx: list[int], sums=None, n: int | None = None) -> list[float]:
+    """VIF of each column regressed on the others without an intercept, as
+    statsmodels computes it: SST / SSR, where SST is uncentred unless the
+    other columns span the constant vector (then R^2 is centred).
+
+    SSR_i = G_ii - b' G_oo^+ b (Schur complement); a zero SSR is infinite.
+    """
     import numpy as np
 
-    sub = g[np.ix_(idx, idx)]
-    try:
-        if np.linalg.matrix_rank(sub) < len(idx):
-            raise np.linalg.LinAlgError
-        inv = np.linalg.inv(sub)
-        return [float(sub[k, k] * inv[k, k]) for k in range(len(idx))]
-    except np.linalg.LinAlgError:
-        out = []
-        for k in range(len(idx)):
-            rest = [m for m in range(len(idx)) if m != k]
-            a = sub[np.ix_(rest, rest)]
-            b = sub[rest, k]
+    out = []
+    for k in idx:
+        rest = [m for m in idx if m != k]
+        gkk = g[k, k]
+        if rest:
+            a = g[np.ix_(rest, rest)]
+            b = g[rest, k]
             coef = np.linalg.lstsq(a, b, rcond=None)[0]
-            ssr = sub[k, k] - b @ coef
-            out.append(float("inf") if ssr <= 1e-12 * max(sub[k, k], 1e-300) else float(sub[k, k] / ssr))
-        return out
+            ssr = gkk - b @ coef
+        else:
+            ssr = gkk
+        sst = gkk
+        if sums is not None and n and rest:
+            s_o = sums[rest]
+            c = np.linalg.lstsq(g[np.ix_(rest, rest)], s_o, rcond=None)[0]
+            if n - s_o @ c <= 1e-9 * n:                     # constant vector in the span of the others
+                sst = gkk - sums[k] ** 2 / n
+        out.append(float("inf") if ssr <= 1e-12 * max(gkk, 1e-300) else float(sst / ssr))
+    return out
 
 
 def vif(df: DataFrame, cols: list[str]) -> DataFrame:
     """F8: ``column, vif`` from one Gram-matrix pass."""
-    g = gram_matrix(df, cols)
-    vals = _vif_from_gram(g, list(range(len(cols))))
+    g, sums, n = gram_matrix(df, cols)
+    vals = _vif_from_gram(g, list(range(len(cols))), sums, n)
     return df.sparkSession.createDataFrame(list(zip(cols, vals)), "column string, vif double")
 
 
@@ -249,11 +261,11 @@ def high_vif(df: DataFrame, cols: list[str], threshold: float = 10.0) -> DataFra
     """F8 loop: drop the largest VIF while it exceeds ``threshold`` (stop at
     fewer than 2 columns).  The Gram matrix is computed once; every round is
     a sub-matrix inverse on the driver.  ``column, dropped, order, vif``."""
-    g = gram_matrix(df, cols)
+    g, sums, n = gram_matrix(df, cols)
     keep = list(range(len(cols)))
     dropped = []
     while len(keep) >= 2:
-        vals = _vif_from_gram(g, keep)
+        vals = _vif_from_gram(g, keep, sums, n)
         k = max(range(len(keep)), key=lambda m: (vals[m], -m))
         if vals[k] > threshold:
             dropped.append((cols[keep[k]], vals[k]))

@@ -319,3 +319,23 @@ def test_g7_attention_matches_numpy(spark):
     for i in range(12):
         for o in range(2):
             assert abs(got[(i, o)] - want[i, o]) < 1e-9
+
+
+def test_f8_vif_centres_when_dummies_span_a_constant(spark):
+    from assaygraph.operators.features import vif
+
+    rng = np.random.default_rng(11)
+    cat = rng.integers(0, 3, size=300)
+    a = rng.normal(size=300) + cat * 0.8
+    d = np.eye(3)[cat]                                      # full dummy set: sums to 1
+    df = spark.createDataFrame([(float(x), *map(float, r)) for x, r in zip(a, d)], "a double, d0 double, d1 double, d2 double")
+    got = dict(rows(vif(df, ["a", "d0", "d1", "d2"]), "column", "vif"))
+    coef, *_ = np.linalg.lstsq(d, a, rcond=None)
+    r2 = 1 - ((a - d @ coef) ** 2).sum() / ((a - a.mean()) ** 2).sum()    # centred, as statsmodels
+    assert got["a"] == pytest.approx(1 / (1 - r2), rel=1e-9)
+    # without an implicit constant the R^2 stays uncentred
+    df2 = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, d[:, 0])], "a double, d0 double")
+    g2 = dict(rows(vif(df2, ["a", "d0"]), "column", "vif"))
+    b = (a @ d[:, 0]) / (d[:, 0] @ d[:, 0])
+    r2u = 1 - ((a - b * d[:, 0]) ** 2).sum() / (a @ a)
+    assert g2["a"] == pytest.approx(1 / (1 - r2u), rel=1e-9)
