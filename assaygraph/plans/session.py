@@ -41,8 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, configuring it when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder; it is used as
-    is.  Only when neither the SparkContext nor the conf names one (local
-    tests) a private folder below the system temp dir is created.
+    is (and its absence is an error).  Only in local mode with nothing
+    configured (tests) a private folder below the system temp dir is created.
     """
     try:
         sc = spark.sparkContext
@@ -54,7 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="assaygraph-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (e.g. on HDFS or an "
+                               "object store) for reliable checkpoints")
+        configured = tempfile.mkdtemp(prefix="assaygraph-ckpt-")   # local mode only (tests)
     sc.setCheckpointDir(configured)
     return configured
 
