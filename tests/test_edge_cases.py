@@ -339,3 +339,30 @@ def test_f8_vif_centres_when_dummies_span_a_constant(spark):
     b = (a @ d[:, 0]) / (d[:, 0] @ d[:, 0])
     r2u = 1 - ((a - b * d[:, 0]) ** 2).sum() / (a @ a)
     assert g2["a"] == pytest.approx(1 / (1 - r2u), rel=1e-9)
+
+
+def test_g3_components_match_union_find(spark):
+    from assaygraph.operators.cluster import connected_components
+
+    rng = np.random.default_rng(2)
+    n = 400
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, n, size=(300, 2))] + [(i, i + 1) for i in range(500, 650)]
+    parent = list(range(700))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+    nodes = spark.range(700)
+    got = dict(rows(connected_components(spark.createDataFrame(edges, "src long, dst long"), nodes=nodes,
+                                         node_col="id"), "id", "component"))
+    comp_min = {}
+    for v in range(700):
+        comp_min.setdefault(find(v), v)
+    assert all(got[v] == comp_min[find(v)] for v in range(700))
