@@ -79,7 +79,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 3, id_col: str = "id",
     edges = blocks.cogroup_blocks(
         tc, tc, "_id", "_id",
         blocks.dbscan_edge_kernel(eps, "_id", "_id", "_x", "_x", "_core", "_core"),
-        "a long, b long, kind string", block_rows=b, counts=nn)
+        "a long, b long, kind string", block_rows=b, counts=nn, symmetric=True)
     edges = cut_lineage(edges)
     core_nodes = tc.where("_core").select(F.col("_id").alias("id"))
     comp = connected_components(edges.where(F.col("kind") == "c").select(F.col("a").alias("src"),
@@ -124,7 +124,7 @@ def _euclid_kernel(left_id, right_id, vec, right_cluster):
     import numpy as np
     import pandas as pd
 
-    def fn(lpdf, rpdf):
+    def fn(lpdf, rpdf, mirror=False):
         if len(lpdf) == 0 or len(rpdf) == 0:
             return pd.DataFrame({"lid": pd.Series([], dtype="int64"), "rc": pd.Series([], dtype="int64"),
                                  "s": pd.Series([], dtype="float64"), "n": pd.Series([], dtype="int64")})

@@ -55,7 +55,8 @@ def topk_per_group(df: DataFrame, key: str, order: list, k: int, rank_col: str =
 
 
 def _knn_candidates(queries: DataFrame, reference: DataFrame, k: int, q_id: str, r_id: str, vec: str,
-                    ref_vec: str | None, exclude_self: bool, key: str | None, block_rows: int | None) -> DataFrame:
+                    ref_vec: str | None, exclude_self: bool, key: str | None, block_rows: int | None,
+                    symmetric: bool = False) -> DataFrame:
     """Per block pair top-k rows ``lid, rid, dist`` (k per reference block)."""
     rv = ref_vec or vec
     qcols = [F.col(q_id).cast("long").alias("_qid"), F.col(vec).cast("array<double>").alias("_qx")]
@@ -71,7 +72,7 @@ def _knn_candidates(queries: DataFrame, reference: DataFrame, k: int, q_id: str,
     return blocks.cogroup_blocks(q, r, "_qid", "_rid",
                                  blocks.topk_kernel(k, "_qid", "_rid", "_qx", "_rx", exclude_self),
                                  "lid long, rid long, dist double", key="_key" if key else None, block_rows=b,
-                                 counts=counts)
+                                 counts=counts, symmetric=symmetric)
 
 
 def knn(queries: DataFrame, reference: DataFrame, k: int = 5, q_id: str = "id", r_id: str = "id",
@@ -83,7 +84,10 @@ def knn(queries: DataFrame, reference: DataFrame, k: int = 5, q_id: str = "id",
     ``exclude_self`` drops the pair with equal ids (not list position 0).
     With ``key`` only rows with the same key value are compared (G4).
     """
-    cand = _knn_candidates(queries, reference, k, q_id, r_id, vec, ref_vec, exclude_self, key, block_rows)
+    # a self-join (same DataFrame, same id and vector columns) only needs half the block pairs
+    symmetric = queries is reference and q_id == r_id and ref_vec in (None, vec)
+    cand = _knn_candidates(queries, reference, k, q_id, r_id, vec, ref_vec, exclude_self, key, block_rows,
+                           symmetric)
     # candidates per query row are bounded (k per reference block)
     top = _topk_window(cand, ["lid"], ["dist", "rid"], k, "rank")
     return top.select(F.col("lid").alias("query_id"), F.col("rank").cast("int").alias("rank"),
@@ -106,7 +110,7 @@ def radius_join(df: DataFrame, eps: float, id_col: str = "id", vec: str = "x",
     t = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_x"))
     b, counts = _block_plan(t, t, block_rows)
     pairs = blocks.cogroup_blocks(t, t, "_id", "_id", blocks.radius_pairs_kernel(eps, "_id", "_id", "_x", "_x"),
-                                  "lid long, rid long, dist double", block_rows=b, counts=counts)
+                                  "lid long, rid long, dist double", block_rows=b, counts=counts, symmetric=True)
     return pairs.select(F.col("lid").alias("a"), F.col("rid").alias("b"), "dist")
 
 
@@ -116,7 +120,7 @@ def neighbor_counts(df: DataFrame, eps: float, id_col: str = "id", vec: str = "x
     t = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_x"))
     b, counts = _block_plan(t, t, block_rows)
     cnt = blocks.cogroup_blocks(t, t, "_id", "_id", blocks.radius_count_kernel(eps, "_id", "_id", "_x", "_x"),
-                                "lid long, cnt long", block_rows=b, counts=counts)
+                                "lid long, cnt long", block_rows=b, counts=counts, symmetric=True)
     return cnt.groupBy("lid").agg(F.sum("cnt").alias("n_eps")).withColumnRenamed("lid", id_col)
 
 

@@ -42,12 +42,18 @@ def cosine_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def cogroup_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str, fn, schema: str,
                    key: str | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
-                   counts: tuple[int, int] | None = None) -> DataFrame:
-    """Run ``fn(left_pdf, right_pdf)`` on every block pair sharing ``key``.
+                   counts: tuple[int, int] | None = None, symmetric: bool = False) -> DataFrame:
+    """Run ``fn(left_pdf, right_pdf, mirror)`` on every block pair sharing ``key``.
 
     Without a key the block counts are literals from the two row counts;
     with a key they come from a grouped count (one row per key) joined back,
     so a hot key simply gets more blocks.
+
+    ``symmetric=True`` (both sides are the same rows, the distance is
+    symmetric) forms only the block pairs lb <= rb: every row is copied
+    B + 1 times instead of 2B and half of the distance blocks are computed;
+    off-diagonal kernels are called with ``mirror=True`` and report results
+    for the rows of both sides from one distance matrix.
     """
     # fresh attribute ids per side: both sides are often the same DataFrame
     left = left.select(*[F.col(c).alias(c) for c in left.columns])
@@ -55,12 +61,10 @@ def cogroup_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     if key is None:
         nl, nr = counts if counts is not None else (left.count(), right.count())
         bl, br = max(1, -(-nl // block_rows)), max(1, -(-nr // block_rows))
-        lrep = (left.withColumn("_k", F.lit(0))
-                    .withColumn("_lb", F.pmod(F.xxhash64(F.col(left_id)), F.lit(bl)).cast("int"))
-                    .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
-        rrep = (right.withColumn("_k", F.lit(0))
-                     .withColumn("_rb", F.pmod(F.xxhash64(F.col(right_id)), F.lit(br)).cast("int"))
-                     .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(bl - 1)))))
+        if symmetric:
+            bl = br = max(bl, br)
+        left = left.withColumn("_k", F.lit(0)).withColumn("_bl", F.lit(bl)).withColumn("_br", F.lit(br))
+        right = right.withColumn("_k", F.lit(0)).withColumn("_bl", F.lit(bl)).withColumn("_br", F.lit(br))
         kcol = "_k"
     else:
         kcol = key
@@ -70,29 +74,54 @@ def cogroup_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: st
                     .select(kcol,
                             F.ceil(F.col("_nl") / F.lit(block_rows)).cast("int").alias("_bl"),
                             F.ceil(F.col("_nr") / F.lit(block_rows)).cast("int").alias("_br")))
-        lrep = (left.join(sizes, kcol)
-                    .withColumn("_lb", F.pmod(F.xxhash64(F.col(left_id)), F.col("_bl")).cast("int"))
-                    .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_br") - 1)))
-                    .drop("_bl", "_br"))
-        rrep = (right.join(sizes, kcol)
-                     .withColumn("_rb", F.pmod(F.xxhash64(F.col(right_id)), F.col("_br")).cast("int"))
-                     .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.col("_bl") - 1)))
-                     .drop("_bl", "_br"))
+        if symmetric:
+            sizes = sizes.withColumn("_bl", F.greatest("_bl", "_br")).withColumn("_br", F.col("_bl"))
+        left = left.join(sizes, kcol)
+        right = right.join(sizes, kcol)
+    lb = F.pmod(F.xxhash64(F.col(left_id)), F.col("_bl")).cast("int")
+    rb = F.pmod(F.xxhash64(F.col(right_id)), F.col("_br")).cast("int")
+    if symmetric:
+        lrep = left.withColumn("_lb", lb).withColumn("_rb", F.explode(F.sequence(F.col("_lb"), F.col("_br") - 1)))
+        rrep = right.withColumn("_rb", rb).withColumn("_lb", F.explode(F.sequence(F.lit(0), F.col("_rb"))))
+    else:
+        lrep = left.withColumn("_lb", lb).withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_br") - 1)))
+        rrep = right.withColumn("_rb", rb).withColumn("_lb", F.explode(F.sequence(F.lit(0), F.col("_bl") - 1)))
+    lrep, rrep = lrep.drop("_bl", "_br"), rrep.drop("_bl", "_br")
+
+    def run(key_values, lpdf, rpdf):
+        return fn(lpdf, rpdf, symmetric and key_values[1] != key_values[2])
+
     return (lrep.groupBy(kcol, "_lb", "_rb")
                 .cogroup(rrep.groupBy(kcol, "_lb", "_rb"))
-                .applyInPandas(fn, schema))
+                .applyInPandas(run, schema))
 
 
-def topk_kernel(k: int, left_id: str, right_id: str, left_vec: str, right_vec: str, exclude_self: bool):
-    """Per left row, the k nearest right rows of the block by (dist, id).
+def _topk_rows(d: np.ndarray, lids: np.ndarray, rids: np.ndarray, k: int):
+    """Row-wise k smallest of ``d`` by (distance rounded to 9 places, id).
 
     Selection runs on raw distances (one ``np.partition``); only the few
-    candidates within 2e-9 of each row's k-th distance are rounded to 9
-    places and ordered exactly by (rounded distance, id) - the same order
-    as rounding everything first, at a fraction of the cost.
+    candidates within 2e-9 of each row's k-th distance are rounded and
+    ordered exactly - the same order as rounding everything first.
     """
+    kk = min(k, d.shape[1])
+    kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+    rows, cols = np.nonzero(d <= (kth + 2e-9)[:, None])
+    dist = d[rows, cols]
+    ok = np.isfinite(dist)
+    rows, cols, dist = rows[ok], cols[ok], np.round(dist[ok], 9)
+    dist = np.where(dist <= 0.0, 0.0, dist)
+    order = np.lexsort((rids[cols], dist, rows))
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    first = np.searchsorted(rows, rows, side="left")
+    keep = (np.arange(len(rows)) - first) < kk
+    return lids[rows[keep]], rids[cols[keep]], dist[keep]
 
-    def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+
+def topk_kernel(k: int, left_id: str, right_id: str, left_vec: str, right_vec: str, exclude_self: bool):
+    """Per left row (and per right row when mirrored) the k nearest rows of
+    the other block by (dist, id)."""
+
+    def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame, mirror: bool = False) -> pd.DataFrame:
         if len(lpdf) == 0 or len(rpdf) == 0:
             return pd.DataFrame({"lid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
                                  "dist": pd.Series([], dtype="float64")})
@@ -102,18 +131,11 @@ def topk_kernel(k: int, left_id: str, right_id: str, left_vec: str, right_vec: s
         np.subtract(1.0, d, out=d)
         if exclude_self:
             d[lids[:, None] == rids[None, :]] = np.inf
-        kk = min(k, d.shape[1])
-        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        rows, cols = np.nonzero(d <= (kth + 2e-9)[:, None])
-        dist = d[rows, cols]
-        ok = np.isfinite(dist)
-        rows, cols, dist = rows[ok], cols[ok], np.round(dist[ok], 9)
-        dist = np.where(dist <= 0.0, 0.0, dist)
-        order = np.lexsort((rids[cols], dist, rows))
-        rows, cols, dist = rows[order], cols[order], dist[order]
-        first = np.searchsorted(rows, rows, side="left")
-        keep = (np.arange(len(rows)) - first) < kk
-        return pd.DataFrame({"lid": lids[rows[keep]], "rid": rids[cols[keep]], "dist": dist[keep]})
+        a, b, dist = _topk_rows(d, lids, rids, k)
+        if mirror:
+            a2, b2, dist2 = _topk_rows(d.T, rids, lids, k)
+            a, b, dist = np.concatenate([a, a2]), np.concatenate([b, b2]), np.concatenate([dist, dist2])
+        return pd.DataFrame({"lid": a, "rid": b, "dist": dist})
 
     return fn
 
@@ -121,12 +143,15 @@ def topk_kernel(k: int, left_id: str, right_id: str, left_vec: str, right_vec: s
 def radius_count_kernel(eps: float, left_id: str, right_id: str, left_vec: str, right_vec: str):
     """Per left row, the number of right rows within ``eps`` (self included)."""
 
-    def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame, mirror: bool = False) -> pd.DataFrame:
         if len(lpdf) == 0 or len(rpdf) == 0:
             return pd.DataFrame({"lid": pd.Series([], dtype="int64"), "cnt": pd.Series([], dtype="int64")})
-        d = cosine_block(stack_vectors(lpdf[left_vec]), stack_vectors(rpdf[right_vec]))
-        cnt = (d <= eps).sum(axis=1).astype(np.int64)
-        return pd.DataFrame({"lid": lpdf[left_id].to_numpy(dtype=np.int64), "cnt": cnt})
+        near = cosine_block(stack_vectors(lpdf[left_vec]), stack_vectors(rpdf[right_vec])) <= eps
+        out = pd.DataFrame({"lid": lpdf[left_id].to_numpy(dtype=np.int64), "cnt": near.sum(axis=1).astype(np.int64)})
+        if mirror:
+            out = pd.concat([out, pd.DataFrame({"lid": rpdf[right_id].to_numpy(dtype=np.int64),
+                                                "cnt": near.sum(axis=0).astype(np.int64)})], ignore_index=True)
+        return out
 
     return fn
 
@@ -134,13 +159,17 @@ def radius_count_kernel(eps: float, left_id: str, right_id: str, left_vec: str,
 def radius_pairs_kernel(eps: float, left_id: str, right_id: str, left_vec: str, right_vec: str):
     """All pairs with lid < rid within ``eps`` (the plain radius join)."""
 
-    def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame, mirror: bool = False) -> pd.DataFrame:
         if len(lpdf) == 0 or len(rpdf) == 0:
             return pd.DataFrame({"lid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
                                  "dist": pd.Series([], dtype="float64")})
         lids = lpdf[left_id].to_numpy(dtype=np.int64)
         rids = rpdf[right_id].to_numpy(dtype=np.int64)
         d = cosine_block(stack_vectors(lpdf[left_vec]), stack_vectors(rpdf[right_vec]))
+        if mirror:      # off-diagonal symmetric block: each unordered pair occurs here only
+            rows, cols = np.nonzero(d <= eps)
+            a, b = lids[rows], rids[cols]
+            return pd.DataFrame({"lid": np.minimum(a, b), "rid": np.maximum(a, b), "dist": d[rows, cols]})
         rows, cols = np.nonzero((d <= eps) & (lids[:, None] < rids[None, :]))
         return pd.DataFrame({"lid": lids[rows], "rid": rids[cols], "dist": d[rows, cols]})
 
@@ -187,7 +216,7 @@ def dbscan_edge_kernel(eps: float, left_id: str, right_id: str, left_vec: str, r
     block is dense, keeping the shuffled edge count linear in the block size.
     """
 
-    def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame, mirror: bool = False) -> pd.DataFrame:
         empty = pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"),
                               "kind": pd.Series([], dtype="object")})
         if len(lpdf) == 0 or len(rpdf) == 0:
@@ -211,6 +240,10 @@ def dbscan_edge_kernel(eps: float, left_id: str, right_id: str, left_vec: str, r
         bc = near[np.ix_(~lcore, rcore)]
         rows, cols = np.nonzero(bc)
         parts.append(pd.DataFrame({"a": lids[~lcore][rows], "b": cr[cols], "kind": "b"}))
+        if mirror:      # border rows of the right block with core rows of the left block
+            cb = near[np.ix_(lcore, ~rcore)]
+            rows, cols = np.nonzero(cb)
+            parts.append(pd.DataFrame({"a": rids[~rcore][cols], "b": cl[rows], "kind": "b"}))
         out = pd.concat(parts, ignore_index=True)
         return out if len(out) else empty
 

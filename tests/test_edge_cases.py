@@ -366,3 +366,24 @@ def test_g3_components_match_union_find(spark):
     for v in range(700):
         comp_min.setdefault(find(v), v)
     assert all(got[v] == comp_min[find(v)] for v in range(700))
+
+
+def test_symmetric_blocks_keyed_knn_and_radius_match_numpy(spark):
+    from assaygraph.operators.similarity import knn, radius_join
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 6))
+    key = (np.arange(120) % 3 == 0).astype(int)          # groups of 40 and 80 rows
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(g)) for i, (r, g) in enumerate(zip(x, key))],
+                               "id long, x array<double>, g int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(1 - u @ u.T, 9)
+    got = sorted(rows(knn(df, df, k=3, exclude_self=True, key="g", block_rows=16), "query_id", "neighbor_id"))
+    want = []
+    for i in range(120):
+        cand = [(d[i, j], j) for j in range(120) if j != i and key[j] == key[i]]
+        want += [(i, j) for _, j in sorted(cand)[:3]]
+    assert got == sorted(want)
+    eps = float(np.quantile(d[np.triu_indices(120, 1)], 0.05))
+    pairs = sorted(rows(radius_join(df, eps, block_rows=16), "a", "b"))
+    assert pairs == sorted((i, j) for i in range(120) for j in range(i + 1, 120) if d[i, j] <= eps)
