@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import cut_lineage, shuffle_partitions
+from .session import cut_lineage, parallelism, shuffle_partitions
 
 
 def _names(cols: Sequence[str | Column]) -> list[str]:
@@ -43,9 +43,27 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+TARGET_PARTITION_BYTES = 64 << 20
+
+
+def target_partitions(df: DataFrame) -> int:
+    """Range partitions for ``df``: about 64 MB each by the optimizer's size
+    estimate (no job; estimates over-count through joins), at least one per
+    task slot and at most ``spark.sql.shuffle.partitions``.  Small inputs
+    stop paying for hundreds of near-empty tasks and files; large ones keep
+    the session's fan-out."""
+    cap = max(shuffle_partitions(df.sparkSession), 1)
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: keep the session setting
+        return cap
+    # at least one partition per task slot: the ranked rows feed later stages
+    return max(min(parallelism(df.sparkSession), cap), min(cap, -(-size // TARGET_PARTITION_BYTES)))
+
+
 def _ranged(df: DataFrame, order_by: Sequence[str | Column], partition_by: Sequence[str],
             num_partitions: int | None):
-    n = num_partitions or max(shuffle_partitions(df.sparkSession), 1)
+    n = num_partitions or target_partitions(df)
     keys = [*partition_by, *order_by]
     ranged = (df.repartitionByRange(n, *keys)
                 .sortWithinPartitions(*keys)
