@@ -14,7 +14,8 @@ from ..plans.session import parallelism
 def _block_plan(left: DataFrame, right: DataFrame, block_rows: int | None = None) -> tuple[int, tuple[int, int]]:
     """Rows per block and the two row counts: blocks of at most 2,048 rows,
     small enough that there are a few block pairs per core."""
-    nl, nr = left.count(), right.count()
+    nl = left.count()
+    nr = nl if right is left else right.count()
     if block_rows:
         return block_rows, (nl, nr)
     target = 4 * parallelism(left.sparkSession)

@@ -129,8 +129,8 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], partition_by:
     """
     pb = list(partition_by)
     base = df.select(*pb, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    ranked = with_index(base, ["_v"], pb, out="_i")
-    counts = base.groupBy(*pb).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = with_index(base, ["_v"], pb, out="_i")     # reads a checkpoint: upstream runs once
+    counts = ranked.groupBy(*pb).agg(F.count(F.lit(1)).alias("_n"))
     q_arr = F.array(*[F.lit(float(q)) for q in qs])
     targets = (counts.select(*pb, "_n", F.explode(q_arr).alias("q"))
                      .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
