@@ -32,7 +32,7 @@ def mix_sql(id_expr: str, seed: int) -> str:
 
 def positional_split(df: DataFrame, id_col: str, frac: float = 0.8, out: str = "split") -> DataFrame:
     """First floor(frac * n) rows by ``id_col`` -> 'train', the rest 'test'."""
-    ranked = with_index(df, [id_col], out="_pos")      # checkpointed: the count below reads it
+    ranked = with_index(df, [id_col], out="_pos", key=id_col)
     cut = int(ranked.count() * frac)
     return ranked.withColumn(out, F.when(F.col("_pos") < cut, F.lit("train")).otherwise(F.lit("test"))).drop("_pos")
 
@@ -46,7 +46,7 @@ def hash_split(df: DataFrame, id_col: str, frac: float = 0.8, seed: int = 42, ou
 def _class_positions(df: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:
     """Position of each row inside its class in hashed order, plus class size."""
     keyed = df.withColumn("_h", mix(id_col, seed))
-    ranked = with_index(keyed, ["_h", id_col], [label], out="_pos")
+    ranked = with_index(keyed, ["_h", id_col], [label], out="_pos", key=id_col)
     sizes = ranked.groupBy(label).agg(F.count(F.lit(1)).alias("_cn"))   # from the checkpointed rows
     return null_safe_join(ranked, sizes, [label])
 
