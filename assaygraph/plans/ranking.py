@@ -74,13 +74,14 @@ def _ranged(df: DataFrame, order_by: Sequence[str | Column], partition_by: Seque
 
 def _wide_payload(df: DataFrame, narrow: set[str]) -> bool:
     """Columns beyond the ranking keys that make checkpointing whole rows
-    expensive: any string/binary/array/map/struct column or more than four
-    others."""
+    cost more than re-reading the input: nested or binary values (vectors,
+    blobs) or more than eight other columns.  Narrow rows are cheaper to
+    checkpoint whole than to recompute for a join back."""
     from pyspark.sql import types as T
 
     rest = [f for f in df.schema.fields if f.name not in narrow]
-    wide = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
-    return len(rest) > 4 or any(isinstance(f.dataType, wide) for f in rest)
+    wide = (T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+    return len(rest) > 8 or any(isinstance(f.dataType, wide) for f in rest)
 
 
 def with_index(df: DataFrame, order_by: Sequence[str | Column], partition_by: Sequence[str] = (),

@@ -392,7 +392,7 @@ def test_symmetric_blocks_keyed_knn_and_radius_match_numpy(spark):
 def test_with_index_narrow_path_for_wide_rows(spark):
     from assaygraph.plans.ranking import with_index
 
-    df = spark.createDataFrame([(i, i % 4, "text " * (i % 7)) for i in range(300)], "id long, g int, t string")
+    df = spark.createDataFrame([(i, i % 4, [float(i)] * (i % 7)) for i in range(300)], "id long, g int, t array<double>")
     a = sorted(rows(with_index(df, ["id"], ["g"], out="p", key="id"), "id", "g", "p", "t"))
     b = sorted(rows(with_index(df, ["id"], ["g"], out="p"), "id", "g", "p", "t"))
     assert a == b and [p for i, g, p, _ in a if g == 1][:3] == [0, 1, 2]
