@@ -29,7 +29,7 @@ def estimate_eps(df: DataFrame, min_samples: int = 3, quantile: float = 0.98, id
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None,
-                         node_col: str = "id", max_rounds: int = 60) -> DataFrame:
+                         node_col: str = "id") -> DataFrame:
     """``id, component`` (component = smallest id of the component).
 
     Alternating large-star / small-star rounds (Kiveris et al. 2014) on the
@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
     e = (edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
               .where(F.col("a") != F.col("b")).distinct())
     e = cut_lineage(e)
-    for _ in range(max_rounds):
+    while True:
         nbr = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         m = nbr.groupBy("u").agg(F.min("v").alias("mv")).select("u", F.least("u", "mv").alias("m"))
