@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, lines, packing, simhash, token_files
+from . import bpe, decontamination, lines, packing, sanitise, simhash, token_files
 from .common import folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register("op7_information_sanitiser")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.digest(sanitise.spans(table(spark, sf_dir, "documents")))
+
+
 @register("op9_site_lines", """
 WITH l AS (
   SELECT d.doc_id, d.source, d.text, i.i, string_split(d.text, chr(10))[i.i] AS line
