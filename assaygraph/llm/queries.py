@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, decontamination, licenses, lines, packing, sanitise, simhash, token_files
+from . import bpe, covertree, decontamination, licenses, lines, packing, sanitise, simhash, token_files, toxicity
 from .common import folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_weak_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op2_simhash_pivots")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
