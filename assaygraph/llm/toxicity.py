@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
-1. Lexicon: terms (words, and prefixes of words as patterns) that labelled
-   training rows tie to the label, found by grouped counts.
+1. Lexicon: terms (words, and as patterns: one, two or three different words
+   with a common prefix) that labelled training rows tie to the label, found
+   by grouped counts.
 2. Voters: word lists, prefix patterns, number and density of hits.  Each
    document of the corpus gets a vector of votes; the number of documents per
    vector (at most ``2 ** voters`` rows) holds all that the next step needs.
@@ -16,6 +17,7 @@ Labels are read for the lexicon and the class share only, never for a score.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -25,15 +27,21 @@ from pyspark.sql import functions as F
 from .common import stored
 
 _WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES, DEPTH = (4, 5, 6), 3
 #: Kinds of voters: word lists, prefix lists, and two rules on hits.
 LISTS = 6
 VOTERS = 2 * LISTS + 2
 
 
-def _terms(word: str) -> list[str]:
-    """A word, and its prefixes as patterns (``abcd*``)."""
-    return [word, *[word[:n] + "*" for n in PREFIXES if len(word) >= n]]
+def _prefixes(word: str) -> list[str]:
+    return [word[:n] for n in PREFIXES if len(word) >= n]
+
+
+def _terms(text: str) -> set[str]:
+    """Words of a text, and patterns ``abcd*k``: ``k`` different words start with ``abcd``."""
+    words = set(_WORD.findall(text.lower()))
+    many = Counter(p for w in words for p in _prefixes(w))
+    return words | {f"{p}*{k}" for p, n in many.items() for k in range(1, min(n, DEPTH) + 1)}
 
 
 def is_training(id_col: str = "doc_id"):
@@ -55,15 +63,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, id_co
         F.first("text").alias("text"), F.max("y").alias("y")).select("y", "text")
 
 
-def lexicon(sample: DataFrame, max_terms: int = 4000, least: int = 5, evidence: float = 30.0) -> list[str]:
-    """Terms of the label, strongest first: seen in ``least`` labelled texts, likelihood ratio ``evidence`` or more."""
+def lexicon(sample: DataFrame, max_terms: int = 4000, least: int = 5, evidence: float = 30.0,
+            precision: float = 0.8) -> list[str]:
+    """Terms of the label, strongest first.
+
+    Each is in ``least`` texts of the label, in more of them than ``precision``
+    of all its texts, with a likelihood ratio of ``evidence`` or more.
+    """
     def kernel(frames):
         for f in frames:
             pos: dict[str, int] = {}
             neg: dict[str, int] = {}
             for y, text in zip(f["y"].tolist(), f["text"].tolist()):
                 into = pos if y else neg
-                for t in {t for w in set(_WORD.findall(text.lower())) for t in _terms(w)}:
+                for t in _terms(text):
                     into[t] = into.get(t, 0) + 1
             yield pd.DataFrame({"term": list(pos) + list(neg), "pos": list(pos.values()) + [0] * len(neg),
                                 "neg": [0] * len(pos) + list(neg.values())})
@@ -77,23 +90,28 @@ def lexicon(sample: DataFrame, max_terms: int = 4000, least: int = 5, evidence:
     share = total["p"] / (total["p"] + total["n"])
     part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
     g = 2 * (part(F.col("pos"), all_ * share) + part(F.col("neg"), all_ * (1 - share)))
-    best = counts.where(F.col("pos") > all_ * share).withColumn("g", F.round(g, 6)).where(F.col("g") >= evidence)
+    best = counts.where((F.col("pos") > all_ * share) & (F.col("pos") > (all_ + 1) * precision)).withColumn("g", F.round(g, 6)).where(F.col("g") >= evidence)
     return [r[0] for r in best.orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect()]
 
 
 def _hits(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
     """``doc_id, hits, votes`` of each row: lexicon terms in its whole text, and the votes as bits."""
     number = {t: i for i, t in enumerate(terms)}
-    voter, of_kind = np.zeros(len(terms), np.int64), [0, 0]
+    levels: dict[str, list[tuple[int, int]]] = {}                   # prefix -> (k, number) of its patterns
+    voter, of_kind = [0] * len(terms), [0, 0]
     for t, i in number.items():                # lists by turns, so that each has strong and weak terms
-        pattern = t.endswith("*")
-        voter[i] = 1 << (of_kind[pattern] % LISTS + LISTS * pattern)
-        of_kind[pattern] += 1
-    bits = voter.tolist()
+        prefix, star, k = t.partition("*")
+        if star:
+            levels.setdefault(prefix, []).append((int(k), i))
+        voter[i] = 1 << (of_kind[bool(star)] % LISTS + LISTS * bool(star))
+        of_kind[bool(star)] += 1
 
     class Known(dict):
+        """Word -> its number (-1: none) and the prefixes that patterns ask for; None if it is of no use."""
+
         def __missing__(self, word):
-            found = tuple(number[t] for t in _terms(word) if t in number)
+            found = (number.get(word, -1), [p for p in _prefixes(word) if p in levels])
+            found = found if found[0] >= 0 or found[1] else None
             if len(self) >= 300_000:
                 self.clear()
             self[word] = found
@@ -105,15 +123,17 @@ def _hits(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> Data
             hits, votes = [], []
             for text in f["_text"].tolist():
                 words = set(_WORD.findall((text or "").lower()))
-                n, own = 0, set()
+                own, many = [], Counter()
                 for found in map(known.__getitem__, words):
-                    if found:
-                        n += 1
-                        own.update(found)
+                    if found is not None:
+                        if found[0] >= 0:
+                            own.append(found[0])
+                        many.update(found[1])
+                own += [i for p, n in many.items() for k, i in levels[p] if n >= k]
                 vote = 0
                 for i in own:
-                    vote |= bits[i]
-                vote |= (n >= 2) << (2 * LISTS) | (n > 0 and 50 * n >= len(words)) << (2 * LISTS + 1)
+                    vote |= voter[i]
+                vote |= (len(own) >= 4) << (2 * LISTS) | (50 * len(own) > len(words)) << (2 * LISTS + 1)
                 hits.append(sorted(own))
                 votes.append(vote)
             yield pd.DataFrame({"doc_id": f["_id"], "hits": hits, "votes": np.array(votes, dtype=np.int64)})
@@ -190,22 +210,22 @@ class LabelModel:
         return q
 
 
-def fit_linear(hits: list, target: np.ndarray, n_terms: int, l2: float = 1e-3, rounds: int = 400):
-    """Logistic regression on soft labels: ``bias, weights``; gradient steps with momentum on sparse rows."""
+def fit_linear(hits: list, target: np.ndarray, n_terms: int, l2: float = 1e-4, rounds: int = 500):
+    """Logistic regression on soft labels: ``bias, weights``; Adam steps over sparse rows of ones."""
     sizes = np.array([len(h) for h in hits], dtype=np.int64)
     col = np.concatenate([np.asarray(h, np.int64) for h in hits]) if sizes.sum() else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(hits)), sizes)
-    n, w, bias = max(len(hits), 1), np.zeros(n_terms), float(np.log((target.mean() + 1e-4) / (1 - target.mean() + 1e-4)))
-    scale = 1.0 / np.sqrt(np.bincount(col, minlength=n_terms) / n + 1e-3)         # terms differ much in frequency
-    step, m_w, m_b = 4.0 / max(1.0, float(sizes.mean()) + 1), np.zeros(n_terms), 0.0
-    for _ in range(rounds):
-        z = bias + np.bincount(row, w[col], n)[:len(hits)]
-        err = (1 / (1 + np.exp(-np.clip(z, -50, 50)))) - target
-        m_w = 0.9 * m_w + (np.bincount(col, err[row], n_terms) / n + l2 * w)
-        m_b = 0.9 * m_b + err.mean()
-        w -= 0.1 * step * scale * m_w
-        bias -= 0.1 * step * m_b
-    return bias, w
+    row, n = np.repeat(np.arange(len(hits)), sizes), max(len(hits), 1)
+    w = np.zeros(n_terms + 1)                                       # the last one is the bias
+    w[-1] = float(np.log((target.mean() + 1e-4) / (1 - target.mean() + 1e-4)))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for turn in range(1, rounds + 1):
+        z = w[-1] + np.bincount(row, w[col], n)[:len(hits)]
+        err = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target
+        g = np.append(np.bincount(col, err[row], n_terms) / n, err.mean())
+        g[:-1] += l2 * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.1 / np.sqrt(1 + turn / 50) * (m / (1 - 0.9 ** turn)) / (np.sqrt(v / (1 - 0.999 ** turn)) + 1e-8)
+    return float(w[-1]), w[:-1]
 
 
 def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_terms: int = 4000,
