@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, decontamination, licenses, lines, packing, sanitise, simhash, token_files, toxicity
+from . import bpe, covertree, decontamination, licenses, lines, packing, phrases, sanitise, simhash, token_files, toxicity
 from .common import folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+@register("op4_phrase_automata")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = phrases.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op5_certified_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), bpe.default_path(), 2048, end_id=0)
