@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, covertree, decontamination, licenses, lines, packing, phrases, sanitise, simhash, token_files, toxicity
 from .common import folder, table
 
@@ -93,3 +95,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_cover_tree")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
