@@ -10,19 +10,23 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import clean as C
 from ..operators import evaluate as E
 from ..operators import features as FE
 from ..operators import models as M
 from ..operators import split as X
 from ..operators import training as TR
+from ..operators import validate as V
 from ..plans.session import scratch_path
 from ..sources import io as IO
-from ..sources.tables import DOSE, MATERIAL, TIME, assay_base, table
-from ..streaming.score_stream import require_valid_rows, score_batch_frame, score_stream
+from ..sources.tables import DOSE, MATERIAL, TARGET, TIME, assay_base, assay_raw, table
+from ..streaming.score_stream import score_batch_frame, score_stream
 from .registry import register
 
 SEED = 43
 GROUPS = {"length": ["f_len"], "symbols": ["f_sym", "f_punct"], "words": ["f_distinct", "f_upper", "f_ws"]}
+#: What a cleaned training table must look like.
+TRAIN_COLUMNS = [(MATERIAL, "object", False), (DOSE, "float", False), (TIME, "float", False), (TARGET, "int", False)]
 TEXT_FEATURES = [c for g in GROUPS.values() for c in g]
 
 
@@ -144,16 +148,37 @@ def graph_classifier(spark, sf_dir):
     return rec
 
 
+def retrain_from_csv(spark, csv_path: str, runs_dir: str, run_id: str):
+    """M9: raw CSV -> cleaned -> validated (V5, the valid table is kept) -> graph classifier with its own encoder
+    -> bundle saved under the run id -> one record in the run table.  Returns the record."""
+    raw = IO.read_table(spark, csv_path, as_string=True)
+    c = C.clean(raw, "train", id_col="row_id", time_col=TIME, target=TARGET)
+    typed = c.select(F.col(f"`{MATERIAL}`").alias(MATERIAL), F.col(f"`{DOSE}`").alias(DOSE),
+                     F.col(f"`{TIME}`").alias(TIME), F.col(TARGET), F.col("row_id").cast("long").alias("row_id"))
+    typed = C.drop_null_rows(typed, [MATERIAL, DOSE, TIME, TARGET])
+    path = f"{runs_dir}/{run_id}"
+    report = V.validate(typed.drop("row_id"), declared=TRAIN_COLUMNS, critical=[DOSE, TIME, TARGET], raise_on_fail=True)
+    IO.write_report(report, f"{path}/validation")
+    IO.write_table(typed, f"{path}/valid")
+    rows = spark.read.parquet(f"{path}/valid").select("row_id", F.trim(F.col(f"`{MATERIAL}`")).alias("material"),
+                                                      F.col(f"`{DOSE}`").alias("dose"), F.col(f"`{TIME}`").alias("hr"),
+                                                      F.col(TARGET).cast("int").alias("toxic"))
+    gm, rec = TR.fit_graph_classifier(rows, seed=SEED)
+    TR.save_model(gm, f"{path}/final")
+    rec = rec.crossJoin(F.broadcast(rows.agg(F.count_distinct("material").alias("materials"))))
+    IO.append_run(rec, f"{runs_dir}/registry", {"seed": SEED}, run_id=run_id)
+    return rec
+
+
 @register("retrain")
 def retrain(spark, sf_dir):
-    """M9: clean -> graph classifier -> metric record with real material count,
-    appended to the run table (S11)."""
-    a = assay_base(spark, sf_dir)
-    _, rec = TR.fit_graph_classifier(a, seed=SEED)
-    mats = a.agg(F.count_distinct("material").alias("materials"))
-    out = rec.crossJoin(mats)
-    IO.append_run(out, scratch_path(spark, "runs"), {"seed": SEED}, run_id=uuid.uuid4().hex)
-    return out
+    """M9: the whole chain from a raw CSV; the model is loaded again and its threshold must agree."""
+    runs = scratch_path(spark, f"runs-{uuid.uuid4().hex}")
+    raw = f"{runs}/raw"
+    IO.write_table(assay_raw(spark, sf_dir), raw, fmt="csv")
+    rec = retrain_from_csv(spark, raw, runs, "1")
+    loaded = TR.load_model(spark, f"{runs}/1/final")
+    return rec.where(F.col("threshold") == loaded.threshold)
 
 
 def _assay_rows_csv(spark, sf_dir, name):
@@ -169,45 +194,54 @@ def _assay_rows_csv(spark, sf_dir, name):
     return path
 
 
-def _reference(spark, sf_dir):
-    a = X.positional_split(assay_base(spark, sf_dir), "row_id", 0.8).where(F.col("split") == "train")
-    params = FE.fit_encoder(a, ["dose", "hr"], ["material"])
-    ref = FE.encode(a, params).select(F.col("row_id").alias("id"), "x", F.col("toxic").alias("y"))
-    return ref, params
+def _saved_model(spark, sf_dir):
+    """A model fitted on the first 80 % of the rows, saved as a run, and loaded by what the registry says."""
+    a = X.positional_split(assay_base(spark, sf_dir), "row_id", 0.8).where(F.col("split") == "train").drop("split")
+    gm, _ = TR.fit_graph_classifier(a, seed=SEED)
+    runs = scratch_path(spark, f"runs-{uuid.uuid4().hex}")
+    TR.save_model(gm, f"{runs}/1/final")
+    registry = spark.createDataFrame([("1", 1, True), ("2", 2, False), ("batch-3", 3, True)],
+                                     "run_id string, mtime int, has_model boolean")
+    run = IO.latest_valid_run(registry).first()["run_id"]
+    return TR.load_model(spark, f"{runs}/{run}/final")
 
 
 @register("score_rows")
 def score_rows(spark, sf_dir):
-    """Score new assay rows against the trained graph model."""
-    a = assay_base(spark, sf_dir)
-    gm, _ = TR.fit_graph_classifier(a, seed=SEED)
-    new = X.positional_split(a, "row_id", 0.9).where(F.col("split") == "test")
-    return TR.score_rows(gm, new)
+    """Score new assay rows (the last 20 %) with the loaded model, which never saw them."""
+    new = X.positional_split(assay_base(spark, sf_dir), "row_id", 0.8).where(F.col("split") == "test")
+    return TR.score_rows(_saved_model(spark, sf_dir), new)
+
+
+_SCORED_SQL = """
+WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos, count(*) OVER () AS n FROM events)
+SELECT CAST(event_id AS VARCHAR) AS row_id, 'scored' AS status FROM r WHERE pos >= floor(n * 0.8) AND event_id % 11 <> 0
+"""
+
+
+def _status(df):
+    ok = F.col("prediction").isin("Toxic", "Non-Toxic") & F.col("confidence").cast("double").between(0.5, 1.0)
+    return df.select("row_id", F.when(ok, "scored").otherwise("error").alias("status"))
 
 
-@register("score_batch")
+@register("score_batch", sql=_SCORED_SQL)
 def score_batch(spark, sf_dir):
-    """R2: all-text CSV -> P8, P5, P11 -> k-NN vote -> CSV with prediction and
-    confidence; failing rows are kept as 'Error' / 0.0."""
-    path = _assay_rows_csv(spark, sf_dir, "batch-in")
-    raw = IO.read_table(spark, path, as_string=True)
-    require_valid_rows(raw)
-    ref, params = _reference(spark, sf_dir)
-    out = score_batch_frame(raw, ref, params)
+    """R2: all-text CSV -> P8, P5, P11 -> saved model -> CSV with prediction and confidence (here: each row's fate)."""
+    raw = IO.read_table(spark, _assay_rows_csv(spark, sf_dir, "batch-in"), as_string=True)
+    out = score_batch_frame(raw, _saved_model(spark, sf_dir))
     dest = scratch_path(spark, f"prediction_{uuid.uuid4().hex}")
     IO.write_table(out, dest, fmt="csv")
-    return IO.read_table(spark, dest, as_string=True)
+    return _status(IO.read_table(spark, dest, as_string=True))
 
 
-@register("score_stream")
+@register("score_stream", sql=_SCORED_SQL)
 def score_stream_query(spark, sf_dir):
     """The same scorer as a file-stream job (availableNow)."""
     path = _assay_rows_csv(spark, sf_dir, "stream-in")
-    ref, params = _reference(spark, sf_dir)
     out, ck = scratch_path(spark, f"stream-out-{uuid.uuid4().hex}"), scratch_path(spark, f"stream-ck-{uuid.uuid4().hex}")
-    q = score_stream(spark, path, out, ck, ref, params, available_now=True)
+    q = score_stream(spark, path, out, ck, _saved_model(spark, sf_dir), available_now=True, extra_cols=("row_id",))
     q.awaitTermination()
-    return spark.read.parquet(out).drop("batch_id")
+    return _status(spark.read.parquet(out))
 
 
 @register("processor_plus_model")

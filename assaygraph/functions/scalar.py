@@ -164,5 +164,5 @@ def extract_number(c, fill: float | None = 0.0) -> Column:  # P6
 
 
 def label_class(c) -> Column:                             # P9: NULL -> row to drop
-    norm = F.lower(strip(_c(c).cast("string")))
+    norm = F.regexp_replace(F.lower(strip(_c(c).cast("string"))), r"^([01])\.0+$", "$1")   # 1.0 is the class 1
     return map_values(norm, LABEL_MAP).cast("int")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..plans.ranking import null_safe_join
 
 # Descriptive and proxy columns the reference drops when present.
 DESCRIPTIVE_COLUMNS = [
@@ -60,7 +61,7 @@ def select_required(df: DataFrame, cols: list[str]) -> DataFrame:
     """P5: keep exactly ``cols``; the error names every missing column."""
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise ValueError(f"The table must contain the columns {cols}. Missing: {missing}")
+        raise ValueError(f"missing columns: {', '.join(missing)} (needed: {', '.join(cols)})")
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
@@ -99,15 +100,19 @@ def drop_duplicates(df: DataFrame, id_col: str | None = None, subset: list[str]
     keys = subset or [c for c in df.columns if c != id_col]
     if id_col is None:
         return df.dropDuplicates(keys)
-    firsts = df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.min(id_col).alias(id_col))
-    return firsts.select(*df.columns)
+    rest = [c for c in df.columns if c not in keys and c != id_col]
+    row = F.struct(F.col(f"`{id_col}`").alias("_id"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)])
+    # the smallest id decides; the columns that are not compared come from that row
+    firsts = df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.min_by(row, F.col(f"`{id_col}`")).alias("_row"))
+    back = {id_col: F.col("_row._id")} | {c: F.col(f"_row._c{i}") for i, c in enumerate(rest)}
+    return firsts.select(*[back[c].alias(c) if c in back else F.col(f"`{c}`") for c in df.columns])
 
 
 def duplicate_rows(df: DataFrame, id_col: str, subset: list[str] | None = None) -> DataFrame:
     """V9: rows equal (on ``subset``) to a row with a smaller id."""
     keys = subset or [c for c in df.columns if c != id_col]
     firsts = df.groupBy(*keys).agg(F.min(id_col).alias("_first"))
-    return (df.join(firsts, keys, "inner").where(F.col(id_col) != F.col("_first")).drop("_first"))
+    return null_safe_join(df, firsts, keys).where(F.col(id_col) != F.col("_first")).drop("_first")
 
 
 def drop_null_rows(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -155,6 +155,8 @@ def cluster_quality(df: DataFrame, id_col: str = "id", vec: str = "x", cluster_c
     d = df.where(F.col(cluster_col) != -1).select(F.col(id_col).cast("long").alias("_id"),
                                                   F.col(vec).cast("array<double>").alias("_x"),
                                                   F.col(cluster_col).cast("long").alias("_c"))
+    if d.select("_c").distinct().limit(2).count() < 2:       # undefined for one cluster: no row
+        return df.sparkSession.createDataFrame([], "silhouette double, davies_bouldin double, calinski_harabasz double")
     flat = d.select("_id", "_c", F.posexplode("_x").alias("p", "v"))
     cent = flat.groupBy("_c", "p").agg(F.avg("v").alias("cv"))
     gcent = flat.groupBy("p").agg(F.avg("v").alias("gv"))

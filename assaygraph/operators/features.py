@@ -132,7 +132,7 @@ def encoder_sql(params: EncoderParams, names: list[str]) -> str:
             parts.append(f"coalesce((CAST({q(c)} AS DOUBLE) - ({float(lo)!r})) / ({float(hi) - float(lo)!r}), 0.0)")
     for c in params.cat_cols:
         for v in params.categories[c]:
-            lit = v.replace("'", "\\'")
+            lit = v.replace("\\", "\\\\").replace("'", "\\'")
             parts.append(f"CASE WHEN CAST({q(c)} AS STRING) = '{lit}' THEN 1.0 ELSE 0.0 END")
     cols = ", ".join(f"{p} AS {q(n)}" for p, n in zip(parts, names))
     return f"SELECT *, {cols} FROM __THIS__"

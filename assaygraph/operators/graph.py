@@ -70,7 +70,7 @@ def build_graph(df: DataFrame, id_col: str = "id", vec: str = "x", label: str =
     e = intra_cluster_knn(members, k, id_col, vec, "cluster")
     nodes = relabel_dense(members, id_col, "node_id")
     if nodes.limit(1).count() == 0:
-        raise ValueError("Graph is empty after DBSCAN filtering.")
+        raise ValueError("no row belongs to a cluster, so there is no graph")
     ids = nodes.select(id_col, "node_id")
     edges = (e.join(ids.select(F.col(id_col).alias("src"), F.col("node_id").alias("s")), "src")
               .join(ids.select(F.col(id_col).alias("dst"), F.col("node_id").alias("d")), "dst")

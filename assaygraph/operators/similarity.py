@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import blocks
-from ..plans.session import parallelism
+from ..plans import blocks, cells
+from ..plans.session import cut_lineage, parallelism
 
 
 def _block_plan(left: DataFrame, right: DataFrame, block_rows: int | None = None) -> tuple[int, tuple[int, int]]:
@@ -23,57 +23,36 @@ def _block_plan(left: DataFrame, right: DataFrame, block_rows: int | None = None
     return max(256, min(blocks.DEFAULT_BLOCK_ROWS, b)), (nl, nr)
 
 
-def _auto_block_rows(left: DataFrame, right: DataFrame) -> int:
-    return _block_plan(left, right)[0]
-
-
 def _topk_window(df: DataFrame, keys: list, order: list, k: int, rank_col: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def topk_per_group(df: DataFrame, key: str, order: list, k: int, rank_col: str = "rank",
-                   max_group_rows: int = 1_000_000) -> DataFrame:
+def topk_per_group(df: DataFrame, key: str, order: list, k: int, rank_col: str = "rank") -> DataFrame:
     """First k rows per key by ``order`` (make it a total order).
 
-    Skew-safe: when some key holds more than ``max_group_rows`` rows, its rows
-    are first split into ceil(n_key / max_group_rows) salted sub-groups (a
-    per-key count table decides the salt range), the top k of every
-    sub-group are kept, and the final ranking runs over at most
-    k x sub-groups candidates per key.  No window ever holds more than
-    ``max_group_rows`` rows of one key.
+    Ranks up to k are found in each task first (the optimizer's partial group
+    limit below the shuffle), so a key that holds a third of the rows sends k
+    rows a task to its final ranking.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    biggest = counts.agg(F.max("_n")).first()[0] or 0
-    if biggest <= max_group_rows:
-        return _topk_window(df, [key], order, k, rank_col)
-    salts = counts.select(key, F.ceil(F.col("_n") / F.lit(max_group_rows)).cast("int").alias("_s"))
-    salted = (df.join(salts, key)
-                .withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns]), F.col("_s")))
-                .drop("_s"))
-    partial = _topk_window(salted, [key, "_salt"], order, k, "_r1").drop("_salt", "_r1")
-    return topk_per_group(partial, key, order, k, rank_col, max_group_rows)
-
-
-def _knn_candidates(queries: DataFrame, reference: DataFrame, k: int, q_id: str, r_id: str, vec: str,
-                    ref_vec: str | None, exclude_self: bool, key: str | None, block_rows: int | None,
-                    symmetric: bool = False) -> DataFrame:
-    """Per block pair top-k rows ``lid, rid, dist`` (k per reference block)."""
-    rv = ref_vec or vec
+    return _topk_window(df, [key], order, k, rank_col)
+
+
+def _sides(queries: DataFrame, reference: DataFrame, q_id: str, r_id: str, vec: str, ref_vec: str | None,
+           key: str | None = None) -> tuple[DataFrame, DataFrame]:
     qcols = [F.col(q_id).cast("long").alias("_qid"), F.col(vec).cast("array<double>").alias("_qx")]
-    rcols = [F.col(r_id).cast("long").alias("_rid"), F.col(rv).cast("array<double>").alias("_rx")]
+    rcols = [F.col(r_id).cast("long").alias("_rid"), F.col(ref_vec or vec).cast("array<double>").alias("_rx")]
     if key:
         qcols.append(F.col(key).alias("_key"))
         rcols.append(F.col(key).alias("_key"))
-    q, r = queries.select(*qcols), reference.select(*rcols)
-    if key:
-        b, counts = block_rows or blocks.DEFAULT_BLOCK_ROWS, None
-    else:
-        b, counts = _block_plan(q, r, block_rows)
-    return blocks.cogroup_blocks(q, r, "_qid", "_rid",
-                                 blocks.topk_kernel(k, "_qid", "_rid", "_qx", "_rx", exclude_self),
-                                 "lid long, rid long, dist double", key="_key" if key else None, block_rows=b,
-                                 counts=counts, symmetric=symmetric)
+    return queries.select(*qcols), reference.select(*rcols)
+
+
+def _keyed_topk(q: DataFrame, r: DataFrame, k: int, key: str, exclude_self: bool, block_rows: int | None) -> DataFrame:
+    """``lid, rid, dist``: the k nearest of each pair of blocks with the same key."""
+    return blocks.cogroup_blocks(q, r, "_qid", "_rid", blocks.topk_kernel(k, "_qid", "_rid", "_qx", "_rx", exclude_self),
+                                 "lid long, rid long, dist double", key=key,
+                                 block_rows=block_rows or blocks.DEFAULT_BLOCK_ROWS)
 
 
 def knn(queries: DataFrame, reference: DataFrame, k: int = 5, q_id: str = "id", r_id: str = "id",
@@ -84,12 +63,27 @@ def knn(queries: DataFrame, reference: DataFrame, k: int = 5, q_id: str = "id",
     Ties are broken by (distance rounded to 9 places, neighbour id);
     ``exclude_self`` drops the pair with equal ids (not list position 0).
     With ``key`` only rows with the same key value are compared (G4).
+
+    Without a key the reference rows lie in cells (:mod:`..plans.cells`).
+    Each query meets its own cell first; the k-th distance found there bounds
+    the cells that can hold anything better, and only those are met then.
     """
-    # a self-join (same DataFrame, same id and vector columns) only needs half the block pairs
-    symmetric = queries is reference and q_id == r_id and ref_vec in (None, vec)
-    cand = _knn_candidates(queries, reference, k, q_id, r_id, vec, ref_vec, exclude_self, key, block_rows,
-                           symmetric)
-    # candidates per query row are bounded (k per reference block)
+    q, r = _sides(queries, reference, q_id, r_id, vec, ref_vec, key)
+    if key:
+        cand = _keyed_topk(q, r, k, "_key", exclude_self, block_rows)
+    else:
+        cell = cells.build(r, "_rid", "_rx")
+        q = cut_lineage(q)
+        first = _keyed_topk(cells.reach(q, cell, "_qx", home=True), cell.rows, k, "_cell", exclude_self, block_rows)
+        first = cut_lineage(first)
+        # k candidates a block pair: the k-th best of them is the bound
+        kth = (_topk_window(first, ["lid"], ["dist", "rid"], k, "rank").where(F.col("rank") == k)
+               .select(F.col("lid").alias("_qid"), F.col("dist").alias("_kth")))
+        bounded = q.join(kth, "_qid", "left")
+        more = _keyed_topk(cells.reach(bounded, cell, "_qx", "_kth", home=False).select("_qid", "_qx", "_cell"),
+                           cell.rows, k, "_cell", exclude_self, block_rows)
+        cand = first.unionByName(more)
+    # candidates per query row are bounded (k per reference block met)
     top = _topk_window(cand, ["lid"], ["dist", "rid"], k, "rank")
     return top.select(F.col("lid").alias("query_id"), F.col("rank").cast("int").alias("rank"),
                       F.col("rid").alias("neighbor_id"), "dist")
@@ -105,23 +99,30 @@ def k_distance(df: DataFrame, min_samples: int = 3, id_col: str = "id", vec: str
               .select(F.col("query_id").alias(id_col), F.col("dist").alias("kdist")))
 
 
+def _within(df: DataFrame, eps: float, id_col: str, vec: str) -> tuple[DataFrame, DataFrame]:
+    """Rows repeated for the cells in reach of ``eps``, and rows in their own cell: every pair within meets once."""
+    q, r = _sides(df, df, id_col, id_col, vec, None)
+    cell = cells.build(r, "_rid", "_rx")
+    q = cell.rows.select(F.col("_rid").alias("_qid"), F.col("_rx").alias("_qx"))
+    return cells.reach(q, cell, "_qx", eps), cell.rows
+
+
 def radius_join(df: DataFrame, eps: float, id_col: str = "id", vec: str = "x",
                 block_rows: int | None = None) -> DataFrame:
     """All pairs (a < b) within cosine distance ``eps``: ``a, b, dist``."""
-    t = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_x"))
-    b, counts = _block_plan(t, t, block_rows)
-    pairs = blocks.cogroup_blocks(t, t, "_id", "_id", blocks.radius_pairs_kernel(eps, "_id", "_id", "_x", "_x"),
-                                  "lid long, rid long, dist double", block_rows=b, counts=counts, symmetric=True)
+    q, r = _within(df, eps, id_col, vec)
+    pairs = blocks.cogroup_blocks(q, r, "_qid", "_rid", blocks.radius_pairs_kernel(eps, "_qid", "_rid", "_qx", "_rx"),
+                                  "lid long, rid long, dist double", key="_cell",
+                                  block_rows=block_rows or blocks.DEFAULT_BLOCK_ROWS)
     return pairs.select(F.col("lid").alias("a"), F.col("rid").alias("b"), "dist")
 
 
 def neighbor_counts(df: DataFrame, eps: float, id_col: str = "id", vec: str = "x",
                     block_rows: int | None = None) -> DataFrame:
     """Rows within ``eps`` of each row, itself included: ``id, n_eps``."""
-    t = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_x"))
-    b, counts = _block_plan(t, t, block_rows)
-    cnt = blocks.cogroup_blocks(t, t, "_id", "_id", blocks.radius_count_kernel(eps, "_id", "_id", "_x", "_x"),
-                                "lid long, cnt long", block_rows=b, counts=counts, symmetric=True)
+    q, r = _within(df, eps, id_col, vec)
+    cnt = blocks.cogroup_blocks(q, r, "_qid", "_rid", blocks.radius_count_kernel(eps, "_qid", "_rid", "_qx", "_rx"),
+                                "lid long, cnt long", key="_cell", block_rows=block_rows or blocks.DEFAULT_BLOCK_ROWS)
     return cnt.groupBy("lid").agg(F.sum("cnt").alias("n_eps")).withColumnRenamed("lid", id_col)
 
 
@@ -181,49 +182,43 @@ def knn_vote(neighbors: DataFrame, labels: DataFrame, label_col: str = "y", id_c
                     F.when(pred == 1, share).otherwise(1 - share).alias("confidence"))
 
 
-def _simhash_keys(df: DataFrame, id_col: str, vec: str, n_tables: int, n_bits: int, seed: int) -> DataFrame:
-    """One row per (row, table) with key = table * 2^bits + sign pattern of
-    the row against ``n_bits`` random hyperplanes (cosine LSH, Charikar 2002).
-    Signatures are computed per Arrow batch with numpy."""
-    import numpy as np
-    import pandas as pd
-
-    rng = np.random.default_rng(seed)
-    dim = len(df.select(vec).first()[0])
-    planes = rng.normal(size=(n_tables, n_bits, dim))     # model-sized constant
-    weights = (1 << np.arange(n_bits)).astype(np.int64)
-
-    def add_keys(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec].to_numpy()])
-            parts = []
-            for t in range(n_tables):
-                bits = (x @ planes[t].T) >= 0
-                key = t * (1 << n_bits) + bits.astype(np.int64) @ weights
-                parts.append(pd.DataFrame({id_col: pdf[id_col].to_numpy(), vec: pdf[vec].to_numpy(), "_bucket": key}))
-            yield pd.concat(parts, ignore_index=True)
-
-    schema = df.select(id_col, vec).schema.add("_bucket", "long")
-    return df.select(id_col, vec).mapInPandas(add_keys, schema)
-
-
 def knn_approx(queries: DataFrame, reference: DataFrame, k: int = 5, q_id: str = "id", r_id: str = "id",
-               vec: str = "x", exclude_self: bool = False, n_tables: int = 6, n_bits: int = 8,
+               vec: str = "x", exclude_self: bool = False, target_recall: float = 0.9, sample_rows: int = 256,
                seed: int = 7) -> DataFrame:
-    """J3/J4 approximate cosine k-NN for tables where all pairs are out of
-    reach: rows are compared only with rows sharing a SimHash bucket in one
-    of ``n_tables`` tables (work ~ n^2 / 2^bits per table instead of n^2),
-    exact distances inside buckets, best k over the union of candidates.
-    Same output as :func:`knn`; a row may get fewer than k neighbours."""
-    q = queries.select(F.col(q_id).cast("long").alias("qid"), F.col(vec).cast("array<double>").alias("x"))
-    r = reference.select(F.col(r_id).cast("long").alias("rid"), F.col(vec).cast("array<double>").alias("x"))
-    qk = _simhash_keys(q, "qid", "x", n_tables, n_bits, seed)
-    rk = _simhash_keys(r, "rid", "x", n_tables, n_bits, seed)
-    cand = _knn_candidates(qk, rk, k, "qid", "rid", "x", None, exclude_self, "_bucket", None)
-    # a pair found in several tables counts once; then the best k
-    best = cand.groupBy("lid", "rid").agg(F.min("dist").alias("dist"))
-    top = _topk_window(best, ["lid"], ["dist", "rid"], k, "rank")   # <= k * tables * blocks per row
-    return top.select(F.col("lid").alias("query_id"), F.col("rank").cast("int").alias("rank"),
-                      F.col("rid").alias("neighbor_id"), "dist")
+    """J3/J4 approximate cosine k-NN: each query meets only its nearest cells.
+
+    How many is measured, not guessed: the exact neighbours of at most
+    ``sample_rows`` queries (by a hash of the id) tell in which of its cells,
+    by nearness, each neighbour lies; the smallest number that covers
+    ``target_recall`` of them (and a margin of 0.03) is used for all queries.
+    Cells grow as the square root of the table.  A query whose cells hold
+    fewer than k rows gets exact neighbours, so none comes short.  Returns
+    the columns of :func:`knn` and ``recall``, the share covered in the sample.
+    """
+    q, r = _sides(queries, reference, q_id, r_id, vec, None)
+    r, q = cut_lineage(r), cut_lineage(q)
+    n = r.count()
+    cell = cells.build(r, "_rid", "_rx", rows_per_cell=max(k, math.isqrt(max(n, 1))))
+    total = q.count()
+    part = F.pmod(F.xxhash64("_qid", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / max(total, 1)))
+    some = q.where(part).limit(4 * sample_rows)
+    truth = knn(some, r, k, "_qid", "_rid", "_qx", "_rx", exclude_self)
+    order = cells.nearness(some, cell, "_qx")
+    places = (truth.select(F.col("query_id").alias("_qid"), F.col("neighbor_id").alias("_rid"))
+                   .join(cell.rows.select("_rid", "_cell"), "_rid").join(order, ["_qid", "_cell"])
+                   .groupBy("nth").agg(F.count(F.lit(1)).alias("n")).orderBy("nth").collect())     # one row a cell
+    found, probes, all_ = 0, 1, sum(p["n"] for p in places)
+    for p in places:
+        probes, found = p["nth"] + 1, found + p["n"]
+        if found >= min(1.0, target_recall + 0.03) * all_:
+            break
+    sent = cells.nearness(q, cell, "_qx", probes).select("_qid", "_qx", "_cell")
+    cand = cut_lineage(_keyed_topk(sent, cell.rows, k, "_cell", exclude_self, None))
+    have = cand.groupBy("lid").agg(F.count(F.lit(1)).alias("_n"))
+    short = q.join(have.where(F.col("_n") >= k), F.col("_qid") == F.col("lid"), "left_anti")
+    exact = knn(short, r, k, "_qid", "_rid", "_qx", "_rx", exclude_self)
+    top = _topk_window(cand.join(short.select(F.col("_qid").alias("lid")), "lid", "left_anti"), ["lid"], ["dist", "rid"],
+                       k, "rank")
+    out = top.select(F.col("lid").alias("query_id"), F.col("rank").cast("int").alias("rank"),
+                     F.col("rid").alias("neighbor_id"), "dist").unionByName(exact)
+    return out.withColumn("recall", F.lit(found / all_ if all_ else 1.0))

@@ -1,8 +1,8 @@
 """Splits, folds and class weights.
 
 Order-dependent splits use explicit ids and the skew-safe global ranking of
-:mod:`assaygraph.plans.ranking`; random assignment uses an arithmetic hash of
-the id (stable under any partitioning, reproducible in SQL).
+:mod:`assaygraph.plans.ranking`; random assignment uses a hash of id and
+seed (stable under any partitioning, reproducible in SQL).
 """
 
 from __future__ import annotations
@@ -12,27 +12,24 @@ from pyspark.sql import functions as F
 
 from ..plans.ranking import null_safe_join, with_index
 
-MIX_MOD = 2147483647   # Park-Miller modulus
-MIX_MUL = 48271
-
-
 def mix(id_col: str | Column, seed: int) -> Column:
-    """Deterministic pseudo-random integer in [0, 2^31-1) from a non-negative id.
+    """Pseudo-random integer in [0, 16^13) from an id (any number or text) and a seed.
 
-    Two multiplicative rounds; the same arithmetic is written in the oracle SQL.
+    The first 13 hex digits of md5(id ':' seed): another seed gives an
+    unrelated order, no id overflows, and SQL states it in the same way.
     """
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    h1 = F.pmod(c.cast("long") * F.lit(MIX_MUL) + F.lit(int(seed)), F.lit(MIX_MOD))
-    return F.pmod(h1 * F.lit(MIX_MUL), F.lit(MIX_MOD))
+    return F.conv(F.substring(F.md5(F.concat(c.cast("string"), F.lit(f":{int(seed)}")).cast("binary")), 1, 13),
+                  16, 10).cast("long")
 
 
 def mix_sql(id_expr: str, seed: int) -> str:
-    return f"((((({id_expr}) * {MIX_MUL} + {int(seed)}) % {MIX_MOD}) * {MIX_MUL}) % {MIX_MOD})"
+    return f"CAST(concat('0x', substr(md5(concat(CAST({id_expr} AS VARCHAR), ':{int(seed)}')), 1, 13)) AS BIGINT)"
 
 
 def positional_split(df: DataFrame, id_col: str, frac: float = 0.8, out: str = "split") -> DataFrame:
     """First floor(frac * n) rows by ``id_col`` -> 'train', the rest 'test'."""
-    ranked = with_index(df, [id_col], out="_pos", key=id_col)
+    ranked = with_index(df, [id_col], out="_pos")
     cut = int(ranked.count() * frac)
     return ranked.withColumn(out, F.when(F.col("_pos") < cut, F.lit("train")).otherwise(F.lit("test"))).drop("_pos")
 
@@ -46,7 +43,7 @@ def hash_split(df: DataFrame, id_col: str, frac: float = 0.8, seed: int = 42, ou
 def _class_positions(df: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:
     """Position of each row inside its class in hashed order, plus class size."""
     keyed = df.withColumn("_h", mix(id_col, seed))
-    ranked = with_index(keyed, ["_h", id_col], [label], out="_pos", key=id_col)
+    ranked = with_index(keyed, ["_h", id_col], [label], out="_pos")
     sizes = ranked.groupBy(label).agg(F.count(F.lit(1)).alias("_cn"))   # from the checkpointed rows
     return null_safe_join(ranked, sizes, [label])
 

@@ -176,18 +176,16 @@ def radius_pairs_kernel(eps: float, left_id: str, right_id: str, left_vec: str,
     return fn
 
 
-def _local_forest(lids, rids, adj, max_rounds: int = 64):
+def _local_forest(lids, rids, adj):
     """Star edges (component min, member) of the bipartite block graph.
 
-    Min-label propagation on the dense block adjacency; dense blocks have a
-    small diameter.  Falls back to the raw edges when it does not settle, so
-    the output always preserves connectivity exactly.
+    Min-label propagation on the dense block adjacency until it settles.
     """
     uniq, inv = np.unique(np.concatenate([lids, rids]), return_inverse=True)
     ul, ur = inv[: len(lids)], inv[len(lids):]
     lab = uniq.copy()
     big = np.iinfo(np.int64).max
-    for _ in range(max_rounds):
+    while True:                                   # labels only fall, so this ends
         cand_l = np.where(adj, lab[ur][None, :], big).min(axis=1) if adj.shape[1] else np.full(len(ul), big)
         cand_r = np.where(adj, lab[ul][:, None], big).min(axis=0) if adj.shape[0] else np.full(len(ur), big)
         new = lab.copy()
@@ -201,14 +199,10 @@ def _local_forest(lids, rids, adj, max_rounds: int = 64):
             sel = touched & (lab != uniq)
             return lab[sel], uniq[sel]
         lab = new
-    rows, cols = np.nonzero(adj)
-    a, b = lids[rows], rids[cols]
-    keep = a != b
-    return np.minimum(a, b)[keep], np.maximum(a, b)[keep]
 
 
 def dbscan_edge_kernel(eps: float, left_id: str, right_id: str, left_vec: str, right_vec: str,
-                       left_core: str, right_core: str, raw_edge_limit: int = 4):
+                       left_core: str, right_core: str):
     """Core-core connectivity edges and (border, core) pairs of a block pair.
 
     A border row has fewer than ``min_samples`` neighbours, so its pairs are
@@ -229,13 +223,7 @@ def dbscan_edge_kernel(eps: float, left_id: str, right_id: str, left_vec: str, r
         parts = []
         cc = near[np.ix_(lcore, rcore)]
         cl, cr = lids[lcore], rids[rcore]
-        if cc.sum() <= raw_edge_limit * (len(cl) + len(cr)):
-            rows, cols = np.nonzero(cc)
-            a, b = cl[rows], cr[cols]
-            keep = a != b
-            a, b = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-        else:
-            a, b = _local_forest(cl, cr, cc)
+        a, b = _local_forest(cl, cr, cc)
         parts.append(pd.DataFrame({"a": a, "b": b, "kind": "c"}))
         bc = near[np.ix_(~lcore, rcore)]
         rows, cols = np.nonzero(bc)

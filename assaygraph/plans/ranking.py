@@ -27,10 +27,6 @@ from pyspark.sql import functions as F
 from .session import cut_lineage, parallelism, shuffle_partitions
 
 
-def _names(cols: Sequence[str | Column]) -> list[str]:
-    return [c for c in cols if isinstance(c, str)]
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` that treats NULL = NULL (group keys may be null)."""
     if not keys:
@@ -72,34 +68,15 @@ def _ranged(df: DataFrame, order_by: Sequence[str | Column], partition_by: Seque
     return cut_lineage(ranged)
 
 
-def _wide_payload(df: DataFrame, narrow: set[str]) -> bool:
-    """Columns beyond the ranking keys that make checkpointing whole rows
-    cost more than re-reading the input: nested or binary values (vectors,
-    blobs) or more than eight other columns.  Narrow rows are cheaper to
-    checkpoint whole than to recompute for a join back."""
-    from pyspark.sql import types as T
-
-    rest = [f for f in df.schema.fields if f.name not in narrow]
-    wide = (T.BinaryType, T.ArrayType, T.MapType, T.StructType)
-    return len(rest) > 8 or any(isinstance(f.dataType, wide) for f in rest)
-
-
 def with_index(df: DataFrame, order_by: Sequence[str | Column], partition_by: Sequence[str] = (),
-               out: str = "idx", num_partitions: int | None = None, key: str | None = None) -> DataFrame:
+               out: str = "idx", num_partitions: int | None = None) -> DataFrame:
     """Add the exact 0-based position of each row inside ``partition_by``.
 
     ``order_by`` should be a total order (end it with a unique key) when the
-    assignment of positions to tied rows matters.  With a unique row ``key``
-    and a wide payload only the narrow (key, group, order) projection is
-    ranked and checkpointed; positions join back on the key.
+    assignment of positions to tied rows matters.  Rows with repeated or
+    null keys keep their number: nothing is joined back.
     """
     pb = list(partition_by)
-    if key is not None:
-        narrow = {key, *pb, *_names(order_by)}
-        if all(isinstance(c, str) for c in order_by) and _wide_payload(df, narrow):
-            idx = with_index(df.select(*[c for c in df.columns if c in narrow]), order_by, pb, out,
-                             num_partitions)
-            return df.join(idx.select(key, out), key)
     ranged = _ranged(df, order_by, pb, num_partitions)
     stats = ranged.groupBy("_pid", *pb).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*pb).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,11 +1,10 @@
-"""Score CSV files as they land in a folder (Structured Streaming).
+"""Score three-column CSV files with a saved graph model, at once or as they land.
 
-Stateless: each micro-batch runs the batch scorer's cleaning (P8, P5, P11)
-and the k-NN vote against a reference table.  The source offsets live in the
-checkpoint and every batch overwrites its own ``batch_id=<n>`` folder, so a
-replayed batch yields the same output once (exactly-once end to end);
-``availableNow`` drains what is there and stops, ``processingTime`` keeps
-watching.
+Rows with an empty or unreadable required value are dropped; rows that the
+model cannot score stay as ``Error`` with confidence 0.  Rows are told apart
+by a generated number, so repeated or absent ids lose nothing.  As a stream
+each micro-batch is scored by the same function and overwrites its own
+``batch_id=<n>`` folder, so a replayed batch yields the same output once.
 """
 
 from __future__ import annotations
@@ -15,54 +14,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import clean as C
-from ..operators import features as FE
-from ..operators import similarity as SIM
+from ..operators import training as TR
+from ..plans.session import cut_lineage
+from ..sources.tables import DOSE, MATERIAL, TIME
 
-INPUT_COLS = ["row_id", "Material type", "Exposure dose (ug/mL)", "Exposure time"]
-INPUT_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in INPUT_COLS])
+INPUT_COLS = [MATERIAL, DOSE, TIME]
 
 
-def require_valid_rows(batch: DataFrame) -> None:
-    """R2: a file without one valid row is an error (nothing is written)."""
-    b = C.select_required(C.decimal_comma(batch, ["Exposure dose (ug/mL)", "Exposure time"]), INPUT_COLS)
-    if C.drop_null_rows(b, INPUT_COLS[1:]).limit(1).count() == 0:
-        raise ValueError("The file has no valid rows to process.")
+def valid_rows(batch: DataFrame) -> DataFrame:
+    """The scorable rows of an all-text batch: typed, numbered, other columns kept."""
+    missing = [c for c in INPUT_COLS if c not in batch.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    typed = C.decimal_comma(batch, [DOSE, TIME])
+    return C.drop_null_rows(typed, INPUT_COLS)
 
 
-def score_batch_frame(batch: DataFrame, reference: DataFrame, params: FE.EncoderParams, k: int = 5) -> DataFrame:
-    """Clean one batch of all-string rows and vote with the k nearest
-    reference rows (``reference``: id, x, y).  Rows that fail cleaning are
-    kept with prediction 'Error' and confidence 0."""
-    b = C.decimal_comma(batch, ["Exposure dose (ug/mL)", "Exposure time"])
-    b = C.select_required(b, INPUT_COLS)
-    ok = C.drop_null_rows(b, INPUT_COLS[1:])
-    bad = b.join(ok.select("row_id"), "row_id", "left_anti")
-    x = ok.select(F.col("row_id").cast("long").alias("row_id"), F.col("`Material type`").alias("material"),
-                  F.col("`Exposure dose (ug/mL)`").alias("dose"), F.col("`Exposure time`").alias("hr"),
-                  *[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(INPUT_COLS[1:])])
-    enc = FE.encode(x, params)
-    nb = SIM.knn(enc, reference, k=k, q_id="row_id", r_id="id", block_rows=2048)
-    vote = SIM.knn_vote(nb, reference.select("id", "y"))
-    scored = (x.join(vote.withColumnRenamed("query_id", "row_id"), "row_id", "left")
-               .select("row_id", "material", "dose", "hr",
-                       F.when(F.col("prediction") == 1, "Toxic").when(F.col("prediction") == 0, "Non-Toxic")
-                        .otherwise("Error").alias("prediction"),
-                       F.coalesce("confidence", F.lit(0.0)).alias("confidence")))
-    errs = bad.select(F.col("row_id").cast("long").alias("row_id"), F.col("`Material type`").alias("material"),
-                      F.col("`Exposure dose (ug/mL)`").alias("dose"), F.col("`Exposure time`").alias("hr"),
-                      F.lit("Error").alias("prediction"), F.lit(0.0).alias("confidence"))
-    return scored.unionByName(errs)
+def score_batch_frame(batch: DataFrame, model: TR.GraphModel, allow_empty: bool = False) -> DataFrame:
+    """``material, dose, hr, prediction, confidence`` and the batch's other columns, one row for each valid row."""
+    ok = valid_rows(batch)
+    extra = [c for c in batch.columns if c not in INPUT_COLS]
+    ok = ok.select(F.monotonically_increasing_id().alias("_rid"), F.col(f"`{MATERIAL}`").alias("material"),
+                   F.col(f"`{DOSE}`").alias("dose"), F.col(f"`{TIME}`").alias("hr"), *[F.col(f"`{c}`") for c in extra])
+    ok = cut_lineage(ok)                                    # the numbers stay what they are
+    if not allow_empty and ok.isEmpty():
+        raise ValueError("no row of this file can be scored")
+    scored = TR.score_rows(model, ok, "_rid").select("_rid", "prediction", "confidence")
+    out = ok.join(scored, "_rid", "left")
+    return out.select(*extra, "material", "dose", "hr", F.coalesce("prediction", F.lit("Error")).alias("prediction"),
+                      F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
-def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, reference: DataFrame,
-                 params: FE.EncoderParams, available_now: bool = True, k: int = 5):
-    """Start the streaming query; returns the ``StreamingQuery``."""
-    src = spark.readStream.schema(INPUT_SCHEMA).option("header", True).csv(in_dir)
+def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, model: TR.GraphModel,
+                 available_now: bool = True, extra_cols: tuple[str, ...] = ()):
+    """Start the streaming query; returns the ``StreamingQuery``.
+
+    ``extra_cols`` are further text columns of the files, ahead of the three
+    required ones, that go through to the output.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in [*extra_cols, *INPUT_COLS]])
+    src = (spark.readStream.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+                .option("enforceSchema", False).csv(in_dir))
 
     def each(batch: DataFrame, epoch: int) -> None:
         # one folder per micro-batch, overwritten on a retry: a batch re-run
         # after a failure replaces its own output instead of appending twice
-        score_batch_frame(batch, reference, params, k).write.mode("overwrite").parquet(f"{out_dir}/batch_id={epoch}")
+        out = score_batch_frame(batch, model, allow_empty=True)
+        out.write.mode("overwrite").parquet(f"{out_dir}/batch_id={epoch}")
 
     w = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -11,24 +11,62 @@ def _sorted(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
-def test_stream_scoring_equals_batch_scoring(spark):
-    import __spark_entry__ as E
+@pytest.fixture(scope="module")
+def model(spark, tmp_path_factory):
+    """A bundle fitted on most rows, saved and loaded."""
+    from assaygraph.operators.training import fit_graph_classifier, load_model, save_model
+    from assaygraph.sources.tables import assay_base
+
+    gm, rec = fit_graph_classifier(assay_base(spark, SMALL).where("row_id < 800"), seed=43)
+    path = str(tmp_path_factory.mktemp("run") / "final")
+    save_model(gm, path)
+    return gm, load_model(spark, path), rec.first()
+
+
+ROWS = [("5", "click", "12,5", "3"), ("5", "view", "1", "4"), (None, "click", "40.0", "20"), ("6", "no such", "3", "1"),
+        ("7", "click", None, "3"), ("8", None, "1", "2"), ("9", "click", "x", "1"), ("x y", "click", "7", "0")]
+COLS = "row_id string, `Material type` string, `Exposure dose (ug/mL)` string, `Exposure time` string"
+
+
+def test_loaded_model_scores_like_the_fitted_one(spark, model):
+    from assaygraph.streaming.score_stream import score_batch_frame
+
+    batch = spark.createDataFrame(ROWS, COLS)
+    a, b = (_sorted(score_batch_frame(batch, m), "material", "dose", "hr", "prediction", "confidence") for m in model[:2])
+    assert a == b and model[0].threshold == model[1].threshold
+
+
+def test_repeated_absent_and_bad_ids_lose_nothing(spark, model):
+    from assaygraph.streaming.score_stream import score_batch_frame
+
+    out = score_batch_frame(spark.createDataFrame(ROWS, COLS), model[1]).collect()
+    assert sorted(str(r.row_id) for r in out) == ["5", "5", "6", "None", "x y"]      # invalid rows are dropped
+    plain = spark.createDataFrame([r[1:] for r in ROWS], COLS.split(", ", 1)[1])
+    assert score_batch_frame(plain, model[1]).count() == 5
+    assert all(r.prediction in ("Toxic", "Non-Toxic") and 0.5 <= r.confidence <= 1 for r in out)
+
+
+def test_stream_scoring_equals_batch_scoring(spark, model, tmp_path):
+    from assaygraph.sources.io import read_table
+    from assaygraph.streaming.score_stream import score_batch_frame, score_stream
 
-    q = E.queries()
-    b = _sorted(q["score_batch"](spark, SMALL), "row_id", "prediction", "confidence")
-    s = _sorted(q["score_stream"](spark, SMALL).withColumn("row_id", F.col("row_id").cast("string"))
-                .withColumn("confidence", F.col("confidence").cast("string")), "row_id", "prediction", "confidence")
-    assert len(b) == len(s) > 0
-    assert [(r, p) for r, p, _ in b] == [(r, p) for r, p, _ in s]
-    assert any(p == "Error" for _, p, _ in b)          # rows with a missing time are kept as errors
+    spark.createDataFrame(ROWS, COLS).repartition(2).write.option("header", True).csv(str(tmp_path / "in"))
+    cols = ["material", "dose", "hr", "prediction", "confidence"]
+    batch = _sorted(score_batch_frame(read_table(spark, str(tmp_path / "in"), as_string=True), model[1]), *cols)
+    q = score_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), model[1],
+                     extra_cols=("row_id",))
+    q.awaitTermination()
+    assert _sorted(spark.read.parquet(str(tmp_path / "out")), *cols) == batch and len(batch) == 5
 
 
-def test_no_valid_rows_is_an_error(spark):
-    from assaygraph.streaming.score_stream import INPUT_COLS, require_valid_rows
+def test_no_valid_rows_is_an_error(spark, model):
+    from assaygraph.streaming.score_stream import INPUT_COLS, score_batch_frame
 
-    bad = spark.createDataFrame([("1", "click", "x", None)], ", ".join(f"`{c}` string" for c in INPUT_COLS))
-    with pytest.raises(ValueError, match="no valid rows"):
-        require_valid_rows(bad)
+    bad = spark.createDataFrame([("click", "x", None)], ", ".join(f"`{c}` string" for c in INPUT_COLS))
+    with pytest.raises(ValueError, match="can be scored"):
+        score_batch_frame(bad, model[1])
+    with pytest.raises(ValueError, match="missing columns"):
+        score_batch_frame(bad.drop(INPUT_COLS[0]), model[1])
 
 
 def test_dropped_rows_are_reported(spark):
@@ -51,12 +89,12 @@ def test_knn_is_partition_invariant(spark):
     assert a == b
 
 
-def test_graph_classifier_beats_majority_on_planted_target(spark):
-    from assaygraph.operators.training import fit_graph_classifier, score_rows
+def test_graph_classifier_beats_majority_on_planted_target(spark, model):
+    from assaygraph.operators.training import score_rows
     from assaygraph.sources.tables import assay_base
 
-    gm, rec = fit_graph_classifier(assay_base(spark, SMALL), seed=43)
-    r = rec.first()
-    assert r["balanced_accuracy"] > 0.6           # planted target: dose above the material median
-    scored = score_rows(gm, assay_base(spark, SMALL).where("row_id >= 950"))
-    assert scored.count() == 50
+    gm, _, rec = model
+    assert rec["balanced_accuracy"] > 0.6           # planted target: dose above the material median
+    unseen = assay_base(spark, SMALL).where("row_id >= 950")
+    assert gm.nodes.where("row_id >= 800").count() == 0
+    assert score_rows(gm, unseen).count() == 50
