@@ -1,11 +1,9 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is a table of postings ``term, row, pos`` in the shared folder.  It
-is split by documents: each part holds the postings of its documents, sorted
-by term, so building it moves no posting between machines and a look-up of
-some terms skips the rest of each file.  It is built for the test vocabulary:
-a term that no test item has cannot be in a phrase that is looked for (pass
-``terms=None`` to index every term).
+The index is a table of postings ``term, row, pos`` of every training token in
+the shared folder.  It is split by documents: each part holds the postings of
+its documents, sorted by term, so building it moves no posting between
+machines and a look-up of some terms skips the rest of each file.
 
 A phrase is found by intersecting offset-adjusted lists (``pos - offset`` of
 each of its terms), from the term with the fewest postings in the training
@@ -20,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, folder, maybe_broadcast, small_enough, stored
+from .common import ascii_lower, folder, maybe_broadcast, stored
 
 #: What stands between words, after A-Z are lowered.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Term number of the posting at the end of each document; its position is the document's number of words.
-END = -1
-_INDEX = "term long, row long, pos int, doc_id long"
+#: Term of the posting at the end of each document (no word has this character); its position is the number of words.
+END = "\x00"
+_INDEX = "term string, row long, pos int, doc_id long"
+#: Distinct words and windows of the test items are broadcast up to this many; beyond it, joined by a shuffle.
+_SMALL = 1_000_000
 
 
 def words(col):
@@ -35,39 +35,21 @@ def words(col):
     return F.array_remove(parts, "")
 
 
-def vocabulary(items: DataFrame, text_col: str = "text") -> DataFrame:
-    """``word, term``: the distinct words of the test items and their numbers."""
-    found = items.select(F.explode(words(F.col(text_col))).alias("word")).distinct()
-    return stored(found.withColumn("term", F.monotonically_increasing_id()), "index-terms")
-
-
-def build_index(docs: DataFrame, terms: DataFrame | None, path: str, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the postings of ``docs`` to ``path`` and reads them back.
 
     ``row`` tells apart repeated ids.  Each document has one posting of the
     term ``END`` (with its ``doc_id``), so documents without words stay too.
     """
-    spark = docs.sparkSession
-    mark = "\x00"                      # no word has this character
     listed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                         F.array_append(words(F.col(text_col)), F.lit(mark)).alias("_w"))
-    postings = listed.select("doc_id", "row", F.posexplode("_w").alias("pos", "word"))
-    if terms is None:
-        term = F.when(F.col("word") == mark, F.lit(END)).otherwise(F.shiftrightunsigned(F.xxhash64("word"), 1))
-        postings = postings.withColumn("term", term)
-    else:
-        # without the mark in it, a vocabulary of other words would leave documents out
-        known = terms.select("word", "term").unionByName(
-            spark.range(1).select(F.lit(mark).alias("word"), F.lit(END).cast("long").alias("term")))
-        postings = postings.join(maybe_broadcast(known, 1_000_000), "word")
-    postings = postings.select(F.col("term").cast("long").alias("term"), "row", "pos",
-                               F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id"))
+                         F.array_append(words(F.col(text_col)), F.lit(END)).alias("_w"))
+    postings = listed.select("doc_id", "row", F.posexplode("_w").alias("pos", "term"))
+    postings = postings.select("term", "row", "pos", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id"))
     postings.sortWithinPartitions("term").write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(_INDEX).parquet(path)
+    return docs.sparkSession.read.schema(_INDEX).parquet(path)
 
 
-def windows(items: DataFrame, terms: DataFrame, size: int = 10, id_col: str = "item_id",
+def windows(items: DataFrame, size: int = 10, id_col: str = "item_id",
             text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``w, len, words`` (distinct windows) and ``w, item`` (items of each).
 
@@ -83,14 +65,19 @@ def windows(items: DataFrame, terms: DataFrame, size: int = 10, id_col: str = "i
     return one, stored(cut.join(one, "words").select("w", "item"), "window-items")
 
 
-def _ranked(one: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
+def _postings(index: DataFrame, one: DataFrame) -> DataFrame:
+    """Postings of the windows' words (that many rows of the index are read past, not joined)."""
+    own = maybe_broadcast(stored(one.select(F.explode("words").alias("term")).distinct(), "window-words"), _SMALL)
+    return index.select("term", "row", "pos").join(own, "term", "left_semi")
+
+
+def _ranked(one: DataFrame, postings: DataFrame) -> DataFrame:
     """``w, len, by_rarity``: ``(n, offset, term)`` of each window's words, rarest first.
 
     Windows with a word that no document has are left out: they cannot occur.
     """
-    n = stored(index.where(F.col("term") != END).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "index-counts")
-    each = one.select("w", "len", F.posexplode("words").alias("offset", "word"))
-    each = each.join(terms, "word").join(n, "term")
+    n = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "index-counts")
+    each = one.select("w", "len", F.posexplode("words").alias("offset", "term")).join(n, "term")
     lists = F.sort_array(F.collect_list(F.struct("n", "offset", "term")))
     out = each.groupBy("w", "len").agg(lists.alias("by_rarity"))
     return stored(out.where(F.size("by_rarity") == F.col("len")), "ranked-windows")
@@ -99,19 +86,19 @@ def _ranked(one: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
 def _lists(index: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
     """Postings of the terms that are ``k``-th rarest in a window."""
     wanted = ranked.where(F.col("len") > k).select(F.col("by_rarity")[k]["term"].alias("term")).distinct()
-    return index.select("term", "row", "pos").join(maybe_broadcast(wanted), "term", "left_semi")
+    return index.select("term", "row", "pos").join(maybe_broadcast(wanted, _SMALL), "term", "left_semi")
 
 
-def phrase_matches(index: DataFrame, one: DataFrame, terms: DataFrame, lists: int = 3) -> DataFrame:
+def phrase_matches(index: DataFrame, one: DataFrame, lists: int = 3) -> DataFrame:
     """``w, row, start, len``: every place where a window's words stand in sequence.
 
     The ``lists`` rarest terms are intersected one by one; the others at once,
     over the postings of the documents that are left.
     """
-    ranked = _ranked(one, terms, index)
+    ranked = _ranked(one, _postings(index, one))
     first = F.col("by_rarity")[0]
     wanted = ranked.select("w", "len", "by_rarity", first["term"].alias("term"), first["offset"].alias("offset"))
-    found = (index.where(F.col("term") != END).select("term", "row", "pos").join(maybe_broadcast(wanted), "term")
+    found = (index.select("term", "row", "pos").join(maybe_broadcast(wanted), "term")
                   .select("w", "len", "by_rarity", "row", (F.col("pos") - F.col("offset")).alias("start"))
                   .where("start >= 0"))
     for k in range(1, lists):
@@ -122,8 +109,7 @@ def phrase_matches(index: DataFrame, one: DataFrame, terms: DataFrame, lists: in
     whole = found.where(F.col("len") <= lists).select("w", "row", "start", "len")
     rest = found.where(F.col("len") > lists)
     in_rows = stored(rest.select("row").distinct(), "phrase-rows")
-    near = index.select("term", "row", "pos").where(F.col("term") != END).join(
-        F.broadcast(in_rows) if small_enough(in_rows, 2_000_000) else in_rows, "row", "left_semi")
+    near = _postings(index, one).join(maybe_broadcast(in_rows, 2_000_000), "row", "left_semi")
     need = rest.select("w", "row", "start", "len",
                        F.explode(F.slice("by_rarity", lists + 1, 1 << 30)).alias("t"))
     need = need.select("w", "row", "start", "len", F.col("t")["term"].alias("term"),
@@ -133,14 +119,14 @@ def phrase_matches(index: DataFrame, one: DataFrame, terms: DataFrame, lists: in
     return whole.unionByName(full)
 
 
-def proximity_matches(index: DataFrame, one: DataFrame, terms: DataFrame, slop: int = 20) -> DataFrame:
+def proximity_matches(index: DataFrame, one: DataFrame, slop: int = 20) -> DataFrame:
     """``w, row, pos``: places of a window's rarest term with all its other terms at most ``slop`` words away, in any order.
 
     Positions are looked up by cells of ``slop`` words (own and both
     neighbours), so lists of one document are not paired as a whole.
     """
-    ranked = _ranked(one, terms, index)
-    postings = index.where(F.col("term") != END).select("term", "row", "pos")
+    postings = _postings(index, one)
+    ranked = _ranked(one, postings)
     first = F.col("by_rarity")[0]["term"]
     others = F.array_remove(F.array_distinct(F.transform("by_rarity", lambda t: t["term"])), first)
     wanted = ranked.select("w", first.alias("term"), others.alias("others")).distinct()
@@ -168,10 +154,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     not read.
     """
     spark: SparkSession = docs.sparkSession
-    terms = vocabulary(items, item_text_col)
-    index = build_index(docs, terms, folder(spark, "positional-index"), id_col, text_col)
-    one, of_items = windows(items, terms, size, item_col, item_text_col)
-    found = stored(phrase_matches(index, one, terms), "phrases")
+    index = build_index(docs, folder(spark, "positional-index"), id_col, text_col)
+    one, of_items = windows(items, size, item_col, item_text_col)
+    found = stored(phrase_matches(index, one), "phrases")
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("row", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
     spans = spans.withColumn("from", F.greatest("start", F.coalesce(F.max("end").over(before), F.col("start"))))

@@ -241,19 +241,17 @@ def test_contamination(spark, docs, none, twice):
     assert len(got) == 10 and sum(r.doc_id is None for r in got) == 2
 
 
-def test_index_of_all_terms_and_proximity(spark, docs):
+def test_index_and_proximity(spark, docs):
     items = spark.createDataFrame([(1, "gamma alpha"), (2, "three one")], "item_id long, text string")
-    terms = decontamination.vocabulary(items)
-    index = decontamination.build_index(docs, terms, folder(spark, "t"))
-    one, _ = decontamination.windows(items, terms)
-    near = decontamination.proximity_matches(index, one, terms, slop=5).join(one, "w")
+    index = decontamination.build_index(docs, folder(spark, "t"))
+    assert index.where(F.col("term") != decontamination.END).count() == sum(len(brute._test_words(t)) for _, t in PAIRS)
+    one, _ = decontamination.windows(items)
+    near = decontamination.proximity_matches(index, one, slop=5).join(one, "w")
     rows = {tuple(r.words): 0 for r in one.collect()}
     for r in near.collect():
         rows[tuple(r.words)] += 1
     assert rows == {("gamma", "alpha"): 1, ("three", "one"): 2}
-    assert decontamination.phrase_matches(index, one, terms).collect() == []
-    whole = decontamination.build_index(docs, None, folder(spark, "t"))
-    assert whole.where("term != -1").count() == sum(len(brute._test_words(t)) for _, t in PAIRS)
+    assert decontamination.phrase_matches(index, one).collect() == []
 
 
 # 7: personal data
