@@ -183,7 +183,8 @@ cu AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tps, sum(neg) OVER (
 @register("roc_curve", sql=f"""
 WITH {SCORE_SQL.strip()}, {_CURVE_SQL.strip()}
 SELECT score AS threshold, CAST(tps AS BIGINT) AS tps, CAST(fps AS BIGINT) AS fps, round(tps / P, 6) AS tpr,
-       round(fps / N, 6) AS fpr FROM cu""")
+       round(fps / N, 6) AS fpr FROM cu
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0, 0, 0.0, 0.0""")
 def roc_curve(spark, sf_dir):
     """E6 curve / W2: cumulative TP/FP over descending distinct scores."""
     r = E.roc_curve(scored(spark, sf_dir))
@@ -193,7 +194,8 @@ def roc_curve(spark, sf_dir):
 
 @register("pr_curve", sql=f"""
 WITH {SCORE_SQL.strip()}, {_CURVE_SQL.strip()}
-SELECT score AS threshold, round(tps / (tps + fps), 6) AS precision, round(tps / P, 6) AS recall FROM cu""")
+SELECT score AS threshold, round(tps / (tps + fps), 6) AS precision, round(tps / P, 6) AS recall FROM cu
+UNION ALL SELECT NULL, 1.0, 0.0""")
 def pr_curve(spark, sf_dir):
     """Precision and recall at each distinct score."""
     r = E.pr_curve(scored(spark, sf_dir))

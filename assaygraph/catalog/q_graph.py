@@ -9,6 +9,7 @@ from ..operators import graph as GR
 from ..operators import similarity as SIM
 from ..operators import split as X
 from ..plans.ranking import exact_quantiles
+from ..plans.session import cut_lineage
 from ..sources.tables import table, vectors
 from .registry import register
 from .sql_common import VEC_CTE, VEC_DIST
@@ -43,8 +44,8 @@ DBSCAN_Q = 0.25
 
 def _dbscan(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    eps = CL.estimate_eps(v, 3, DBSCAN_Q)
-    return v, CL.dbscan(v, eps, 3)
+    kd = cut_lineage(SIM.k_distance(v, 3))
+    return v, CL.dbscan(v, CL.eps_of(kd, DBSCAN_Q), 3, kdist=kd)
 
 
 @register("knn_self_join", sql=f"""
@@ -424,8 +425,9 @@ def dbscan_assay(spark, sf_dir):
     0.98 k-distance quantile) on the whole encoded assay view: one row per
     cluster with its size and dominant material (A3, A4)."""
     enc = _assay_encoded(spark, sf_dir)
-    eps = CL.estimate_eps(enc, 3, 0.98)
-    cl = CL.dbscan(enc, eps, 3)
+    kd = cut_lineage(SIM.k_distance(enc, 3))
+    eps = CL.eps_of(kd, 0.98)
+    cl = CL.dbscan(enc, eps, 3, kdist=kd)
     j = cl.join(enc.select("id", "material"), "id")
     sizes = CL.cluster_counts(j)
     dom = CL.dominant_category(j, "cluster", "material")

@@ -97,25 +97,30 @@ _q("fn_threshold", "labels", [("doc_id", "doc_id"), ("v", "CAST((doc_id % 100) /
 
 
 @register("fn_softmax_argmax", sql="""
-WITH v AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE) * 10) AS a FROM embeddings),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 10) AS a FROM embeddings),
 m AS (SELECT vec_id, a, list_max(a) AS mx FROM v),
 e AS (SELECT vec_id, a, list_transform(a, lambda x: exp(x - mx)) AS ex FROM m)
 SELECT vec_id, round(ex[1] / list_sum(ex), 6) AS p0, round(list_max(ex) / list_sum(ex), 6) AS pmax,
        CAST(list_position(a, list_max(a)) - 1 AS INTEGER) AS argmax FROM e""")
 def fn_softmax_argmax(spark, sf_dir):
-    """C17: softmax and first argmax of a 4-wide logit array."""
+    """C17: softmax and first argmax over all entries of each vector."""
     e = table(spark, sf_dir, "embeddings")
-    a = F.transform(F.slice(F.col("embedding"), 1, 4), lambda x: x.cast("double") * 10)
+    a = F.transform(F.col("embedding"), lambda x: x.cast("double") * 10)
     d = e.select("vec_id", a.alias("a")).select("vec_id", "a", S.softmax("a").alias("p"))
     return d.select("vec_id", F.round(F.col("p")[0], 6).alias("p0"), F.round(F.array_max("p"), 6).alias("pmax"),
                     S.argmax("a").alias("argmax"))
 
 
 @register("fn_linspace", sql="""
-SELECT CAST(i AS INTEGER) AS i, round(0.01 + i * ((0.99 - 0.01) / 199), 9) AS t
-FROM (SELECT range AS i FROM range(200)), (SELECT count(*) AS n FROM labels) WHERE n >= 0""")
+WITH g AS (SELECT range AS i, round(0.01 + range * ((0.99 - 0.01) / 199), 9) AS t FROM range(200)),
+s AS (SELECT vec_id, (CAST(embedding[1] AS DOUBLE) + 1) / 2 AS p FROM embeddings)
+SELECT CAST(i AS INTEGER) AS i, t, count(*) FILTER (p >= t) AS n FROM g, s GROUP BY i, t""")
 def fn_linspace(spark, sf_dir):
-    """C20: the 200-point threshold grid as rows (generated next to a table scan)."""
-    lab = table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("n"))
-    g = lab.select(F.posexplode(S.linspace(0.01, 0.99, 200)).alias("i", "t"))
-    return g.select(F.col("i").cast("int").alias("i"), F.round("t", 9).alias("t"))
+    """C20: the 200-point threshold grid, and how many rows reach each point."""
+    grid = S.linspace(0.01, 0.99, 200)
+    p = table(spark, sf_dir, "embeddings").select(((F.col("embedding")[0].cast("double") + 1) / 2).alias("p"))
+    reached = F.transform(grid, lambda t: (F.col("p") >= F.round(t, 9)).cast("long"))
+    each = p.select(F.posexplode(reached).alias("i", "hit")).groupBy("i").agg(F.sum("hit").alias("n"))
+    return each.select(F.col("i").cast("int").alias("i"), F.round(grid[F.col("i")], 9).alias("t"), "n")
+
+

@@ -14,16 +14,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import blocks
+from ..plans import blocks, cells
 from ..plans.ranking import exact_quantile_value, with_index
 from ..plans.session import cut_lineage
-from .similarity import _block_plan, k_distance, neighbor_counts
+from .similarity import _block_plan, k_distance
 
 
 def estimate_eps(df: DataFrame, min_samples: int = 3, quantile: float = 0.98, id_col: str = "id",
                  vec: str = "x") -> float:
     """G1: quantile (linear) of the k-distances, rounded to 9 places."""
-    kd = k_distance(df, min_samples, id_col, vec)
+    return eps_of(k_distance(df, min_samples, id_col, vec), quantile)
+
+
+def eps_of(kd: DataFrame, quantile: float = 0.98) -> float:
+    """G1 on known k-distances."""
     v = exact_quantile_value(kd, "kdist", quantile)
     return round(float(v), 9) if v is not None else 0.0
 
@@ -69,18 +73,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
 
 
 def dbscan(df: DataFrame, eps: float, min_samples: int = 3, id_col: str = "id", vec: str = "x",
-           block_rows: int | None = None) -> DataFrame:
+           block_rows: int | None = None, kdist: DataFrame | None = None) -> DataFrame:
     """``id, cluster, is_core`` (noise = -1) with cosine distance <= eps
-    and ``min_samples`` counting the row itself."""
+    and ``min_samples`` counting the row itself.
+
+    A row is core exactly if its k-distance (A2, same ``min_samples``) is at
+    most ``eps``: pass ``kdist`` where it is known already.  Rows meet only
+    the cells in reach of ``eps`` (:mod:`..plans.cells`).
+    """
     t = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_x"))
-    b, nn = _block_plan(t, t, block_rows)
-    counts = neighbor_counts(t, eps, "_id", "_x", block_rows=b)
-    tc = cut_lineage(t.join(counts, "_id").withColumn("_core", F.col("n_eps") >= min_samples))
+    if min_samples < 2:
+        core = t.select("_id", F.lit(True).alias("_core"))
+    else:
+        kd = k_distance(t, min_samples, "_id", "_x", block_rows) if kdist is None else kdist.withColumnRenamed(id_col, "_id")
+        core = kd.select("_id", (F.col("kdist") <= eps).alias("_core"))
+    cell = cells.build(t.join(core, "_id", "left").withColumn("_core", F.coalesce("_core", F.lit(False))), "_id", "_x")
+    tc = cell.rows.drop("_cell")
     edges = blocks.cogroup_blocks(
-        tc, tc, "_id", "_id",
+        cells.reach(tc, cell, "_x", eps), cell.rows, "_id", "_id",
         blocks.dbscan_edge_kernel(eps, "_id", "_id", "_x", "_x", "_core", "_core"),
-        "a long, b long, kind string", block_rows=b, counts=nn, symmetric=True)
-    edges = cut_lineage(edges)
+        "a long, b long, kind string", key="_cell", block_rows=block_rows or blocks.DEFAULT_BLOCK_ROWS)
+    edges = cut_lineage(edges.distinct())
     core_nodes = tc.where("_core").select(F.col("_id").alias("id"))
     comp = connected_components(edges.where(F.col("kind") == "c").select(F.col("a").alias("src"),
                                                                           F.col("b").alias("dst")),

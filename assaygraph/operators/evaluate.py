@@ -11,15 +11,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ranking import running_sum
+from ..plans.ranking import null_safe_join, running_sum
+from ..plans.session import cut_lineage
 
 
-def confusion(df: DataFrame, y: str = "y", pred: str = "pred", classes=(0, 1)) -> DataFrame:
-    """``y, pred, n`` for every cell of the class grid (zeros included)."""
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in classes for b in classes], f"{y} int, {pred} int")
-    counts = df.groupBy(y, pred).agg(F.count(F.lit(1)).alias("n"))
-    return grid.join(counts, [y, pred], "left").select(y, pred, F.coalesce("n", F.lit(0)).alias("n"))
+def _cell_counts(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """``y, pred, n`` of the pairs that occur: classes squared rows at most, frozen for the several uses."""
+    return cut_lineage(df.groupBy(F.col(y).alias("y"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _classes(counts: DataFrame) -> DataFrame:
+    return counts.select(F.col("y").alias("c")).unionByName(counts.select(F.col("pred").alias("c"))).distinct()
+
+
+def confusion(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
+    """``y, pred, n`` for every cell of the class grid (zeros included).
+
+    Classes are all values of either side; a null label or prediction is a
+    class of its own, so the counts add up to the rows.
+    """
+    counts = _cell_counts(df, y, pred)
+    c = _classes(counts)
+    grid = c.select(F.col("c").alias("y")).crossJoin(c.select(F.col("c").alias("pred")))        # classes squared
+    out = null_safe_join(grid, counts, ["y", "pred"], "left")
+    return out.select(F.col("y").alias(y), F.col("pred").alias(pred), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _cells(df: DataFrame, y: str, pred: str) -> list[Column]:
@@ -42,42 +57,50 @@ def _metric_cols(tp, fp, tn, fn) -> dict[str, Column]:
 
 
 def metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
-    """E2-E4 metric record: one row ``f1_score, accuracy, balanced_accuracy``."""
-    c = df.agg(*_cells(df, y, pred))
-    m = _metric_cols(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))
-    return c.select(*[v.alias(k) for k, v in m.items()])
+    """E2-E4 metric record: one row ``accuracy, balanced_accuracy, f1_score``.
+
+    Any number of classes: a row counts as right if its prediction is its
+    label (a null prediction never is); balanced accuracy is the mean recall
+    of the classes in ``y``; F1 is that of class 1.  Rows without a label are
+    left out.
+    """
+    c = df.where(F.col(y).isNotNull()).groupBy(F.col(y).alias("y"), F.col(pred).alias("pred")).agg(
+        F.count(F.lit(1)).alias("n"))
+    right = F.col("y").eqNullSafe(F.col("pred"))
+    per = c.groupBy("y").agg(F.sum("n").alias("sup"), F.sum(F.when(right, F.col("n")).otherwise(0)).alias("tp"),
+                             F.sum(F.when((F.col("y") != 1) & (F.col("pred") == 1), F.col("n")).otherwise(0)).alias("fp"))
+    one = F.col("y") == 1
+    tp = F.coalesce(F.sum(F.when(one, F.col("tp"))), F.lit(0))
+    wrong = F.coalesce(F.sum("fp"), F.lit(0)) + F.coalesce(F.sum(F.when(one, F.col("sup") - F.col("tp"))), F.lit(0))
+    return per.agg(F.try_divide(F.sum("tp"), F.sum("sup")).alias("accuracy"),
+                   F.avg(F.col("tp") / F.col("sup")).alias("balanced_accuracy"),
+                   F.coalesce(F.try_divide(2 * tp, 2 * tp + wrong), F.lit(0.0)).alias("f1_score"))
 
 
 def classification_report(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     """E5: per class precision, recall, f1, support; then accuracy, macro avg
-    and weighted avg rows (zero_division = 0)."""
-    per = df.groupBy().agg(*[
-        x for k in (0, 1) for x in (
-            F.count_if((F.col(y) == k) & (F.col(pred) == k)).alias(f"tp{k}"),
-            F.count_if(F.col(pred) == k).alias(f"pp{k}"),
-            F.count_if(F.col(y) == k).alias(f"sup{k}"))])
-    rows = []
-    for k in (0, 1):
-        tp, pp, sup = F.col(f"tp{k}"), F.col(f"pp{k}"), F.col(f"sup{k}")
-        prec = F.when(pp > 0, tp / pp).otherwise(0.0)
-        rec = F.when(sup > 0, tp / sup).otherwise(0.0)
-        f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
-        rows.append((str(k), prec, rec, f1, sup))
-    total = F.col("sup0") + F.col("sup1")
-    acc = (F.col("tp0") + F.col("tp1")) / total
-    structs = [F.struct(F.lit(k).alias("label"), p.alias("precision"), r.alias("recall"), f.alias("f1"),
-                        s.cast("double").alias("support")) for k, p, r, f, s in rows]
-    structs.append(F.struct(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                            F.lit(None).cast("double").alias("recall"), acc.alias("f1"),
-                            total.cast("double").alias("support")))
-    for name, w0, w1 in (("macro avg", F.lit(0.5), F.lit(0.5)),
-                         ("weighted avg", F.col("sup0") / total, F.col("sup1") / total)):
-        structs.append(F.struct(F.lit(name).alias("label"),
-                                (w0 * rows[0][1] + w1 * rows[1][1]).alias("precision"),
-                                (w0 * rows[0][2] + w1 * rows[1][2]).alias("recall"),
-                                (w0 * rows[0][3] + w1 * rows[1][3]).alias("f1"),
-                                total.cast("double").alias("support")))
-    return per.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    and weighted avg rows (zero_division = 0).  Any number of classes; rows
+    without a label are left out, a null prediction is no class."""
+    counts = _cell_counts(df.where(F.col(y).isNotNull()), y, pred)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    of_y = counts.groupBy(F.col("y").alias("c")).agg(
+        F.sum("n").alias("sup"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n"))).alias("tp"))
+    of_pred = counts.groupBy(F.col("pred").alias("c")).agg(F.sum("n").alias("pp"))
+    per = _classes(counts).where("c is not null").join(of_y, "c", "left").join(of_pred, "c", "left")
+    per = per.select("c", F.coalesce("sup", F.lit(0)).alias("sup"), zero(F.try_divide("tp", "pp")).alias("precision"),
+                     zero(F.try_divide("tp", "sup")).alias("recall"), F.coalesce("tp", F.lit(0)).alias("tp"))
+    per = per.withColumn("f1", zero(F.try_divide(2 * F.col("precision") * F.col("recall"),
+                                                 F.col("precision") + F.col("recall"))))
+    measures = ["precision", "recall", "f1"]
+    support = F.sum("sup").cast("double").alias("support")
+    none = F.lit(None).cast("double")
+    rows = per.select(F.col("c").cast("string").alias("label"), *measures, F.col("sup").cast("double").alias("support"))
+    acc = per.agg(F.lit("accuracy").alias("label"), F.max(none).alias("precision"), F.max(none).alias("recall"),
+                  F.try_divide(F.sum("tp"), F.sum("sup")).alias("f1"), support)
+    macro = per.agg(F.lit("macro avg").alias("label"), *[F.avg(m).alias(m) for m in measures], support)
+    weighted = per.agg(F.lit("weighted avg").alias("label"),
+                       *[F.try_divide(F.sum(F.col(m) * F.col("sup")), F.sum("sup")).alias(m) for m in measures], support)
+    return rows.unionByName(acc).unionByName(macro).unionByName(weighted)
 
 
 def score_counts(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
@@ -88,11 +111,15 @@ def score_counts(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame
 
 def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """E6 curve / W2: ``threshold, tps, fps, tpr, fpr`` at every distinct score
-    (descending scores; running sums are skew-safe)."""
+    (descending scores; running sums are skew-safe), and the start point where
+    no row is taken (infinite threshold)."""
     sc = score_counts(df, y, score)
     cum = running_sum(sc, [F.col("score").desc()], ["pos", "neg"])
-    totals = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return cum.crossJoin(F.broadcast(totals)).select(  # totals: one row
+    totals = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))            # one row
+    start = totals.select(F.lit(float("inf")).alias("score"), F.lit(0).cast("long").alias("cum_pos"),
+                          F.lit(0).cast("long").alias("cum_neg"))
+    cum = cum.select(F.col("score").cast("double").alias("score"), "cum_pos", "cum_neg").unionByName(start)
+    return cum.crossJoin(F.broadcast(totals)).select(
         F.col("score").alias("threshold"), F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"),
         F.when(F.col("P") > 0, F.col("cum_pos") / F.col("P")).alias("tpr"),
         F.when(F.col("N") > 0, F.col("cum_neg") / F.col("N")).alias("fpr"))
@@ -109,9 +136,12 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
 
 
 def pr_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """``threshold, precision, recall`` at each distinct score."""
+    """``threshold, precision, recall`` at each distinct score, and the end point precision 1, recall 0 (no
+    threshold)."""
     roc = roc_curve(df, y, score)
-    return roc.select("threshold", (F.col("tps") / (F.col("tps") + F.col("fps"))).alias("precision"),
+    start = F.col("threshold") == float("inf")
+    return roc.select(F.when(~start, F.col("threshold")).alias("threshold"),
+                      F.when(start, 1.0).otherwise(F.try_divide("tps", F.col("tps") + F.col("fps"))).alias("precision"),
                       F.col("tpr").alias("recall"))
 
 

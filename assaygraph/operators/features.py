@@ -1,7 +1,7 @@
 """Scaling, one-hot encoding and the column transformer.
 
-Fitted parameters are tiny (two numbers per numeric column and a category
-list whose size is checked), so a fit is one aggregate pass whose single row
+Fitted parameters are small (two numbers per numeric column and the categories
+that become columns), so a fit is one aggregate pass whose single row
 is read on the driver; applying them is a projection with literals - no join,
 no shuffle.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_CATEGORIES = 10_000
+from ..plans.ranking import with_index
 
 
 @dataclass
@@ -89,15 +89,25 @@ def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = No
     return df.withColumns(out)
 
 
-def fit_categories(df: DataFrame, col: str, max_categories: int = MAX_CATEGORIES) -> list[str]:
-    """Sorted distinct non-null values; refuses more than ``max_categories``."""
-    vals = (df.select(F.col(col).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
-              .orderBy("v").limit(max_categories + 1).collect())
-    if len(vals) > max_categories:
-        raise ValueError(f"{col}: more than {max_categories} categories; use a hashed/sparse encoding")
+def fit_categories(df: DataFrame, col: str) -> list[str]:
+    """Sorted distinct non-null values.  They become columns of the result; for a column with very many values
+    use :func:`sparse_one_hot`, which keeps them in a table."""
+    vals = df.select(F.col(col).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").collect()
     return [r["v"] for r in vals]
 
 
+def category_index(df: DataFrame, col: str) -> DataFrame:
+    """``value, pos``: the sorted distinct values and their places, as a table (any number of values)."""
+    values = df.select(F.col(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
+    return with_index(values, ["value"], out="pos")
+
+
+def sparse_one_hot(df: DataFrame, col: str, index: DataFrame, out: str = "hot") -> DataFrame:
+    """F2 for any number of categories: ``out`` is the place of the row's 1 (null: unseen or no value, all zeros)."""
+    places = index.select(F.col("value").alias("_value"), F.col("pos").alias(out))
+    return df.join(places, F.col(col).cast("string") == F.col("_value"), "left").drop("_value")
+
+
 def one_hot_exprs(col: str, categories: list[str]) -> list[Column]:
     """one indicator per sorted category; unseen values give all zeros."""
     c = F.col(col).cast("string")
@@ -111,7 +121,8 @@ def fit_encoder(df: DataFrame, num_cols: list[str], cat_cols: list[str]) -> Enco
 
 
 def encode_exprs(params: EncoderParams) -> list[Column]:
-    exprs = [F.coalesce(minmax_expr(c, params.mins[c], params.maxs[c]), F.lit(0.0)) for c in params.num_cols]
+    # a missing number stays missing: 0.0 would be the smallest value
+    exprs = [minmax_expr(c, params.mins[c], params.maxs[c]) for c in params.num_cols]
     for c in params.cat_cols:
         exprs += one_hot_exprs(c, params.categories[c])
     return exprs
@@ -127,9 +138,9 @@ def encoder_sql(params: EncoderParams, names: list[str]) -> str:
     for c in params.num_cols:
         lo, hi = params.mins[c], params.maxs[c]
         if lo is None or hi is None or hi == lo:
-            parts.append("0.0")
+            parts.append(f"CASE WHEN {q(c)} IS NOT NULL THEN 0.0D END")
         else:
-            parts.append(f"coalesce((CAST({q(c)} AS DOUBLE) - ({float(lo)!r})) / ({float(hi) - float(lo)!r}), 0.0)")
+            parts.append(f"(CAST({q(c)} AS DOUBLE) - ({float(lo)!r}D)) / ({float(hi) - float(lo)!r}D)")
     for c in params.cat_cols:
         for v in params.categories[c]:
             lit = v.replace("\\", "\\\\").replace("'", "\\'")
@@ -144,9 +155,10 @@ def encode(df: DataFrame, params: EncoderParams, out: str = "x") -> DataFrame:
 
 
 def zero_variance(df: DataFrame, cols: list[str]) -> list[str]:
-    """columns with at most one distinct non-null value (one pass)."""
-    row = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    return [c for i, c in enumerate(cols) if row[f"d{i}"] <= 1]
+    """columns with at most one distinct non-null value: least and greatest agree (one pass, no shuffle of values)."""
+    same = [F.min(c).eqNullSafe(F.max(c)).alias(f"s{i}") for i, c in enumerate(cols)]
+    row = df.agg(*same).first()
+    return [c for i, c in enumerate(cols) if row[f"s{i}"]]
 
 
 def pearson(a: Column, b: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ranking import with_index
+from ..plans.session import cut_lineage
 from . import cluster as CL
 from . import similarity as SIM
 
@@ -63,8 +64,9 @@ def build_graph(df: DataFrame, id_col: str = "id", vec: str = "x", label: str =
     ``edges(src, dst)`` on the dense ids and the eps used.  Noise rows are
     not nodes; empty graphs raise as in the reference.
     """
-    eps = CL.estimate_eps(df, min_samples, quantile, id_col, vec)
-    cl = CL.dbscan(df, eps, min_samples, id_col, vec)
+    kd = cut_lineage(SIM.k_distance(df, min_samples, id_col, vec))
+    eps = CL.eps_of(kd, quantile)
+    cl = CL.dbscan(df, eps, min_samples, id_col, vec, kdist=kd)
     keep = [id_col, vec, label] + ([split_col] if split_col else [])
     members = df.select(*keep).join(cl.where(F.col("cluster") != -1).select(id_col, "cluster"), id_col)
     e = intra_cluster_knn(members, k, id_col, vec, "cluster")

@@ -64,7 +64,9 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     qs = exact_quantiles(long, "v", [0.25, 0.5, 0.75], ["column"])
     qs = qs.select("column", F.concat((F.col("q") * 100).cast("int").cast("string"), F.lit("%")).alias("stat"),
                    "value")
-    return simple.unionByName(qs)
+    # a column without values keeps its quartile rows, as NULL
+    grid = df.sparkSession.createDataFrame([(c, s) for c in cols for s in ("25%", "50%", "75%")], "column string, stat string")
+    return simple.unionByName(grid.join(qs, ["column", "stat"], "left"))
 
 
 def value_counts(df: DataFrame, col: str, sort_by_key: bool = False) -> DataFrame:

@@ -115,33 +115,74 @@ def running_sum(df: DataFrame, order_by: Sequence[str | Column], value_cols: Seq
     return out
 
 
+#: Rank error of the sketch that brackets a quantile, as a share 1 / ACCURACY of the rows.
+ACCURACY = 5000
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], partition_by: Sequence[str] = (),
                     out: str = "value") -> DataFrame:
     """Linear-interpolation quantiles (numpy ``linear`` / SQL ``quantile_cont``).
 
-    Exact and skew-safe: rows are positioned with :func:`with_index` and only
-    the two rows around each target position are read back, so no group's
-    values are ever collected into one buffer (``percentile`` would).
-    Returns ``partition_by..., q, value``; NULLs are ignored.
+    Exact without sorting the rows: a mergeable sketch brackets each wanted
+    rank, one more pass counts the rows below the bracket and groups the few
+    values inside by value, and only those are put in order (skew-safe running
+    sums, so a bracket may hold any number of values).  A bracket that turns
+    out not to hold its rank - the sketch promises an error, it does not prove
+    it - is widened to all values of that group.
+    Returns ``partition_by..., q, value``; NULLs and NaNs are ignored, a group
+    without other values has no row.
     """
     pb = list(partition_by)
     base = df.select(*pb, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    ranked = with_index(base, ["_v"], pb, out="_i")     # reads a checkpoint: upstream runs once
-    counts = ranked.groupBy(*pb).agg(F.count(F.lit(1)).alias("_n"))
-    q_arr = F.array(*[F.lit(float(q)) for q in qs])
-    targets = (counts.select(*pb, "_n", F.explode(q_arr).alias("q"))
-                     .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
-                     .withColumn("_lo", F.floor("_pos").cast("long"))
-                     .withColumn("_hi", F.ceil("_pos").cast("long"))
-                     .withColumn("_frac", F.col("_pos") - F.col("_lo")))
-    wanted = targets.select(*pb, "q", "_lo", "_hi", "_frac",
-                            F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_i"))
-    hit = null_safe_join(ranked, wanted, [*pb, "_i"])
-    agg = hit.groupBy(*pb, "q").agg(
-        F.max(F.when(F.col("_i") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_i") == F.col("_hi"), F.col("_v"))).alias("_vhi"),
-        F.first("_frac").alias("_frac"))
-    return agg.select(*pb, "q", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias(out))
+    # -0.0 and 0.0 are one value for grouping
+    base = base.withColumn("_v", F.col("_v") + F.lit(0.0))
+    margin = 2.0 / ACCURACY
+    low = F.array(*[F.lit(max(0.0, q - margin)) for q in qs])
+    high = F.array(*[F.lit(min(1.0, q + margin)) for q in qs])
+    sketch = base.groupBy(*pb).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                                   F.percentile_approx("_v", low, ACCURACY).alias("_lows"),
+                                   F.percentile_approx("_v", high, ACCURACY).alias("_highs"))
+    wanted = F.transform(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(i).alias("i")) for i, q in enumerate(qs)]),
+                         lambda x: F.struct(x["q"].alias("q"),
+                                            F.when(x["q"] <= margin, F.col("_min")).otherwise(F.col("_lows")[x["i"]]).alias("a"),
+                                            F.when(x["q"] >= 1 - margin, F.col("_max")).otherwise(F.col("_highs")[x["i"]]).alias("b")))
+    sketch = sketch.select(*pb, "_n", "_min", "_max", F.explode(wanted).alias("_w"))
+    pos = F.col("_w.q") * (F.col("_n") - 1)
+    targets = cut_lineage(sketch.where("_n > 0").select(
+        *pb, F.col("_w.q").alias("q"), F.col("_w.a").alias("_a"), F.col("_w.b").alias("_b"), "_min", "_max",
+        F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi"),
+        (pos - F.floor(pos)).alias("_frac")))
+    hit = _between(base, targets, pb)
+    short = targets.join(hit.select(*[F.col(c).alias(f"_h_{c}") for c in [*pb, "q"]]),
+                         _same([*pb, "q"]), "left_anti")
+    short = cut_lineage(short)
+    if not short.isEmpty():
+        hit = hit.unionByName(_between(base, short.withColumns({"_a": F.col("_min"), "_b": F.col("_max")}), pb))
+    return hit.select(*pb, "q", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias(out))
+
+
+def _same(cols: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    return cond
+
+
+def _between(base: DataFrame, targets: DataFrame, pb: list[str]) -> DataFrame:
+    """``pb..., q, _frac, _vlo, _vhi`` of the targets whose ranks lie in their bracket ``_a .. _b``."""
+    ask = targets.select(*pb, "q", "_a", "_b")
+    met = null_safe_join(base, ask, pb) if pb else base.crossJoin(F.broadcast(ask))       # as many rows as quantiles
+    inside = F.when(F.col("_v") >= F.col("_a"), F.col("_v"))                              # null: below the bracket
+    counts = met.where(F.col("_v") <= F.col("_b")).groupBy(*pb, "q", inside.alias("_x")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    cum = running_sum(counts, [F.col("_x").asc_nulls_first()], ["_c"], [*pb, "q"], prefix="_upto")
+    rows = null_safe_join(cum, targets.drop("_a", "_b"), [*pb, "q"])
+    # the value at a position is the first one whose running count passes it; below the bracket is no answer
+    at = lambda p: F.min(F.when((F.col("_upto_c") > F.col(p)) & (F.col("_upto_c") - F.col("_c") <= F.col(p)),
+                                F.struct(F.col("_x").isNull().alias("miss"), F.col("_x").alias("x"))))
+    out = rows.groupBy(*pb, "q").agg(F.first("_frac").alias("_frac"), at("_lo").alias("_l"), at("_hi").alias("_h"))
+    return (out.where(F.col("_l").isNotNull() & F.col("_h").isNotNull() & ~F.col("_l.miss") & ~F.col("_h.miss"))
+               .select(*pb, "q", "_frac", F.col("_l.x").alias("_vlo"), F.col("_h.x").alias("_vhi")))
 
 
 def exact_quantile_value(df: DataFrame, col: str, q: float) -> float | None:

@@ -69,6 +69,85 @@ def test_f2_unseen_category(spark):
     assert got == [(0.0, 0.0), (0.0, 1.0)]
 
 
+def test_f2_any_number_of_categories(spark):
+    from assaygraph.operators.features import category_index, sparse_one_hot
+
+    fit = spark.createDataFrame([(f"c{i:05d}",) for i in range(12000)] + [(None,)], "m string")
+    app = spark.createDataFrame([("c00000",), ("c11999",), ("new",), (None,)], "m string")
+    got = {r.m: r.hot for r in sparse_one_hot(app, "m", category_index(fit, "m")).collect()}
+    assert got == {"c00000": 0, "c11999": 11999, "new": None, None: None}
+
+
+def test_f4_missing_number_stays_missing(spark):
+    from assaygraph.operators.features import encode, fit_encoder
+
+    df = spark.createDataFrame([(1.0, "a"), (None, "b"), (3.0, "a")], "v double, m string")
+    got = sorted((r.x for r in encode(df, fit_encoder(df, ["v"], ["m"])).collect()), key=repr)
+    assert got == [[0.0, 1.0, 0.0], [1.0, 1.0, 0.0], [None, 0.0, 1.0]]
+
+
+def test_e1_e2_e5_any_classes(spark):
+    from assaygraph.operators.evaluate import classification_report, confusion, metrics, pr_curve, roc_curve
+
+    df = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (2, 0), (1, None)], "y int, pred int")
+    cells = {(r.y, r.pred): r.n for r in confusion(df).collect()}
+    assert sum(cells.values()) == 5 and len(cells) == 16 and cells[(1, None)] == 1 and cells[(0, 2)] == 0
+    m = metrics(df).first()
+    assert m["accuracy"] == pytest.approx(0.6) and m["balanced_accuracy"] == pytest.approx(2 / 3)
+    assert m["f1_score"] == pytest.approx(2 / 3)
+    rep = {r.label: r for r in classification_report(df).collect()}
+    assert set(rep) == {"0", "1", "2", "accuracy", "macro avg", "weighted avg"}
+    assert rep["2"].recall == 0.5 and rep["0"].precision == 0.5 and rep["accuracy"].f1 == pytest.approx(0.6)
+    two = spark.createDataFrame([(1, 0.9), (0, 0.2)], "y int, score double")
+    assert (float("inf"), 0.0, 0.0) in rows(roc_curve(two), "threshold", "tpr", "fpr")
+    assert (None, 1.0, 0.0) in rows(pr_curve(two), "threshold", "precision", "recall")
+
+
+def test_ranking_keeps_repeated_and_null_ids(spark):
+    from assaygraph.operators.split import hash_split, positional_split, stratified_split
+
+    data = [(1, 1.0, "a"), (1, 2.0, "a"), (None, 3.0, "a"), (4, 4.0, "b")]
+    narrow = spark.createDataFrame(data, "id long, v double, c string")
+    wide = narrow.withColumn("x", F.array("v", "v"))
+    for split in (lambda d: positional_split(d, "id", 0.5), lambda d: stratified_split(d, "id", "c", 0.5)):
+        a, b = (sorted(rows(split(d), "id", "v", "split"), key=repr) for d in (narrow, wide))
+        assert len(a) == 4 and a == b
+    ids = spark.range(10000).unionByName(spark.createDataFrame([(2**63 - 1,), (-5,)], "id long"))
+    sides = [{r.id for r in hash_split(ids, "id", 0.8, s).where("split = 'test'").collect()} for s in (43, 44)]
+    assert all(0.18 < len(s) / 10002 < 0.22 for s in sides) and 0.15 < len(sides[0] & sides[1]) / len(sides[0]) < 0.25
+
+
+def test_long_path_converges(spark):
+    from assaygraph.operators.cluster import connected_components
+
+    e = spark.createDataFrame([(i, i + 1) for i in range(700)], "src long, dst long")
+    assert {r.component for r in connected_components(e).collect()} == {0}
+
+
+def test_pruned_join_meets_few_cells(spark):
+    """On the assay view each query meets a small part of the pairs, and loses none."""
+    from assaygraph.operators import features as FE
+    from assaygraph.operators.similarity import knn
+    from assaygraph.plans import cells
+    from assaygraph.sources.tables import assay_base
+
+    a = assay_base(spark, "/root/testdata/sf0.01")
+    x = FE.encode(a, FE.fit_encoder(a, ["dose", "hr"], ["material"])).select(F.col("row_id").alias("id"), "x")
+    grid = cells.build(x, "id", "x")
+    size = {r["_cell"]: r["count"] for r in grid.rows.groupBy("_cell").count().collect()}
+    met = cells.reach(grid.rows.drop("_cell"), grid, "x", 0.0005).groupBy("_cell").count().collect()
+    assert sum(r["count"] * size.get(r["_cell"], 0) for r in met) < 0.2 * sum(size.values()) ** 2
+    some = x.where("id % 97 = 0")
+    got = sorted(rows(knn(some, x, k=3, exclude_self=True), "query_id", "rank", "dist"))
+    m = np.array([r.x for r in x.orderBy("id").collect()])
+    u = m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]
+    ids = [r.id for r in x.orderBy("id").select("id").collect()]
+    for q, rank, dist in got[::7]:
+        d = np.round(1 - u @ u[ids.index(q)], 9)
+        d[ids.index(q)] = 9
+        assert dist == pytest.approx(max(0.0, np.sort(d)[rank - 1]), abs=2e-9)
+
+
 def test_f6_chain_drop(spark):
     from assaygraph.operators.features import high_correlation
 
