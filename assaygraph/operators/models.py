@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import statistics
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import cut_lineage
 from . import evaluate as E
 
 
@@ -36,7 +38,7 @@ def random_forest(features: list[str], label: str = "y", weight: str | None = No
                   subset: str = "sqrt", bootstrap: bool = True) -> Pipeline:
     """M1: assembler + RandomForestClassifier (balanced weights via ``weight``)."""
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees,
-                                maxDepth=min(max_depth, 30), minInstancesPerNode=min_instances,
+                                maxDepth=max_depth, minInstancesPerNode=min_instances,
                                 featureSubsetStrategy=subset, bootstrap=bootstrap, seed=seed)
     if weight:
         rf.setWeightCol(weight)
@@ -62,7 +64,7 @@ class PlattSVM:
     logistic calibration of the margin (Platt scaling) for probabilities."""
 
     def __init__(self, features: list[str], label: str = "y", kind: str = "rbf", gamma: float = 1.0,
-                 degree: int = 2, reg: float = 0.01, n_components: int = 64, seed: int = 43, weight: str | None = None):
+                 degree: int = 3, reg: float = 0.01, n_components: int = 128, seed: int = 43, weight: str | None = None):
         self.features, self.label, self.kind = features, label, kind
         self.gamma, self.degree, self.reg, self.n_components, self.seed, self.weight = (
             gamma, degree, reg, n_components, seed, weight)
@@ -81,7 +83,7 @@ class PlattSVM:
         else:
             stages = [assembler(self.features, "_raw"), PolynomialExpansion(degree=self.degree, inputCol="_raw",
                                                                             outputCol="features")]
-        svc = LinearSVC(featuresCol="features", labelCol=self.label, regParam=self.reg, maxIter=25)
+        svc = LinearSVC(featuresCol="features", labelCol=self.label, regParam=self.reg, maxIter=100)
         if self.weight:
             svc.setWeightCol(self.weight)
         self.svm = Pipeline(stages=stages + [svc]).fit(d)
@@ -99,8 +101,8 @@ class PlattSVM:
         return self.platt.transform(scored)
 
 
-def mlp(features: list[str], label: str = "y", hidden: tuple[int, ...] = (16,), seed: int = 43,
-        max_iter: int = 100) -> Pipeline:
+def mlp(features: list[str], label: str = "y", hidden: tuple[int, ...] = (64, 32), seed: int = 43,
+        max_iter: int = 200) -> Pipeline:
     """M4: MultilayerPerceptronClassifier (sigmoid hidden units; Spark has no
     relu/tanh choice, L2 term or sample weights - documented difference)."""
     layers = [len(features), *hidden, 2]
@@ -110,7 +112,7 @@ def mlp(features: list[str], label: str = "y", hidden: tuple[int, ...] = (16,),
 
 
 def logistic(features: list[str], label: str = "y", weight: str | None = None, reg: float = 0.0) -> Pipeline:
-    lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg, maxIter=50)
+    lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg, maxIter=100)
     if weight:
         lr.setWeightCol(weight)
     return Pipeline(stages=[assembler(features, "_raw"), StandardScaler(inputCol="_raw", outputCol="features"), lr])
@@ -152,7 +154,7 @@ def out_of_fold(df: DataFrame, make, fold_col: str = "fold", label: str = "y") -
     return out
 
 
-def search(df: DataFrame, space: dict, make, n_trials: int = 8, fold_col: str = "fold", seed: int = 43,
+def search(df: DataFrame, space: dict, make, n_trials: int = 100, fold_col: str = "fold", seed: int = 43,
            label: str = "y", parallelism: int = 2) -> DataFrame:
     """M6: seeded random search maximising mean CV balanced accuracy with
     median pruning after each fold (successive halving over folds).
@@ -205,26 +207,37 @@ def search(df: DataFrame, space: dict, make, n_trials: int = 8, fold_col: str =
 
 
 def best_n_features(train: DataFrame, test: DataFrame, ranked: list[str], make, label: str = "y") -> DataFrame:
-    """for n = 1..p fit on the top-n features; F1 on test per n."""
+    """for n = 1..p fit on the top-n features; F1 on test per n, and ``chosen``: the smallest n with the best F1."""
     rows = []
     for n in range(1, len(ranked) + 1):
         m = make(ranked[:n]).fit(train)
         r = E.metrics(with_score(m.transform(test), label)).first()
         rows.append((n, ",".join(ranked[:n]), float(r["f1_score"])))
-    return train.sparkSession.createDataFrame(rows, "n int, features string, f1_score double")
+    best = max(rows, key=lambda r: (r[2], -r[0]))[0] if rows else 0
+    return train.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows],
+                                              "n int, features string, f1_score double, chosen boolean")
 
 
 def evaluate_groups(train: DataFrame, test: DataFrame, groups: dict[str, list[str]], make,
-                    sizes=(2, 3), label: str = "y") -> DataFrame:
-    """every 2- and 3-subset of the feature groups, F1 on test, best first."""
+                    sizes=(2, 3), label: str = "y", fold_col: str = "fold") -> DataFrame:
+    """every 2- and 3-subset of the feature groups, F1 on test, best first.
+
+    The threshold of each subset comes from cross-validation on the training
+    rows (E8: best F1 of each fold's held-out scores, median over folds); the
+    model that is tested is then fitted on all of them.
+    """
     rows = []
     for k in sizes:
         for combo in itertools.combinations(sorted(groups), k):
             cols = group_columns(train.columns, groups, list(combo))
-            m = make(cols).fit(train)
-            r = E.metrics(with_score(m.transform(test), label)).first()
-            rows.append(("+".join(combo), len(cols), float(r["f1_score"])))
-    return train.sparkSession.createDataFrame(rows, "groups string, n_features int, f1_score double").orderBy(
+            oof = cut_lineage(out_of_fold(train, lambda: make(cols), fold_col, label).select(fold_col, "y", "score"))
+            per_fold = E.best_threshold(oof, E.grid_e8(), "f1_score", by=[fold_col]).collect()     # one row a fold
+            t = statistics.median(r["threshold"] for r in per_fold)
+            scored = with_score(make(cols).fit(train).transform(test), label)
+            r = E.metrics(scored.withColumn("pred", (F.col("score") >= t).cast("int"))).first()
+            rows.append(("+".join(combo), len(cols), float(t), float(r["f1_score"])))
+    return train.sparkSession.createDataFrame(
+        rows, "groups string, n_features int, threshold double, f1_score double").orderBy(
         F.desc("f1_score"), "groups")
 
 
