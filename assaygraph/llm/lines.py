@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast
+from .common import maybe_broadcast, stored
+
+#: The hosts' lists are broadcast up to so many characters, and joined by a shuffle beyond.
+BROADCAST_CHARS = 16_000_000
 
 
 def _lines(col):
@@ -49,9 +52,10 @@ def drop_boilerplate(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 1
     Repeated rows count as pages of their own.  An empty table stays empty;
     other columns pass through.
     """
-    hot = boilerplate(docs, max_ratio, min_pages, host_col, text_col)
+    hot = stored(boilerplate(docs, max_ratio, min_pages, host_col, text_col), "boilerplate")
     hot = hot.select(F.col("host").alias("_host"), F.col("lines").alias("_hot"))
-    joined = docs.join(maybe_broadcast(hot, 50_000), F.col(host_col).cast("string").eqNullSafe(F.col("_host")), "left")
+    size = hot.agg(F.sum(F.length(F.array_join("_hot", "")) + 64)).first()[0] or 0
+    joined = docs.join(F.broadcast(hot) if size <= BROADCAST_CHARS else hot, F.col(host_col).cast("string").eqNullSafe(F.col("_host")), "left")
     all_lines = _lines(F.col(text_col).cast("string"))
     joined = joined.withColumn("_all", all_lines).withColumn(
         "_kept", F.when(F.col("_hot").isNull(), F.col("_all")).otherwise(
