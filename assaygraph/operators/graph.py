@@ -88,8 +88,27 @@ def symmetric(edges: DataFrame, self_loops_from: DataFrame | None = None, id_col
     return both.distinct()
 
 
-def _explode_vec(nodes: DataFrame, id_col: str, vec: str) -> DataFrame:
-    return nodes.select(F.col(id_col).alias("n"), F.posexplode(F.col(vec).cast("array<double>")).alias("k", "v"))
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda total, v: total + v)
+
+
+def _softmax_mean(messages: DataFrame) -> DataFrame:
+    """``dst, k, value``: softmax(e)-weighted mean of the vectors ``v`` that reach each ``dst``.
+
+    ``messages`` (``dst, e, v``) is frozen once for the maximum and the sums;
+    vectors are taken apart for the last sum only.
+    """
+    messages = cut_lineage(messages)
+    top = messages.groupBy("dst").agg(F.max("e").alias("top"))
+    weighed = messages.join(top, "dst").select("dst", F.exp(F.col("e") - F.col("top")).alias("w"),
+                                               F.posexplode("v").alias("k", "v"))
+    return weighed.groupBy("dst", "k").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("value"))
+
+
+def _as_vectors(long: DataFrame, id_col: str, key: str) -> DataFrame:
+    """Long form back to one array for each node (as many entries as the vector has)."""
+    return long.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct(key, "value"))),
+                                                lambda s: s["value"]).alias("x"))
 
 
 def attention_layer(spark: SparkSession, nodes: DataFrame, edges: DataFrame, weight: list[list[float]],
@@ -101,28 +120,21 @@ def attention_layer(spark: SparkSession, nodes: DataFrame, edges: DataFrame, wei
     (both directions plus self loops); alpha = softmax_j(e_ij) per i;
     out_i = sum_j alpha_ij h_j, then the optional activation.  Returns
     ``node_id, o, value`` (long form of the output vector).
-    W and a are model parameters (bounded by the layer width) and join as
-    small literal tables.
+    W and a are model parameters (bounded by the layer width) and stand in
+    the plan as literals: a node's h is computed in its row.
     """
-    w = spark.createDataFrame([(kk, o, float(weight[o][kk])) for o in range(len(weight))
-                               for kk in range(len(weight[0]))], "k int, o int, w double")
-    a = spark.createDataFrame([(o, float(att_src[o]), float(att_dst[o])) for o in range(len(att_src))],
-                              "o int, a_s double, a_d double")
-    x = _explode_vec(nodes, id_col, vec)
-    h = x.join(F.broadcast(w), "k").groupBy("n", "o").agg(F.sum(F.col("v") * F.col("w")).alias("h"))
-    s = h.join(F.broadcast(a), "o").groupBy("n").agg(F.sum(F.col("h") * F.col("a_s")).alias("ss"),
-                                                     F.sum(F.col("h") * F.col("a_d")).alias("sd"))
-    msg = symmetric(edges, nodes, id_col)
-    e = (msg.join(s.select(F.col("n").alias("src"), "ss"), "src")
-            .join(s.select(F.col("n").alias("dst"), "sd"), "dst")
-            .withColumn("raw", F.col("ss") + F.col("sd")))
-    e = e.withColumn("e", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.col("raw") * slope))
-    mx = e.groupBy("dst").agg(F.max("e").alias("mx"))
-    ex = e.join(mx, "dst").withColumn("ex", F.exp(F.col("e") - F.col("mx")))
-    den = ex.groupBy("dst").agg(F.sum("ex").alias("den"))
-    alpha = ex.join(den, "dst").select("src", "dst", (F.col("ex") / F.col("den")).alias("alpha"))
-    out = (alpha.join(h.withColumnRenamed("n", "src"), "src").groupBy("dst", "o")
-                .agg(F.sum(F.col("alpha") * F.col("h")).alias("value")))
+    def literal(values):
+        return F.array(*[F.lit(float(v)) for v in values])
+
+    x = F.col(vec).cast("array<double>")
+    h = nodes.select(F.col(id_col).alias("n"), F.array(*[_dot(x, literal(row)) for row in weight]).alias("h"))
+    h = cut_lineage(h.select("n", "h", _dot(F.col("h"), literal(att_src)).alias("ss"),
+                             _dot(F.col("h"), literal(att_dst)).alias("sd")))
+    raw = F.col("ss") + F.col("sd")
+    messages = (symmetric(edges, nodes, id_col).join(h.select(F.col("n").alias("src"), "ss", F.col("h").alias("v")), "src")
+                .join(h.select(F.col("n").alias("dst"), "sd"), "dst")
+                .select("dst", F.when(raw >= 0, raw).otherwise(raw * slope).alias("e"), "v"))
+    out = _softmax_mean(messages).withColumnRenamed("k", "o")
     if activation == "relu":
         out = out.withColumn("value", F.greatest("value", F.lit(0.0)))
     elif activation == "tanh":
@@ -138,8 +150,6 @@ def attention_forward(spark: SparkSession, nodes: DataFrame, edges: DataFrame,
     its single head without activation.  Returns ``node_id, o, value`` of the
     last layer.  Each layer is one round of joins + grouped softmax; the
     state between layers is cut with a reliable checkpoint."""
-    from ..plans.session import cut_lineage
-
     cur = nodes.select(F.col(id_col).alias("node_id"), F.col(vec).cast("array<double>").alias("x"))
     out = None
     for li, heads in enumerate(layers):
@@ -155,9 +165,7 @@ def attention_forward(spark: SparkSession, nodes: DataFrame, edges: DataFrame,
         for p in parts[1:]:
             out = out.unionByName(p)
         if not last:
-            cur = cut_lineage(out.groupBy("node_id").agg(
-                F.transform(F.sort_array(F.collect_list(F.struct("o", "value"))), lambda s: s["value"])
-                .alias("x")))      # one value per output unit: bounded by the layer width
+            cur = cut_lineage(_as_vectors(out, "node_id", "o"))
     return out
 
 
@@ -167,22 +175,18 @@ def propagate(nodes: DataFrame, edges: DataFrame, hops: int = 1, beta: float = 1
     the neighbours and the node itself), ``hops`` rounds.  Returns
     ``node_id, k, value`` for the final hop."""
     msg = symmetric(edges, nodes, id_col)
-    cur = _explode_vec(nodes, id_col, vec)
-    for _ in range(hops):
-        norms = cur.groupBy("n").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nr"))
-        unit = cur.join(norms, "n").select("n", "k", F.when(F.col("nr") > 0, F.col("v") / F.col("nr"))
-                                           .otherwise(F.lit(0.0)).alias("u"))
-        cos = (msg.join(unit.withColumnRenamed("n", "src").withColumnRenamed("u", "us"), "src")
-                  .join(unit.withColumnRenamed("n", "dst").withColumnRenamed("u", "ud"), ["dst", "k"])
-                  .groupBy("src", "dst").agg(F.sum(F.col("us") * F.col("ud")).alias("c")))
-        sc = cos.withColumn("e", F.lit(beta) * F.col("c"))
-        mx = sc.groupBy("dst").agg(F.max("e").alias("mx"))
-        ex = sc.join(mx, "dst").withColumn("ex", F.exp(F.col("e") - F.col("mx")))
-        den = ex.groupBy("dst").agg(F.sum("ex").alias("den"))
-        alpha = ex.join(den, "dst").select("src", "dst", (F.col("ex") / F.col("den")).alias("alpha"))
-        cur = (alpha.join(cur.withColumnRenamed("n", "src"), "src").groupBy("dst", "k")
-                    .agg(F.sum(F.col("alpha") * F.col("v")).alias("v")).withColumnRenamed("dst", "n"))
-    return cur.select(F.col("n").alias(id_col), "k", F.col("v").alias("value"))
+    cur = nodes.select(F.col(id_col).alias("n"), F.col(vec).cast("array<double>").alias("x"))
+    long = None
+    for hop in range(hops):
+        if hop:
+            cur = _as_vectors(long.withColumnRenamed("dst", "n"), "n", "k")
+        norm = F.sqrt(_dot(F.col("x"), F.col("x")))
+        unit = cut_lineage(cur.select("n", "x", F.transform("x", lambda v: F.when(norm > 0, v / norm).otherwise(0.0)).alias("u")))
+        messages = (msg.join(unit.select(F.col("n").alias("src"), F.col("x").alias("v"), F.col("u").alias("us")), "src")
+                    .join(unit.select(F.col("n").alias("dst"), F.col("u").alias("ud")), "dst")
+                    .select("dst", (F.lit(beta) * _dot(F.col("us"), F.col("ud"))).alias("e"), "v"))
+        long = _softmax_mean(messages)
+    return long.select(F.col("dst").alias(id_col), "k", "value")
 
 
 def fixed_weights(d_in: int, d_out: int, seed: int = 1) -> tuple[list[list[float]], list[float], list[float]]:
