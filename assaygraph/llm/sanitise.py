@@ -127,10 +127,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = 0.5,
     both = (beside.select("entity", "term", "row").distinct().groupBy("entity", "term")
                   .agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_documents))
     both = stored(both, "pii-both")
-    wanted = maybe_broadcast(both.select("term").distinct(), 500_000)
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     own = docs.select(F.explode(F.array_distinct(F.split(text, r"[^\p{L}\p{N}]++"))).alias("term"))
-    n_term = own.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n_term = own.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))       # of every term, summed up in each task first
     out = both.join(n_term, "term").join(n_entity, "entity")
     pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     ic = F.log2(F.lit(float(n)) / F.col("n_entity"))
