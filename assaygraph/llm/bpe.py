@@ -4,9 +4,9 @@ The pre-tokenizer of byte-level BPE files makes a space between two
 non-spaces open the next piece, and a line break between two non-spaces a
 piece of its own.  So a text can be cut before such spaces, and the ids of
 the words joined.  Words recur, which turns most of the work into dictionary
-lookups; an unknown plain word goes straight to the file's BPE model.  Text
-around other white space, and files with another pre-tokenizer, are given to
-the library whole.
+lookups.  Unknown plain words of many texts go to the file's BPE model in one
+call, one word a piece.  Text around other white space, and files with another
+pre-tokenizer, are given to the library whole.
 """
 
 from __future__ import annotations
@@ -16,43 +16,52 @@ import re
 import sys
 from array import array
 
+import numpy as np
+
 #: A space that opens no piece: white space or the end of the text follows.
 _INNER = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 _SPACE = re.compile(r"\s")
 #: A word of Latin letters, not all of them ASCII.
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Words that are looked up before the unknown ones are encoded, and words in one call.
+_AT_ONCE, _IN_CALL = 200_000, 1000
 assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are kept as little-endian uint32"
-_LOADED: dict[str, "Encoder"] = {}
 
 
 class _Words(dict):
-    """Word -> its ids; when full, the older half of what was not used since goes."""
+    """Word (after a space) -> its ids; a word that is not known yet stands for itself and is noted.
+
+    When full, the older half of what was not used since goes.
+    """
 
-    def __init__(self, ids_of, lead: str, room: int):
+    def __init__(self, room: int):
         super().__init__()
-        self._ids_of, self._lead, self._room, self._old = ids_of, lead, room, {}
+        self._room, self._old, self.unknown = room, {}, set()
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str):
         out = self._old.get(word)
         if out is None:
-            out = self._ids_of(word, self._lead)
+            self.unknown.add(word)
+            return word
+        self.learn(word, out)
+        return out
+
+    def learn(self, word: str, ids: bytes) -> None:
         if len(word) <= 40:
             if len(self) >= self._room:
                 self._old = dict(self)
                 self.clear()
-            self[word] = out
-        return out
+            self[word] = ids
 
 
 class Encoder:
-    """``encode(text)``: ids as little-endian uint32 bytes, equal to the library's own."""
+    """``encode(text)`` and ``encode_all(texts)``: ids as little-endian uint32 bytes, equal to the library's own."""
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 600_000):
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._model = self._tok.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -62,47 +71,108 @@ class Encoder:
                      and all(not _SPACE.search(t["content"]) and not t.get("lstrip") and not t.get("rstrip")
                              and not t.get("single_word") and not t["content"].isalpha()
                              for t in spec.get("added_tokens") or []))
-        self._first, self._rest = _Words(self._word, "", room // 8), _Words(self._word, " ", room)
+        self._rest = _Words(room)
         if self._cut:
             split = self._tok.pre_tokenizer.pre_tokenize_str      # how the file writes the bytes of a character
             self._bytes = {ord(c): split(c)[0][0] for c in map(chr, range(256)) if c.isalpha() or c == " "}
-            self._space = self._bytes[ord(" ")]
+            self._space, self._line = self._bytes[ord(" ")], split("\n")[0][0]
             self._stop = {c: self._whole(c) for c in (".", ",")}
             self._break = self._whole("\n")
+            self._cut = len(self._break) == 4
+        if self._cut:
+            # the same model where each line is a piece: for many plain words at a time
+            pieces = {"type": "Split", "pattern": {"String": self._line}, "behavior": "Isolated", "invert": False}
+            spec |= {"pre_tokenizer": pieces, "post_processor": None, "decoder": None, "added_tokens": []}
+            self._pieces = Tokenizer.from_str(json.dumps(spec))
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str, lead: str) -> bytes:
-        """Ids of what stands between two cuts, with the space before it."""
+    def _plain(self, word: str) -> str | None:
+        """A word of letters with its space, as the model writes it; None for any other word."""
         if word.isascii():
-            if word.isalpha():
-                return array("I", [t.id for t in self._model.tokenize(self._space + word if lead else word)]).tobytes()
-            if word[-1:] in ("." , ",") and word[:-1].isalpha():
-                return (self._rest if lead else self._first)[word[:-1]] + self._stop[word[-1]]
-        elif _LATIN.fullmatch(word):
-            return array("I", [t.id for t in self._model.tokenize((lead + word).translate(self._bytes))]).tobytes()
+            return self._space + word if word.isalpha() else None
+        return self._space + word.translate(self._bytes) if _LATIN.fullmatch(word) else None
+
+    def _learn(self) -> dict[str, bytes]:
+        """Ids of all words noted as unknown."""
+        new, plain, ended, other = {}, {}, [], []
+        for word in self._rest.unknown:
+            written = self._plain(word)
+            if written is None and word[-1:] in (".", ",") and (written := self._plain(word[:-1])) is not None:
+                ended.append(word)
+                word = word[:-1]
+            if written is None:
+                other.append(word)
+            elif word not in self._rest:
+                plain[word] = written
+        words, line = list(plain), int.from_bytes(self._break, "little")
+        for k in range(0, len(words), _IN_CALL):
+            some = words[k:k + _IN_CALL]
+            raw = array("I", self._pieces.encode(self._line.join([plain[w] for w in some]), add_special_tokens=False).ids).tobytes()
+            ends = 4 * np.flatnonzero(np.frombuffer(raw, "<u4") == line)
+            for word, a, b in zip(some, [0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)], strict=True):
+                new[word] = raw[a:b]
+        for word in ended:
+            stem = word[:-1]
+            new[word] = (new[stem] if stem in new else self._rest[stem]) + self._stop[word[-1]]
+        for word in other:
+            new[word] = self._odd(word)
+        for word, ids in new.items():
+            self._rest.learn(word, ids)
+        self._rest.unknown.clear()
+        return new
+
+    def _odd(self, word: str) -> bytes:
+        """A word with its space that is not plain: line breaks between non-spaces are pieces of their own."""
         if "\n" in word:
             lines = word.split("\n")
             if all(x and not _SPACE.search(x) for x in lines):
-                return self._break.join([self._word(lines[0], lead), *map(self._first.__getitem__, lines[1:])])
-        return self._whole(lead + word)
+                return self._break.join([self._whole(" " + lines[0]), *map(self._whole, lines[1:])])
+        return self._whole(" " + word)
+
+    def encode_all(self, texts):
+        """One ``bytes`` for each text, in order; null and empty texts have no ids."""
+        held, n = [], 0
+        for text in texts:
+            if not text:
+                held.append([b""])
+            elif not self._cut:
+                held.append([self._whole(text)])
+            else:
+                words = _CUT.split(text) if _INNER.search(text) else text.split(" ")
+                ids = list(map(self._rest.__getitem__, words[1:]))
+                held.append([self._whole(words[0]) if words[0] else b"", *ids])
+                n += len(words)
+            if n >= _AT_ONCE:
+                yield from self._joined(held)
+                held, n = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, held: list):
+        new = self._learn() if self._rest.unknown else {}
+        for ids in held:
+            try:
+                yield b"".join(ids)
+            except TypeError:                       # some words were unknown when they were looked up
+                yield b"".join([x if x.__class__ is bytes else new[x] for x in ids])
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self._cut:
-            return self._whole(text)
-        words = _CUT.split(text) if _INNER.search(text) else text.split(" ")
-        head = self._first[words[0]] if words[0] else b""
-        return head + b"".join(map(self._rest.__getitem__, words[1:]))
+        return next(self.encode_all([text]))
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, loaded once in each Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    """The encoder of a file, loaded once in each Python worker.
+
+    Kept on the imported library: functions are shipped by value, so this
+    module's own globals are new in every task.
+    """
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_assaygraph_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def default_path() -> str:

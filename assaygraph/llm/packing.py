@@ -34,8 +34,8 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = 2048, end_id: int = 0, i
         enc = encoder(vocab)
         for f in frames:
             rows = []
-            for key, text in zip(f["_id"].tolist(), f["_text"].tolist()):
-                raw = enc.encode(text) + end
+            for key, raw in zip(f["_id"].tolist(), enc.encode_all(f["_text"].tolist())):
+                raw += end
                 n = len(raw) // 4
                 cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 rows += [(key, i, a, b - a, zlib.crc32(raw[4 * a:4 * b]))

@@ -70,8 +70,8 @@ def _tokens(docs: DataFrame, vocab: str, end_id: int, id_col: str, text_col: str
         enc = encoder(vocab)
         for f in frames:
             out = []
-            for text in f["text"].tolist():
-                ids = np.frombuffer(enc.encode(text) + end, "<u4")
+            for raw in enc.encode_all(f["text"].tolist()):
+                ids = np.frombuffer(raw + end, "<u4")
                 short = ids.max() <= 0xFFFF
                 out.append((b"\2" if short else b"\4") + (ids.astype("<u2") if short else ids).tobytes())
             yield pd.DataFrame({"shard": f["shard"], "doc_id": f["doc_id"].astype("Int64"), "ids": out})
