@@ -157,6 +157,11 @@ class Encoder:
             except TypeError:                       # some words were unknown when they were looked up
                 yield b"".join([x if x.__class__ is bytes else new[x] for x in ids])
 
+    def forget(self) -> None:
+        """Gives the word cache back: idle Python workers hold no more than the tokenizer."""
+        self._rest.clear()
+        self._rest._old = {}
+
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))
 

@@ -75,6 +75,7 @@ def _tokens(docs: DataFrame, vocab: str, end_id: int, id_col: str, text_col: str
                 short = ids.max() <= 0xFFFF
                 out.append((b"\2" if short else b"\4") + (ids.astype("<u2") if short else ids).tobytes())
             yield pd.DataFrame({"shard": f["shard"], "doc_id": f["doc_id"].astype("Int64"), "ids": out})
+        enc.forget()
 
     return rows.mapInPandas(kernel, "shard int, doc_id long, ids binary")
 
