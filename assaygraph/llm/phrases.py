@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import math
 import uuid
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +40,25 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))     # odd
 
 
 class _Hashes(dict):
-    """Word -> 64-bit hash."""
+    """Word -> 64-bit hash, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         h = xxhash.xxh64_intdigest(word, 7)
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = h
+        if len(word) <= 40:
+            if len(self) >= 400_000:
+                self.clear()
+            self[word] = h
         return h
 
 
+def _known() -> _Hashes:
+    """One for each Python worker, kept on the imported library (this module's globals are new in every task)."""
+    kept = vars(xxhash)
+    if "_assaygraph_words" not in kept:
+        kept["_assaygraph_words"] = _Hashes()
+    return kept["_assaygraph_words"]
+
+
 def _words(text) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
 
@@ -90,22 +99,21 @@ class _Shard:
     """Hashes of all windows of a shard's documents, in order."""
 
     def __init__(self, texts, size: int, anchor: int, second: bool):
-        known = _Hashes().__getitem__
-        first, other, least, self.counts = [], [], [], []
-        for text in texts:
-            words = _words(text)
-            self.counts.append(max(0, len(words) - size + 1))
-            if len(words) < size:
-                continue
-            h = np.fromiter(map(known, words), np.uint64, len(words))
-            least.append(_least(_roll(h, anchor, _MIX[0]), size - anchor + 1))
+        self.words = [_words(text) for text in texts]
+        n = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.counts = np.maximum(0, n - size + 1)
+        total = int(n.sum())
+        h = np.fromiter(map(_known().__getitem__, chain.from_iterable(self.words)), np.uint64, total)
+        # hashes run over all documents in a row; those of windows that cross a border are left out
+        left = np.repeat(np.cumsum(n), n) - np.arange(total)
+        inside = left[:max(0, total - size + 1)] >= size
+        self.anchor = self.hash = np.empty(0, np.uint64)
+        self.extra = np.empty(0, np.uint16)
+        if inside.any():
+            self.anchor = _least(_roll(h, anchor, _MIX[0]), size - anchor + 1)[inside]
             if second:
-                first.append(_roll(h, size, _MIX[0]))
-                other.append((_roll(h, size, _MIX[1]) >> np.uint64(48)).astype(np.uint16))
-        self.anchor = np.concatenate(least) if least else np.empty(0, np.uint64)
-        if second:
-            self.hash = np.concatenate(first) if first else np.empty(0, np.uint64)
-            self.extra = np.concatenate(other) if other else np.empty(0, np.uint16)
+                self.hash = _roll(h, size, _MIX[0])[inside]
+                self.extra = (_roll(h, size, _MIX[1]) >> np.uint64(48)).astype(np.uint16)[inside]
 
 
 def _by_bucket(h: np.ndarray, n: int):
@@ -147,29 +155,28 @@ def _passages(shard: _Shard, first: np.ndarray, size: int):
         yield d, int(first[a] - begin[d]), int(first[b - 1] - begin[d]) + 1
 
 
-def _locate(texts, passages, size: int, automaton_blocks: int):
+def _locate(texts: list, passages, size: int, automaton_blocks: int):
     """Occurrences of passages elsewhere: ``(document, first word, end)``, each of ``size`` words or more."""
     import ahocorasick
 
     block = size // 2
     number: dict[bytes, int] = {}
     bodies = []
-    last, words = -1, []
     for d, a, b in passages:
-        if d != last:
-            last, words = d, _words(texts[d])
-        bodies.append(np.fromiter((number.setdefault(w, len(number) + 1) for w in words[a:b + size - 1]),
+        bodies.append(np.fromiter((number.setdefault(w, len(number) + 1) for w in texts[d][a:b + size - 1]),
                                   np.int64, b - a + size - 1))
     # a word is a fixed number of symbols of 6 bits, so that no node has many children
     width = max(1, math.ceil(math.log(len(number) + 2, 64)))
-    symbols = {w: "".join(chr(i >> 6 * s & 63) for s in reversed(range(width))) for w, i in number.items()}
-    spell = [chr(0) * width, *symbols.values()]
-    none = spell[0]
+    shifts = 6 * np.arange(width - 1, -1, -1)
+
+    def spell(ids: np.ndarray) -> str:
+        return ((ids[:, None] >> shifts) & 63).astype(np.uint8).tobytes().decode("latin-1")
+
     shards, where = [], {}
     for p, body in enumerate(bodies):
-        spelled = [spell[i] for i in body.tolist()]
+        line = spell(body)
         for at in range(0, len(body) - block + 1, block):
-            where.setdefault("".join(spelled[at:at + block]), []).append((p, at))
+            where.setdefault(line[at * width:(at + block) * width], []).append((p, at))
     keys = list(where)
     for k in range(0, len(keys), automaton_blocks):
         automaton = ahocorasick.Automaton()
@@ -177,12 +184,16 @@ def _locate(texts, passages, size: int, automaton_blocks: int):
             automaton.add_word(key, where[key])
         automaton.make_automaton()
         shards.append(automaton)
-    for d, text in enumerate(texts):
-        words = _words(text)
-        if len(words) < size or not shards:
+    if not shards:
+        return
+    ends = np.cumsum([len(w) for w in texts])
+    whole = np.fromiter(map(number.get, chain.from_iterable(texts), repeat(0)), np.int64, int(ends[-1]))   # 0: none
+    spelled = spell(whole)
+    for d, (words, end_of) in enumerate(zip(texts, ends.tolist())):
+        if len(words) < size:
             continue
-        line = "".join([symbols.get(w, none) for w in words])
-        own, reached = None, {}
+        own = whole[end_of - len(words):end_of]
+        line, reached = spelled[(end_of - len(words)) * width:end_of * width], {}
         for automaton in shards:
             for end, places in automaton.iter(line):
                 if (end + 1) % width:
@@ -192,8 +203,6 @@ def _locate(texts, passages, size: int, automaton_blocks: int):
                     key = (p, at - offset)
                     if reached.get(key, -1) > at or (passages[p][0] == d and passages[p][1] == at - offset):
                         continue                  # seen, or the passage's own place
-                    if own is None:
-                        own = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
                     body = bodies[p]
                     lo = max(0, offset - at)
                     hi = min(len(body), offset + len(own) - at)
@@ -287,8 +296,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, anchor: int = 8, shard_chars
         if not len(f):
             return pd.DataFrame({c: [] for c in ("doc_id", "n_words", "n_removed", "removed", "kept")})
         f = f.sort_values("nth")
-        texts = f["text"].tolist()
-        s = _Shard(texts, size, anchor, True)
+        s = _Shard(f["text"].tolist(), size, anchor, True)
         order = np.lexsort((s.extra, s.hash))     # stable: the first place of each window first
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(s.hash[order]) != 0) | (np.diff(s.extra[order]) != 0)
@@ -307,7 +315,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, anchor: int = 8, shard_chars
                     confirmed[place[sent[k]]] |= bits[0]
                     earlier[place[sent[k]]] |= bits[1]
         begin = np.cumsum(s.counts) - s.counts
-        gone = [None] * len(texts)
+        gone = [None] * len(s.words)
 
         def cover(d: int, a: int, b: int) -> None:
             if gone[d] is None:
@@ -316,14 +324,13 @@ def remove_repeats(docs: DataFrame, size: int = 20, anchor: int = 8, shard_chars
 
         ordered = np.sort(firsts[confirmed])
         passages = list(_passages(s, ordered, size))
-        for d, a, b in _locate(texts, passages, size, automaton_blocks):
+        for d, a, b in _locate(s.words, passages, size, automaton_blocks):
             cover(d, a, b)
         for w in np.sort(firsts[earlier]).tolist():           # first here, but an earlier shard has it
             d = int(np.searchsorted(begin, w, side="right")) - 1
             cover(d, w - int(begin[d]), w - int(begin[d]) + size)
         out = []
-        for d, text in enumerate(texts):
-            words = _words(text)
+        for d, words in enumerate(s.words):
             if gone[d] is None:
                 out.append((len(words), 0, [], b" ".join(words).decode("utf-8", "surrogatepass")))
                 continue
