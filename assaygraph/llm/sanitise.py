@@ -8,10 +8,15 @@ n(e) of them with entity e, n(t) with term t and n(t, e) with t beside e,
     IC(e)     = log2(N / n(e))                       what e tells
     PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e)))    what t tells about e
 
-``t`` discloses the share PMI / IC of e.  From ``threshold`` on (and seen in
-``min_documents`` documents beside e, so that a chance meeting is no evidence)
-its occurrences beside e become spans too: *generalised* to a class word if
-the term also lives elsewhere, *removed* if it occurs nowhere but beside e.
+Terms are all words of the documents that hold e, outside the base spans, and
+``t`` discloses the share PMI / IC of e.  Where t stands in fewer of e's
+documents than ``min_documents``, the share is weighted by how far it gets
+there, n(t, e) / min(min_documents, n(e)): a chance meeting is weak evidence.
+For an entity of one document the weight is 1, and the term's own document
+frequency decides (n(t) <= sqrt(N) at a threshold of one half).  From
+``threshold`` on every occurrence of t in a document of e becomes a span too:
+*generalised* to a class word if the term also lives elsewhere, *removed* if
+it occurs nowhere but with e.
 
 DataFrame functions only: places come from the lengths of what a pattern
 matches and of what lies between, as running sums.
@@ -35,6 +40,8 @@ PATTERNS = {
 #: What a text with a match has for certain: a cheap test before the pattern runs.
 _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 ADDED = ("generalised", "removed")
+#: So many of the most frequent terms, and of entities, are broadcast.
+KNOWN = 200_000
 _WORD = r"[\p{L}\p{N}]{3,}+"
 _ORDER = [*PATTERNS, *ADDED]
 
@@ -48,111 +55,128 @@ def _valid(kind: Column, match: Column) -> Column:
              .otherwise(F.length(digits).between(10, 15)))
 
 
-def _matches(text: Column, kind: str, reach: int) -> Column:
-    """Array of the kind's matches: number, match, length of the text between, and the text at both sides."""
+def _matches(text: Column, kind: str) -> Column:
+    """Array of the kind's matches: number, match, and length of the text between."""
     pattern, hint = F.lit(PATTERNS[kind]), _HINT[kind]
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.split(text, PATTERNS[kind], -1)
-    none = F.array().cast("array<struct<kind:string,nth:int,match:string,gap:int,before:string,after:string>>")
-    rows = F.transform(F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"),
-                                    F.slice(between, 2, F.size(found)).alias("a")),
+    none = F.array().cast("array<struct<kind:string,nth:int,match:string,gap:int>>")
+    rows = F.transform(F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b")),
                        lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), z["m"].alias("match"),
-                                             F.length(z["b"]).alias("gap"), F.right(z["b"], F.lit(reach)).alias("before"),
-                                             F.left(z["a"], F.lit(reach)).alias("after")))
+                                             F.length(z["b"]).alias("gap")))
     has = text.rlike(PATTERNS[kind])
     if hint:
         has = F.contains(text, F.lit(hint)) & has
     return F.when(has, rows).otherwise(none)
 
 
-def entities(docs: DataFrame, reach: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each base span (``kind, start, end``, both in code points, end exclusive), with its surroundings.
+def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each base span (``kind, start, end``, both in code points, end exclusive), with its ``match``.
 
-    A document without any has one row with a null kind.  ``row`` tells apart repeated ids.
+    A document without any has one row with a null kind.  ``row`` tells apart
+    repeated ids.  ``masked`` is the document's text with blanks in place of
+    its base spans, on one row of the document only.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     listed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
                          text.alias("_t"))
-    every = F.concat(*[_matches(F.col("_t"), k, reach) for k in PATTERNS])
-    rows = listed.select("doc_id", "row", F.explode_outer(every).alias("e")).select("doc_id", "row", "e.*")
-    rows = stored(rows, "pii-matches")
+    listed = listed.withColumn("e", F.concat(*[_matches(F.col("_t"), k) for k in PATTERNS]))
+    rows = stored(listed.select("doc_id", "row", F.when(F.size("e") > 0, F.col("_t")).alias("_t"), "e"), "pii-matches")
+    found = rows.select("doc_id", "row", F.explode("e").alias("e")).select("doc_id", "row", "e.*")
     upto = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.where("kind is not null")
     found = found.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(upto))
     found = found.withColumn("start", F.col("end") - F.length("match")).where(_valid(F.col("kind"), F.col("match")))
-    found = found.select("doc_id", "row", "kind", "start", "end", "match", "before", "after")
+    order = Window.partitionBy("row").orderBy("start", "end", "kind")
+    found = found.withColumn("nth", F.row_number().over(order))
+    found = found.withColumn("ahead", F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    found = stored(found.select("doc_id", "row", "kind", "start", "end", "match", "nth", "ahead"), "pii-found")
+    holes = found.where("end > ahead").groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
+        F.greatest("start", "ahead").cast("int").alias("s"), F.col("end").cast("int").alias("e"),
+        F.col("ahead").cast("int").alias("a")))).alias("h"))
+    text = F.col("_t")
+    pieces = F.transform("h", lambda x: F.concat(F.substring(text, x["a"] + 1, x["s"] - x["a"]),
+                                                 F.repeat(F.lit(" "), x["e"] - x["s"])))
+    tail = F.substring(text, F.element_at("h", -1)["e"] + 1, F.length(text))
+    masked = holes.join(rows.where("_t is not null").select("row", "_t"), "row").select(
+        "row", F.lit(1).alias("nth"), F.concat(F.array_join(pieces, ""), tail).alias("masked"))
+    found = found.join(masked, ["row", "nth"], "left").select("doc_id", "row", "kind", "start", "end", "match", "masked")
     null = F.lit(None)
-    bare = rows.select("doc_id", "row").distinct().join(found.select("row").distinct(), "row", "left_anti")
+    bare = rows.select("doc_id", "row").join(found.select("row").distinct(), "row", "left_anti")
     bare = bare.select("doc_id", "row", *[null.cast(found.schema[c].dataType).alias(c)
-                                          for c in ("kind", "start", "end", "match", "before", "after")])
+                                          for c in ("kind", "start", "end", "match", "masked")])
     return stored(found.unionByName(bare), "pii-entities")
 
 
-def _beside(found: DataFrame, terms: int) -> DataFrame:
-    """``row, entity, term, start, end``: the nearest ``terms`` words on each side of an entity."""
-    def places(col: str):
-        m = F.regexp_extract_all(F.col(col), F.lit(_WORD), F.lit(0))
-        gaps = F.transform(F.split(F.col(col), _WORD, -1), F.length)
-        # at most reach / 4 words, so a quadratic sum over them is a constant
-        return F.transform(m, lambda w, i: F.struct(
-            w.alias("word"),
-            (F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, x: a + x)
-             + F.aggregate(F.slice(m, 1, i), F.lit(0), lambda a, x: a + F.length(x))).alias("at")))
+def _pairs(found: DataFrame, n: int, n_term: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``row, entity, term`` of terms and entities in one document, and ``entity, n_entity``.
 
-    entity = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("match")).otherwise(
+    Left out are only pairs that cannot reach the threshold: as n(t, e) <= n(e),
+    it takes n(t) <= N * (n(e) / N) ** threshold.  The most frequent terms and
+    entities are known by a bounded broadcast; others count as the least of these.
+    """
+    name = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("match")).otherwise(
         F.when(F.col("kind") == "ip", F.col("match")).otherwise(F.regexp_replace("match", "[^0-9]", ""))))
-    base = found.where("kind is not null").select("row", "start", "end", "before", "after", entity.alias("entity"))
-    after = base.select("row", "entity", F.col("end").alias("origin"), F.length("after").alias("size"),
-                        F.slice(places("after"), 1, terms).alias("p"), F.lit(False).alias("left"))
-    before = base.select("row", "entity", (F.col("start") - F.length("before")).alias("origin"),
-                         F.length("before").alias("size"),
-                         F.reverse(F.slice(F.reverse(places("before")), 1, terms)).alias("p"), F.lit(True).alias("left"))
-    words = after.unionByName(before).select("row", "entity", "origin", "size", "left", F.explode("p").alias("p"))
-    words = words.select("row", "entity", F.lower("p.word").alias("term"), (F.col("origin") + F.col("p.at")).alias("start"),
-                         (F.col("origin") + F.col("p.at") + F.length("p.word")).alias("end"), "size", "left", "p.at",
-                         F.length("p.word").alias("_n"))
-    # a word at the far edge of the surroundings may be cut: leave it out
-    edge = F.when(F.col("left"), (F.col("at") == 0) & (F.col("origin") > 0)).otherwise(
-        (F.col("at") + F.col("_n") == F.col("size")))
-    return words.withColumn("origin", F.col("start") - F.col("at")).where(~edge).select(
-        "row", "entity", "term", "start", "end")
+    base = stored(found.where("kind is not null").select("row", name.alias("entity")).distinct(), "pii-base")
+    n_entity = stored(base.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "pii-n-entity")
+    often = stored(n_entity.where("n_entity > 1").orderBy(F.desc("n_entity"), "entity").limit(KNOWN), "pii-often")
+    size, least = often.agg(F.count(F.lit(1)), F.min("n_entity")).first()
+    others = least if size == KNOWN else 1
+    base = base.join(F.broadcast(often), "entity", "left")
+    most = F.lit(float(n)) * F.pow(F.coalesce("n_entity", F.lit(others)) / F.lit(float(max(n, 1))), F.lit(threshold))
+    base = base.select("row", "entity", (most * (1 + 1e-9)).alias("most"))
+    common = n_term.where(F.col("n_term") > float(n) ** (1 - threshold)).orderBy(F.desc("n_term"), "term").limit(KNOWN)
+    terms = found.where("masked is not null").select("row", F.explode(_terms(F.col("masked"))).alias("term"))
+    terms = terms.where(F.length("term") >= 3).join(F.broadcast(common), "term", "left")
+    pairs = terms.join(base, "row").where(F.coalesce("n_term", F.lit(0)) <= F.col("most"))
+    return stored(pairs.select("row", "entity", "term"), "pii-pairs"), n_entity
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.split(text, r"[^\p{L}\p{N}]++"), F.lower))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = 0.5, min_documents: int = 3,
-                     terms: int = 5, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``entity, term, share, n_term, n_both, action`` of terms from ``threshold`` on, and all words beside entities."""
-    beside = stored(_beside(found, terms), "pii-beside")
+                     text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``entity, term, share, n_term, n_both, action`` of terms from ``threshold`` on, and ``row, entity, term`` of pairs."""
     n = docs.count()
-    n_entity = beside.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    both = (beside.select("entity", "term", "row").distinct().groupBy("entity", "term")
-                  .agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_documents))
-    both = stored(both, "pii-both")
-    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    own = docs.select(F.explode(F.array_distinct(F.split(text, r"[^\p{L}\p{N}]++"))).alias("term"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.explode(_terms(text)).alias("term"))
     n_term = own.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))       # of every term, summed up in each task first
+    n_term = stored(n_term, "pii-n-term")
+    pairs, n_entity = _pairs(found, n, n_term, threshold)
+    both = stored(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")), "pii-both")
     out = both.join(n_term, "term").join(n_entity, "entity")
     pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     ic = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    out = out.withColumn("share", F.when(ic > 0, pmi / ic)).where(F.col("share") >= threshold)
+    weight = F.least(F.lit(1.0), F.col("n_both") / F.least(F.lit(min_documents), "n_entity"))
+    out = out.withColumn("share", F.when(ic > 0, F.round(pmi / ic * weight, 9))).where(F.col("share") >= threshold)
     action = F.when(F.col("n_term") > F.col("n_both"), ADDED[0]).otherwise(ADDED[1])
-    return out.select("entity", "term", "share", "n_term", "n_both", action.alias("action")), beside
+    return out.select("entity", "term", "share", "n_term", "n_both", action.alias("action")), pairs
 
 
-def spans(docs: DataFrame, threshold: float = 0.5, min_documents: int = 3, terms: int = 5, reach: int = 80,
-          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spans(docs: DataFrame, threshold: float = 0.5, min_documents: int = 3, id_col: str = "doc_id",
+          text_col: str = "text") -> DataFrame:
     """``doc_id, row, kind, start, end`` of all spans; one row with a null kind for a document without any."""
-    found = entities(docs, reach, id_col, text_col)
-    risky, beside = disclosing_terms(docs, found, threshold, min_documents, terms, text_col)
-    risky = stored(risky, "pii-risky")
-    extra = beside.join(maybe_broadcast(risky.select("entity", "term", "action")), ["entity", "term"])
-    # once a place, whatever the number of entities it is beside; never inside a base span
-    extra = extra.groupBy("row", "start", "end").agg(F.max("action").alias("kind"))
-    base = found.where("kind is not null").select("row", F.col("start").alias("s"), F.col("end").alias("e"))
-    inside = (extra.join(base, "row").where("start < e and s < end").select("row", "start", "end").distinct())
-    extra = extra.join(inside, ["row", "start", "end"], "left_anti")
-    ids = found.select("row", "doc_id").distinct()
-    extra = extra.join(ids, "row").select("doc_id", "row", "kind", "start", "end")
-    return found.select("doc_id", "row", "kind", "start", "end").unionByName(extra)
+    found = entities(docs, id_col, text_col)
+    risky, pairs = disclosing_terms(docs, found, threshold, min_documents, text_col)
+    risky = stored(risky.select("entity", "term", "n_both", "action"), "pii-risky")
+    # pairs of many documents go to them by a broadcast, so that no key of the shuffle has many rows
+    many = maybe_broadcast(risky.where("n_both > 1000").drop("n_both"))
+    few = risky.where("n_both <= 1000").drop("n_both")
+    told = pairs.join(many, ["entity", "term"]).unionByName(pairs.join(few, ["entity", "term"]))
+    told = stored(told.groupBy("row", "term").agg(F.max("action").alias("kind")), "pii-told")
+    # every word of these documents with its place, as running sums of what a word and the text before it take
+    text = F.col("masked")
+    words, gaps = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.split(text, _WORD, -1)
+    each = F.transform(F.arrays_zip(words.alias("w"), F.slice(gaps, 1, F.size(words)).alias("g")), lambda z: F.struct(
+        F.lower(z["w"]).alias("term"), F.length(z["w"]).alias("n"), F.length(z["g"]).alias("gap")))
+    places = (found.where("masked is not null").join(told.select("row").distinct(), "row", "left_semi")
+                   .select("doc_id", "row", F.posexplode(each).alias("nth", "w")).select("doc_id", "row", "nth", "w.*"))
+    upto = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    places = places.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(upto))
+    extra = places.withColumn("start", F.col("end") - F.col("n")).join(told, ["row", "term"])
+    return found.select("doc_id", "row", "kind", "start", "end").unionByName(
+        extra.select("doc_id", "row", "kind", "start", "end"))
 
 
 def digest(found: DataFrame) -> DataFrame:

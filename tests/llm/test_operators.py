@@ -291,6 +291,22 @@ def test_disclosure_is_by_corpus_counts(spark):
     assert [(r.term, round(r.share, 3), r.action) for r in risky.collect()] == [("zanzibar", 1.0, "removed")]
 
 
+def test_terms_of_entities_in_one_document(spark):
+    """With the parameters as the query has them: an address of one document, a word far from it, and again further on."""
+    filler = " ".join(f"filler{k}" for k in range(40))
+    rows = [(i, f"common {filler} other{i % 9}") for i in range(60)]
+    rows += [(100, f"common Zanzibar {filler} anna@corp.org {filler} common zanzibar é quagga.")]
+    rows += [(101, "common quokka bob@corp.org 10.0.0.1"), (102, "common quokka bob@corp.org other1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {}
+    for r in sanitise.spans(df).where("kind in ('generalised', 'removed')").collect():
+        got.setdefault(r.doc_id, []).append((texts[r.doc_id][r.start:r.end], r.kind))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        100: [("Zanzibar", "removed"), ("quagga", "removed"), ("zanzibar", "removed")],
+        101: [("quokka", "removed")], 102: [("quokka", "removed")]}
+
+
 # 8: licences
 
 
