@@ -193,8 +193,9 @@ def _locate(texts: list, passages, size: int, automaton_blocks: int):
         if len(words) < size:
             continue
         own = whole[end_of - len(words):end_of]
-        line, reached = spelled[(end_of - len(words)) * width:end_of * width], {}
+        line = spelled[(end_of - len(words)) * width:end_of * width]
         for automaton in shards:
+            reached: dict[tuple[int, int], int] = {}         # anew: the next automaton's hits start at the front again
             for end, places in automaton.iter(line):
                 if (end + 1) % width:
                     continue                      # not at a word's end

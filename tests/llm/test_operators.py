@@ -225,6 +225,15 @@ def test_phrases_with_many_automata(spark):
     assert sorted(got) == sorted(brute.repeated_windows(rows))
 
 
+def test_runs_before_those_of_an_earlier_automaton():
+    """A near copy with one changed word: its later run is found by the first automaton, its earlier run by the second."""
+    body = [b"w%d" % i for i in range(200)]
+    texts = [body[100:120], body, [*body[:90], b"other", *body[91:]]]
+    passages = [(0, 0, 1), (1, 0, 181)]                     # the first one puts a block of the second into automaton 1
+    found = {(a, b) for d, a, b in phrases._locate(texts, passages, 20, 2) if d == 2}
+    assert {(0, 90), (91, 200)} <= found
+
+
 # 6: decontamination
 
 
