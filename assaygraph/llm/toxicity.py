@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import maybe_broadcast, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES, DEPTH = (4, 5, 6), 3
@@ -49,21 +49,37 @@ def is_training(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, id_col: str, text_col: str,
-                    label_col: str) -> DataFrame:
-    """``y, text``: about ``max_labelled`` distinct labelled training texts at most, chosen by a hash of the id."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``y, text``: all distinct labelled training texts."""
     marks = (labels.where(is_training(id_col) & F.col(label_col).isNotNull())
                    .groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("y")))
-    n = marks.count()
-    share = min(1.0, max_labelled / max(n, 1))
-    marks = marks.where(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    marks = F.broadcast(marks) if max_labelled <= 200_000 else marks        # its size is bounded by the parameter
-    return texts.join(marks, "_id").where("text is not null").groupBy(F.xxhash64("text"), F.length("text")).agg(
-        F.first("text").alias("text"), F.max("y").alias("y")).select("y", "text")
+    texts = docs.where(is_training(id_col)).select(F.col(id_col).cast("long").alias("_id"),
+                                                   F.col(text_col).cast("string").alias("text"))
+    return texts.join(maybe_broadcast(marks, 2_000_000), "_id").where("text is not null").groupBy(
+        F.xxhash64("text"), F.length("text")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("y", "text")
 
 
-def lexicon(sample: DataFrame, max_terms: int = 4000, least: int = 5, evidence: float = 30.0,
+def fitting_sample(hits: DataFrame, max_labelled: int) -> pd.DataFrame:
+    """``hits, votes, weight`` of about ``max_labelled`` texts at most, chosen by a hash.
+
+    Texts with and without terms are drawn apart, up to half of the sample
+    each (more where the others are fewer), and weighted back to their
+    numbers, so that terms of a rare label have texts to be fitted on.
+    """
+    some = F.size("hits") > 0
+    n = hits.agg(F.count_if(some).alias("some"), F.count_if(~some).alias("none")).first()
+    take = min(n["some"], max(max_labelled // 2, max_labelled - n["none"]))
+    rates = [min(1.0, k / max(m, 1)) for k, m in ((take, n["some"]), (max_labelled - take, n["none"]))]
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
+    cut = F.when(some, int(rates[0] * 1_000_000)).otherwise(int(rates[1] * 1_000_000))
+    out = hits.where(drawn < cut).select("hits", "votes").toPandas()
+    with_terms = out["hits"].map(len).to_numpy() > 0
+    sizes = [max(int(with_terms.sum()), 1), max(int((~with_terms).sum()), 1)]
+    out["weight"] = np.where(with_terms, n["some"] / sizes[0], n["none"] / sizes[1])
+    return out
+
+
+def lexicon(labelled: DataFrame, max_terms: int = 4000, least: int = 5, evidence: float = 30.0,
             precision: float = 0.8) -> list[str]:
     """Terms of the label, strongest first.
 
@@ -81,10 +97,10 @@ def lexicon(sample: DataFrame, max_terms: int = 4000, least: int = 5, evidence:
             yield pd.DataFrame({"term": list(pos) + list(neg), "pos": list(pos.values()) + [0] * len(neg),
                                 "neg": [0] * len(pos) + list(neg.values())})
 
-    total = sample.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("n")).first()
+    total = labelled.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("n")).first()
     if not total["p"] or not total["n"]:
         return []
-    counts = sample.mapInPandas(kernel, "term string, pos long, neg long").groupBy("term").agg(
+    counts = labelled.mapInPandas(kernel, "term string, pos long, neg long").groupBy("term").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= least)
     all_ = F.col("pos") + F.col("neg")
     share = total["p"] / (total["p"] + total["n"])
@@ -210,17 +226,19 @@ class LabelModel:
         return q
 
 
-def fit_linear(hits: list, target: np.ndarray, n_terms: int, l2: float = 1e-4, rounds: int = 500):
-    """Logistic regression on soft labels: ``bias, weights``; Adam steps over sparse rows of ones."""
+def fit_linear(hits: list, target: np.ndarray, n_terms: int, l2: float = 1e-4, rounds: int = 500, weight=None):
+    """Logistic regression on soft labels: ``bias, weights``; Adam steps over sparse rows of ones, each of its ``weight``."""
     sizes = np.array([len(h) for h in hits], dtype=np.int64)
     col = np.concatenate([np.asarray(h, np.int64) for h in hits]) if sizes.sum() else np.empty(0, np.int64)
     row, n = np.repeat(np.arange(len(hits)), sizes), max(len(hits), 1)
+    weight = np.ones(len(hits)) if weight is None else weight * len(hits) / weight.sum()
+    mean = (target * weight).mean()
     w = np.zeros(n_terms + 1)                                       # the last one is the bias
-    w[-1] = float(np.log((target.mean() + 1e-4) / (1 - target.mean() + 1e-4)))
+    w[-1] = float(np.log((mean + 1e-4) / (1 - mean + 1e-4)))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for turn in range(1, rounds + 1):
         z = w[-1] + np.bincount(row, w[col], n)[:len(hits)]
-        err = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target
+        err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) * weight
         g = np.append(np.bincount(col, err[row], n_terms) / n, err.mean())
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -232,17 +250,18 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_te
           threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """``<id_col>, held_out, score, predicted`` for each row of ``docs``.
 
-    ``max_labelled`` bounds the labelled texts that the lexicon and the
-    classifier are fitted on, ``max_terms`` the lexicon.  Null and empty texts
+    The lexicon and the class share are counted on all labelled training
+    texts.  ``max_labelled`` bounds the texts that the classifier is fitted on,
+    ``max_terms`` the lexicon.  Null and empty texts
     have no terms: their score is that of a document without any.  Without
     labels of both classes no term is learned and all scores are the labelled
     share (0 without labels).  Repeated rows stay; a label given twice counts
     as the larger one; rows with a null id are scored and not held out.  An
     empty table stays empty; other columns are not read.
     """
-    sample = stored(labelled_sample(docs, labels, max_labelled, id_col, text_col, label_col), "toxicity-sample")
-    terms = lexicon(sample, max_terms)
-    share = sample.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0] or 0.0
+    labelled = stored(labelled_texts(docs, labels, id_col, text_col, label_col), "toxicity-labelled")
+    terms = lexicon(labelled, max_terms)
+    share = labelled.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0] or 0.0
     rows = stored(_hits(docs, terms, id_col, text_col), "toxicity-hits")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     if terms:
@@ -251,9 +270,10 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_te
             model = None
         else:
             model = LabelModel(by_votes["votes"].to_numpy(), by_votes["n"].to_numpy(), share)
-        own = _hits(sample.select(F.lit(0).alias("k"), "text"), terms, "k", "text").select("hits", "votes").toPandas()
+        own = _hits(labelled.select(F.xxhash64("text").alias("k"), "text"), terms, "k", "text")
+        own = fitting_sample(stored(own, "toxicity-fit"), max_labelled)
         posterior = np.array([model.of_votes.get(v, share) if model else share for v in own["votes"]])
-        bias, w = fit_linear(own["hits"].tolist(), posterior, len(terms))
+        bias, w = fit_linear(own["hits"].tolist(), posterior, len(terms), weight=own["weight"].to_numpy())
     else:
         w = np.zeros(0)
         bias = float(np.log(share / (1 - share))) if 0 < share < 1 else (-50.0 if share <= 0 else 50.0)

@@ -434,6 +434,21 @@ def test_toxicity(spark, docs, none):
     assert {r.score < 1e-6 for r in toxicity.score(docs, labels.limit(0)).collect()} == {True}
 
 
+def test_toxicity_counts_terms_on_all_labels(spark):
+    """Many more labels than the classifier is fitted on: a word that marks a tenth of the toxic texts is not lost."""
+    rows, marks = _toxic(3000, 11)
+    clean = [(i, t) for (i, t, *_), y in zip(rows, (dict((i, y) for i, _, y in marks).get(r[0]) for r in rows)) if y == 0]
+    rows += [(5000 + i, t + " quibblesnark", "x", 1) for i, t in clean[:40]]
+    marks += [(5000 + i, 1, 1) for i, _ in clean[:40]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, votes string, y int").repartition(4)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, labels, max_labelled=150).collect()}
+    held = [(i, y, got[i].predicted) for i, _, y in marks if got[i].held_out]
+    rare = [p for i, _, p in held if i >= 5000]
+    assert len(rare) >= 5 and sum(rare) / len(rare) > 0.8
+    assert sum(y == p for _, y, p in held) / len(held) > 0.95
+
+
 def test_label_model_finds_rates_and_correlations():
     import numpy as np
 
