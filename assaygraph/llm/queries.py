@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, covertree, decontamination, licenses, lines, packing, phrases, sanitise, simhash, token_files, toxicity
+from . import (bpe, covertree, decontamination, licenses, lines, packing, phrases, runs, sanitise, simhash, token_files,
+               toxicity)
 from .common import folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +98,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@register("op13_square_catchers")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(runs.with_periodic_tails(table(spark, sf_dir, "documents"))))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
