@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import (bpe, covertree, decontamination, licenses, lines, packing, phrases, runs, sanitise, simhash, token_files,
-               toxicity)
+from . import (bpe, covertree, decontamination, licenses, lines, packing, phrases, ranked, runs, sanitise, simhash,
+               token_files, toxicity)
 from .common import folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@register("op12_ball_trees", r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+d AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+s AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_words FROM d),
+f AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL),
+g AS (SELECT t, count(*) AS df FROM f GROUP BY t),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+x AS (SELECT q.item_id, f.doc_id,
+             sum(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * df + 1)))::BIGINT
+                 * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_words))))::BIGINT AS score
+      FROM q JOIN g USING (t) JOIN f USING (t) JOIN d USING (doc_id) CROSS JOIN s GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+      FROM x WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op13_square_catchers")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.periodic_runs(runs.with_periodic_tails(table(spark, sf_dir, "documents"))))

@@ -87,7 +87,7 @@ def test_longest_run_ties_go_to_the_smallest_start_then_period(spark):
 def test_query_equals_brute_force_on_all_documents(spark, tmp_path):
     rng = random.Random(3)
     texts = [(i, " ".join(rng.choice("abcdefghij") + str(rng.randrange(9)) for _ in range(rng.choice([0, 1, 30, 200]))))
-             for i in range(300)] + [(300, None), (None, "a b"), (301, "\n")]
+             for i in range(600)] + [(600, None), (None, "a b"), (601, "\n")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op13_square_catchers"](spark, str(tmp_path)).collect()}
     assert len(got) == len(texts)
