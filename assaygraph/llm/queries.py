@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import (bpe, covertree, decontamination, licenses, lines, packing, phrases, ranked, runs, sanitise, simhash,
-               token_files, toxicity)
+               suffixes, token_files, toxicity)
 from .common import folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@register("op11_difference_cover")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.remove_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op12_ball_trees", r"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(
              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
