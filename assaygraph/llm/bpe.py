@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+import threading
 from array import array
 
 import numpy as np
@@ -71,7 +72,7 @@ class Encoder:
                      and all(not _SPACE.search(t["content"]) and not t.get("lstrip") and not t.get("rstrip")
                              and not t.get("single_word") and not t["content"].isalpha()
                              for t in spec.get("added_tokens") or []))
-        self._rest = _Words(room)
+        self._rest, self._idle = _Words(room), None
         if self._cut:
             split = self._tok.pre_tokenizer.pre_tokenize_str      # how the file writes the bytes of a character
             self._bytes = {ord(c): split(c)[0][0] for c in map(chr, range(256)) if c.isalpha() or c == " "}
@@ -157,8 +158,14 @@ class Encoder:
             except TypeError:                       # some words were unknown when they were looked up
                 yield b"".join([x if x.__class__ is bytes else new[x] for x in ids])
 
+    def rest(self, seconds: float = 20) -> None:
+        """To be called as a task ends: the next task finds the words, but an idle Python worker soon gives them back."""
+        self._idle = threading.Timer(seconds, self.forget)
+        self._idle.daemon = True
+        self._idle.start()
+
     def forget(self) -> None:
-        """Gives the word cache back: idle Python workers hold no more than the tokenizer."""
+        """Gives the word cache back: no more is held than the tokenizer."""
         self._rest.clear()
         self._rest._old = {}
 
@@ -177,6 +184,8 @@ def encoder(path: str) -> Encoder:
     kept = vars(tokenizers).setdefault("_assaygraph_encoders", {})
     if path not in kept:
         kept[path] = Encoder(path)
+    if kept[path]._idle:
+        kept[path]._idle.cancel()
     return kept[path]
 
 

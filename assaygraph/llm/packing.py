@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = 2048, end_id: int = 0, i
                          for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
-        enc.forget()
+        enc.rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     return rows.mapInPandas(kernel, _PIECE)
