@@ -3,9 +3,9 @@
 File format: a folder with two Parquet tables.
 
 * ``codebook``: ``token, rank, n``; tokens by falling corpus count, then id.
-* ``blocks/shard=S``: one row for each block of documents, by rising id
-  within and across shards: ``seq`` (its place in the shard), ``doc_ids``, ``n_tokens`` (of each document),
-  ``control``, ``data``.  Each token is its rank in 1 to 4 bytes, little-endian
+* ``blocks``: one row for each block of documents, by rising id within a block
+  and across blocks: ``seq`` (blocks stand in this order; its upper 31 bits are the
+  part of the table), ``doc_ids``, ``n_tokens`` (of each document), ``control``, ``data``.  Each token is its rank in 1 to 4 bytes, little-endian
   and without leading zero bytes; ``control`` has two bits for each token (its
   number of bytes less one), four tokens in a byte from the low bits up.
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import folder
+from .common import stored, tidy_shuffles
 
 #: Lengths of the four tokens behind each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))[None, :]) & 3).astype(np.int64) + 1
@@ -58,12 +58,15 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _tokens(docs: DataFrame, vocab: str, end_id: int, id_col: str, text_col: str, partitions: int | None):
-    """``shard, doc_id, ids`` by rising id; ids are packed as 16-bit numbers where all fit, else 32-bit."""
+def _tokens(docs: DataFrame, vocab: str, end_id: int, id_col: str, text_col: str, partitions: int | None,
+            part_chars: int):
+    """``nth, doc_id, ids`` where ``nth`` rises with the id; ids are packed as 16-bit numbers where all fit, else 32-bit."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = rows.withColumn("shard", F.spark_partition_id())
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // part_chars))
+    # the front of the text spreads rows that share an id (or have none) over several tasks
+    rows = rows.repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("nth", F.monotonically_increasing_id())
     end = int(end_id).to_bytes(4, "little")
 
     def kernel(frames):
@@ -74,10 +77,10 @@ def _tokens(docs: DataFrame, vocab: str, end_id: int, id_col: str, text_col: str
                 ids = np.frombuffer(raw + end, "<u4")
                 short = ids.max() <= 0xFFFF
                 out.append((b"\2" if short else b"\4") + (ids.astype("<u2") if short else ids).tobytes())
-            yield pd.DataFrame({"shard": f["shard"], "doc_id": f["doc_id"].astype("Int64"), "ids": out})
-        enc.forget()
+            yield pd.DataFrame({"nth": f["nth"], "doc_id": f["doc_id"].astype("Int64"), "ids": out})
+        enc.rest()
 
-    return rows.mapInPandas(kernel, "shard int, doc_id long, ids binary")
+    return rows.mapInPandas(kernel, "nth long, doc_id long, ids binary")
 
 
 def _ids(raw: bytes) -> np.ndarray:
@@ -103,19 +106,20 @@ def codebook(tokens: DataFrame) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-          block_tokens: int = 1 << 20, partitions: int | None = None) -> None:
+          block_tokens: int = 1 << 20, partitions: int | None = None, part_chars: int = 8_000_000) -> None:
     """Writes the token ids of all documents (and ``end_id`` after each) to the folder ``path``.
 
     Null and empty texts have the end id alone.  Repeated ids stand next to
     each other, by text; null ids come first.  Documents are never cut: a
     block ends with the document that reaches ``block_tokens``.  An empty
     table gives empty files that read back as no rows.
+
+    Each row carries its place in the order (``nth``), so no later step relies
+    on the order in which Spark reads files or merges spilled runs.
     """
     spark = docs.sparkSession
-    raw = _tokens(docs, vocab, end_id, id_col, text_col, partitions)
-    at = folder(spark, "token-ids")
-    raw.write.option("compression", "zstd").partitionBy("shard").parquet(at)
-    raw = spark.read.schema(raw.schema).parquet(at)
+    with tidy_shuffles(spark):
+        raw = stored(_tokens(docs, vocab, end_id, id_col, text_col, partitions, part_chars), "token-ids")
     codebook(raw).coalesce(1).write.parquet(f"{path}/codebook")
     # the rank of each vocabulary entry: bounded by the vocabulary, whatever the corpus
     book = spark.read.parquet(f"{path}/codebook").select("token", "rank").collect()
@@ -125,32 +129,32 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str =
     shared = spark.sparkContext.broadcast(rank)
 
     def kernel(frames):
-        shard, rows, held = None, [], 0
+        first, rows, held = 0, [], 0
 
         def block():
             control, data = encode_ranks(shared.value[np.concatenate([ids for _, ids in rows])])
             return pd.DataFrame({"doc_ids": [[k for k, _ in rows]], "n_tokens": [[len(x) for _, x in rows]],
-                                 "control": [control], "data": [data], "shard": [shard]})
+                                 "control": [control], "data": [data], "seq": [first]})
 
         for f in frames:
-            for s, key, ids in zip(f["shard"].tolist(), f["doc_id"].tolist(), f["ids"].tolist()):
-                if rows and (s != shard or held >= block_tokens):
+            keys = [None if null else key for null, key in zip(f["no_id"].tolist(), f["doc_id"].tolist())]
+            for nth, key, ids in zip(f["nth"].tolist(), keys, f["ids"].tolist()):
+                if rows and (nth != first + len(rows) or held >= block_tokens):
                     yield block()
                     rows, held = [], 0
-                shard = s
-                rows.append((None if pd.isna(key) else int(key), _ids(ids)))
+                if not rows:
+                    first = nth
+                rows.append((key, _ids(ids)))
                 held += len(rows[-1][1])
         if rows:
             yield block()
 
-    ordered = raw.select("shard", "doc_id", "ids")
-    blocks = ordered.mapInPandas(kernel, "doc_ids array<long>, n_tokens array<int>, control binary, data binary, "
-                                         "shard int")
-    blocks = blocks.withColumn("seq", F.monotonically_increasing_id())
-    blocks.write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/blocks")
+    known = raw.select("nth", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("no_id"), "ids")
+    blocks = known.mapInPandas(kernel, _BLOCKS)
+    blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
-_BLOCKS = "doc_ids array<long>, n_tokens array<int>, control binary, data binary, seq long, shard int"
+_BLOCKS = "doc_ids array<long>, n_tokens array<int>, control binary, data binary, seq long"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -167,27 +171,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def kernel(frames):
         for f in frames:
-            for shard, seq, keys, sizes, control, data in zip(f["shard"], f["seq"], f["doc_ids"], f["n_tokens"],
-                                                              f["control"], f["data"]):
+            for seq, keys, sizes, control, data in zip(f["seq"], f["doc_ids"], f["n_tokens"], f["control"], f["data"]):
                 sizes = np.asarray(sizes, np.int64)
                 raw = shared.value[decode_ranks(control, data, int(sizes.sum()))].astype("<u4").tobytes()
                 ends = 4 * np.cumsum(sizes)
                 crcs = [zlib.crc32(raw[e - 4 * n:e]) for e, n in zip(ends.tolist(), sizes.tolist())]
-                yield pd.DataFrame({"shard": shard, "seq": seq, "at": np.arange(len(sizes)),
-                                    "doc_id": pd.array(list(keys), dtype="Int64"), "before": ends // 4 - sizes,
+                yield pd.DataFrame({"seq": seq, "doc_id": pd.array(list(keys), dtype="Int64"), "before": ends // 4 - sizes,
                                     "n_tokens": sizes, "ids_crc32": crcs})
 
     blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
-    sizes = blocks.select("shard", "seq", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    # starts of blocks: within a shard by its blocks, across shards by one row for each shard
+    sizes = blocks.select(F.shiftright("seq", 33).alias("shard"), "seq", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    # starts of blocks: within a part by its blocks, across parts by one row for each part
     in_shard = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     of_shards = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     shards = sizes.groupBy("shard").agg(F.sum("n").alias("n")).withColumn("s0", F.coalesce(F.sum("n").over(of_shards), zero))
     starts = (sizes.withColumn("b0", F.coalesce(F.sum("n").over(in_shard), zero)).drop("n")
                    .join(shards.select("shard", "s0"), "shard")
-                   .select("shard", "seq", (F.col("b0") + F.col("s0")).alias("block_start")))
-    rows = blocks.mapInPandas(kernel, "shard int, seq long, at long, doc_id long, before long, n_tokens long, "
-                                      "ids_crc32 long")
-    return (rows.join(starts, ["shard", "seq"])
+                   .select("seq", (F.col("b0") + F.col("s0")).alias("block_start")))
+    rows = blocks.mapInPandas(kernel, "seq long, doc_id long, before long, n_tokens long, ids_crc32 long")
+    return (rows.join(starts, "seq")
                 .select("doc_id", (F.col("block_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"))

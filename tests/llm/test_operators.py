@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import subprocess
 import sys
 from collections import Counter
 from pathlib import Path
@@ -146,6 +147,31 @@ def test_token_files(spark, docs, none, twice):
     assert [r[0] for r in got] == [sum(r[1] for r in got[:i]) for i in range(len(got))]
 
 
+SPILL = """
+import random, sys
+from pyspark.sql import SparkSession
+from assaygraph.llm import bpe, token_files
+spark = (SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1])
+         .config("spark.shuffle.spill.numElementsForceSpillThreshold", "700").getOrCreate())
+texts = [(k, f"w{k % 97} " * (k % 5)) for k in range(20_000)]
+random.Random(1).shuffle(texts)
+docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+token_files.write(docs, sys.argv[1] + "/out", bpe.default_path(), block_tokens=300, partitions=3)
+start = 0
+for k, row in enumerate(token_files.read(spark, sys.argv[1] + "/out").orderBy("doc_id").collect()):
+    assert (row.doc_id, row.start) == (k, start), (k, row, start)
+    start += row.n_tokens
+assert k == 19_999
+"""
+
+
+def test_token_files_keep_their_order_when_sorts_spill(tmp_path):
+    """In a session of its own: the threshold that makes sorts spill is read when Spark starts."""
+    run = subprocess.run([sys.executable, "-c", SPILL, str(tmp_path)], cwd=Path(__file__).parents[2], timeout=300,
+                         capture_output=True, text=True, check=False)
+    assert run.returncode == 0, run.stderr[-2000:]
+
+
 def _check_packing(got, want, capacity):
     assert {r[:5] for r in got} == want and len(got) == len(want)
     bins = {}
