@@ -5,19 +5,21 @@ in a document with a smaller id.  Documents stay where they are: each shard
 (a part of a scan partition) sends sorted distinct keys to buckets and gets one
 answer for each key, so texts are never moved and no key carries its places.
 
-1. Discarding.  A window of ``size`` bytes can recur only if its anchor (the
+1. Whole copies (SHA-256 of the text) of a text with a smaller id go; nothing
+   else can hold a string that their first text has not.
+2. Discarding.  A window of ``size`` bytes can recur only if its anchor (the
    20-byte string with the smallest hash inside it) does.  Shards report
    distinct anchors; windows whose anchor is known in one document only are out.
-2. Sampling.  Residues {1, 2, 4} modulo 7 are a difference cover: for any two
+3. Sampling.  Residues {1, 2, 4} modulo 7 are a difference cover: for any two
    places i, j there is a shift d in 0 ... 6 that takes both to sampled
    places.  So equal windows at i and j show up as sampled suffixes i + d and
    j + d that agree on ``size - d`` bytes, after the same d bytes.
-3. Names.  At sampled places the triples of three 7-byte letters are sorted in
+4. Names.  At sampled places the triples of three 7-byte letters are sorted in
    their bucket; equal triples get one name.  Names of one document only end here.
-4. Recursion.  A sampled suffix is now the sequence of names 21 bytes apart
+5. Recursion.  A sampled suffix is now the sequence of names 21 bytes apart
    (again sampled places); these are sorted, which orders suffixes by as
    many whole names as the window has.
-5. Merging.  The remaining suffixes enter through the sampled one d places on:
+6. Merging.  The remaining suffixes enter through the sampled one d places on:
    in the order of (names, the bytes after them, the d bytes before), neighbours with equal
    prefixes are one string, for each d in turn.  The smallest document id of a
    string is its first place; all others are repeats.
@@ -36,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folder, stored, tidy_shuffles
+from .common import folder, maybe_broadcast, stored, tidy_shuffles
 from .phrases import _by_bucket, _least, _roll
 
 _V, _COVER = 7, (1, 2, 4)
@@ -62,17 +64,16 @@ def _sorted(cols):
     h = _mixed(cols)
     order = np.argsort(h)
 
-    def steps(order):
+    ordered = h[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    same = np.flatnonzero(~new)
+    if any((c[order[same]] != c[order[same - 1]]).any() for c in cols):     # other rows with one hash: sort by the values too
+        order = np.lexsort((*cols, h))
         differ = np.zeros(len(order) - 1, bool)
         for c in cols:
-            differ |= np.diff(c[order]) != 0
-        return differ
-
-    differ, sorted_h = steps(order), h[order]
-    if (differ & (sorted_h[1:] == sorted_h[:-1])).any():        # other rows with one hash: sort by the values too
-        order = np.lexsort((*cols, h))
-        differ = steps(order)
-    return order, np.concatenate(([True], differ))
+            differ |= c[order[1:]] != c[order[:-1]]
+        new = np.concatenate(([True], differ))
+    return order, new
 
 
 def _pack(cols) -> bytes:
@@ -89,16 +90,27 @@ def _unpack(raw: bytes, n_cols: int) -> list[np.ndarray]:
 class _Shard:
     """The texts of a shard as one array of bytes, by document id."""
 
-    def __init__(self, f: pd.DataFrame, size: int):
+    def __init__(self, f: pd.DataFrame, size: int, told: pd.DataFrame):
+        """``told``: what the shard has been told; its whole copies count as empty here."""
         f = f.sort_values(["doc_id", "nth"])
+        copies = told.loc[told["kind"] == "copies", "payload"]
+        self.copy = f["nth"].isin(np.frombuffer(copies.iloc[0], ">i8")).to_numpy() if len(copies) else np.zeros(len(f), bool)
         texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in f["text"].tolist()]
+        self.whole = np.array([len(t) for t in texts], np.int64)
+        texts = [b"" if c else t for t, c in zip(texts, self.copy.tolist())]
         self.size = size
         self.ids = f["doc_id"].to_numpy(np.int64)
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.end = np.cumsum(self.sizes)
         self.begin = self.end - self.sizes
         self.n = int(self.end[-1]) if len(texts) else 0
-        self.buf = np.frombuffer(b"".join(texts) + b"\xff" * 64, np.uint8)
+        self.raw = b"\xff" * 8 + b"".join(texts) + b"\xff" * 96
+        self.buf = np.frombuffer(self.raw, np.uint8)[8:]
+
+    def eight(self, at: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on, as a number, the first byte highest; from -8 on."""
+        any_place = np.ndarray((len(self.raw) - 7,), ">u8", self.raw, strides=(1,))
+        return any_place[at + 8].astype(np.uint64)
 
     def document(self, at: np.ndarray) -> np.ndarray:
         """The document of each place (empty documents share their begin with the one behind them)."""
@@ -152,7 +164,8 @@ class _Shard:
         for d in range(1, _V):
             near[d:] |= self.windows[:-d]
         at = np.flatnonzero(near)
-        at = at[np.isin((at - self.begin[self.document(at)]) % _V, _COVER)]
+        covered = np.isin(np.arange(_V), _COVER)
+        at = at[covered[(at - self.begin[self.document(at)]) % _V]]
         self.at, self.names_in = at, (self.size - _V + 1) // _TRIPLE
         named = np.zeros(self.n + 64, bool)
         for k in range(self.names_in):
@@ -167,28 +180,23 @@ class _Shard:
         self.number[order] = np.cumsum(new) - 1
 
     def _letter(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), np.uint64)
-        for k in range(_LETTER):
-            out = out << np.uint64(8) | self.buf[at + k]
-        return out
+        return self.eight(at) >> np.uint64(8 * (8 - _LETTER))
 
     def entries(self, name: np.ndarray):
         """Columns of each sampled suffix: names, the bytes before, the bytes after (0xFF, which no text has, beyond the text)."""
         at, doc = self.at, self.document(self.at)
         names = [name[self.number[np.searchsorted(self.named, at + k * _TRIPLE)]] for k in range(self.names_in)]
-        before = np.zeros(len(at), np.uint64)
-        for k in range(_V - 1):
-            place = at - 1 - k
-            byte = np.where(place >= self.begin[doc], self.buf[np.maximum(place, 0)], 255).astype(np.uint64)
-            before |= byte << np.uint64(8 * k)
+        full = np.uint64(2 ** 64 - 1)
+        filled = lambda n: full >> (np.uint64(8) * (8 - n).astype(np.uint64))  # noqa: E731  all ones in the n low bytes, n > 0
+        there = np.minimum(at - self.begin[doc], _V - 1)
+        before = self.eight(at - 8) & np.uint64((1 << 8 * (_V - 1)) - 1)
+        before = np.where(there > 0, before & filled(np.maximum(there, 1)), 0) | (full << (np.uint64(8) * there.astype(np.uint64)))
         after, rest = [], self.size - self.names_in * _TRIPLE
         for w in range(0, rest, 8):
-            word = np.zeros(len(at), np.uint64)
-            for k in range(w, w + 8):
-                place = at + self.names_in * _TRIPLE + k
-                byte = np.where(place < self.end[doc], self.buf[np.minimum(place, self.n)], 255).astype(np.uint64)
-                word = word << np.uint64(8) | byte
-            after.append(word)
+            place = at + self.names_in * _TRIPLE + w
+            beyond = np.clip(8 - (self.end[doc] - place), 0, 8)
+            word = self.eight(np.minimum(place, self.n))
+            after.append(np.where(beyond > 0, word | filled(np.maximum(beyond, 1)), word))
         return names, before, after, doc
 
 
@@ -255,8 +263,10 @@ def remove_substrings(docs: DataFrame, size: int = 50, shard_bytes: int = 6_000_
     shards = spark.table(name)
     spark.sql(f"DROP TABLE {name}")              # its files stay, and this frame reads them
 
-    def anchors(f: pd.DataFrame) -> pd.DataFrame:
-        h = np.unique(_Shard(f, size).anchors()[1])
+    def anchors(f: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(f):
+            return _replies([])
+        h = np.unique(_Shard(f, size, told).anchors()[1])
         shard = int(f["shard"].iloc[0])
         return _replies([(shard, "anchors", b, h[at].tobytes()) for b, at in _by_bucket(h, buckets)])
 
@@ -267,15 +277,15 @@ def remove_substrings(docs: DataFrame, size: int = 50, shard_bytes: int = 6_000_
         return _replies([(s, "shared", int(b), np.packbits(many[x:y]).tobytes())
                          for s, b, x, y in zip(f["shard"], f["bucket"], cuts, cuts[1:]) if many[x:y].any()])
 
-    def find(f: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
+    def find(f: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(f):
             return _replies([])
-        s = _Shard(f, size)
-        start, end = s.suspects(masks, buckets)
+        s = _Shard(f, size, told)
+        start, end = s.suspects(told[told["kind"] == "shared"], buckets)
         return _replies([(int(f["shard"].iloc[0]), "suspects", 0, _pack([start, end]))] if len(start) else [])
 
     def load(f: pd.DataFrame, told: pd.DataFrame) -> _Shard | None:
-        s = _Shard(f, size)
+        s = _Shard(f, size, told)
         found = told.loc[told["kind"] == "suspects", "payload"]
         if not len(found):
             return None
@@ -356,7 +366,7 @@ def remove_substrings(docs: DataFrame, size: int = 50, shard_bytes: int = 6_000_
         if not len(f):
             return pd.DataFrame({c: [] for c in columns})
         found = named(f, told)
-        s = found[0] if found else _Shard(f, size)
+        s = found[0] if found else _Shard(f, size, told)
         gone = np.zeros(s.n, bool)
         if found:
             _, names, before, after, doc, _ = found
@@ -383,7 +393,10 @@ def remove_substrings(docs: DataFrame, size: int = 50, shard_bytes: int = 6_000_
         # a stretch that runs on into the next document is cut there
         a, b = step[::2], step[1::2]
         raw, out = s.buf[:s.n], []
-        for begin, end, key in zip(s.begin.tolist(), s.end.tolist(), s.ids.tolist()):
+        for begin, end, key, copy, n_bytes in zip(s.begin.tolist(), s.end.tolist(), s.ids.tolist(), s.copy.tolist(), s.whole.tolist()):
+            if copy:
+                out.append((key, n_bytes, n_bytes, [{"start": 0, "end": n_bytes}], b""))
+                continue
             lo, hi = np.searchsorted(b, begin, side="right"), np.searchsorted(a, end, side="left")
             if lo >= hi or begin == end:
                 out.append((key, end - begin, 0, [], raw[begin:end].tobytes()))
@@ -398,9 +411,15 @@ def remove_substrings(docs: DataFrame, size: int = 50, shard_bytes: int = 6_000_
         return shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInPandas(kernel, _REPLY)
 
     with tidy_shuffles(spark):
-        known = stored(shards.groupBy("shard").applyInPandas(anchors, _REPLY)
-                             .groupBy("bucket").applyInPandas(shared, _REPLY), "suffix-anchors")
-        told = stored(ask(find, known), "suffix-suspects")
+        texts = stored(shards.where(F.octet_length("text") >= size)
+                             .select("shard", "nth", "doc_id", F.sha2("text", 256).alias("sha")), "suffix-digests")
+        first = texts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        copies = texts.join(maybe_broadcast(stored(first, "suffix-copied")), "sha").where("doc_id > first")
+        listed = F.unhex(F.concat_ws("", F.collect_list(F.lpad(F.hex("nth"), 16, "0"))))
+        told = stored(copies.groupBy("shard").agg(listed.alias("payload"))
+                            .select("shard", F.lit("copies").alias("kind"), F.lit(0).alias("bucket"), "payload"), "suffix-copies")
+        known = stored(ask(anchors, told).groupBy("bucket").applyInPandas(shared, _REPLY), "suffix-anchors")
+        told = told.unionByName(stored(ask(find, told.unionByName(known)), "suffix-suspects"))
         told = told.unionByName(stored(ask(triples, told).groupBy("bucket").applyInPandas(give_names, _REPLY), "suffix-names"))
         told = told.unionByName(stored(ask(suffixes, told).groupBy("bucket").applyInPandas(merge, _REPLY), "suffix-repeats"))
     out = (shards.groupBy("shard").cogroup(told.groupBy("shard"))
