@@ -2,58 +2,69 @@
 
 The pre-tokenizer of byte-level BPE files makes a space between two
 non-spaces open the next piece, and a line break between two non-spaces a
-piece of its own.  So a text can be cut before such spaces, and the ids of
+piece of its own.  So a text can be cut before such spaces and breaks, and the ids of
 the words joined.  Words recur, which turns most of the work into dictionary
-lookups.  Unknown plain words of many texts go to the file's BPE model in one
-call, one word a piece.  Text around other white space, and files with another
+lookups.  Inside a word, letters and the ASCII signs after them are pieces as
+well.  The letters of unknown words go to the file's BPE model many at a
+time, one word a piece.  Text around other white space, and files with another
 pre-tokenizer, are given to the library whole.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import threading
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A space that opens no piece: white space or the end of the text follows.
-_INNER = re.compile(r" (?:\s|\Z)")
-_CUT = re.compile(r" (?=\S)")
+#: White space that is no cut: more of it, the end or the front of the text is next to it.
+_INNER = re.compile(r"\s(?:\s|\Z)|\A\s")
 _SPACE = re.compile(r"\s")
-#: A word of Latin letters, not all of them ASCII.
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Words that are looked up before the unknown ones are encoded, and words in one call.
-_AT_ONCE, _IN_CALL = 200_000, 1000
+#: A line break or none, Latin letters, ASCII signs (not the apostrophe, which may open a piece with the letters behind it).
+_SHAPE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Characters that are cut at once; words in one text and texts in one call of the model.
+_AT_ONCE, _IN_TEXT, _IN_CALL = 3_000_000, 100, 200
 assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are kept as little-endian uint32"
 
 
-class _Words(dict):
-    """Word (after a space) -> its ids; a word that is not known yet stands for itself and is noted.
+def _cuttable(text: str) -> bool:
+    """Whether each space and line break stands between two characters that are no white space."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    # only a space is both white space and printable
+    return text.replace("\n", "").isprintable() or not _INNER.search(text)
 
-    When full, the older half of what was not used since goes.
-    """
+
+class _Words:
+    """Word -> its ids, bounded.  When full, the older half of what was not used since goes."""
 
     def __init__(self, room: int):
-        super().__init__()
-        self._room, self._old, self.unknown = room, {}, set()
-
-    def __missing__(self, word: str):
-        out = self._old.get(word)
-        if out is None:
-            self.unknown.add(word)
-            return word
-        self.learn(word, out)
+        self._room, self._new, self._old = room, {}, {}
+
+    def find(self, words: list[str]) -> list[bytes | None]:
+        out = list(map(self._new.get, words))
+        if self._old:
+            for i, ids in enumerate(out):
+                if ids is None and (ids := self._old.get(words[i])) is not None:
+                    out[i] = self._new[words[i]] = ids
         return out
 
-    def learn(self, word: str, ids: bytes) -> None:
-        if len(word) <= 40:
-            if len(self) >= self._room:
-                self._old = dict(self)
-                self.clear()
-            self[word] = ids
+    def peek(self, word: str) -> bytes | None:
+        return self._new.get(word)
+
+    def learn(self, words: dict[str, bytes]) -> None:
+        self._new.update({w: ids for w, ids in words.items() if len(w) <= 40})
+        if len(self._new) > self._room:
+            self._old, self._new = self._new, {}
+
+    def clear(self) -> None:
+        self._new, self._old = {}, {}
 
 
 class Encoder:
@@ -77,7 +88,7 @@ class Encoder:
             split = self._tok.pre_tokenizer.pre_tokenize_str      # how the file writes the bytes of a character
             self._bytes = {ord(c): split(c)[0][0] for c in map(chr, range(256)) if c.isalpha() or c == " "}
             self._space, self._line = self._bytes[ord(" ")], split("\n")[0][0]
-            self._stop = {c: self._whole(c) for c in (".", ",")}
+            self._tails = {"": b""}
             self._break = self._whole("\n")
             self._cut = len(self._break) == 4
         if self._cut:
@@ -89,43 +100,53 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _plain(self, word: str) -> str | None:
-        """A word of letters with its space, as the model writes it; None for any other word."""
-        if word.isascii():
-            return self._space + word if word.isalpha() else None
-        return self._space + word.translate(self._bytes) if _LATIN.fullmatch(word) else None
-
-    def _learn(self) -> dict[str, bytes]:
-        """Ids of all words noted as unknown."""
-        new, plain, ended, other = {}, {}, [], []
-        for word in self._rest.unknown:
-            written = self._plain(word)
-            if written is None and word[-1:] in (".", ",") and (written := self._plain(word[:-1])) is not None:
-                ended.append(word)
-                word = word[:-1]
-            if written is None:
-                other.append(word)
-            elif word not in self._rest:
-                plain[word] = written
-        words, line = list(plain), int.from_bytes(self._break, "little")
-        for k in range(0, len(words), _IN_CALL):
-            some = words[k:k + _IN_CALL]
-            raw = array("I", self._pieces.encode(self._line.join([plain[w] for w in some]), add_special_tokens=False).ids).tobytes()
-            ends = 4 * np.flatnonzero(np.frombuffer(raw, "<u4") == line)
-            for word, a, b in zip(some, [0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)], strict=True):
-                new[word] = raw[a:b]
-        for word in ended:
-            stem = word[:-1]
-            new[word] = (new[stem] if stem in new else self._rest[stem]) + self._stop[word[-1]]
-        for word in other:
-            new[word] = self._odd(word)
-        for word, ids in new.items():
-            self._rest.learn(word, ids)
-        self._rest.unknown.clear()
+    def _tail(self, signs: str) -> bytes:
+        if signs not in self._tails:
+            if len(self._tails) > 10_000:
+                self._tails = {"": b""}
+            self._tails[signs] = self._whole(signs)
+        return self._tails[signs]
+
+    def _models(self, written: list[str]) -> list[bytes]:
+        """Ids of pieces as the model writes them."""
+        out, line = [], int.from_bytes(self._break, "little")
+        for k in range(0, len(written), _IN_TEXT * _IN_CALL):
+            some = written[k:k + _IN_TEXT * _IN_CALL]
+            lines = [self._line.join(some[a:a + _IN_TEXT]) for a in range(0, len(some), _IN_TEXT)]
+            each = self._pieces.encode_batch_fast(lines, add_special_tokens=False)
+            raw = self._break.join([array("I", x.ids).tobytes() for x in each])
+            ends = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == line)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True)]
+        return out
+
+    def _learn(self, unknown: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not known yet."""
+        new, plain, shaped = {}, [], []
+        for word in unknown:
+            if word.isalpha() and word.isascii():
+                plain.append(word)
+            elif shape := _SHAPE.fullmatch(word):
+                shaped.append((word, *shape.groups()))
+            else:
+                new[word] = self._odd(word)
+        new |= zip(plain, self._models([self._space + w for w in plain]))
+        # a stem after a space may be a known word; after a break it is written without the space
+        stems = [new.get(letters) or self._rest.peek(letters) if signs and not first else None for _, first, letters, signs in shaped]
+        missing = iter(self._models([(("" if first else self._space) + letters).translate(self._bytes) if not letters.isascii()
+                                     else letters if first else self._space + letters
+                                     for (_, first, letters, _), ids in zip(shaped, stems) if ids is None]))
+        for (word, first, _, signs), ids in zip(shaped, stems):
+            ids = next(missing) if ids is None else ids
+            if signs:
+                ids += self._tail(signs)
+            new[word] = self._break + ids if first else ids
+        self._rest.learn(new)
         return new
 
     def _odd(self, word: str) -> bytes:
-        """A word with its space that is not plain: line breaks between non-spaces are pieces of their own."""
+        """A word of another shape: after a space, or after the break that it opens with."""
+        if word[:1] == "\n" and word[1:]:       # such words come from cuts at breaks only
+            return self._break + self._whole(word[1:])
         if "\n" in word:
             lines = word.split("\n")
             if all(x and not _SPACE.search(x) for x in lines):
@@ -134,29 +155,45 @@ class Encoder:
 
     def encode_all(self, texts):
         """One ``bytes`` for each text, in order; null and empty texts have no ids."""
-        held, n = [], 0
+        held, some, size = [], [], 0                 # results, or None for a text that is cut with others
         for text in texts:
             if not text:
-                held.append([b""])
-            elif not self._cut:
-                held.append([self._whole(text)])
+                held.append(b"")
+            elif not self._cut or not _cuttable(text):
+                held.append(self._whole(text))
             else:
-                words = _CUT.split(text) if _INNER.search(text) else text.split(" ")
-                ids = list(map(self._rest.__getitem__, words[1:]))
-                held.append([self._whole(words[0]) if words[0] else b"", *ids])
-                n += len(words)
-            if n >= _AT_ONCE:
-                yield from self._joined(held)
-                held, n = [], 0
-        yield from self._joined(held)
-
-    def _joined(self, held: list):
-        new = self._learn() if self._rest.unknown else {}
-        for ids in held:
-            try:
-                yield b"".join(ids)
-            except TypeError:                       # some words were unknown when they were looked up
-                yield b"".join([x if x.__class__ is bytes else new[x] for x in ids])
+                held.append(None)
+                some.append(text)
+                size += len(text)
+            if size >= _AT_ONCE or len(held) >= 100_000:
+                yield from self._joined(held, some)
+                held, some, size = [], [], 0
+        yield from self._joined(held, some)
+
+    def _joined(self, held: list, some: list[str]):
+        ids = iter(self._by_words(some) if some else ())
+        for own in held:
+            yield next(ids) if own is None else own
+
+    def _by_words(self, texts: list[str]):
+        """Ids of texts that can be cut at each space and break: distinct words are looked up once."""
+        lines = ["\n" + t.replace("\n", " \n") for t in texts]         # a first word stands behind a break, too
+        words = pc.split_pattern(pa.array([" ".join(lines)], pa.large_string()), " ").flatten().dictionary_encode()
+        at, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
+        known = self._rest.find(distinct)
+        unknown = [w for w, ids in zip(distinct, known) if ids is None]
+        if unknown:
+            new = self._learn(unknown)
+            known = [new[w] if ids is None else ids for w, ids in zip(distinct, known)]
+        own = np.empty(len(known), object)
+        own[:] = known
+        end = np.cumsum(np.fromiter(map(len, known), np.int64, len(known))[at])
+        tokens = b"".join(own[at].tolist())
+        last = np.cumsum([line.count(" ") + 1 for line in lines])
+        start = 0
+        for stop in end[last - 1].tolist():
+            yield tokens[start + 4:stop]             # without the break
+            start = stop
 
     def rest(self, seconds: float = 20) -> None:
         """To be called as a task ends: the next task finds the words, but an idle Python worker soon gives them back."""
@@ -167,7 +204,6 @@ class Encoder:
     def forget(self) -> None:
         """Gives the word cache back: no more is held than the tokenizer."""
         self._rest.clear()
-        self._rest._old = {}
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))
@@ -181,6 +217,7 @@ def encoder(path: str) -> Encoder:
     """
     import tokenizers
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # a task has one core
     kept = vars(tokenizers).setdefault("_assaygraph_encoders", {})
     if path not in kept:
         kept[path] = Encoder(path)
