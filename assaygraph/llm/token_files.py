@@ -60,7 +60,10 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _tokens(docs: DataFrame, vocab: str, end_id: int, id_col: str, text_col: str, partitions: int | None,
             part_chars: int):
-    """``nth, doc_id, ids`` where ``nth`` rises with the id; ids are packed as 16-bit numbers where all fit, else 32-bit."""
+    """``nth, doc_id, ids`` where ``nth`` rises with the id; ids are packed as 16-bit numbers where all fit, else 32-bit.
+
+    Rows with ``nth`` -1 hold the token counts of a task.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // part_chars))
@@ -70,15 +73,22 @@ def _tokens(docs: DataFrame, vocab: str, end_id: int, id_col: str, text_col: str
     end = int(end_id).to_bytes(4, "little")
 
     def kernel(frames):
-        enc = encoder(vocab)
+        enc, total = encoder(vocab), np.zeros(1 << 16, np.int64)
         for f in frames:
             out = []
             for raw in enc.encode_all(f["text"].tolist()):
                 ids = np.frombuffer(raw + end, "<u4")
                 short = ids.max() <= 0xFFFF
                 out.append((b"\2" if short else b"\4") + (ids.astype("<u2") if short else ids).tobytes())
+            c = np.bincount(np.concatenate([_ids(raw) for raw in out]) if out else np.empty(0, np.int64), minlength=len(total))
+            c[:len(total)] += total
+            total = c
             yield pd.DataFrame({"nth": f["nth"], "doc_id": f["doc_id"].astype("Int64"), "ids": out})
         enc.rest()
+        # the counts of the task, on a row of their own
+        token = np.flatnonzero(total)
+        yield pd.DataFrame({"nth": [-1], "doc_id": pd.array([None], "Int64"),
+                            "ids": [np.concatenate((token, total[token])).astype("<i8").tobytes()]})
 
     return rows.mapInPandas(kernel, "nth long, doc_id long, ids binary")
 
@@ -87,20 +97,15 @@ def _ids(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1)
 
 
-def codebook(tokens: DataFrame) -> DataFrame:
-    """``token, rank, n`` over all documents; at most one row for each entry of the vocabulary."""
-    def count(frames):
-        total = np.zeros(1 << 16, np.int64)
+def codebook(counts: DataFrame) -> DataFrame:
+    """``token, rank, n`` over all documents, from the counts of all tasks; at most one row for each entry of the vocabulary."""
+    def pairs(frames):
         for f in frames:
             for raw in f["ids"]:
-                c = np.bincount(_ids(raw))
-                if len(c) > len(total):
-                    total = np.concatenate((total, np.zeros(len(c) - len(total), np.int64)))
-                total[:len(c)] += c
-        token = np.flatnonzero(total)
-        yield pd.DataFrame({"token": token, "n": total[token]})
+                token, n = np.frombuffer(raw, "<i8").reshape(2, -1)
+                yield pd.DataFrame({"token": token, "n": n})
 
-    counts = tokens.select("ids").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = counts.select("ids").mapInPandas(pairs, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     by_count = Window.orderBy(F.desc("n"), "token")           # one row for each entry of the vocabulary
     return counts.withColumn("rank", F.row_number().over(by_count) - 1)
 
@@ -120,7 +125,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str =
     spark = docs.sparkSession
     with tidy_shuffles(spark):
         raw = stored(_tokens(docs, vocab, end_id, id_col, text_col, partitions, part_chars), "token-ids")
-    codebook(raw).coalesce(1).write.parquet(f"{path}/codebook")
+    codebook(raw.where("nth < 0")).coalesce(1).write.parquet(f"{path}/codebook")
     # the rank of each vocabulary entry: bounded by the vocabulary, whatever the corpus
     book = spark.read.parquet(f"{path}/codebook").select("token", "rank").collect()
     rank = np.zeros(max((r[0] for r in book), default=0) + 1, np.uint32)
@@ -149,7 +154,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str =
         if rows:
             yield block()
 
-    known = raw.select("nth", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("no_id"), "ids")
+    known = raw.where("nth >= 0").select("nth", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("no_id"), "ids")
     blocks = known.mapInPandas(kernel, _BLOCKS)
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
 
