@@ -8,13 +8,18 @@ n(e) of them with entity e, n(t) with term t and n(t, e) with t beside e,
     IC(e)     = log2(N / n(e))                       what e tells
     PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e)))    what t tells about e
 
-Terms are all words of the documents that hold e, outside the base spans, and
-``t`` discloses the share PMI / IC of e.  Where t stands in fewer of e's
-documents than ``min_documents``, the share is weighted by how far it gets
-there, n(t, e) / min(min_documents, n(e)): a chance meeting is weak evidence.
-For an entity of one document the weight is 1, and the term's own document
-frequency decides (n(t) <= sqrt(N) at a threshold of one half).  From
-``threshold`` on every occurrence of t in a document of e becomes a span too:
+Terms are the words (of three letters or digits and more) of the documents
+that hold e, outside the base spans.  ``t`` discloses the share PMI / IC of e,
+times what the evidence is worth:
+
+* how far t gets with e: n(t, e) / min(``min_documents``, n(e)), at most 1;
+* that it is no chance.  Any rare word shares its documents with e, so
+  counts of one document, or of copies of one, prove nothing by themselves.  Either t stands
+  close to e: up to ``near`` characters count in full, each further ``fade`` halve it.  Or
+  e's documents hold t in different contexts (words to the left and right, which copies share):
+  ``min_documents`` of them count in full, one does not at all.
+
+From ``threshold`` on every occurrence of t in a document of e becomes a span too:
 *generalised* to a class word if the term also lives elsewhere, *removed* if
 it occurs nowhere but with e.
 
@@ -107,74 +112,94 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return stored(found.unionByName(bare), "pii-entities")
 
 
-def _pairs(found: DataFrame, n: int, n_term: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``row, entity, term`` of terms and entities in one document, and ``entity, n_entity``.
+def _places(found: DataFrame) -> DataFrame:
+    """``doc_id, row, term, start, end, context`` of each word of the documents with base spans, outside these.
 
-    Left out are only pairs that cannot reach the threshold: as n(t, e) <= n(e),
+    Places are running sums of what a word and the text before it take;
+    ``context`` is a hash of the words on both sides.
+    """
+    text = F.col("masked")
+    words, gaps = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.split(text, _WORD, -1)
+    listed = found.where("masked is not null").select("doc_id", "row", words.alias("w"), gaps.alias("g"))
+    each = F.transform("w", lambda w, i: F.struct(
+        F.lower(w).alias("term"), F.length(w).alias("n"), F.length(F.get("g", i)).alias("gap"),
+        F.xxhash64(F.lower(F.get("w", i - 1)), F.lower(F.get("w", i + 1))).alias("context")))
+    places = listed.select("doc_id", "row", F.posexplode(each).alias("nth", "x")).select("doc_id", "row", "nth", "x.*")
+    upto = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    places = places.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(upto))
+    return stored(places.select("doc_id", "row", "term", (F.col("end") - F.col("n")).alias("start"), "end", "context"),
+                  "pii-places")
+
+
+def _pairs(found: DataFrame, places: DataFrame, n: int, n_term: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``row, entity, term, distance, context`` of terms and entities in one document, and ``entity, n_entity``.
+
+    ``distance`` in characters is the least there is between the two, ``context`` that of
+    the term's first place.  Left out are only pairs that cannot reach the threshold: as n(t, e) <= n(e),
     it takes n(t) <= N * (n(e) / N) ** threshold.  The most frequent terms and
     entities are known by a bounded broadcast; others count as the least of these.
     """
     name = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("match")).otherwise(
         F.when(F.col("kind") == "ip", F.col("match")).otherwise(F.regexp_replace("match", "[^0-9]", ""))))
-    base = stored(found.where("kind is not null").select("row", name.alias("entity")).distinct(), "pii-base")
-    n_entity = stored(base.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "pii-n-entity")
+    base = stored(found.where("kind is not null").select("row", name.alias("entity"), "start", "end"), "pii-base")
+    n_entity = base.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    n_entity = stored(n_entity, "pii-n-entity")
     often = stored(n_entity.where("n_entity > 1").orderBy(F.desc("n_entity"), "entity").limit(KNOWN), "pii-often")
     size, least = often.agg(F.count(F.lit(1)), F.min("n_entity")).first()
     others = least if size == KNOWN else 1
     base = base.join(F.broadcast(often), "entity", "left")
     most = F.lit(float(n)) * F.pow(F.coalesce("n_entity", F.lit(others)) / F.lit(float(max(n, 1))), F.lit(threshold))
-    base = base.select("row", "entity", (most * (1 + 1e-9)).alias("most"))
+    base = base.select("row", "entity", F.col("start").alias("s"), F.col("end").alias("e"), (most * (1 + 1e-9)).alias("most"))
     common = n_term.where(F.col("n_term") > float(n) ** (1 - threshold)).orderBy(F.desc("n_term"), "term").limit(KNOWN)
-    terms = found.where("masked is not null").select("row", F.explode(_terms(F.col("masked"))).alias("term"))
-    terms = terms.where(F.length("term") >= 3).join(F.broadcast(common), "term", "left")
+    terms = places.join(F.broadcast(common), "term", "left")
     pairs = terms.join(base, "row").where(F.coalesce("n_term", F.lit(0)) <= F.col("most"))
-    return stored(pairs.select("row", "entity", "term"), "pii-pairs"), n_entity
+    far = F.greatest(F.lit(0), F.col("start") - F.col("e"), F.col("s") - F.col("end"))
+    return stored(pairs.groupBy("row", "entity", "term").agg(F.min(far).alias("distance"),
+                                                            F.min_by("context", "start").alias("context")), "pii-pairs"), n_entity
 
 
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.split(text, r"[^\p{L}\p{N}]++"), F.lower))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = 0.5, min_documents: int = 3,
-                     text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = 0.5, min_documents: int = 3, near: int = 8,
+                     fade: int = 16, text_col: str = "text",
+                     places: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``entity, term, share, n_term, n_both, action`` of terms from ``threshold`` on, and ``row, entity, term`` of pairs."""
     n = docs.count()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.explode(_terms(text)).alias("term"))
     n_term = own.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))       # of every term, summed up in each task first
     n_term = stored(n_term, "pii-n-term")
-    pairs, n_entity = _pairs(found, n, n_term, threshold)
-    both = stored(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")), "pii-both")
+    pairs, n_entity = _pairs(found, places or _places(found), n, n_term, threshold)
+    both = stored(pairs.groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("n_both"), F.min("distance").alias("distance"),
+        F.count_distinct("context").alias("contexts")), "pii-both")
     out = both.join(n_term, "term").join(n_entity, "entity")
     pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     ic = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    weight = F.least(F.lit(1.0), F.col("n_both") / F.least(F.lit(min_documents), "n_entity"))
+    reach = F.least(F.lit(1.0), F.col("n_both") / F.least(F.lit(min_documents), "n_entity"))
+    close = F.pow(F.lit(2.0), -F.greatest(F.lit(0), F.col("distance") - near) / F.lit(float(fade)))
+    apart = F.least(F.lit(1.0), (F.col("contexts") - 1) / F.lit(float(max(min_documents - 1, 1))))
+    weight = reach * F.greatest(close, apart)
     out = out.withColumn("share", F.when(ic > 0, F.round(pmi / ic * weight, 9))).where(F.col("share") >= threshold)
     action = F.when(F.col("n_term") > F.col("n_both"), ADDED[0]).otherwise(ADDED[1])
-    return out.select("entity", "term", "share", "n_term", "n_both", action.alias("action")), pairs
+    return out.select("entity", "term", "share", "n_term", "n_both", action.alias("action")), pairs.select("row", "entity", "term")
 
 
-def spans(docs: DataFrame, threshold: float = 0.5, min_documents: int = 3, id_col: str = "doc_id",
-          text_col: str = "text") -> DataFrame:
+def spans(docs: DataFrame, threshold: float = 0.5, min_documents: int = 3, near: int = 8, fade: int = 16,
+          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, row, kind, start, end`` of all spans; one row with a null kind for a document without any."""
     found = entities(docs, id_col, text_col)
-    risky, pairs = disclosing_terms(docs, found, threshold, min_documents, text_col)
+    places = _places(found)
+    risky, pairs = disclosing_terms(docs, found, threshold, min_documents, near, fade, text_col, places)
     risky = stored(risky.select("entity", "term", "n_both", "action"), "pii-risky")
     # pairs of many documents go to them by a broadcast, so that no key of the shuffle has many rows
     many = maybe_broadcast(risky.where("n_both > 1000").drop("n_both"))
     few = risky.where("n_both <= 1000").drop("n_both")
     told = pairs.join(many, ["entity", "term"]).unionByName(pairs.join(few, ["entity", "term"]))
     told = stored(told.groupBy("row", "term").agg(F.max("action").alias("kind")), "pii-told")
-    # every word of these documents with its place, as running sums of what a word and the text before it take
-    text = F.col("masked")
-    words, gaps = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.split(text, _WORD, -1)
-    each = F.transform(F.arrays_zip(words.alias("w"), F.slice(gaps, 1, F.size(words)).alias("g")), lambda z: F.struct(
-        F.lower(z["w"]).alias("term"), F.length(z["w"]).alias("n"), F.length(z["g"]).alias("gap")))
-    places = (found.where("masked is not null").join(told.select("row").distinct(), "row", "left_semi")
-                   .select("doc_id", "row", F.posexplode(each).alias("nth", "w")).select("doc_id", "row", "nth", "w.*"))
-    upto = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    places = places.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(upto))
-    extra = places.withColumn("start", F.col("end") - F.col("n")).join(told, ["row", "term"])
+    extra = places.join(told, ["row", "term"])
     return found.select("doc_id", "row", "kind", "start", "end").unionByName(
         extra.select("doc_id", "row", "kind", "start", "end"))
 

@@ -327,10 +327,13 @@ def test_disclosure_is_by_corpus_counts(spark):
 
 
 def test_terms_of_entities_in_one_document(spark):
-    """With the parameters as the query has them: an address of one document, a word far from it, and again further on."""
+    """With the parameters as the query has them: a word beside an address of one document, and again further on.
+
+    A rare word that is only far from it (quagga) is chance, as every rare word of a document would be.
+    """
     filler = " ".join(f"filler{k}" for k in range(40))
     rows = [(i, f"common {filler} other{i % 9}") for i in range(60)]
-    rows += [(100, f"common Zanzibar {filler} anna@corp.org {filler} common zanzibar é quagga.")]
+    rows += [(100, f"common {filler} Zanzibar anna@corp.org {filler} common zanzibar é quagga.")]
     rows += [(101, "common quokka bob@corp.org 10.0.0.1"), (102, "common quokka bob@corp.org other1")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     texts = dict(rows)
@@ -338,10 +341,41 @@ def test_terms_of_entities_in_one_document(spark):
     for r in sanitise.spans(df).where("kind in ('generalised', 'removed')").collect():
         got.setdefault(r.doc_id, []).append((texts[r.doc_id][r.start:r.end], r.kind))
     assert {k: sorted(v) for k, v in got.items()} == {
-        100: [("Zanzibar", "removed"), ("quagga", "removed"), ("zanzibar", "removed")],
+        100: [("Zanzibar", "removed"), ("zanzibar", "removed")],
         101: [("quokka", "removed")], 102: [("quokka", "removed")]}
 
 
+def test_copies_are_one_context_and_other_documents_are_several(spark):
+    """A word far from the entity counts if documents with different words around it hold both, not if copies do."""
+    filler = [" ".join(f"filler{k}" for k in range(a, a + 30)) for a in range(6)]
+    rows = [(i, f"common {filler[i % 6]} other{i}") for i in range(60)]
+    copy = f"ann@corp.org common common common common {filler[0]} left quokka right {filler[0]}"
+    rows += [(100 + i, copy) for i in range(4)]
+    rows += [(200 + i, f"bob@corp.org common common common common {filler[i]} left{i} zanzibar right{i} {filler[i]}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    risky, _ = sanitise.disclosing_terms(df, sanitise.entities(df))
+    assert [(r.entity, r.term, r.action) for r in risky.collect()] == [("email:bob@corp.org", "zanzibar", "removed")]
+
+
+def test_sanitiser_with_production_parameters_takes_few_words(spark):
+    """On the given documents with a planted name beside each of ten addresses, and one name in documents apart."""
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    planted = [(10**6 + i, f"ask Brannoxid{i} person{i}@planted.org for more " + "of the words here " * 20) for i in range(10)]
+    df = given.unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    found = sanitise.spans(df)
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
+    words, added, names = 0, 0, set()
+    for r in found.where("kind is not null").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "start", "end")).alias("x")).collect():
+        if r.doc_id < 10**6:
+            words += len(texts[r.doc_id].split())
+            added += sum(x.kind in sanitise.ADDED for x in r.x)
+        else:
+            names |= {texts[r.doc_id][x.start:x.end] for x in r.x if x.kind in sanitise.ADDED}
+    assert names >= {f"Brannoxid{i}" for i in range(10)} and not names & {"the", "words"}
+    assert 0 < added < 0.05 * words, (added, words)
+    print("added", added, "of", words)
+
+
 # 8: licences
 
 
