@@ -94,12 +94,22 @@ SELECT lam.col AS "column", lam.n1 AS n_base, lam.n2 AS n_current, round(lam.mr,
 FROM lam JOIN p ON lam.col = p.col
 WHERE lam.mr > 0.3 OR (lam.n1 > 0 AND lam.n2 > 0)""")
 def drift_report(spark, sf_dir):
-    """V6 + V7: first half of the month against the second half."""
+    """V6 + V7: first half of the month against the second half, p by the limiting series."""
+    return _drift(spark, sf_dir, "asymptotic")
+
+
+@register("drift_report_exact")
+def drift_report_exact(spark, sf_dir):
+    """V7 with the exact two-sample p (one sample of the effective size beyond 10,000 rows)."""
+    return _drift(spark, sf_dir, "auto")
+
+
+def _drift(spark, sf_dir, method):
     ev = table(spark, sf_dir, "events")
     cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     base = _drift_side(ev.where(F.col("ts") < cut), 1)
     cur = _drift_side(ev.where(F.col("ts") >= cut), 2)
-    r = V.drift_report(base, cur, _DRIFT_COLS)
+    r = V.drift_report(base, cur, _DRIFT_COLS, method=method)
     return r.select("column", "n_base", "n_current", F.round("missing_ratio", 6).alias("missing_ratio"),
                     F.round("d_stat", 6).alias("d_stat"), F.round("p_value", 6).alias("p_value"),
                     "drift_status", "message")

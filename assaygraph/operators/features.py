@@ -169,13 +169,75 @@ def pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
+def co_moments(df: DataFrame, cols: list[str], shift: list[float] | None = None, complete: bool = False) -> DataFrame:
+    """``i, n, sx, sxx, sxy``: row i of four p x p matrices over ``cols`` (arrays of p doubles each).
+
+    Entry j is taken over the rows where both columns have a value (``complete``: where all have
+    one): their number, the sum of x_i, of its square, and of x_i * x_j, each value less its ``shift``.  Every task adds
+    up matrix products of its Arrow batches and reports p rows; these are summed in two steps, so
+    no task gets more than a share of them.
+    """
+    import numpy as np
+    import pandas as pd
+
+    p, fields = len(cols), ["n", "sx", "sxx", "sxy"]
+    base = np.array(shift if shift is not None else [0.0] * p)
+    schema = "i int, part int, n array<double>, sx array<double>, sxx array<double>, sxy array<double>"
+
+    def rows_of(i, part, sums):
+        return pd.DataFrame({"i": i, "part": part, **{f: list(s) for f, s in zip(fields, sums)}})
+
+    def products(frames):
+        from pyspark import TaskContext
+
+        total = np.zeros((4, p, p))
+        for f in frames:
+            x = f.to_numpy(dtype=float, na_value=np.nan) - base
+            has = ~np.isnan(x)
+            if complete:
+                x, has = x[has.all(axis=1)], has[has.all(axis=1)]
+            x, m = np.where(has, x, 0.0), has.astype(float)
+            total += (m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x)
+        yield rows_of(np.arange(p), TaskContext.get().partitionId() % 64, total)
+
+    def add(f):
+        sums = [[np.sum(np.stack(f[c].to_list()), axis=0)] for c in fields]
+        return rows_of([f["i"].iloc[0]], 0, sums)
+
+    x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+    out = x.mapInPandas(products, schema).groupBy("i", "part").applyInPandas(add, schema)
+    return out.groupBy("i").applyInPandas(add, schema).drop("part")
+
+
+def _centres(df: DataFrame, cols: list[str]) -> list[float]:
+    """The mean of each column (the value itself of a constant one), in one pass: sums of squares stay exact enough."""
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    row = df.agg(*[F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)) for c in x]).first()
+    return [0.0 if v is None or v != v else float(v) for v in row]
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """|Pearson r| for all pairs i < j in one aggregate (pairwise complete):
-    ``col_a, col_b, r``."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.abs(pearson(F.col(f"`{a}`"), F.col(f"`{b}`"))).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-    expr = ", ".join(f"'{a}', '{b}', `r{k}`" for k, (a, b) in enumerate(pairs))
-    return row.selectExpr(f"stack({len(pairs)}, {expr}) AS (col_a, col_b, r)")
+    """|Pearson r| for all pairs i < j, pairwise complete: ``col_a, col_b, r``.
+
+    r is null where a column is constant on the common rows, and where these are fewer than two.
+    Any number of columns: :func:`co_moments` holds p x p numbers a task, and the
+    plan has a fixed number of steps.
+    """
+    names = F.array(*[F.lit(c) for c in cols])
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+    m = co_moments(df, cols, _centres(df, cols))
+    cells = m.select("i", F.posexplode(F.arrays_zip("n", "sx", "sxx", "sxy")).alias("j", "m")).select("i", "j", "m.*")
+    # sums of the other column over the same rows stand in row j
+    cells = cells.where("i != j").withColumns({"a": F.least("i", "j"), "b": F.greatest("i", "j")})
+    both = cells.groupBy("a", "b").agg(
+        F.first(F.nullif("n", F.lit(0.0))).alias("n"), F.first("sxy").alias("sxy"),
+        *[F.max(F.when(F.col("i") == F.col(s), F.col(c))).alias(f"{c}_{s}") for s in "ab" for c in ("sx", "sxx")])
+    var = lambda s: F.col(f"sxx_{s}") - F.col(f"sx_{s}") * F.col(f"sx_{s}") / F.col("n")
+    varies = (F.col("n") >= 2) & (var("a") > 1e-13 * F.col("sxx_a")) & (var("b") > 1e-13 * F.col("sxx_b"))   # up to rounding
+    cov = F.col("sxy") - F.col("sx_a") * F.col("sx_b") / F.col("n")
+    r = F.when(varies, F.abs(cov / F.sqrt(F.abs(var("a") * var("b")))))
+    return both.select(names[F.col("a")].alias("col_a"), names[F.col("b")].alias("col_b"), r.alias("r"))
 
 
 def _corr_lookup(df: DataFrame, cols: list[str]) -> dict[tuple[str, str], float | None]:
@@ -215,21 +277,13 @@ def high_correlation(df: DataFrame, cols: list[str], threshold: float = 0.9,
 
 
 def gram_matrix(df: DataFrame, cols: list[str]):
-    """X^T X, the column sums and the row count in one aggregate pass
-    (p(p+1)/2 + p + 1 sums over rows complete in ``cols``), as numpy."""
+    """X^T X, the column sums and the row count over rows complete in ``cols``, as numpy (p x p numbers)."""
     import numpy as np
 
-    x = [F.col(f"`{c}`").cast("double") for c in cols]
-    complete = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in cols)) if cols else df
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = complete.agg(*[F.sum(x[i] * x[j]).alias(f"g{k}") for k, (i, j) in enumerate(pairs)],
-                       *[F.sum(x[i]).alias(f"s{i}") for i in range(len(cols))],
-                       F.count(F.lit(1)).alias("n")).first()
-    g = np.zeros((len(cols), len(cols)))
-    for k, (i, j) in enumerate(pairs):
-        g[i, j] = g[j, i] = row[f"g{k}"] or 0.0
-    sums = np.array([row[f"s{i}"] or 0.0 for i in range(len(cols))])
-    return g, sums, int(row["n"])
+    g, sums, n = np.zeros((len(cols), len(cols))), np.zeros(len(cols)), 0
+    for r in (co_moments(df, cols, complete=True).collect() if cols else []):
+        g[r["i"]], sums[r["i"]], n = r["sxy"], r["sx"][r["i"]], int(r["n"][r["i"]])
+    return g, sums, n
 
 
 def _vif_from_gram(g, idx: list[int], sums=None, n: int | None = None) -> list[float]:
