@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..plans import blocks, cells
 from ..plans.ranking import exact_quantile_value, with_index
 from ..plans.session import cut_lineage
-from .similarity import _block_plan, k_distance
+from .similarity import _block_plan, equal_rows, k_distance
 
 
 def estimate_eps(df: DataFrame, min_samples: int = 3, quantile: float = 0.98, id_col: str = "id",
@@ -87,7 +87,12 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 3, id_col: str = "id",
     else:
         kd = k_distance(t, min_samples, "_id", "_x", block_rows) if kdist is None else kdist.withColumnRenamed(id_col, "_id")
         core = kd.select("_id", (F.col("kdist") <= eps).alias("_core"))
-    cell = cells.build(t.join(core, "_id", "left").withColumn("_core", F.coalesce("_core", F.lit(False))), "_id", "_x")
+    tc = t.join(core, "_id", "left").withColumn("_core", F.coalesce("_core", F.lit(False)))
+    # equal rows have one k-distance and one cluster: the row with the smallest id stands for them
+    classes = equal_rows(t, "_id", "_x", 1)
+    if classes is not None:
+        tc = tc.join(classes[0].select("_id"), "_id", "left_semi")
+    cell = cells.build(tc, "_id", "_x")
     tc = cell.rows.drop("_cell")
     edges = blocks.cogroup_blocks(
         cells.reach(tc, cell, "_x", eps), cell.rows, "_id", "_id",
@@ -104,10 +109,11 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 3, id_col: str = "id",
     labelled = comp.unionByName(border)
     order = with_index(labelled.select("component").distinct(), ["component"], out="cluster")
     lab = labelled.join(order, "component").select("id", F.col("cluster").cast("int").alias("cluster"))
-    out = (tc.select(F.col("_id").alias(id_col), F.col("_core").alias("is_core"))
-             .join(lab.withColumnRenamed("id", id_col), id_col, "left")
-             .select(id_col, F.coalesce("cluster", F.lit(-1)).alias("cluster"), "is_core"))
-    return out
+    out = (tc.select(F.col("_id").alias("id"), F.col("_core").alias("is_core")).join(lab, "id", "left")
+             .select(F.col("id").alias("_first"), F.coalesce("cluster", F.lit(-1)).alias("cluster"), "is_core"))
+    if classes is None:
+        return out.withColumnRenamed("_first", id_col)
+    return classes[1].join(out, "_first").select(F.col("_id").alias(id_col), "cluster", "is_core")
 
 
 def cluster_counts(clustered: DataFrame, cluster_col: str = "cluster") -> DataFrame:

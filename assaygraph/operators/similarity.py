@@ -64,7 +64,8 @@ def knn(queries: DataFrame, reference: DataFrame, k: int = 5, q_id: str = "id",
     ``exclude_self`` drops the pair with equal ids (not list position 0).
     With ``key`` only rows with the same key value are compared (G4).
 
-    Without a key the reference rows lie in cells (:mod:`..plans.cells`).
+    Without a key equal rows are one (:func:`equal_rows`), and the reference
+    rows lie in cells (:mod:`..plans.cells`).
     Each query meets its own cell first; the k-th distance found there bounds
     the cells that can hold anything better, and only those are met then.
     """
@@ -72,23 +73,67 @@ def knn(queries: DataFrame, reference: DataFrame, k: int = 5, q_id: str = "id",
     if key:
         cand = _keyed_topk(q, r, k, "_key", exclude_self, block_rows)
     else:
-        cell = cells.build(r, "_rid", "_rx")
-        q = cut_lineage(q)
-        first = _keyed_topk(cells.reach(q, cell, "_qx", home=True), cell.rows, k, "_cell", exclude_self, block_rows)
-        first = cut_lineage(first)
-        # k candidates a block pair: the k-th best of them is the bound
-        kth = (_topk_window(first, ["lid"], ["dist", "rid"], k, "rank").where(F.col("rank") == k)
-               .select(F.col("lid").alias("_qid"), F.col("dist").alias("_kth")))
-        bounded = q.join(kth, "_qid", "left")
-        more = _keyed_topk(cells.reach(bounded, cell, "_qx", "_kth", home=False).select("_qid", "_qx", "_cell"),
-                           cell.rows, k, "_cell", exclude_self, block_rows)
-        cand = first.unionByName(more)
+        more = k + 1 if exclude_self else k
+        refs = equal_rows(r, "_rid", "_rx", more)
+        asks = equal_rows(q, "_qid", "_qx", 1)
+        if refs is None and asks is None:
+            cand = _cell_topk(q, r, k, exclude_self, block_rows)
+        else:
+            # the k nearest classes by (distance, smallest id) hold the k nearest rows
+            found = _cell_topk(q if asks is None else asks[0], r if refs is None else refs[0], more, False, block_rows)
+            cand = _topk_window(found, ["lid"], ["dist", "rid"], more, "rank").drop("rank")
+            if refs is not None:
+                ids = refs[0].select(F.col("_rid").alias("rid"), "_ids")
+                cand = cand.join(ids, "rid").select("lid", F.explode("_ids").alias("rid"), "dist")
+                cand = _topk_window(cand, ["lid"], ["dist", "rid"], more, "rank").drop("rank")
+            if asks is not None:
+                cand = (cand.join(asks[1].select(F.col("_first").alias("lid"), "_qid"), "lid")
+                            .select(F.col("_qid").alias("lid"), "rid", "dist"))
+            if exclude_self:
+                cand = cand.where(F.col("lid") != F.col("rid"))
     # candidates per query row are bounded (k per reference block met)
     top = _topk_window(cand, ["lid"], ["dist", "rid"], k, "rank")
     return top.select(F.col("lid").alias("query_id"), F.col("rank").cast("int").alias("rank"),
                       F.col("rid").alias("neighbor_id"), "dist")
 
 
+#: Up to so many equal rows are compared like any others, if nearly all rows differ.
+FEW_EQUAL = 64
+
+
+def equal_rows(rows: DataFrame, id_col: str, vec: str, keep: int) -> tuple[DataFrame, DataFrame] | None:
+    """Classes of rows with one vector, or None where classes would spare next to nothing.
+
+    First their representatives: ``id_col`` (the smallest id), ``vec``, ``_ids`` (the
+    ``keep`` smallest); then ``id_col, _first`` of all rows.  Joins on representatives form
+    no pair twice, however many rows are equal.  Which way is taken changes the cost only.
+    """
+    sizes = rows.groupBy(F.xxhash64(vec)).agg(F.count(F.lit(1)).alias("c"))
+    total, largest, distinct = sizes.agg(F.sum("c"), F.max("c"), F.count(F.lit(1))).first()
+    if not total or (largest <= FEW_EQUAL and distinct > 0.9 * total):
+        return None
+    some = topk_per_group(rows.select(id_col, vec), vec, [id_col], keep)
+    firsts = cut_lineage(some.groupBy(vec).agg(F.sort_array(F.collect_list(id_col)).alias("_ids"))     # keep ids a class
+                             .select(F.col("_ids")[0].alias(id_col), vec, "_ids"))
+    members = rows.select(id_col, vec).join(firsts.select(F.col(id_col).alias("_first"), vec), vec).select(id_col, "_first")
+    return firsts, members
+
+
+def _cell_topk(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, block_rows: int | None) -> DataFrame:
+    """``lid, rid, dist``: candidates that hold the k nearest rows of each query."""
+    cell = cells.build(r, "_rid", "_rx")
+    q = cut_lineage(q.select("_qid", "_qx"))
+    first = _keyed_topk(cells.reach(q, cell, "_qx", home=True), cell.rows, k, "_cell", exclude_self, block_rows)
+    first = cut_lineage(first)
+    # k candidates a block pair: the k-th best of them is the bound
+    kth = (_topk_window(first, ["lid"], ["dist", "rid"], k, "rank").where(F.col("rank") == k)
+           .select(F.col("lid").alias("_qid"), F.col("dist").alias("_kth")))
+    bounded = q.join(kth, "_qid", "left")
+    more = _keyed_topk(cells.reach(bounded, cell, "_qx", "_kth", home=False).select("_qid", "_qx", "_cell"),
+                       cell.rows, k, "_cell", exclude_self, block_rows)
+    return first.unionByName(more)
+
+
 def k_distance(df: DataFrame, min_samples: int = 3, id_col: str = "id", vec: str = "x",
                block_rows: int | None = None) -> DataFrame:
     """A2: distance to the ``min_samples``-th neighbour counting the row itself
@@ -99,9 +144,9 @@ def k_distance(df: DataFrame, min_samples: int = 3, id_col: str = "id", vec: str
               .select(F.col("query_id").alias(id_col), F.col("dist").alias("kdist")))
 
 
-def _within(df: DataFrame, eps: float, id_col: str, vec: str) -> tuple[DataFrame, DataFrame]:
+def _within(df: DataFrame, eps: float, id_col: str, vec: str, extra: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Rows repeated for the cells in reach of ``eps``, and rows in their own cell: every pair within meets once."""
-    q, r = _sides(df, df, id_col, id_col, vec, None)
+    r = df.select(F.col(id_col).cast("long").alias("_rid"), F.col(vec).cast("array<double>").alias("_rx"), *extra)
     cell = cells.build(r, "_rid", "_rx")
     q = cell.rows.select(F.col("_rid").alias("_qid"), F.col("_rx").alias("_qx"))
     return cells.reach(q, cell, "_qx", eps), cell.rows
@@ -119,11 +164,20 @@ def radius_join(df: DataFrame, eps: float, id_col: str = "id", vec: str = "x",
 
 def neighbor_counts(df: DataFrame, eps: float, id_col: str = "id", vec: str = "x",
                     block_rows: int | None = None) -> DataFrame:
-    """Rows within ``eps`` of each row, itself included: ``id, n_eps``."""
-    q, r = _within(df, eps, id_col, vec)
-    cnt = blocks.cogroup_blocks(q, r, "_qid", "_rid", blocks.radius_count_kernel(eps, "_qid", "_rid", "_qx", "_rx"),
-                                "lid long, cnt long", key="_cell", block_rows=block_rows or blocks.DEFAULT_BLOCK_ROWS)
-    return cnt.groupBy("lid").agg(F.sum("cnt").alias("n_eps")).withColumnRenamed("lid", id_col)
+    """Rows within ``eps`` of each row, itself included: ``id, n_eps``.  Equal rows are met as one, with their number."""
+    rows = df.select(F.col(id_col).cast("long").alias(id_col), F.col(vec).cast("array<double>").alias(vec))
+    classes = equal_rows(rows, id_col, vec, 1)
+    if classes is not None:
+        sizes = classes[1].groupBy("_first").agg(F.count(F.lit(1)).alias("_w")).withColumnRenamed("_first", id_col)
+        rows = classes[0].drop("_ids").join(sizes, id_col)
+    q, r = _within(rows, eps, id_col, vec, [] if classes is None else ["_w"])
+    kernel = blocks.radius_count_kernel(eps, "_qid", "_rid", "_qx", "_rx", None if classes is None else "_w")
+    cnt = blocks.cogroup_blocks(q, r, "_qid", "_rid", kernel, "lid long, cnt long", key="_cell",
+                                block_rows=block_rows or blocks.DEFAULT_BLOCK_ROWS)
+    out = cnt.groupBy("lid").agg(F.sum("cnt").alias("n_eps")).withColumnRenamed("lid", id_col)
+    if classes is None:
+        return out
+    return classes[1].join(out.withColumnRenamed(id_col, "_first"), "_first").select(id_col, "n_eps")
 
 
 def cosine_distance_to_centroid(df: DataFrame, id_col: str, vec: str, group: str) -> DataFrame:

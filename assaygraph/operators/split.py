@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from ..plans.ranking import cut_keys, null_safe_join, with_index
+from ..plans.session import cut_lineage
 
-from ..plans.ranking import null_safe_join, with_index
 
 def mix(id_col: str | Column, seed: int) -> Column:
     """Pseudo-random integer in [0, 16^13) from an id (any number or text) and a seed.
@@ -27,8 +30,37 @@ def mix_sql(id_expr: str, seed: int) -> str:
     return f"CAST(concat('0x', substr(md5(concat(CAST({id_expr} AS VARCHAR), ':{int(seed)}')), 1, 13)) AS BIGINT)"
 
 
+def _front(df: DataFrame, col: str, share: float, position: Column, out: str, names: tuple[str, str],
+           partition_by: list[str], tie_order: list[str]) -> DataFrame:
+    """``out`` is the first name for the rows of each group before ``position`` in the order of ``col``, else the second.
+
+    The rows are only filtered against the value at the position.  If rows share that value and
+    some of them come before, those alone are put in order by ``tie_order``.
+    """
+    cut = cut_lineage(cut_keys(df.where(F.col(col).isNotNull()), col, share, position, partition_by))
+    joined = null_safe_join(df, F.broadcast(cut) if not partition_by else cut, partition_by, "left")
+    first = F.coalesce(F.col(col) < F.col("_value"), F.col(col).isNull() & F.col("_value").isNotNull())
+    at_value = cut.where("_take > 0").isEmpty()
+    side = joined.withColumn(out, F.when(first, F.lit(names[0])).otherwise(F.lit(names[1])))
+    if at_value:
+        return side.drop("_value", "_take")
+    same = F.coalesce((F.col(col) == F.col("_value")) & (F.col("_take") > 0), F.lit(False))
+    ties = with_index(side.where(same), tie_order, partition_by, out="_nth")
+    ties = ties.withColumn(out, F.when(F.col("_nth") < F.col("_take"), F.lit(names[0])).otherwise(F.lit(names[1]))).drop("_nth")
+    return side.where(~same).unionByName(ties).drop("_value", "_take")
+
+
 def positional_split(df: DataFrame, id_col: str, frac: float = 0.8, out: str = "split") -> DataFrame:
-    """First floor(frac * n) rows by ``id_col`` -> 'train', the rest 'test'."""
+    """First floor(frac * n) rows by ``id_col`` -> 'train', the rest 'test'.
+
+    Numeric ids are split at the value of that place, without a sort; rows without an id come first.
+    Other ids are numbered.
+    """
+    if isinstance(df.schema[id_col].dataType, NumericType):
+        nulls = df.where(F.col(id_col).isNull()).count()
+        # the places of the rows with an id, after those without one
+        n = F.col("_n") + nulls
+        return _front(df, id_col, frac, F.greatest(F.lit(0), F.floor(n * F.lit(frac)) - nulls), out, ("train", "test"), [], [id_col])
     ranked = with_index(df, [id_col], out="_pos")
     cut = int(ranked.count() * frac)
     return ranked.withColumn(out, F.when(F.col("_pos") < cut, F.lit("train")).otherwise(F.lit("test"))).drop("_pos")
@@ -53,10 +85,9 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_frac: float =
     """Per class the first ceil(test_frac * n_c) rows in hashed order go
     to 'test' (exact per-class counts, as a stratified splitter rounds the
     test side up); a class with one row stays in 'train'."""
-    p = _class_positions(df, id_col, label, seed)
-    n_test = F.when(F.col("_cn") <= 1, F.lit(0)).otherwise(F.ceil(F.col("_cn") * F.lit(test_frac)))
-    return (p.withColumn(out, F.when(F.col("_pos") < n_test, F.lit("test")).otherwise(F.lit("train")))
-             .drop("_h", "_pos", "_cn"))
+    keyed = df.withColumn("_h", F.coalesce(mix(id_col, seed), F.lit(-1)))
+    n_test = F.when(F.col("_n") <= 1, F.lit(0)).otherwise(F.ceil(F.col("_n") * F.lit(test_frac)))
+    return _front(keyed, "_h", test_frac, n_test, out, ("test", "train"), [label], ["_h", id_col]).drop("_h")
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = 43,

@@ -140,14 +140,16 @@ def topk_kernel(k: int, left_id: str, right_id: str, left_vec: str, right_vec: s
     return fn
 
 
-def radius_count_kernel(eps: float, left_id: str, right_id: str, left_vec: str, right_vec: str):
-    """Per left row, the number of right rows within ``eps`` (self included)."""
+def radius_count_kernel(eps: float, left_id: str, right_id: str, left_vec: str, right_vec: str,
+                        right_weight: str | None = None):
+    """Per left row, the number of right rows within ``eps`` (self included); a right row may stand for several."""
 
     def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame, mirror: bool = False) -> pd.DataFrame:
         if len(lpdf) == 0 or len(rpdf) == 0:
             return pd.DataFrame({"lid": pd.Series([], dtype="int64"), "cnt": pd.Series([], dtype="int64")})
         near = cosine_block(stack_vectors(lpdf[left_vec]), stack_vectors(rpdf[right_vec])) <= eps
-        out = pd.DataFrame({"lid": lpdf[left_id].to_numpy(dtype=np.int64), "cnt": near.sum(axis=1).astype(np.int64)})
+        n = near.sum(axis=1) if right_weight is None else near @ rpdf[right_weight].to_numpy(dtype=np.int64)
+        out = pd.DataFrame({"lid": lpdf[left_id].to_numpy(dtype=np.int64), "cnt": n.astype(np.int64)})
         if mirror:
             out = pd.concat([out, pd.DataFrame({"lid": rpdf[right_id].to_numpy(dtype=np.int64),
                                                 "cnt": near.sum(axis=0).astype(np.int64)})], ignore_index=True)

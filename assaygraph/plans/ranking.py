@@ -185,6 +185,43 @@ def _between(base: DataFrame, targets: DataFrame, pb: list[str]) -> DataFrame:
                .select(*pb, "q", "_frac", F.col("_l.x").alias("_vlo"), F.col("_h.x").alias("_vhi")))
 
 
+def cut_keys(df: DataFrame, col: str, share: float, position: Column, partition_by: Sequence[str] = ()) -> DataFrame:
+    """``partition_by..., _value, _take``: the value at a 0-based position of each group's numeric ``col``.
+
+    ``position`` is an expression of the group's row count ``_n`` near ``share * _n``.
+    Rows below ``_value`` come before the position, and so do ``_take`` of the rows equal to it.  A
+    position beyond the last row gives the greatest value and all of its rows.  No row is sorted:
+    a sketch brackets the position, rows below are counted, and values inside are grouped; a
+    bracket that misses is widened to the whole group.
+    """
+    pb = list(partition_by)
+    base = df.select(*pb, F.col(col).alias("_v"))
+    margin = 2.0 / ACCURACY
+    ends = F.percentile_approx("_v", F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin))), ACCURACY)
+    sketch = base.groupBy(*pb).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                                   ends.alias("_ends"))
+    pos = F.least(position.cast("long"), F.col("_n"))
+    # one row a group, read by every pass below
+    ask = cut_lineage(sketch.select(*pb, "_min", "_max", pos.alias("_pos"), F.col("_ends")[0].alias("_a"), F.col("_ends")[1].alias("_b")))
+
+    def located(ask: DataFrame) -> DataFrame:
+        near = null_safe_join(base, ask.select(*pb, "_a", "_b"), pb) if pb else base.crossJoin(F.broadcast(ask.select("_a", "_b")))
+        inside = F.when(F.col("_v") >= F.col("_a"), F.col("_v"))                    # null: below the bracket
+        counts = near.where(F.col("_v") <= F.col("_b")).groupBy(*pb, inside.alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+        cum = running_sum(counts, [F.col("_x").asc_nulls_first()], ["_c"], pb, prefix="_upto")
+        rows = null_safe_join(cum, ask.select(*pb, "_pos", "_max"), pb) if pb else cum.crossJoin(F.broadcast(ask.select("_pos", "_max")))
+        before = F.col("_upto_c") - F.col("_c")
+        hit = (before <= F.col("_pos")) & ((F.col("_pos") < F.col("_upto_c")) | ((F.col("_x") == F.col("_max")) & (F.col("_pos") == F.col("_upto_c"))))
+        return rows.where(hit & F.col("_x").isNotNull()).select(*pb, F.col("_x").alias("_value"), (F.col("_pos") - before).alias("_take"))
+
+    found = cut_lineage(located(ask))
+    missed = ask.join(found.select(*[F.col(c).alias(f"_h_{c}") for c in pb], F.lit(1).alias("_hit")), _same(pb), "left_anti")
+    missed = cut_lineage(missed)
+    if not missed.isEmpty():
+        found = found.unionByName(located(missed.withColumns({"_a": F.col("_min"), "_b": F.col("_max")})))
+    return found
+
+
 def exact_quantile_value(df: DataFrame, col: str, q: float) -> float | None:
     """Single ungrouped quantile returned to the driver (one number)."""
     row = exact_quantiles(df, col, [q]).first()
