@@ -1,11 +1,15 @@
 """Licence scan: TF-IDF cosine to licence notices, then inheritance along directories.
 
-Candidates are the lines of a text with a licence cue (long lines in
-overlapping windows of words).  Each distinct candidate becomes a sparse
-TF-IDF vector (document frequencies over all candidates of the corpus) and
-meets the templates' vectors in a join on terms.  A document whose first line
-is a notice speaks for its directory, as a licence file does; documents
-without a notice inherit from the nearest ancestor directory that has one.
+A text is its sequence of terms: comment signs, line breaks and punctuation
+are none, so a header block wrapped over commented lines reads like the
+template.  Candidates are the whole text (a licence file) and, around each cue word, the
+stretches that a template would take if the cue stood where the template has it (a header, or a notice
+inside a paragraph); so a window is as long as its template, whatever surrounds it.
+Each distinct candidate becomes a sparse TF-IDF vector (document frequencies
+over all candidates of the corpus) and meets the templates' vectors in a join
+on terms.  A document that is a licence as a whole, or opens with a notice, speaks for its directory, as a licence
+file does; documents without a notice inherit from the nearest ancestor
+directory that has one.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, stored
 
-# Short public notices by licence name.
+# Short public notices, the standard header texts and the opening of public licence texts, by licence name.
 TEMPLATES = [
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -39,15 +43,71 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+                   "compliance with the License. You may obtain a copy of the License at "
+                   "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+                   "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
+                   "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+                   "permissions and limitations under the License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+                     "provided that the following conditions are met: 1. Redistributions of source code must retain the "
+                     "above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in "
+                     "binary form must reproduce the above copyright notice, this list of conditions and the following "
+                     "disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+                     "provided that the following conditions are met: 1. Redistributions of source code must retain the "
+                     "above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in "
+                     "binary form must reproduce the above copyright notice, this list of conditions and the following "
+                     "disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the "
+                     "name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                     "products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+                "option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+                "option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                 "(at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+            "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+            "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+            "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+            "substantial portions of the Software."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+                "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
-CUE = r"(?i)licen[cs]e|copyright|public domain|rights reserved|free of charge|creative commons|\bCC[ -](?:BY|0)"
-_TERM = r"[\p{L}\p{N}]++(?:[.-][\p{L}\p{N}]++)*+"
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in TEMPLATES} - {"Proprietary"})]
+#: Each template has one of these terms, and a text without any has no candidate.
+CUES = ("license", "licensed", "copyright", "permission", "domain", "commons", "cc", "redistributions")
+#: A shorter text is no licence file as a whole; it may still open with a notice.
+FILE_TERMS = 20
+CUE = r"(?i)\b(?:" + "|".join(CUES) + r")\b"
+_TERM = r"[\p{L}\p{N}]++(?:\.[0-9]++)*+"
+
+
+def _split(text):
+    return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
 def _terms(texts: DataFrame, key: str) -> DataFrame:
     """``key, term, tf``."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0))
-    return texts.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return texts.select(key, F.explode(_split(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _places(spark) -> DataFrame:
+    """``cue, k, size``: where the templates have cue words, and how many terms a template has (bounded by the list)."""
+    terms = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(TEMPLATES)], "t int, text string").select(
+        _split(F.col("text")).alias("w"))
+    return (terms.select(F.size("w").alias("size"), F.posexplode("w").alias("k", "cue"))
+                 .where(F.col("cue").isin(*CUES)).select("cue", "k", "size").distinct())
 
 
 def classify(candidates: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -79,40 +139,48 @@ def classify(candidates: DataFrame, threshold: float = 0.75) -> DataFrame:
                                     F.max("similarity").alias("similarity"))
 
 
-def scan(docs: DataFrame, path, threshold: float = 0.75, window: int = 64, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+def candidates(docs: DataFrame) -> DataFrame:
+    """``row, opening, at, size, whole, text`` for ``row, text``: whole texts with a cue, and stretches as long as templates."""
+    opening = F.regexp_extract("text", r"\A[^\p{L}\p{N}]*+([^\n]*)", 1)                 # the first line with a term
+    with_cue = docs.where(F.coalesce(F.col("text").rlike(CUE), F.lit(False))).select(
+        "row", _split(F.col("text")).alias("w"), F.size(_split(opening)).alias("opening"))
+    with_cue = stored(with_cue, "licence-terms")
+    cues = with_cue.select("row", F.posexplode("w").alias("p", "cue")).where(F.col("cue").isin(*CUES))
+    placed = cues.join(F.broadcast(_places(docs.sparkSession)), "cue")
+    placed = placed.where("p >= k").select("row", (F.col("p") - F.col("k")).alias("at"), "size").distinct()
+    some = placed.groupBy("row").agg(F.collect_list(F.struct("at", "size")).alias("s"))        # a few for each cue of a text
+    cut = with_cue.join(some, "row").select("row", "w", "opening", F.explode("s").alias("s"))
+    cut = cut.select("row", "opening", F.col("s.at").alias("at"), F.col("s.size").alias("size"), F.lit(False).alias("whole"),
+                     F.array_join(F.slice("w", F.col("s.at") + 1, F.col("s.size")), " ").alias("text"))
+    whole = with_cue.select("row", "opening", F.lit(0).alias("at"), F.size("w").alias("size"), F.lit(True).alias("whole"),
+                            F.array_join("w", " ").alias("text"))
+    return stored(cut.unionByName(whole), "licence-candidates")
+
+
+def scan(docs: DataFrame, path, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, licence, origin, directory`` for each row of ``docs``.
 
     ``path`` is a column or expression: directories and a name, by ``/``.
-    ``origin`` is ``file`` (the first line that is not blank is a notice),
-    ``header`` (another line is one), ``inherited`` (from ``directory``) or
-    ``none``.  With several notices the first one counts; with several licence
-    files in a directory the most frequent licence, then the first name.  Null
+    ``origin`` is ``file`` (the whole text, of ``FILE_TERMS`` or more, is a licence, or a notice is at least
+    half of its first line),
+    ``header`` (a notice stands elsewhere), ``inherited`` (from ``directory``) or
+    ``none``.  With several notices the one nearest to its template counts, among equals the longest, then the first; with
+    several licence files in a directory the most frequent licence, then the first name.  Null
     and empty texts have no notice but inherit; a null path inherits nothing.
     Repeated rows stay.  Other columns are not read; an empty table stays empty.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    has = F.col("_t").rlike(CUE)
-    numbered = F.transform(F.split("_t", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    none = F.array().cast("array<struct<line:int,text:string>>")
-    opening = F.array_position(F.transform(F.split("_t", "\n", -1), lambda x: F.trim(x) != ""), True) - 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                       path.cast("string").alias("path"), text.alias("_t"))
-    rows = rows.select("doc_id", "row", F.regexp_replace("path", "/[^/]*$", "").alias("dir"),
-                       F.when(has, F.filter(numbered, lambda x: x["text"].rlike(CUE))).otherwise(none).alias("cues"),
-                       F.when(has, opening).alias("opening"))
-    rows = stored(rows, "licence-rows")
-    cues = rows.select("row", "opening", F.explode("cues").alias("c")).select("row", "opening", "c.line", "c.text")
-    words = F.split(F.trim("text"), r"\s+")
-    parts = F.when(F.size(words) <= window, F.array("text")).otherwise(F.transform(
-        F.sequence(F.lit(1), F.size(words), F.lit(window // 2)), lambda s: F.array_join(F.slice(words, s, window), " ")))
-    cues = cues.select("row", "opening", "line", F.posexplode(parts).alias("part", "text"))
-    cues = stored(cues, "licence-cues")
-    named = classify(stored(cues.groupBy("text").agg(F.count(F.lit(1)).alias("n")), "licence-texts"), threshold)
-    named = stored(named, "licence-named")
-    found = cues.join(maybe_broadcast(named), "text")
-    own = found.groupBy("row").agg(F.min_by("licence", F.struct("line", "part")).alias("own"),
-                                   F.max(F.col("line") == F.col("opening")).alias("is_file"))
+                       F.regexp_replace(path.cast("string"), "/[^/]*$", "").alias("dir"),
+                       F.when(F.col(text_col).cast("string").rlike(CUE), F.col(text_col).cast("string")).alias("text"))
+    rows = stored(rows, "licence-rows")          # read several times: the numbers of rows must stay
+    found = candidates(rows.select("row", "text"))
+    texts = stored(found.groupBy("text").agg(F.count(F.lit(1)).alias("n")), "licence-texts")
+    named = stored(classify(texts, threshold), "licence-named")
+    hits = found.join(maybe_broadcast(named), "text")
+    as_file = F.when(F.col("whole"), F.col("size") >= FILE_TERMS).otherwise(
+        (F.col("at") < F.col("opening")) & (2 * F.col("size") >= F.col("opening")))
+    best = F.min_by(F.struct("licence", as_file.alias("is_file")), F.struct(-F.col("similarity"), -F.col("size"), "at", "whole", "licence"))
+    own = hits.groupBy("row").agg(best.alias("best")).select("row", F.col("best.licence").alias("own"), "best.is_file")
     own = stored(own, "licence-own")
     at = rows.join(own, "row", "left").select("doc_id", "row", "dir", "own", F.coalesce("is_file", F.lit(False)).alias("is_file"))
     at = stored(at, "licence-at")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import subprocess
 import sys
 from collections import Counter
@@ -394,6 +395,63 @@ def test_licences(spark, none):
     assert licenses.scan(none, F.col("host")).collect() == []
 
 
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main() { return 0; }
+"""
+
+
+def test_licence_headers_files_and_tags(spark):
+    noise = "quorn vellum ".split()
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 300)
+    apache = next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and len(t) > 400).split()
+    bsd = {n: next(t for m, t in licenses.TEMPLATES if m == n and len(t) > 300) for n in ("BSD-2-Clause", "BSD-3-Clause")}
+    wrapped = "\n".join("# " + " ".join(apache[k:k + 9]) for k in range(0, len(apache), 9))
+    texts = {1: ("GPL-3.0", "#!/bin/sh\n" + GPL), 2: ("MIT", "// SPDX-License-Identifier: MIT\ncode"),
+             3: ("Apache-2.0", "import os\n" + wrapped + "\nx = 1"), 4: ("MIT", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit),
+             5: ("MIT", " ".join(noise * 300) + " Released under the MIT License. " + " ".join(noise * 300)),
+             6: ("GPL-2.0", GPL.replace("version 3", "version 2").replace("software:", "software;")),
+             7: ("BSD-3-Clause", bsd["BSD-3-Clause"]), 8: ("BSD-2-Clause", "-- " + bsd["BSD-2-Clause"].replace(". ", ".\n-- ")),
+             9: (None, "The license of birds is a copyright of the commons, said nobody with permission."),
+             10: ("CC-BY-SA-4.0", "x " * 4000 + "Licensed under CC BY-SA 4.0."), 11: ("MIT", "Released under the MIT License."),
+             12: ("MIT", "Released under the MIT License.")}
+    rows = [(k, f"d{k}/f", t, 1, "t") for k, (_, t) in texts.items()] + [(7, "d7/f", texts[7][1], 1, "t"), (13, "d7/sub/x", None, 1, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string, row int, term string").repartition(3)
+    got = sorted([(r.doc_id, r.licence, r.origin) for r in licenses.scan(df, F.col("path")).collect()])
+    want = {k: n for k, (n, _) in texts.items()}
+    assert [g[:2] for g in got] == sorted([*want.items(), (7, "BSD-3-Clause"), (13, "BSD-3-Clause")], key=lambda r: r[0])
+    origin = {k: o for k, _, o in got}
+    assert origin[1] == origin[3] == origin[5] == origin[10] == "header" and origin[8] == origin[7] == origin[2] == "file"
+    assert origin[13] == "inherited" and origin[9] == "none"
+
+
+def test_licence_cosine_equals_brute_force(spark):
+    import math
+
+    texts = ["licensed under the apache license 2.0", "released under the mit license", "copyright all rights reserved by nobody",
+             "spdx license identifier mit", "license license license of the birds"]
+    df = spark.createDataFrame([(t, k + 1) for k, t in enumerate(texts)], "text string, n long")
+    got = {r.text: (r.licence, r.similarity) for r in licenses.classify(df, 0.05).collect()}
+    split = lambda t: re.findall(r"[^\W_]+(?:\.[0-9]+)*", t.lower())
+    sides = [(n, Counter(split(t))) for n, t in licenses.TEMPLATES]
+    n_all = Counter()
+    for k, t in enumerate(texts):
+        n_all.update({w: k + 1 for w in set(split(t))})
+    for _, c in sides:
+        n_all.update(c.keys())
+    total = sum(range(1, len(texts) + 1)) + len(sides)
+    vector = lambda c: {w: (1 + math.log(k)) * (math.log((1 + total) / (1 + n_all[w])) + 1) for w, k in c.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for t in texts:
+        own = vector(Counter(split(t)))
+        best = min((-round(sum(own.get(w, 0) * x for w, x in vector(c).items()) / norm(own) / norm(vector(c)), 9), n) for n, c in sides)
+        assert got[t] == (best[1], pytest.approx(-best[0], abs=1e-8))
+
+
 # 9: lines
 
 
@@ -411,6 +469,10 @@ def test_lines(docs, none, twice):
         assert (r._n_lines, r._n_dropped) == (len(all_), len(all_) - len(kept))
         assert r.text == (None if t is None else "\n".join(kept))
     assert out.columns == docs.columns + ["_n_lines", "_n_dropped"]
+    clash = docs.withColumns({c: F.lit("mine") for c in ("_all", "_host", "__hot", "_kept", "_new")})
+    assert {r._all + r._host + r["__hot"] + r._kept + r._new for r in lines.drop_boilerplate(clash).collect()} == {"mine" * 5}
+    few = clash.select("doc_id", F.lit("s").alias("source"), F.concat(F.lit("own"), "doc_id", F.lit("\nfooter")).alias("text")).limit(9)
+    assert {r._n_dropped for r in lines.drop_boilerplate(few).collect()} == {1}      # on 9 of 9 pages
     assert lines.drop_boilerplate(none).collect() == []
     assert lines.drop_boilerplate(twice).count() == 10
 
