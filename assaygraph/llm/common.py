@@ -54,6 +54,14 @@ def maybe_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if small_enough(df, max_rows) else df
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names with as many underscores in front as it takes to clash with no column."""
+    front = "_"
+    while any(c.lower() in {(front + n).lower() for n in names} for c in columns):
+        front += "_"
+    return [front + n for n in names]
+
+
 def ascii_lower(col):
     """A-Z in lower case, all other characters unchanged."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import maybe_broadcast, stored, unused
 
 #: The hosts' lists are broadcast up to so many characters, and joined by a shuffle beyond.
 BROADCAST_CHARS = 16_000_000
@@ -27,7 +27,7 @@ def _key(line):
     return F.trim(line)
 
 
-def boilerplate(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10, host_col: str = "source",
+def boilerplate(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 3, host_col: str = "source",
                 text_col: str = "text") -> DataFrame:
     """``host, n_pages, lines``: the sorted boilerplate lines of each host that has any."""
     pages = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("_text"))
@@ -41,7 +41,7 @@ def boilerplate(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10, ho
                   .agg(F.first("n_pages").alias("n_pages"), F.sort_array(F.collect_list("line")).alias("lines")))
 
 
-def drop_boilerplate(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10, host_col: str = "source",
+def drop_boilerplate(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 3, host_col: str = "source",
                      text_col: str = "text", out_col: str | None = None) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text_col``; plus ``_n_lines`` and ``_n_dropped`` (long).
 
@@ -52,18 +52,19 @@ def drop_boilerplate(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 1
     Repeated rows count as pages of their own.  An empty table stays empty;
     other columns pass through.
     """
-    hot = stored(boilerplate(docs, max_ratio, min_pages, host_col, text_col), "boilerplate")
-    hot = hot.select(F.col("host").alias("_host"), F.col("lines").alias("_hot"))
-    size = hot.agg(F.sum(F.length(F.array_join("_hot", "")) + 64)).first()[0] or 0
-    joined = docs.join(F.broadcast(hot) if size <= BROADCAST_CHARS else hot, F.col(host_col).cast("string").eqNullSafe(F.col("_host")), "left")
-    all_lines = _lines(F.col(text_col).cast("string"))
-    joined = joined.withColumn("_all", all_lines).withColumn(
-        "_kept", F.when(F.col("_hot").isNull(), F.col("_all")).otherwise(
-            F.filter("_all", lambda line: ~F.array_contains(F.col("_hot"), _key(line)))))
+    host, hot, every, kept, new = unused(docs.columns, "host", "hot", "all", "kept", "new")
+    lines = stored(boilerplate(docs, max_ratio, min_pages, host_col, text_col), "boilerplate")
+    lines = lines.select(F.col("host").alias(host), F.col("lines").alias(hot))
+    size = lines.agg(F.sum(F.length(F.array_join(hot, "")) + 64)).first()[0] or 0
+    joined = docs.join(F.broadcast(lines) if size <= BROADCAST_CHARS else lines,
+                       F.col(host_col).cast("string").eqNullSafe(F.col(host)), "left")
+    joined = joined.withColumn(every, _lines(F.col(text_col).cast("string"))).withColumn(
+        kept, F.when(F.col(hot).isNull(), F.col(every)).otherwise(
+            F.filter(every, lambda line: ~F.array_contains(F.col(hot), _key(line)))))
     has_text = F.col(text_col).isNotNull()
     joined = joined.withColumns({
-        "_n_lines": F.when(has_text, F.size("_all")).otherwise(0).cast("long"),
-        "_n_dropped": F.when(has_text, F.size("_all") - F.size("_kept")).otherwise(0).cast("long"),
-        "_new": F.when(has_text, F.array_join("_kept", "\n"))})
-    out = joined.withColumn(out_col or text_col, F.col("_new"))
-    return out.drop("_host", "_hot", "_all", "_kept", "_new")
+        "_n_lines": F.when(has_text, F.size(every)).otherwise(0).cast("long"),
+        "_n_dropped": F.when(has_text, F.size(every) - F.size(kept)).otherwise(0).cast("long"),
+        new: F.when(has_text, F.array_join(kept, "\n"))})
+    out = joined.withColumn(out_col or text_col, F.col(new))
+    return out.drop(host, hot, every, kept, new)

@@ -72,7 +72,7 @@ WITH l AS (
 h AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 c AS (SELECT source, trim(line, ' ') AS k, count(DISTINCT doc_id) AS n FROM l GROUP BY ALL),
 hot AS (SELECT c.source, c.k FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source
-        WHERE c.k <> '' AND c.n >= 10 AND c.n > h.pages * CAST(0.1 AS DOUBLE)),
+        WHERE c.k <> '' AND c.n >= 3 AND c.n > h.pages * CAST(0.1 AS DOUBLE)),
 f AS (SELECT l.doc_id, l.i, l.line, hot.k IS NOT NULL AS gone
       FROM l LEFT JOIN hot ON l.source IS NOT DISTINCT FROM hot.source AND trim(l.line, ' ') = hot.k),
 g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
