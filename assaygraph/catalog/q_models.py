@@ -128,11 +128,12 @@ def mlp(spark, sf_dir):
 
 @register("hyperparameter_search")
 def hyperparameter_search(spark, sf_dir):
-    """M6: seeded search of 100 trials, 5-fold CV balanced accuracy, median pruning."""
+    """M6: seeded search of 100 trials, 5-fold CV balanced accuracy, median pruning in rungs of folds and trees."""
     tr, _ = _train_test(spark, sf_dir)
     space = {"num_trees": ("int", 50, 500), "max_depth": ("int", 3, 30), "min_instances": ("int", 1, 10),
              "subset": ("cat", ["sqrt", "log2", "all"])}
-    return M.search(tr, space, lambda **p: M.random_forest(TEXT_FEATURES, "y", seed=SEED, **p))
+    return M.search(tr.select(*TEXT_FEATURES, "y", "fold"), space,
+                    lambda **p: M.random_forest(TEXT_FEATURES, "y", seed=SEED, **p), resource="num_trees")
 
 
 @register("cross_val_predict")

@@ -7,6 +7,7 @@ parameters, per-trial scores and importances (bounded by the feature count).
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
 import statistics
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import cut_lineage
+from ..plans.session import parallelism as slots
 from . import evaluate as E
 
 
@@ -111,8 +113,9 @@ def mlp(features: list[str], label: str = "y", hidden: tuple[int, ...] = (64, 32
                                                            seed=seed, maxIter=max_iter)])
 
 
-def logistic(features: list[str], label: str = "y", weight: str | None = None, reg: float = 0.0) -> Pipeline:
-    lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg, maxIter=100)
+def logistic(features: list[str], label: str = "y", weight: str | None = None, reg: float = 0.0,
+             elastic: float = 0.0) -> Pipeline:
+    lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg, elasticNetParam=elastic, maxIter=100)
     if weight:
         lr.setWeightCol(weight)
     return Pipeline(stages=[assembler(features, "_raw"), StandardScaler(inputCol="_raw", outputCol="features"), lr])
@@ -154,56 +157,80 @@ def out_of_fold(df: DataFrame, make, fold_col: str = "fold", label: str = "y") -
     return out
 
 
-def search(df: DataFrame, space: dict, make, n_trials: int = 100, fold_col: str = "fold", seed: int = 43,
-           label: str = "y", parallelism: int = 2) -> DataFrame:
-    """M6: seeded random search maximising mean CV balanced accuracy with
-    median pruning after each fold (successive halving over folds).
+def draw(space: dict, n_trials: int, seed: int) -> list[dict]:
+    """Seeded draws from ``space``: a name -> ('int', lo, hi) | ('float', lo, hi) | ('log', lo, hi) | ('cat', [..])."""
+    rng = random.Random(seed)
+    kinds = {"int": lambda lo, hi: rng.randint(lo, hi), "float": lambda lo, hi: rng.uniform(lo, hi),
+             "log": lambda lo, hi: math.exp(rng.uniform(math.log(lo), math.log(hi))), "cat": lambda values: rng.choice(values)}
+    return [{k: kinds[spec[0]](*spec[1:]) for k, spec in space.items()} for _ in range(n_trials)]
+
 
-    ``space`` maps a name to ('int', lo, hi) | ('float', lo, hi) |
-    ('log', lo, hi) | ('cat', [..]).  Trials run in a driver thread pool;
-    every fit is a Spark job.  Returns ``trial, params, mean, std, folds, pruned``.
+def sized(df: DataFrame, rows_per_task: int = 50_000) -> tuple[DataFrame, int]:
+    """``df`` checkpointed in as many partitions as its rows need, in an order that does not depend on the last run."""
+    parts = max(1, -(-df.count() // rows_per_task))
+    order = [F.xxhash64(*df.columns), *df.columns]
+    return cut_lineage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)), parts
+
+
+def search(df: DataFrame, space: dict, make, n_trials: int = 100, fold_col: str = "fold", seed: int = 43,
+           label: str = "y", resource: str | None = None, least: int = 16, parallelism: int | None = None) -> DataFrame:
+    """M6: seeded random search for the best mean balanced accuracy over folds, in rungs.
+
+    Rung r scores all live trials on fold r and then keeps the better half by
+    the means so far (of equal ones the earlier trials).  ``resource`` names an integer parameter that
+    costs time (number of trees): the first rungs take an eighth, a quarter and
+    half of it (not below ``least``).  Trials that outlive all rungs are then scored on every
+    fold with all of it; only these count as ``folds`` and only they can be the best.
+
+    Trials of a rung run side by side: the training frame is laid out in
+    partitions of its size, and as many fits start as task slots are left.  Returns ``trial,
+    params, mean, std, folds, pruned, best``; the mean of a pruned trial is of its rungs.
     """
-    rng = random.Random(seed)
-    trials = []
-    for _ in range(n_trials):
-        p = {}
-        for k, spec in space.items():
-            kind = spec[0]
-            if kind == "int":
-                p[k] = rng.randint(spec[1], spec[2])
-            elif kind == "float":
-                p[k] = rng.uniform(spec[1], spec[2])
-            elif kind == "log":
-                p[k] = math.exp(rng.uniform(math.log(spec[1]), math.log(spec[2])))
-            else:
-                p[k] = rng.choice(spec[1])
-        trials.append(p)
-    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
-    scores: dict[int, list[float]] = {i: [] for i in range(n_trials)}
-    pruned = set()
-    for f in folds:
-        train, held = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-
-        def run(i):
-            model = make(**trials[i]).fit(train)
-            return i, balanced_accuracy(with_score(model.transform(held), label))
-
-        live = [i for i in range(n_trials) if i not in pruned]
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            for i, s in pool.map(run, live):
-                scores[i].append(s)
-        if f != folds[-1] and len(live) > 2:
-            means = sorted(sum(scores[i]) / len(scores[i]) for i in live)
-            med = means[len(means) // 2]
-            pruned |= {i for i in live if sum(scores[i]) / len(scores[i]) < med}
+    trials = draw(space, n_trials, seed)
+    frame, parts = sized(df)
+    folds = sorted(r[0] for r in frame.select(fold_col).distinct().collect())
+    workers = parallelism or max(1, slots(df.sparkSession) // parts)
+
+    def fit(job: tuple[int, int, float]) -> float:
+        trial, fold, share = job
+        params = dict(trials[trial])
+        if resource:
+            params[resource] = min(params[resource], max(least, round(params[resource] * share)))
+        model = make(**params).fit(frame.where(F.col(fold_col) != fold))
+        return balanced_accuracy(with_score(model.transform(frame.where(F.col(fold_col) == fold)), label))
+
+    shares = [1.0] * len(folds)
+    if resource:
+        shares[:3] = [0.125, 0.25, 0.5][:len(folds)]
+    rungs: dict[int, list[float]] = {i: [] for i in range(n_trials)}
+    full: dict[int, dict[int, float]] = {i: {} for i in range(n_trials)}
+    live, mean = list(range(n_trials)), lambda xs: sum(xs) / len(xs)
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        for r, fold in enumerate(folds):
+            # large forests first, so that the rung does not end with one of them
+            jobs = sorted(live, key=lambda i: -(trials[i][resource] if resource else 0))
+            for i, score in zip(jobs, pool.map(fit, [(i, fold, shares[r]) for i in jobs])):
+                rungs[i].append(score)
+                if shares[r] == 1.0:
+                    full[i][fold] = score
+            if r + 1 < len(folds) and len(live) > 2:
+                live = sorted(sorted(live, key=lambda i: (-mean(rungs[i]), i))[:-(-len(live) // 2)])
+        again = [(i, fold, 1.0) for i in live for fold in folds if fold not in full[i]]
+        for (i, fold, _), score in zip(again, pool.map(fit, again)):
+            full[i][fold] = score
+    best = max(live, key=lambda i: (mean(list(full[i].values())), -i), default=None)
     rows = []
     for i, p in enumerate(trials):
-        s = scores[i]
-        mean = sum(s) / len(s)
-        std = math.sqrt(sum((x - mean) ** 2 for x in s) / len(s))
-        rows.append((i, str(sorted(p.items())), mean, std, len(s), i in pruned))
+        s = list(full[i].values()) if i in live else rungs[i]
+        rows.append((i, json.dumps(p, sort_keys=True), mean(s), statistics.pstdev(s), len(full[i]) if i in live else 0,
+                     i not in live, i == best))
     return df.sparkSession.createDataFrame(rows, "trial int, params string, mean double, std double, folds int, "
-                                                 "pruned boolean")
+                                                 "pruned boolean, best boolean")
+
+
+def best_params(found: DataFrame) -> dict:
+    """The parameters of the best trial of a search."""
+    return json.loads(found.where("best").first()["params"])
 
 
 def best_n_features(train: DataFrame, test: DataFrame, ranked: list[str], make, label: str = "y") -> DataFrame:
