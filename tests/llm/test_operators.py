@@ -512,6 +512,22 @@ def test_cover_tree(spark, block_rows):
     assert covertree.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_cover_tree_with_many_lengths(spark):
+    """240 vectors of 120 lengths, each with a partner; and repeated and null ids."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(120):
+        v = [rng.gauss(0, 1) for _ in range(k + 1)]
+        rows += [(2 * k, v), (2 * k + 1, [x * 1.001 + 1e-4 for x in v])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_duplicates(df, block_rows=50).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(240)}
+    again = spark.createDataFrame([*rows[40:44], rows[40], (None, rows[41][1])], "vec_id long, embedding array<double>")
+    got = sorted(map(str, rows_of(covertree.near_duplicates(again), "vec_id", "n_links", "component_id", "kept")))
+    assert got == sorted(map(str, [(40, 3, 40, True), (40, 3, 40, True), (41, 3, 40, False), (42, 1, 42, True), (43, 1, 42, False),
+                                   (None, 3, 40, False)]))
+
+
 # 1: toxicity
 
 
