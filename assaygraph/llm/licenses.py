@@ -2,9 +2,10 @@
 
 A text is its sequence of terms: comment signs, line breaks and punctuation
 are none, so a header block wrapped over commented lines reads like the
-template.  Candidates are the whole text (a licence file) and, around each cue word, the
-stretches that a template would take if the cue stood where the template has it (a header, or a notice
-inside a paragraph); so a window is as long as its template, whatever surrounds it.
+template.  Candidates are, around each cue word with a neighbour as in a template, the
+stretch that the template would take there (a header, or a notice
+inside a paragraph), so a window is as long as its template, whatever surrounds it; and the
+whole text of such a document (a licence file).
 Each distinct candidate becomes a sparse TF-IDF vector (document frequencies
 over all candidates of the corpus) and meets the templates' vectors in a join
 on terms.  A document that is a licence as a whole, or opens with a notice, speaks for its directory, as a licence
@@ -103,11 +104,15 @@ def _terms(texts: DataFrame, key: str) -> DataFrame:
 
 
 def _places(spark) -> DataFrame:
-    """``cue, k, size``: where the templates have cue words, and how many terms a template has (bounded by the list)."""
-    terms = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(TEMPLATES)], "t int, text string").select(
-        _split(F.col("text")).alias("w"))
-    return (terms.select(F.size("w").alias("size"), F.posexplode("w").alias("k", "cue"))
-                 .where(F.col("cue").isin(*CUES)).select("cue", "k", "size").distinct())
+    """One row: ``places``, a map from each pair of neighbouring terms with a cue word in a template to where it stands
+    there and how many terms the template has (bounded by the list)."""
+    terms = spark.createDataFrame([(text,) for _, text in TEMPLATES], "text string").select(_split(F.col("text")).alias("w"))
+    cue = F.col("b.one").isin(*CUES) | F.col("b.two").isin(*CUES)
+    pairs = F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.struct(i.alias("k"), x.alias("one"), F.get("w", i + 1).alias("two")))
+    placed = (terms.select(F.size("w").alias("size"), F.explode(pairs).alias("b")).where(cue)
+                   .select(F.concat_ws(" ", "b.one", "b.two").alias("pair"), F.struct("b.k", "size").alias("at")).distinct())
+    placed = placed.groupBy("pair").agg(F.collect_list("at").alias("at"))
+    return placed.agg(F.map_from_entries(F.collect_list(F.struct("pair", "at"))).alias("places"))
 
 
 def classify(candidates: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -139,22 +144,28 @@ def classify(candidates: DataFrame, threshold: float = 0.75) -> DataFrame:
                                     F.max("similarity").alias("similarity"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """``row, opening, at, size, whole, text`` for ``row, text``: whole texts with a cue, and stretches as long as templates."""
+def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``row, opening, at, size, whole, key`` for ``row, text``, and ``key, text, n`` of the distinct candidates.
+
+    Where a text has two neighbouring terms of a template, one of them a cue word, the stretch that the
+    template would take there is a candidate; the whole text of such a document is one, too.
+    """
     opening = F.regexp_extract("text", r"\A[^\p{L}\p{N}]*+([^\n]*)", 1)                 # the first line with a term
-    with_cue = docs.where(F.coalesce(F.col("text").rlike(CUE), F.lit(False))).select(
+    split = docs.where(F.coalesce(F.col("text").rlike(CUE), F.lit(False))).select(
         "row", _split(F.col("text")).alias("w"), F.size(_split(opening)).alias("opening"))
-    with_cue = stored(with_cue, "licence-terms")
-    cues = with_cue.select("row", F.posexplode("w").alias("p", "cue")).where(F.col("cue").isin(*CUES))
-    placed = cues.join(F.broadcast(_places(docs.sparkSession)), "cue")
-    placed = placed.where("p >= k").select("row", (F.col("p") - F.col("k")).alias("at"), "size").distinct()
-    some = placed.groupBy("row").agg(F.collect_list(F.struct("at", "size")).alias("s"))        # a few for each cue of a text
-    cut = with_cue.join(some, "row").select("row", "w", "opening", F.explode("s").alias("s"))
-    cut = cut.select("row", "opening", F.col("s.at").alias("at"), F.col("s.size").alias("size"), F.lit(False).alias("whole"),
-                     F.array_join(F.slice("w", F.col("s.at") + 1, F.col("s.size")), " ").alias("text"))
-    whole = with_cue.select("row", "opening", F.lit(0).alias("at"), F.size("w").alias("size"), F.lit(True).alias("whole"),
-                            F.array_join("w", " ").alias("text"))
-    return stored(cut.unionByName(whole), "licence-candidates")
+    split = split.where(F.size("w") > 1).crossJoin(F.broadcast(_places(docs.sparkSession)))
+    hits = F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.transform(
+        F.coalesce(F.element_at("places", F.concat_ws(" ", x, F.get("w", i + 1))), F.array().cast("array<struct<k:int,size:int>>")),
+        lambda at: F.struct((i - at["k"]).alias("at"), at["size"].alias("size"))))
+    found = F.array_distinct(F.filter(F.flatten(hits), lambda x: x["at"] >= 0))
+    terms = stored(split.select("row", "opening", "w", found.alias("found")).where(F.size("found") > 0), "licence-terms")
+    cut = terms.select("row", "opening", F.explode("found").alias("s"), "w").select(
+        "row", "opening", "s.at", "s.size", F.lit(False).alias("whole"), F.slice("w", F.col("s.at") + 1, F.col("s.size")).alias("w"))
+    whole = terms.select("row", "opening", F.lit(0).alias("at"), F.size("w").alias("size"), F.lit(True).alias("whole"), "w")
+    every = cut.unionByName(whole).withColumn("text", F.array_join("w", " ")).withColumn("key", F.md5(F.col("text").cast("binary")))
+    texts = every.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    return (stored(every.select("row", "opening", "at", "size", "whole", "key"), "licence-candidates"),
+            stored(texts, "licence-texts"))
 
 
 def scan(docs: DataFrame, path, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,10 +184,9 @@ def scan(docs: DataFrame, path, threshold: float = 0.75, id_col: str = "doc_id",
                        F.regexp_replace(path.cast("string"), "/[^/]*$", "").alias("dir"),
                        F.when(F.col(text_col).cast("string").rlike(CUE), F.col(text_col).cast("string")).alias("text"))
     rows = stored(rows, "licence-rows")          # read several times: the numbers of rows must stay
-    found = candidates(rows.select("row", "text"))
-    texts = stored(found.groupBy("text").agg(F.count(F.lit(1)).alias("n")), "licence-texts")
-    named = stored(classify(texts, threshold), "licence-named")
-    hits = found.join(maybe_broadcast(named), "text")
+    found, texts = candidates(rows.select("row", "text"))
+    named = classify(texts.select("text", "n"), threshold).join(texts.select("key", "text"), "text").drop("text")
+    hits = found.join(maybe_broadcast(stored(named, "licence-named")), "key")
     as_file = F.when(F.col("whole"), F.col("size") >= FILE_TERMS).otherwise(
         (F.col("at") < F.col("opening")) & (2 * F.col("size") >= F.col("opening")))
     best = F.min_by(F.struct("licence", as_file.alias("is_file")), F.struct(-F.col("similarity"), -F.col("size"), "at", "whole", "licence"))
