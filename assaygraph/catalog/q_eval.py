@@ -292,5 +292,5 @@ def fold_mean_std(spark, sf_dir):
     folds = X.stratified_folds(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "toxic", 5, SEED)
     per = s.join(folds.select("doc_id", "fold"), "doc_id").groupBy("fold").agg(
         F.avg((F.col("y") == F.col("pred")).cast("int")).alias("acc"))
-    return per.agg(F.round(F.avg("acc"), 6).alias("mean"), F.round(F.stddev_pop("acc"), 6).alias("std"),
-                   F.count(F.lit(1)).alias("n_folds"))
+    r = E.fold_summary(per, "acc")
+    return r.select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n_folds")

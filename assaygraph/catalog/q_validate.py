@@ -150,9 +150,7 @@ SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates
 FROM (SELECT count(*) AS n FROM documents GROUP BY text)""")
 def duplicate_count(spark, sf_dir):
     """V9 count: rows equal (on text) to an earlier row."""
-    d = table(spark, sf_dir, "documents")
-    g = d.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    return g.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
+    return C.duplicate_count(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"])
 
 
 @register("duplicate_rows", sql="""
@@ -162,8 +160,7 @@ WHERE d.doc_id <> f.first_id""")
 def duplicate_rows(spark, sf_dir):
     """V9 rows: each later copy with the id of its first occurrence."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    firsts = d.groupBy("text").agg(F.min("doc_id").alias("first_id"))
-    return d.join(firsts, "text").where(F.col("doc_id") != F.col("first_id")).select("doc_id", "first_id")
+    return C.duplicate_rows(d, "doc_id", ["text"], "first_id").select("doc_id", "first_id")
 
 
 _LI_TYPES = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),

@@ -108,11 +108,18 @@ def drop_duplicates(df: DataFrame, id_col: str | None = None, subset: list[str]
     return firsts.select(*[back[c].alias(c) if c in back else F.col(f"`{c}`") for c in df.columns])
 
 
-def duplicate_rows(df: DataFrame, id_col: str, subset: list[str] | None = None) -> DataFrame:
-    """V9: rows equal (on ``subset``) to a row with a smaller id."""
+def duplicate_rows(df: DataFrame, id_col: str, subset: list[str] | None = None, first_col: str | None = None) -> DataFrame:
+    """V9: rows equal (on ``subset``) to a row with a smaller id; with ``first_col`` also the smallest id of these."""
     keys = subset or [c for c in df.columns if c != id_col]
     firsts = df.groupBy(*keys).agg(F.min(id_col).alias("_first"))
-    return null_safe_join(df, firsts, keys).where(F.col(id_col) != F.col("_first")).drop("_first")
+    later = null_safe_join(df, firsts, keys).where(F.col(id_col) != F.col("_first"))
+    return later.withColumnRenamed("_first", first_col) if first_col else later.drop("_first")
+
+
+def duplicate_count(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
+    """V9: ``n_duplicates``, the rows that repeat another one on ``subset`` (all columns) less one for each value."""
+    sizes = df.groupBy(*(subset or df.columns)).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
 
 
 def drop_null_rows(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -248,3 +248,8 @@ def gap_check(train: DataFrame, test: DataFrame, floor: float = 0.95, gap: float
     return t.crossJoin(s).select("train_metric", "test_metric",
                                  (F.col("test_metric") >= floor).alias("meets_floor"),
                                  (F.abs(F.col("train_metric") - F.col("test_metric")) <= gap).alias("within_gap"))
+
+
+def fold_summary(scores: DataFrame, score_col: str = "score") -> DataFrame:
+    """``mean, std, n_folds`` of one score a fold (population deviation); folds without a score are left out."""
+    return scores.agg(F.avg(score_col).alias("mean"), F.stddev_pop(score_col).alias("std"), F.count(score_col).alias("n_folds"))

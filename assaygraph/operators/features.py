@@ -89,11 +89,18 @@ def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = No
     return df.withColumns(out)
 
 
-def fit_categories(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct non-null values.  They become columns of the result; for a column with very many values
-    use :func:`sparse_one_hot`, which keeps them in a table."""
-    vals = df.select(F.col(col).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").collect()
-    return [r["v"] for r in vals]
+#: So many values of a column become columns of their own (a literal expression each).
+MAX_CATEGORIES = 10_000
+
+
+def fit_categories(df: DataFrame, col: str, most: int = MAX_CATEGORIES) -> list[str]:
+    """Sorted distinct non-null values.  They become columns of the result, so their number is checked before they are
+    read; for a column with more use :func:`sparse_one_hot`, which keeps them in a table."""
+    vals = df.select(F.col(col).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
+    rows = vals.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{col} has more than {most} values: use category_index and sparse_one_hot")
+    return sorted(r["v"] for r in rows)
 
 
 def category_index(df: DataFrame, col: str) -> DataFrame:

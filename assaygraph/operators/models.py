@@ -63,13 +63,15 @@ def rff_columns(x_cols: list[str], n_components: int = 64, gamma: float = 1.0, s
 
 class PlattSVM:
     """M2/M3: LinearSVC on (random Fourier | polynomial) features with a
-    logistic calibration of the margin (Platt scaling) for probabilities."""
+    logistic calibration of held-out margins (Platt scaling) for probabilities."""
 
     def __init__(self, features: list[str], label: str = "y", kind: str = "rbf", gamma: float = 1.0,
-                 degree: int = 3, reg: float = 0.01, n_components: int = 128, seed: int = 43, weight: str | None = None):
+                 degree: int = 3, reg: float = 0.01, n_components: int = 128, seed: int = 43, weight: str | None = None,
+                 coef0: float = 1.0, parts: int = 3):
         self.features, self.label, self.kind = features, label, kind
         self.gamma, self.degree, self.reg, self.n_components, self.seed, self.weight = (
             gamma, degree, reg, n_components, seed, weight)
+        self.coef0, self.parts = coef0, parts
 
     def _expand(self, df: DataFrame) -> DataFrame:
         if self.kind == "rbf":
@@ -77,29 +79,40 @@ class PlattSVM:
             return df.withColumn("_z", F.array(*z))
         return df
 
-    def fit(self, df: DataFrame) -> "PlattSVM":
-        d = self._expand(df)
+    def _svm(self):
         if self.kind == "rbf":
-            d, names = array_columns(d, "_z", self.n_components, "_z")
-            stages = [assembler(names, "features")]
+            stages = [assembler([f"_z{i}" for i in range(self.n_components)], "features")]
         else:
-            stages = [assembler(self.features, "_raw"), PolynomialExpansion(degree=self.degree, inputCol="_raw",
-                                                                            outputCol="features")]
+            # (gamma x.y + coef0) ** degree: coef0 is a further constant feature before the expansion
+            stages = [assembler([*self.features, "_one"], "_raw"),
+                      PolynomialExpansion(degree=self.degree, inputCol="_raw", outputCol="features")]
         svc = LinearSVC(featuresCol="features", labelCol=self.label, regParam=self.reg, maxIter=100)
         if self.weight:
             svc.setWeightCol(self.weight)
-        self.svm = Pipeline(stages=stages + [svc]).fit(d)
-        margin = self.svm.transform(d).select(self.label, vector_to_array("rawPrediction")[1].alias("m"))
+        return Pipeline(stages=stages + [svc])
+
+    def fit(self, df: DataFrame) -> "PlattSVM":
+        """The machine on all rows; its calibration on margins of rows that a machine of the other parts gave."""
+        d = self._ready(df)
+        part = F.pmod(F.xxhash64(*self.features, F.lit(self.seed)), F.lit(self.parts))
+        margins = None
+        for k in range(self.parts):
+            held = self._svm().fit(d.where(part != k)).transform(d.where(part == k))
+            held = held.select(self.label, vector_to_array("rawPrediction")[1].alias("m"))
+            margins = held if margins is None else margins.unionByName(held)
+        self.svm = self._svm().fit(d)
         self.platt = Pipeline(stages=[assembler(["m"], "mf"),
-                                      LogisticRegression(featuresCol="mf", labelCol=self.label)]).fit(margin)
+                                      LogisticRegression(featuresCol="mf", labelCol=self.label)]).fit(margins)
         return self
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        d = self._expand(df)
+    def _ready(self, df: DataFrame) -> DataFrame:
         if self.kind == "rbf":
-            d, _ = array_columns(d, "_z", self.n_components, "_z")
-        scored = self.svm.transform(d).withColumn("m", vector_to_array("rawPrediction")[1])
-        scored = scored.drop("rawPrediction", "prediction", "features", "_raw")
+            return array_columns(self._expand(df), "_z", self.n_components, "_z")[0]
+        return df.withColumn("_one", F.lit(math.sqrt(self.coef0)))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        scored = self.svm.transform(self._ready(df)).withColumn("m", vector_to_array("rawPrediction")[1])
+        scored = scored.drop("rawPrediction", "prediction", "features", "_raw", "_one")
         return self.platt.transform(scored)
 
 
