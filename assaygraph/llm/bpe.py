@@ -12,6 +12,8 @@ pre-tokenizer, are given to the library whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import os
 import re
@@ -195,9 +197,9 @@ class Encoder:
             yield tokens[start + 4:stop]             # without the break
             start = stop
 
-    def rest(self, seconds: float = 20) -> None:
-        """To be called as a task ends: the next task finds the words, but an idle Python worker soon gives them back."""
-        self._idle = threading.Timer(seconds, self.forget)
+    def rest(self, seconds: float = 15) -> None:
+        """To be called as a task ends: the next task finds the words, but an idle Python worker soon gives all back."""
+        self._idle = threading.Timer(seconds, _release, [self])
         self._idle.daemon = True
         self._idle.start()
 
@@ -209,20 +211,38 @@ class Encoder:
         return next(self.encode_all([text]))
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a file, loaded once in each Python worker.
+def _kept() -> dict[str, Encoder]:
+    """The encoders of this Python worker.
 
-    Kept on the imported library: functions are shipped by value, so this
-    module's own globals are new in every task.
+    On the imported library: functions are shipped by value, so this module's
+    own globals are new in every task.
     """
     import tokenizers
 
+    return vars(tokenizers).setdefault("_assaygraph_encoders", {})
+
+
+def _release(own: Encoder) -> None:
+    """Drops an encoder that no task uses, and its memory from the process where the C library can do that."""
+    kept = _kept()
+    for path in [p for p, e in kept.items() if e is own]:
+        del kept[path]
+    own.__dict__.clear()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, loaded once in each Python worker and kept while tasks follow each other."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # a task has one core
-    kept = vars(tokenizers).setdefault("_assaygraph_encoders", {})
+    kept = _kept()
+    own = kept.get(path)
+    if own is not None and own._idle is not None:
+        own._idle.cancel()
+        own._idle.join()                             # a release that has begun ends first
     if path not in kept:
         kept[path] = Encoder(path)
-    if kept[path]._idle:
-        kept[path]._idle.cancel()
+    kept[path]._idle = None
     return kept[path]
 
 
