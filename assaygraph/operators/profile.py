@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ranking import exact_quantiles
+from ..plans.ranking import column_quantiles
 
 
 def _q(c: str) -> str:
@@ -59,9 +59,7 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     stats = ["count", "mean", "std", "min", "max"]
     pairs = ", ".join(f"'{c}', '{s}', `{s}{i}`" for i, c in enumerate(cols) for s in stats)
     simple = row.selectExpr(f"stack({len(cols) * len(stats)}, {pairs}) AS (column, stat, value)")
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(_q(c)).cast("double").alias("v"))
-                                          for c in cols])).alias("s")).select("s.*")
-    qs = exact_quantiles(long, "v", [0.25, 0.5, 0.75], ["column"])
+    qs = column_quantiles(df, cols, [0.25, 0.5, 0.75])
     qs = qs.select("column", F.concat((F.col("q") * 100).cast("int").cast("string"), F.lit("%")).alias("stat"),
                    "value")
     # a column without values keeps its quartile rows, as NULL

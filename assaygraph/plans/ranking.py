@@ -19,6 +19,7 @@ survive executor loss.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,6 +116,52 @@ def running_sum(df: DataFrame, order_by: Sequence[str | Column], value_cols: Seq
     return out
 
 
+def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """``column, q, value``: exact linear quantiles of several columns, all of them in two passes over the rows.
+
+    The first pass is one aggregate with a sketch of each column; its single row gives a bracket for
+    each wanted rank.  In the second one, rows below a bracket are only counted, and the few values
+    inside are grouped, so no row is joined or sorted.  A bracket that misses its rank is widened to
+    the whole column (:func:`exact_quantiles`).  A column without values has no row.
+    """
+    spark, margin = df.sparkSession, 2.0 / ACCURACY
+    x = [F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double") + F.lit(0.0)) for c in cols]
+    asked = F.array(*[F.lit(min(1.0, max(0.0, q + d))) for q in qs for d in (-margin, margin)])
+    first = df.agg(*[e for i, v in enumerate(x) for e in (
+        F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+        F.percentile_approx(v, asked, ACCURACY).alias(f"s{i}"))]).first()
+    targets = []                                 # number of its bracket, column, q, position, bounds
+    for i in range(len(cols)):
+        for k, q in enumerate(qs):
+            if first[f"n{i}"]:
+                a = first[f"lo{i}"] if q <= margin else first[f"s{i}"][2 * k]
+                b = first[f"hi{i}"] if q >= 1 - margin else first[f"s{i}"][2 * k + 1]
+                targets.append((len(targets), i, float(q), q * (first[f"n{i}"] - 1), float(a), float(b)))
+    if not targets:
+        return spark.createDataFrame([], "column string, q double, value double")
+    inside = F.array(*[F.when((x[i] >= a) & (x[i] <= b), F.struct(F.lit(t).alias("t"), x[i].alias("v")))
+                       for t, i, _, _, a, b in targets])
+    below = df.agg(*[F.count_if(x[i] < a).alias(f"b{t}") for t, i, _, _, a, _ in targets]).first()
+    values = (df.select(F.explode(F.filter(inside, lambda s: s.isNotNull())).alias("s"))
+                .groupBy("s.t", "s.v").agg(F.count(F.lit(1)).alias("c")))
+    places = spark.createDataFrame([(t, int(below[f"b{t}"]), int(math.floor(pos)), int(math.ceil(pos)))
+                                    for t, _, _, pos, _, _ in targets], "t int, below long, lo long, hi long")
+    cum = running_sum(values, ["v"], ["c"], ["t"], prefix="upto_").join(F.broadcast(places), "t")     # a row for each bracket
+    end = F.col("below") + F.col("upto_c")
+    at = lambda p: F.min(F.when((end > F.col(p)) & (end - F.col("c") <= F.col(p)), F.col("v")))
+    hit = {r["t"]: r for r in cum.groupBy("t").agg(at("lo").alias("l"), at("hi").alias("h")).collect()}
+    out, missed = [], []
+    for t, i, q, pos, _, _ in targets:
+        r = hit.get(t)
+        if r is None or r["l"] is None or r["h"] is None:
+            missed.append((i, q))
+        else:
+            out.append((cols[i], q, r["l"] + (pos - math.floor(pos)) * (r["h"] - r["l"])))
+    for i, q in missed:
+        out.append((cols[i], q, exact_quantile_value(df.select(x[i].alias("v")), "v", q)))
+    return spark.createDataFrame(out, "column string, q double, value double")
+
+
 #: Rank error of the sketch that brackets a quantile, as a share 1 / ACCURACY of the rows.
 ACCURACY = 5000
 
