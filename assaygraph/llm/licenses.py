@@ -116,18 +116,21 @@ def _places(spark) -> DataFrame:
 
 
 def classify(candidates: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """``text, licence, similarity`` of each distinct candidate text (``text, n``) at ``threshold`` or more.
+    """``key, text, licence, similarity`` (``key``: its digest) of each distinct candidate text (``text, n``) at ``threshold`` or more.
 
     The best template wins, among equals the first licence name.
     """
     spark = candidates.sparkSession
     templates = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEMPLATES)], "t int, licence string, text string")
     total = (candidates.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES)
-    own = _terms(candidates, "text")
+    # a text may be long: its terms go by a digest of it
+    texts = candidates.select(F.md5(F.col("text").cast("binary")).alias("key"), "text", "n")
+    own = stored(_terms(texts, "key"), "licence-own-terms")
     theirs = _terms(templates, "t")
-    df = (own.join(candidates, "text").groupBy("term").agg(F.sum("n").alias("df"))
+    df = (own.join(texts.select("key", "n"), "key").groupBy("term").agg(F.sum("n").alias("df"))
              .unionByName(theirs.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
              .groupBy("term").agg(F.sum("df").alias("df")))
+    df = stored(df, "licence-df")
     weight = (1 + F.log("tf")) * (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1)
 
     def vectors(terms: DataFrame, key: str) -> DataFrame:
@@ -136,12 +139,13 @@ def classify(candidates: DataFrame, threshold: float = 0.75) -> DataFrame:
         return w.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
     sides = vectors(theirs, "t").withColumnRenamed("w", "v")      # bounded by the list above
-    cosine = (vectors(own, "text").join(F.broadcast(sides), "term").groupBy("text", "t")
-                                  .agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("similarity"))
-                                  .where(F.col("similarity") >= threshold))
+    cosine = (vectors(own, "key").join(F.broadcast(sides), "term").groupBy("key", "t")
+                                 .agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("similarity"))
+                                 .where(F.col("similarity") >= threshold))
     best = cosine.join(F.broadcast(templates.select("t", "licence")), "t")
-    return best.groupBy("text").agg(F.min_by("licence", F.struct(-F.col("similarity"), "licence")).alias("licence"),
-                                    F.max("similarity").alias("similarity"))
+    best = best.groupBy("key").agg(F.min_by("licence", F.struct(-F.col("similarity"), "licence")).alias("licence"),
+                                   F.max("similarity").alias("similarity"))
+    return texts.join(best, "key").select("key", "text", "licence", "similarity")
 
 
 def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,7 +189,7 @@ def scan(docs: DataFrame, path, threshold: float = 0.75, id_col: str = "doc_id",
                        F.when(F.col(text_col).cast("string").rlike(CUE), F.col(text_col).cast("string")).alias("text"))
     rows = stored(rows, "licence-rows")          # read several times: the numbers of rows must stay
     found, texts = candidates(rows.select("row", "text"))
-    named = classify(texts.select("text", "n"), threshold).join(texts.select("key", "text"), "text").drop("text")
+    named = classify(texts, threshold).drop("text")
     hits = found.join(maybe_broadcast(stored(named, "licence-named")), "key")
     as_file = F.when(F.col("whole"), F.col("size") >= FILE_TERMS).otherwise(
         (F.col("at") < F.col("opening")) & (2 * F.col("size") >= F.col("opening")))
