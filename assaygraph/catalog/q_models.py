@@ -148,7 +148,7 @@ def cross_val_predict(spark, sf_dir):
 def graph_classifier(spark, sf_dir):
     """M5: graph over the assay rows, propagated features, search of the
     classifier's parameters, final fit, validation threshold, test metrics."""
-    _, rec = TR.fit_graph_classifier(assay_base(spark, sf_dir), seed=SEED, n_trials=12)
+    _, rec = TR.fit_graph_classifier(assay_base(spark, sf_dir), seed=SEED, n_trials=6)
     return rec
 
 
@@ -167,7 +167,7 @@ def retrain_from_csv(spark, csv_path: str, runs_dir: str, run_id: str):
     rows = spark.read.parquet(f"{path}/valid").select("row_id", F.trim(F.col(f"`{MATERIAL}`")).alias("material"),
                                                       F.col(f"`{DOSE}`").alias("dose"), F.col(f"`{TIME}`").alias("hr"),
                                                       F.col(TARGET).cast("int").alias("toxic"))
-    gm, rec = TR.fit_graph_classifier(rows, seed=SEED, n_trials=12)
+    gm, rec = TR.fit_graph_classifier(rows, seed=SEED, n_trials=6)
     TR.save_model(gm, f"{path}/final")
     rec = rec.crossJoin(F.broadcast(rows.agg(F.count_distinct("material").alias("materials"))))
     IO.append_run(rec, f"{runs_dir}/registry", {"seed": SEED}, run_id=run_id)
