@@ -125,6 +125,22 @@ def _by_bucket(h: np.ndarray, n: int):
         yield int(bucket[order[a]]), order[a:b]
 
 
+def _in_order(h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by ``h``, then ``x``, and where in it another pair begins.
+
+    Equal ``h`` with different ``x`` hardly occur, so one sort will do nearly always.
+    """
+    order = np.argsort(h, kind="stable")
+    for again in (False, True):
+        other, parts = np.diff(h[order]) != 0, np.diff(x[order]) != 0
+        if again or not (parts & ~other).any():
+            break
+        order = np.lexsort((x, h))
+    new = np.ones(len(order), bool)
+    new[1:] = other | parts
+    return order, new
+
+
 def _candidates(shard: _Shard, masks: pd.DataFrame, n: int):
     """Distinct windows whose anchor other shards have too: positions of one of each, sorted by hash."""
     anchors = np.unique(shard.anchor)
@@ -138,10 +154,8 @@ def _candidates(shard: _Shard, masks: pd.DataFrame, n: int):
         return np.empty(0, np.int64)
     at = np.minimum(np.searchsorted(known, shard.anchor), len(known) - 1)
     at = np.flatnonzero(known[at] == shard.anchor)
-    order = at[np.lexsort((shard.extra[at], shard.hash[at]))]
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(shard.hash[order]) != 0) | (np.diff(shard.extra[order]) != 0)
-    return order[new]
+    order, new = _in_order(shard.hash[at], shard.extra[at])
+    return at[order[new]]
 
 
 def _passages(shard: _Shard, first: np.ndarray, size: int):
@@ -270,9 +284,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, anchor: int = 8, shard_chars
         f = f.sort_values("shard")
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in f["hashes"]])
         x = np.concatenate([np.frombuffer(e, np.uint16) for e in f["extras"]])
-        order = np.lexsort((x, h))                # stable: the earliest shard first
-        new = np.ones(len(h), bool)
-        new[1:] = (np.diff(h[order]) != 0) | (np.diff(x[order]) != 0)
+        order, new = _in_order(h, x)              # stable: the earliest shard first
         group = np.cumsum(new) - 1
         many, earlier = np.zeros(len(h), bool), np.zeros(len(h), bool)
         many[order] = np.bincount(group)[group] > 1
@@ -298,9 +310,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, anchor: int = 8, shard_chars
             return pd.DataFrame({c: [] for c in ("doc_id", "n_words", "n_removed", "removed", "kept")})
         f = f.sort_values("nth")
         s = _Shard(f["text"].tolist(), size, anchor, True)
-        order = np.lexsort((s.extra, s.hash))     # stable: the first place of each window first
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(s.hash[order]) != 0) | (np.diff(s.extra[order]) != 0)
+        order, new = _in_order(s.hash, s.extra)   # stable: the first place of each window first
         group = np.cumsum(new) - 1
         firsts = order[new]
         confirmed = np.bincount(group)[group[new]] > 1 if len(order) else np.zeros(0, bool)

@@ -603,3 +603,19 @@ def test_label_model_finds_rates_and_correlations():
     assert abs(model.accuracy[0][2] - 0.6) < 0.08 and abs(model.accuracy[1][2] - 0.01) < 0.03
     q = np.array([model.of_votes[v] for v in packed.tolist()])
     assert ((q > 0.5) == y).mean() > 0.93
+
+
+def test_phrase_windows_are_sorted_once_unless_hashes_clash(monkeypatch):
+    import numpy as np
+
+    from assaygraph.llm import phrases
+
+    rng, calls, inner = np.random.default_rng(1), [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda k: calls.append(1) or inner(k))
+    h = rng.integers(0, 50, 400, dtype=np.uint64)
+    for x, sorts in ((h.astype(np.uint16), 0), (rng.integers(0, 3, 400).astype(np.uint16), 1), (h[:0].astype(np.uint16), 0)):
+        calls.clear()
+        order, new = phrases._in_order(h[:len(x)], x)
+        assert len(calls) == sorts and order.tolist() == inner((x, h[:len(x)])).tolist()
+        pairs = list(zip(h[order].tolist(), x[order].tolist()))
+        assert new.tolist() == [i == 0 or p != pairs[i - 1] for i, p in enumerate(pairs)]
