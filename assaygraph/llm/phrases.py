@@ -26,10 +26,11 @@ from __future__ import annotations
 
 import math
 import uuid
-from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,28 +40,19 @@ from .common import folder
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))     # odd multipliers of the rolling hashes
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, 7)
-        if len(word) <= 40:
-            if len(self) >= 400_000:
-                self.clear()
-            self[word] = h
-        return h
-
-
-def _known() -> _Hashes:
-    """One for each Python worker, kept on the imported library (this module's globals are new in every task)."""
-    kept = vars(xxhash)
-    if "_assaygraph_words" not in kept:
-        kept["_assaygraph_words"] = _Hashes()
-    return kept["_assaygraph_words"]
-
-
-def _words(text) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
+def _numbered(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of texts, the numbers among them of all words in a row, and how many words each text has."""
+    raw = [text.encode("utf-8", "surrogatepass") if isinstance(text, str) else None for text in texts]
+    # bytes are split at ASCII white space, so they may pass as text whatever they hold
+    parts = pc.ascii_split_whitespace(pa.array(raw, pa.large_binary()).cast(pa.large_string(), safe=False))
+    flat = parts.flatten().dictionary_encode()
+    distinct = flat.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    # white space at either end of a text leaves an empty word there
+    ids = flat.indices.to_numpy()
+    real = (distinct != b"")[ids] if len(ids) else np.zeros(0, bool)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy())
+    counts = np.diff(np.concatenate(([0], np.cumsum(real)))[ends], prepend=0)
+    return distinct, ids[real], counts.astype(np.int64)
 
 
 def _roll(h: np.ndarray, k: int, by: np.uint64) -> np.ndarray:
@@ -96,16 +88,16 @@ def _least(x: np.ndarray, k: int) -> np.ndarray:
 
 
 class _Shard:
-    """Hashes of all windows of a shard's documents, in order."""
+    """Hashes of all windows of a shard's documents, in order; words are numbers, each distinct one is hashed once."""
 
     def __init__(self, texts, size: int, anchor: int, second: bool):
-        self.words = [_words(text) for text in texts]
-        n = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.distinct, self.ids, n = _numbered(texts)
+        self.ends = np.cumsum(n)
         self.counts = np.maximum(0, n - size + 1)
-        total = int(n.sum())
-        h = np.fromiter(map(_known().__getitem__, chain.from_iterable(self.words)), np.uint64, total)
+        total = len(self.ids)
+        h = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in self.distinct), np.uint64, len(self.distinct))[self.ids]
         # hashes run over all documents in a row; those of windows that cross a border are left out
-        left = np.repeat(np.cumsum(n), n) - np.arange(total)
+        left = np.repeat(self.ends, n) - np.arange(total)
         inside = left[:max(0, total - size + 1)] >= size
         self.anchor = self.hash = np.empty(0, np.uint64)
         self.extra = np.empty(0, np.uint16)
@@ -115,6 +107,10 @@ class _Shard:
                 self.hash = _roll(h, size, _MIX[0])[inside]
                 self.extra = (_roll(h, size, _MIX[1]) >> np.uint64(48)).astype(np.uint16)[inside]
 
+    def numbers(self) -> list[np.ndarray]:
+        """The numbers of each document's words."""
+        return np.split(self.ids, self.ends[:-1])
+
 
 def _by_bucket(h: np.ndarray, n: int):
     """``bucket, positions`` of a sorted array's entries, positions rising."""
@@ -170,21 +166,27 @@ def _passages(shard: _Shard, first: np.ndarray, size: int):
 
 
 def _locate(texts: list, passages, size: int, automaton_blocks: int):
-    """Occurrences of passages elsewhere: ``(document, first word, end)``, each of ``size`` words or more."""
+    """Occurrences of passages elsewhere: ``(document, first word, end)``, each of ``size`` words or more.
+
+    A text is a sequence of words, or of their numbers."""
     import ahocorasick
 
+    if not passages:
+        return
     block = size // 2
-    number: dict[bytes, int] = {}
-    bodies = []
-    for d, a, b in passages:
-        bodies.append(np.fromiter((number.setdefault(w, len(number) + 1) for w in texts[d][a:b + size - 1]),
-                                  np.int64, b - a + size - 1))
+    ends = np.cumsum([len(w) for w in texts])
+    whole = np.concatenate([np.asarray(w) for w in texts if len(w)])
+    used = np.unique(np.concatenate([np.asarray(texts[d][a:b + size - 1]) for d, a, b in passages]))
+    at = np.minimum(np.searchsorted(used, whole), len(used) - 1)
+    whole = np.where(used[at] == whole, at + 1, 0)           # 0: in no passage
+    begin = ends - [len(w) for w in texts]
+    bodies = [whole[begin[d] + a:begin[d] + b + size - 1] for d, a, b in passages]
     # a word is a fixed number of symbols of 6 bits, so that no node has many children
-    width = max(1, math.ceil(math.log(len(number) + 2, 64)))
-    shifts = 6 * np.arange(width - 1, -1, -1)
+    width = max(1, math.ceil(math.log(len(used) + 2, 64)))
+    spelling = ((np.arange(len(used) + 1)[:, None] >> (6 * np.arange(width - 1, -1, -1))) & 63).astype(np.uint8)
 
     def spell(ids: np.ndarray) -> str:
-        return ((ids[:, None] >> shifts) & 63).astype(np.uint8).tobytes().decode("latin-1")
+        return spelling[ids].tobytes().decode("latin-1")
 
     shards, where = [], {}
     for p, body in enumerate(bodies):
@@ -200,8 +202,6 @@ def _locate(texts: list, passages, size: int, automaton_blocks: int):
         shards.append(automaton)
     if not shards:
         return
-    ends = np.cumsum([len(w) for w in texts])
-    whole = np.fromiter(map(number.get, chain.from_iterable(texts), repeat(0)), np.int64, int(ends[-1]))   # 0: none
     spelled = spell(whole)
     for d, (words, end_of) in enumerate(zip(texts, ends.tolist())):
         if len(words) < size:
@@ -221,8 +221,8 @@ def _locate(texts: list, passages, size: int, automaton_blocks: int):
                     body = bodies[p]
                     lo = max(0, offset - at)
                     hi = min(len(body), offset + len(own) - at)
-                    differ = np.flatnonzero(body[lo:hi] != own[lo + at - offset:hi + at - offset])
-                    cut = np.searchsorted(differ, offset - lo)
+                    differ = (body[lo:hi] != own[lo + at - offset:hi + at - offset]).nonzero()[0]
+                    cut = int(differ.searchsorted(offset - lo))
                     a = lo + (int(differ[cut - 1]) + 1 if cut else 0)
                     b = lo + int(differ[cut]) if cut < len(differ) else hi
                     reached[key] = b + at - offset
@@ -326,7 +326,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, anchor: int = 8, shard_chars
                     confirmed[place[sent[k]]] |= bits[0]
                     earlier[place[sent[k]]] |= bits[1]
         begin = np.cumsum(s.counts) - s.counts
-        gone = [None] * len(s.words)
+        gone = [None] * len(s.counts)
 
         def cover(d: int, a: int, b: int) -> None:
             if gone[d] is None:
@@ -335,13 +335,14 @@ def remove_repeats(docs: DataFrame, size: int = 20, anchor: int = 8, shard_chars
 
         ordered = np.sort(firsts[confirmed])
         passages = list(_passages(s, ordered, size))
-        for d, a, b in _locate(s.words, passages, size, automaton_blocks):
+        for d, a, b in _locate(s.numbers(), passages, size, automaton_blocks):
             cover(d, a, b)
         for w in np.sort(firsts[earlier]).tolist():           # first here, but an earlier shard has it
             d = int(np.searchsorted(begin, w, side="right")) - 1
             cover(d, w - int(begin[d]), w - int(begin[d]) + size)
-        out = []
-        for d, words in enumerate(s.words):
+        out, row, before = [], s.distinct[s.ids].tolist(), 0
+        for d, end in enumerate(s.ends.tolist()):
+            words, before = row[before:end], end
             if gone[d] is None:
                 out.append((len(words), 0, [], b" ".join(words).decode("utf-8", "surrogatepass")))
                 continue

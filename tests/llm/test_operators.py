@@ -619,3 +619,17 @@ def test_phrase_windows_are_sorted_once_unless_hashes_clash(monkeypatch):
         assert len(calls) == sorts and order.tolist() == inner((x, h[:len(x)])).tolist()
         pairs = list(zip(h[order].tolist(), x[order].tolist()))
         assert new.tolist() == [i == 0 or p != pairs[i - 1] for i, p in enumerate(pairs)]
+
+
+def test_phrase_words_are_hashed_once_for_a_shard(monkeypatch):
+    from assaygraph.llm import phrases
+
+    calls, inner = [], phrases.xxhash.xxh64_intdigest
+    monkeypatch.setattr(phrases.xxhash, "xxh64_intdigest", lambda w, seed: calls.append(w) or inner(w, seed))
+    long = "z" * 50
+    texts = [f" {long} b\x0b{long}\n", None, "", "\t ", f"b \x1cc {long}"]
+    shard = phrases._Shard(texts, 2, 1, True)
+    assert sorted(calls) == sorted(set(calls)) and b"z" * 50 in calls
+    words = [(t or "").encode().split() for t in texts]
+    assert [shard.distinct[n].tolist() for n in shard.numbers()] == words
+    assert shard.counts.tolist() == [max(0, len(w) - 1) for w in words]
