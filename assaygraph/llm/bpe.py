@@ -49,19 +49,27 @@ class _Words:
     def __init__(self, room: int):
         self._room, self._new, self._old = room, {}, {}
 
-    def find(self, words: list[str]) -> list[bytes | None]:
+    def find(self, words: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """The ids of each word, and the places of words that are not known."""
         out = list(map(self._new.get, words))
-        if self._old:
-            for i, ids in enumerate(out):
-                if ids is None and (ids := self._old.get(words[i])) is not None:
-                    out[i] = self._new[words[i]] = ids
-        return out
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        if self._old and missing:
+            asked, unknown = [words[i] for i in missing], []
+            for i, word, ids in zip(missing, asked, map(self._old.get, asked)):
+                if ids is None:
+                    unknown.append(i)
+                else:
+                    out[i] = self._new[word] = ids
+            missing = unknown
+        return out, missing
 
     def peek(self, word: str) -> bytes | None:
         return self._new.get(word)
 
     def learn(self, words: dict[str, bytes]) -> None:
-        self._new.update({w: ids for w, ids in words.items() if len(w) <= 40})
+        self._new.update(words)
+        for word in [w for w in words if len(w) > 40]:
+            del self._new[word]
         if len(self._new) > self._room:
             self._old, self._new = self._new, {}
 
@@ -125,7 +133,7 @@ class Encoder:
         """Ids of words that are not known yet."""
         new, plain, shaped = {}, [], []
         for word in unknown:
-            if word.isalpha() and word.isascii():
+            if word.isascii() and word.isalpha():
                 plain.append(word)
             elif shape := _SHAPE.fullmatch(word):
                 shaped.append((word, *shape.groups()))
@@ -180,21 +188,19 @@ class Encoder:
     def _by_words(self, texts: list[str]):
         """Ids of texts that can be cut at each space and break: distinct words are looked up once."""
         lines = ["\n" + t.replace("\n", " \n") for t in texts]         # a first word stands behind a break, too
-        words = pc.split_pattern(pa.array([" ".join(lines)], pa.large_string()), " ").flatten().dictionary_encode()
-        at, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
-        known = self._rest.find(distinct)
-        unknown = [w for w, ids in zip(distinct, known) if ids is None]
-        if unknown:
-            new = self._learn(unknown)
-            known = [new[w] if ids is None else ids for w, ids in zip(distinct, known)]
-        own = np.empty(len(known), object)
-        own[:] = known
-        end = np.cumsum(np.fromiter(map(len, known), np.int64, len(known))[at])
-        tokens = b"".join(own[at].tolist())
-        last = np.cumsum([line.count(" ") + 1 for line in lines])
-        start = 0
-        for stop in end[last - 1].tolist():
-            yield tokens[start + 4:stop]             # without the break
+        parts = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        words = parts.flatten().dictionary_encode()
+        at, distinct = words.indices, words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known, missing = self._rest.find(distinct)
+        if missing:
+            new = self._learn([distinct[i] for i in missing])
+            for i in missing:
+                known[i] = new[distinct[i]]
+        _, ends, tokens = pa.array(known, pa.large_binary()).take(at).buffers()      # all ids in a row, and where words end
+        last = np.cumsum(pc.list_value_length(parts).to_numpy())
+        start, tokens = 0, memoryview(tokens)
+        for stop in np.frombuffer(ends, np.int64)[last].tolist():
+            yield tokens[start + 4:stop].tobytes()   # without the break
             start = stop
 
     def rest(self, seconds: float = 15) -> None:

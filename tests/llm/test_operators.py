@@ -633,3 +633,12 @@ def test_phrase_words_are_hashed_once_for_a_shard(monkeypatch):
     words = [(t or "").encode().split() for t in texts]
     assert [shard.distinct[n].tolist() for n in shard.numbers()] == words
     assert shard.counts.tolist() == [max(0, len(w) - 1) for w in words]
+
+
+def test_words_of_both_halves_of_the_cache_are_found_and_others_named():
+    words = bpe._Words(2)
+    words.learn({"a": b"1", "b": b"2", "c": b"3", "d" * 41: b"4"})       # more than there is room for: the older half
+    words.learn({"e": b"5"})
+    asked = ["e", "x", "b", "d" * 41, "a"]
+    assert words.find(asked) == ([b"5", None, b"2", None, b"1"], [1, 3])
+    assert words.peek("b") == b"2" and words.peek("c") is None           # what was asked for is in the newer half
