@@ -64,4 +64,6 @@ def unused(columns: list[str], *names: str) -> list[str]:
 
 def ascii_lower(col):
     """A-Z in lower case, all other characters unchanged."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lowered = F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # a text of one byte a character has no other letters, and is lowered at once
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(lowered)

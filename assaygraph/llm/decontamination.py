@@ -2,8 +2,9 @@
 
 The index is a table of postings ``term, row, pos`` of every training token in
 the shared folder.  It is split by documents: each part holds the postings of
-its documents, sorted by term, so building it moves no posting between
-machines and a look-up of some terms skips the rest of each file.
+its documents, those of a term next to each other (sorted by the term's 64-bit
+hash, which takes no comparison of words), so building it moves no posting
+between machines.
 
 A phrase is found by intersecting offset-adjusted lists (``pos - offset`` of
 each of its terms), from the term with the fewest postings in the training
@@ -45,7 +46,7 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                          F.array_append(words(F.col(text_col)), F.lit(END)).alias("_w"))
     postings = listed.select("doc_id", "row", F.posexplode("_w").alias("pos", "term"))
     postings = postings.select("term", "row", "pos", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id"))
-    postings.sortWithinPartitions("term").write.option("compression", "zstd").parquet(path)
+    postings.sortWithinPartitions(F.xxhash64("term")).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(_INDEX).parquet(path)
 
 
@@ -96,22 +97,27 @@ def phrase_matches(index: DataFrame, one: DataFrame, lists: int = 3) -> DataFram
     over the postings of the documents that are left.
     """
     ranked = _ranked(one, _postings(index, one))
-    first = F.col("by_rarity")[0]
-    wanted = ranked.select("w", "len", "by_rarity", first["term"].alias("term"), first["offset"].alias("offset"))
-    found = (index.select("term", "row", "pos").join(maybe_broadcast(wanted), "term")
-                  .select("w", "len", "by_rarity", "row", (F.col("pos") - F.col("offset")).alias("start"))
+
+    def nth(k: int) -> DataFrame:
+        """``w, len, term, offset``: the ``k``-th rarest word of each window that has so many."""
+        t = F.col("by_rarity")[k]
+        return ranked.where(F.col("len") > k).select("w", "len", t["term"].alias("term"), t["offset"].alias("offset"))
+
+    found = (index.select("term", "row", "pos").join(maybe_broadcast(nth(0)), "term")
+                  .select("w", "len", "row", (F.col("pos") - F.col("offset")).alias("start"))
                   .where("start >= 0"))
     for k in range(1, lists):
-        nth = F.col("by_rarity")[k]
-        more = found.where(F.col("len") > k).withColumns({"term": nth["term"], "pos": F.col("start") + nth["offset"]})
+        more = (found.where(F.col("len") > k).join(maybe_broadcast(nth(k).drop("len")), "w")
+                     .withColumn("pos", F.col("start") + F.col("offset")).drop("offset"))
         hit = more.join(_lists(index, ranked, k), ["term", "row", "pos"]).drop("term", "pos")
         found = stored(hit.unionByName(found.where(F.col("len") <= k)), f"phrases-{k}")
     whole = found.where(F.col("len") <= lists).select("w", "row", "start", "len")
     rest = found.where(F.col("len") > lists)
     in_rows = stored(rest.select("row").distinct(), "phrase-rows")
     near = _postings(index, one).join(maybe_broadcast(in_rows, 2_000_000), "row", "left_semi")
-    need = rest.select("w", "row", "start", "len",
-                       F.explode(F.slice("by_rarity", lists + 1, 1 << 30)).alias("t"))
+    others = ranked.select("w", F.slice("by_rarity", lists + 1, 1 << 30).alias("others"))
+    need = rest.select("w", "row", "start", "len").join(maybe_broadcast(others), "w")
+    need = need.select("w", "row", "start", "len", F.explode("others").alias("t"))
     need = need.select("w", "row", "start", "len", F.col("t")["term"].alias("term"),
                        (F.col("start") + F.col("t")["offset"]).alias("pos"))
     full = (need.join(near, ["term", "row", "pos"]).groupBy("w", "row", "start", "len")

@@ -290,6 +290,17 @@ def test_index_and_proximity(spark, docs):
     assert decontamination.phrase_matches(index, one).collect() == []
 
 
+def test_index_keeps_the_postings_of_a_term_together(spark):
+    """A part is in order of the terms' hashes: no words are compared."""
+    texts = spark.createDataFrame([(i, f"w{i % 7} Shared w{i % 5} ÀB{i} shared") for i in range(60)], "doc_id long, text string").coalesce(1)
+    index = decontamination.build_index(texts, folder(spark, "t"))
+    got = [r.term for r in index.select("term").coalesce(1).collect()]
+    runs = [t for i, t in enumerate(got) if not i or got[i - 1] != t]
+    assert len(runs) == len(set(got)) and {"w3", "shared", "Àb59", decontamination.END} <= set(got)
+    hashes = [r[0] for r in spark.createDataFrame([(t,) for t in runs], "t string").coalesce(1).select(F.xxhash64("t")).collect()]
+    assert hashes == sorted(hashes)
+
+
 # 7: personal data
 
 
