@@ -335,6 +335,26 @@ def test_w1_topk_skewed_key_matches_plain_window(spark):
     assert got == want
 
 
+def test_approximate_join_sends_no_row_to_most_cells(spark, monkeypatch):
+    """Without structure in many dimensions most cells would be needed: all pairs meet in blocks, and none is missed."""
+    import numpy as np
+
+    from assaygraph.operators import similarity
+    from assaygraph.plans import cells
+
+    rng, sent = np.random.default_rng(4), []
+    v = spark.createDataFrame([(i, rng.normal(size=48).tolist()) for i in range(900)], "id long, x array<double>")
+    nearness = cells.nearness
+    monkeypatch.setattr(cells, "nearness", lambda rows, cell, vec, first=None: sent.append(first) or nearness(rows, cell, vec, first))
+    got = similarity.knn_approx(v, v, k=5, exclude_self=True, sample_rows=100)
+    assert sent == [None]                          # the sample alone
+    want = similarity.knn(v, v, k=5, exclude_self=True)
+    cols = ["query_id", "rank", "neighbor_id", "dist"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    assert [r.recall for r in got.select("recall").distinct().collect()] == [1.0]
+
+
+
 def test_j3_approximate_knn_recall(spark):
     from assaygraph.operators.similarity import knn, knn_approx
 
