@@ -96,3 +96,12 @@ def test_many_small_keys_share_a_call(spark, monkeypatch, same):
     want = {(i, j) for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[:2].tolist() if np.isfinite(d[i, j])}
     got = {(r["query_id"], r["neighbor_id"]) for r in similarity.knn(a, b, k=2, exclude_self=True, key="c").collect()}
     assert got == want and called
+
+
+@pytest.mark.parametrize("eps", [0.0, 2e-5, 0.02, 0.9])
+def test_pairs_found_in_single_precision_first(eps):
+    a, b = (blocks.unit_rows(_sheet(n, n)) for n in (400, 300))
+    rows, cols, d = blocks._pairs_near(a, b, eps)
+    whole = np.round(1.0 - a @ b.T, 9)
+    whole = np.where(whole <= 0, 0.0, whole)
+    assert np.array_equal(np.argwhere(whole <= eps), np.stack((rows, cols), axis=1)) and np.allclose(d, whole[rows, cols], atol=2e-9)
